@@ -9,6 +9,8 @@ from .common import SPACE_WORD, store, table
 
 #: Key ranges per source for the coarse prefix sums; only the rows of one range per source are ever sorted.
 RANGES = 4096
+#: Per-source tables of up to so many rows (about 100 bytes each) are broadcast; larger ones are joined by shuffle.
+FEW_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -43,10 +45,15 @@ def targets(sizes: DataFrame, most_epochs: int = 3) -> DataFrame:
     return s.select("source", "source_size", F.when(below, F.col("cap")).otherwise(F.col("weight") * F.col("final")).alias("target"))
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """docs with size, the number of words, in place of the text: what follows moves no text."""
+    return docs.withColumn("size", word_count(F.col("text"))).drop("text")
+
+
 def mix(docs: DataFrame, *, quality: Column | None = None, most_epochs: int = 3, ranges: int = RANGES) -> DataFrame:
-    """docs plus size, source_size, target and taken.
+    """docs (from sized()) plus source_size, target and taken.
 
-    docs needs doc_id, text and source; other columns stay. quality is a positive weight from docs' columns (default 1).
+    docs needs doc_id, size and source; other columns stay. quality is a positive weight from docs' columns (default 1).
     Each document gets the key -ln(u) / quality, u from md5 of its id, so reruns agree. Within a source, complete epochs come
     first; for the rest of the target documents are taken in key order while their prefix sum fits, and one more document, the
     one that brings the source nearest to its target, closes the gap. taken counts words with repeats. Whole documents only.
@@ -56,11 +63,11 @@ def mix(docs: DataFrame, *, quality: Column | None = None, most_epochs: int = 3,
     A source's rows are never gathered: sums by key range locate the one range in which the budget ends, and only its rows
     are ordered (1 / ranges of the source).
     """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "text")]
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     q = F.coalesce(quality, F.lit(1.0)) if quality is not None else F.lit(1.0)
     base = store(
-        docs.select(*own, word_count(F.col("text")).alias("size"), (-F.log(u) / q).alias("_key"), F.monotonically_increasing_id().alias("_row"))
+        docs.select(*own, "size", (-F.log(u) / q).alias("_key"), F.monotonically_increasing_id().alias("_row"))
         .withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * ranges), F.lit(ranges - 1)).cast("int")),
         "mix",
     )
@@ -69,7 +76,10 @@ def mix(docs: DataFrame, *, quality: Column | None = None, most_epochs: int = 3,
     goal = goal.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = store(goal.withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size")).withColumnRenamed("source", "_source"), "goal")
 
+    few = goal.count() <= FEW_SOURCES
+
     def with_goal(df: DataFrame, right: DataFrame) -> DataFrame:
+        right = F.broadcast(right) if few else right
         return df.join(right, df["source"].eqNullSafe(right["_source"]), "left")
 
     order = Window.partitionBy("source").orderBy("_range")
@@ -110,7 +120,7 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(quality_weights(docs, table(spark, sf_dir, "labels")), quality=F.col("_quality")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(quality_weights(sized(docs), table(spark, sf_dir, "labels")), quality=F.col("_quality")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP6_SQL = r"""
@@ -162,5 +172,5 @@ FROM o LEFT JOIN c ON c.doc_id = o.doc_id
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with size, target, taken and the number of copies it takes of each."""
     plain = docs.select(*(c for c in docs.columns if c not in ("_quality", "_best")))
-    mixed = mix(quality_weights(plain, table(spark, sf_dir, "labels")), quality=F.col("_quality")).drop("_quality")
+    mixed = mix(quality_weights(sized(plain), table(spark, sf_dir, "labels")), quality=F.col("_quality")).drop("_quality")
     return mixed.where("taken > 0").withColumn("copies", F.expr("taken div size"))
