@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, tokens, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op4_token_counts": tokens.op4_token_counts,
     "op6_mix": mixing.op6_mix,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op6_mix": mixing.OP6_SQL,
 }
