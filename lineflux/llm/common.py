@@ -58,6 +58,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for broadcast if its checked number of rows allows; otherwise it is joined by shuffle, with the same rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, tokens, toxicity, warc
+from . import decontaminate, mixing, pii, tokens, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_pii": pii.op2_pii,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_counts": tokens.op4_token_counts,
     "op6_mix": mixing.op6_mix,
     "op9_toxicity": toxicity.op9_toxicity,
@@ -13,5 +15,6 @@ QUERIES = {
 
 SQL = {
     "op1_warc": warc.OP1_SQL,
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_mix": mixing.OP6_SQL,
 }
