@@ -17,12 +17,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import few, fresh_path, store, table
 
 VERSION = re.compile(rb"WARC/1\.[0-9]\r?\n")
 MEMBER = b"\x1f\x8b\x08"
 #: Records per archive: an archive is read whole by one task, so this bounds its memory.
 RECORDS_PER_ARCHIVE = 2000
+#: Shared digests (about 60 bytes each) up to this number are broadcast.
+FEW_DIGESTS = 200_000
 
 SCHEMA = "archive string, first_byte long, end_byte long, fault string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, page_id long, payload binary"
 
@@ -128,12 +130,14 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, refers_to (null on responses).
 
     Of payloads of least_bytes or more with equal digest and length, the smallest page_id (null last, then the smallest row)
-    is the response. The digests are aggregated before the join, so a payload that a third of the pages share is one row there.
+    is the response; pages with that same id are responses too. Only digests that several pages share are joined, one row each,
+    so payloads are shuffled only where more than FEW_DIGESTS are shared.
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
-    first = p.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("_first"))
-    p = p.join(first, ["payload_digest", "payload_bytes"], "left")
+    first = p.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
+    first = store(first.where("_n > 1").drop("_n"), "digests")
+    p = p.join(few(first, FEW_DIGESTS), ["payload_digest", "payload_bytes"], "left")
     return p.withColumn("refers_to", F.when(F.col("page_id") != F.col("_first"), F.col("_first"))).drop("_first")
 
 
@@ -222,9 +226,9 @@ OP1_SQL = r"""
 WITH h AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
 ), v AS (
-  SELECT *, list_transform(range(0, 8), k -> CAST('0x' || substr(hex, CAST(1 + 5 * k AS BIGINT), 5) AS BIGINT)) AS parts FROM h
+  SELECT *, list_transform(range(0, 8), lambda k: CAST('0x' || substr(hex, CAST(1 + 5 * k AS BIGINT), 5) AS BIGINT)) AS parts FROM h
 ), d AS (
-  SELECT page_id, payload_bytes, array_to_string(list_transform(parts, p ->
+  SELECT page_id, payload_bytes, array_to_string(list_transform(parts, lambda p:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (p >> 15) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (p >> 10) % 32 + 1, 1)
     || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (p >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', p % 32 + 1, 1)), '') AS payload_digest
   FROM v
