@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, tokens, toxicity, warc
+from . import decontaminate, hnsw, minhash, mixing, pii, tokens, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_counts": tokens.op4_token_counts,
     "op6_mix": mixing.op6_mix,
+    "op7_near_embeddings": hnsw.op7_near_embeddings,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_near_duplicates": minhash.op10_near_duplicates,
 }
 
 SQL = {
