@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hnsw, minhash, mixing, pii, tokens, toxicity, warc
+from . import bwt, decontaminate, hnsw, minhash, mixing, pii, suffix_tree, tokens, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_pii": pii.op2_pii,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_counts": tokens.op4_token_counts,
+    "op5_suffix_trees": suffix_tree.op5_suffix_trees,
     "op6_mix": mixing.op6_mix,
     "op7_near_embeddings": hnsw.op7_near_embeddings,
+    "op8_suffix_array": bwt.op8_suffix_array,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_near_duplicates": minhash.op10_near_duplicates,
 }
