@@ -90,21 +90,21 @@ def on_off_split(spark, d):
 
 
 @query("""
-WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), w AS (SELECT o_orderkey AS l_orderkey, o_totalprice AS v FROM orders),
+WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), w AS (SELECT o_orderkey AS l_orderkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS v FROM orders),
 f AS (SELECT l_orderkey, v FROM m JOIN w USING (l_orderkey) WHERE l_suppkey = 1), t AS (SELECT count(*) AS n, sum(v) AS v FROM f),
 g AS (SELECT m.l_suppkey AS mate, count(*) AS n, sum(f.v) AS v FROM f JOIN m ON m.l_orderkey = f.l_orderkey AND m.l_suppkey <> 1 GROUP BY 1)
-SELECT mate, g.n AS with_n, t.n - g.n AS without_n, round(g.v / g.n, 6) AS with_mean, round((t.v - g.v) / (t.n - g.n), 6) AS without_mean, round(g.v / g.n - (t.v - g.v) / (t.n - g.n), 6) AS diff
+SELECT mate, g.n AS with_n, t.n - g.n AS without_n, CAST(g.v AS DOUBLE) / g.n AS with_mean, CAST(t.v - g.v AS DOUBLE) / (t.n - g.n) AS without_mean, CAST(g.v AS DOUBLE) / g.n - CAST(t.v - g.v AS DOUBLE) / (t.n - g.n) AS diff
 FROM g, t WHERE t.n > g.n""")
 def with_without(spark, d):
     """The focus supplier's orders with each other supplier against those without it."""
     m = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    w = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("v"))
+    w = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
     focus = m.where("l_suppkey = 1").join(w, "l_orderkey").select("l_orderkey", "v")
     total = focus.agg(F.count("*").alias("n"), F.sum("v").alias("v_all"))
     g = focus.join(m.where("l_suppkey <> 1"), "l_orderkey").groupBy(F.col("l_suppkey").alias("mate")).agg(F.count("*").alias("with_n"), F.sum("v").alias("v"))
     g = g.crossJoin(F.broadcast(total)).withColumn("without_n", F.col("n") - F.col("with_n")).where("without_n > 0")
-    a, b = F.col("v") / F.col("with_n"), (F.col("v_all") - F.col("v")) / F.col("without_n")
-    return g.select("mate", "with_n", "without_n", F.round(a, 6).alias("with_mean"), F.round(b, 6).alias("without_mean"), F.round(a - b, 6).alias("diff"))
+    a, b = F.col("v").cast("double") / F.col("with_n"), (F.col("v_all") - F.col("v")).cast("double") / F.col("without_n")
+    return g.select("mate", "with_n", "without_n", a.alias("with_mean"), b.alias("without_mean"), (a - b).alias("diff"))
 
 
 @query("""

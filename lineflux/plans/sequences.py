@@ -64,16 +64,18 @@ def running_and_prior_sum(spark, d):
 
 
 @query("""
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, CAST(o_totalprice AS DECIMAL(18, 2)) AS v FROM orders), a AS (SELECT CAST(sum(v) AS DOUBLE) / count(*) AS fill FROM o)
 SELECT o_orderkey, o_custkey, CAST(row_number() OVER w - 1 AS BIGINT) AS orders_so_far,
-       round(coalesce(avg(o_totalprice) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), (SELECT avg(o_totalprice) FROM orders)), 5) AS prior_mean
-FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+       coalesce(CAST(sum(v) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE) / (row_number() OVER w - 1), fill) AS prior_mean
+FROM o, a WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def expanding_prior_mean(spark, d):
-    """Leak-free prior; the first row is filled with the overall mean."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    """Leak-free prior; the first row is filled with the overall mean. Exact sums of decimals, so both sides round alike."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
     keys, order = ["o_custkey"], ["o_orderdate", "o_orderkey"]
-    fill = o.agg(F.avg("o_totalprice").alias("fill"))
-    o = o.crossJoin(F.broadcast(fill))  # one row
-    return o.select("o_orderkey", "o_custkey", Wn.sequence(keys, order).alias("orders_so_far"), F.round(F.coalesce(Wn.prior_mean(F.col("o_totalprice"), keys, order), "fill"), 5).alias("prior_mean"))
+    fill = o.agg((F.sum("v").cast("double") / F.count("*")).alias("fill"))
+    so_far = Wn.sequence(keys, order)
+    mean = X.safe_div(Wn.prior_sum(F.col("v"), keys, order).cast("double"), so_far)
+    return o.crossJoin(F.broadcast(fill)).select("o_orderkey", "o_custkey", so_far.alias("orders_so_far"), F.coalesce(mean, "fill").alias("prior_mean"))  # one row
 
 
 @query("""
