@@ -22,8 +22,6 @@ WINDOW, GRAM = 13, 5
 PREFIXES, GROUP = (2, 5, WINDOW), 50_000
 #: Cells of the table of prefix counts that decides on extension; its size does not grow with the input.
 CELLS = 1 << 16
-#: Requested segments (8 bytes each) that are broadcast at most; more are joined by shuffle.
-FEW_SPANS = 1_000_000
 _LETTERS, _SPACES = letters(False), space_bytes()
 
 
@@ -136,8 +134,7 @@ def dedup_windows(docs: DataFrame, texts: bool = True) -> DataFrame:
     found = candidates(docs.where("doc_id is not null"), symbolize, WINDOW, GRAM, False)
     asked = found.where("request").groupBy("doc_id").agg(F.collect_list(F.col("at").cast("long") * 65536 + F.col("n")).alias("spans"))
     asked = store(asked, "asked")
-    small = asked.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= FEW_SPANS
-    near = docs.join(F.broadcast(asked) if small else asked, "doc_id").select("doc_id", "text", "spans")
+    near = docs.join(asked, "doc_id").select("doc_id", "text", "spans")
     extra = store(repeated_windows(store(suffixes(near), "suffixes")), "windows")
     return finished(docs.join(gathered(found, extra), "doc_id", "left").select("doc_id", "text", "spans"), texts)
 
