@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from .common import letters, store, table
 from .repeats import candidates, covered, gathered
 
-LENGTH, GRAM = 100, 24
-#: Bytes of a collection that is built at once.
-COLLECTION = 1 << 20
-#: Requested segments (8 bytes each) that are broadcast at most; more are joined by shuffle.
-FEW_SPANS = 1_000_000
+LENGTH, GRAM = 100, 40
+#: Bytes of a collection from which the next key begins another one: its columns then stay in a core's cache.
+COLLECTION = 1 << 17
+#: A byte that no UTF-8 text holds.
+END = 255
 _LETTERS = letters(False, 8)
 
 
@@ -29,29 +29,33 @@ def symbolize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return _LETTERS[data], offsets
 
 
-def suffix_order(data: np.ndarray, base: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted suffixes of a collection: string and start of each. String s is data[base[s] : base[s] + size[s]].
+def suffix_order(data: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where in data the collection's suffixes start, in sorted order. String s is data[base[s] : base[s] + size[s]], with END
+    before it and after the last one.
 
-    bwt holds the symbol before each suffix so far (256 where none is left). Sorting the order by it, equal symbols in place,
-    inserts the next symbol of every string; the empty suffixes come first, by string."""
-    m = len(base)
-    string, length = np.arange(m, dtype=np.int32), np.zeros(m, np.int16)
-    for _ in range(int(size.max()) if m else 0):
-        left = size[string] - length
-        alive = left > 0
-        bwt = data[base[string[alive]] + left[alive] - 1]
+    The symbols before the suffixes so far are the transform. Sorting the order by it, equal symbols in place, inserts the next
+    symbol of every string that has one left; the empty suffixes come first, by string."""
+    ends = (base + size).astype(np.int32)
+    order = ends
+    for _ in range(int(size.max()) if len(size) else 0):
+        before = order - 1
+        bwt = data[before]
         by = np.argsort(bwt, kind="stable")
-        string = np.concatenate([np.arange(m, dtype=np.int32), string[alive][by]])
-        length = np.concatenate([np.zeros(m, np.int16), length[alive][by] + np.int16(1)])
-    return string, size[string] - length
+        order = np.concatenate([ends, before[by[: len(bwt) - np.count_nonzero(bwt == END)]]])
+    return order
 
 
-def repeats_of(data: np.ndarray, base: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeats_of(strings: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, start) of strings of LENGTH bytes that also start earlier in the collection. at: a segment's place in doc."""
-    string, start = suffix_order(data, base, size)
+    end = bytes([END])
+    data = np.frombuffer(end + end.join(strings) + end, np.uint8)
+    size = np.array([len(s) for s in strings])
+    base = np.cumsum(size + 1) - size
+    place = suffix_order(data, base, size)
+    string = np.searchsorted(base, place, side="right") - 1
+    start = place - base[string]
     whole = size[string] - start >= LENGTH
-    string, start = string[whole], start[whole]
-    place = base[string] + start
+    string, start, place = string[whole], start[whole], place[whole]
     common = np.zeros(len(place), bool)  # with the suffix before
     step = 4096
     window = np.arange(LENGTH)
@@ -113,9 +117,7 @@ def repeated_strings(segments: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32())], ["doc_id", "at"])
 
         def collection(held):
-            data = np.frombuffer(b"".join(h[2] for h in held), np.uint8)
-            size = np.array([len(h[2]) for h in held])
-            return repeats_of(data, np.cumsum(size) - size, size, np.array([h[0] for h in held]), np.array([h[1] for h in held]))
+            return repeats_of([h[2] for h in held], np.array([h[0] for h in held]), np.array([h[1] for h in held]))
 
         held, total, last, copies = [], 0, (None, None, None, None), []
         for batch in batches:
@@ -153,8 +155,7 @@ def dedup_strings(docs: DataFrame, texts: bool = True) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     found = candidates(docs.where("doc_id is not null"), symbolize, LENGTH, GRAM, True)
     asked = store(found.where("request").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "hot", "key")).alias("spans")), "asked")
-    small = asked.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= FEW_SPANS // 4
-    near = docs.join(F.broadcast(asked) if small else asked, "doc_id").select("doc_id", "text", "spans")
+    near = docs.join(asked, "doc_id").select("doc_id", "text", "spans")
     extra = store(repeated_strings(segment_texts(near)), "strings")
     return finished(docs.join(gathered(found, extra), "doc_id", "left").select("doc_id", "text", "spans"), texts)
 

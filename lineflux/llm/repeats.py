@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import binary_view, chunks, mix64, powers, sliding_min, store
 
-#: Windows of a segment at most, and classes of a key in a batch or bucket from which it is hot.
-LONGEST, HOT = 64, 64
+#: Windows of a segment at most (more than a gram lasts, so only periodic texts reach it), and classes of a key in a batch or
+#: bucket from which it is hot.
+LONGEST, HOT = 100, 256
 #: Buckets of keys for each shuffle partition.
 BUCKETS_PER_PARTITION = 16
 RECORD = np.dtype([("key", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1"), ("flag", "u1")])
