@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from .common import components, few, store, table
 
-#: Vectors of a shard, neighbours of a node (twice that on the ground layer), and beam widths for building and searching.
-SHARD, LINKS, BUILD_BEAM, BEAM = 4096, 12, 48, 32
+#: Vectors of a shard (16 MB at 128 dimensions), neighbours of a node (twice that on the ground layer), and beam widths for
+#: building and searching. Beyond WIDEST a product with the whole shard is cheaper than a walk, and exact.
+SHARD, LINKS, BUILD_BEAM, BEAM, WIDEST = 16_384, 12, 48, 32, 64
 #: Queries of a block, queries walked at once, and audited queries of each block.
 BLOCK, AT_ONCE, AUDITED = 2048, 256, 48
+#: Links that are verified at once.
+PAIRS = 200_000
 #: A block's beam is widened until this share of the audited links is found.
 RECALL = 0.999
 FEW_KEYS = 400_000
@@ -164,18 +167,21 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def links_of(g: Graph, x: np.ndarray, q: np.ndarray, least: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) links with a cosine of `least` or more. own: each query's own node, or -1. x and q in double precision."""
+def links_of(g: Graph, x: np.ndarray, q: np.ndarray, least: float, own: np.ndarray):
+    """(queries, nodes) of links with a cosine of `least` or more, some at a time. own: each query's own node, or -1. x and q in
+    double precision."""
     margin = least - 1e-5  # the walk is in single precision
     q32 = q.astype(np.float32)
     audit = np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)
     truth = [set(np.flatnonzero(x @ q[i] >= least)) - {own[i]} for i in audit]
     width, todo, found = BEAM, np.arange(len(q)), {}
     while len(todo):
-        width = min(width, len(x))
-        if width == len(x):
-            for i in todo:
-                found[i] = np.flatnonzero(x @ q[i] >= margin)
+        if width > WIDEST or width >= len(x):
+            for k in range(0, len(todo), AT_ONCE):
+                rows = todo[k : k + AT_ONCE]
+                a, b = np.nonzero(q[rows] @ x.T >= margin)
+                cuts = np.searchsorted(a, np.arange(1, len(rows)))
+                found.update(zip(rows.tolist(), np.split(b.astype(np.int32), cuts)))
             break
         ids, sims = g.search(q32[todo], width)
         full = sims[:, -1] >= margin if ids.shape[1] == width else np.zeros(len(todo), bool)
@@ -185,11 +191,13 @@ def links_of(g: Graph, x: np.ndarray, q: np.ndarray, least: float, own: np.ndarr
         got = sum(len(t & set(found[i])) for i, t in zip(audit, truth))
         todo = np.arange(len(q)) if got < RECALL * wanted else todo[full]
         width *= 2
-    a = np.repeat(np.arange(len(q)), [len(found[i]) for i in range(len(q))])
-    b = np.concatenate([found[i] for i in range(len(q))]).astype(int) if len(q) else np.zeros(0, int)
-    cos = np.einsum("nd,nd->n", q[a], x[b])
-    good = (cos >= least) & (own[a] != b)
-    return a[good], b[good]
+    count = np.array([len(found[i]) for i in range(len(q))])
+    part = (np.cumsum(count) - count) // PAIRS
+    for rows in np.split(np.arange(len(q)), np.flatnonzero(np.diff(part)) + 1):
+        a, b = np.repeat(rows, count[rows]), np.concatenate([found[i] for i in rows]).astype(np.int64)
+        cos = np.einsum("nd,nd->n", q[a], x[b])
+        good = (cos >= least) & (own[a] != b)
+        yield a[good], b[good]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -253,11 +261,11 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, shard: int = SHARD)
                 q = np.frombuffer(get("q_x"), np.float64).reshape(len(q_ids), -1)[at : at + BLOCK]
                 q_ids = q_ids[at : at + BLOCK]
                 own = np.arange(at, at + len(q)) if get("shard") == get("q_shard") else np.full(len(q), -1)
-                a, b = links_of(g, x, q, least, own)
-                count = np.bincount(a, copies[b], len(q)).astype(np.int64)
-                some = np.flatnonzero(count)
-                f = forest(q_ids[a], ids[b])
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([q_ids[some], q_ids[a][f]])), "b": pa.array([None] * len(some) + ids[b][f].tolist(), pa.int64()), "n": pa.array(np.concatenate([count[some], np.zeros(len(f), np.int64)]))})
+                for a, b in links_of(g, x, q, least, own):
+                    count = np.bincount(a, copies[b], len(q)).astype(np.int64)
+                    some = np.flatnonzero(count)
+                    f = forest(q_ids[a], ids[b])
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([q_ids[some], q_ids[a][f]])), "b": pa.array([None] * len(some) + ids[b][f].tolist(), pa.int64()), "n": pa.array(np.concatenate([count[some], np.zeros(len(f), np.int64)]))})
 
     side = graphs.select("grp", F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0), F.floor((F.length("ids") / 8 - 1) / BLOCK).cast("int"))).alias("block"))
     tasks = side.join(graphs, "grp")
