@@ -181,3 +181,56 @@ def group_folds(sizes: DataFrame, group: str, size: str, folds: int) -> list[tup
         load[f] += n
         out.append((g, f))
     return out
+
+
+def ridge_by_group(df: DataFrame, group: str, y: str, xs: list[str], w: str, alphas: list[float], folds: int = 5) -> tuple[float, dict[float, float]]:
+    """(best alpha, weighted squared error by alpha) by folds of whole groups.
+
+    Cross-products are summed once by group and fold; every fit and every error is algebra on those p × p sums.
+    """
+    p = len(xs)
+    fold = df.sparkSession.createDataFrame(group_folds(df.groupBy(group).agg(F.count("*").alias("n")), group, "n", folds), df.select(group).schema.add("fold", "integer"))
+    cols = xs + [y]
+    sums = [F.sum(F.col(w) * F.col(cols[i]) * F.col(cols[j])).alias(f"s{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
+    rows = df.join(fold, group).groupBy("fold").agg(*sums, F.sum(w).alias("w")).orderBy("fold").collect()
+    s = np.array([[[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)] for r in rows], float)
+    weight = np.array([r["w"] for r in rows], float)
+    error = {}
+    for a in alphas:
+        total = 0.0
+        for k in range(len(rows)):
+            train = s.sum(0) - s[k]
+            b = np.linalg.solve(train[:p, :p] + a * np.eye(p), train[:p, p])
+            total += s[k][p, p] - 2 * b @ s[k][:p, p] + b @ s[k][:p, :p] @ b
+        error[a] = float(total / weight.sum())
+    return min(error, key=lambda a: (error[a], a)), error
+
+
+def choose_k(rows: list[dict], best_high: list[str], best_low: list[str]) -> int:
+    """The k with the least sum of average ranks over the criteria; ties go to the smaller k."""
+    score = {r["k"]: 0.0 for r in rows}
+    for name, sign in [(n, -1) for n in best_high] + [(n, 1) for n in best_low]:
+        v = [sign * r[name] for r in rows]
+        for r, x in zip(rows, v):
+            score[r["k"]] += sum(o < x for o in v) + (sum(o == x for o in v) + 1) / 2
+    return min(score, key=lambda k: (score[k], k))
+
+
+def described_clusters(df: DataFrame, cluster: str, features: list[str], least: float = 0.3, most: int = 2) -> DataFrame:
+    """Mean of each standardised feature by cluster, and its strongest features above and below `least` as text."""
+    means = df.groupBy(cluster).agg(*(F.avg(f).alias(f) for f in features))
+    pairs = F.array(*(F.struct(F.col(f).alias("z"), F.lit(f).alias("name")) for f in features))
+    high = F.slice(F.sort_array(F.filter(pairs, lambda x: x["z"] > least), False), 1, most)
+    low = F.slice(F.sort_array(F.filter(pairs, lambda x: x["z"] < -least)), 1, most)
+    return means.withColumn("high", F.array_join(high["name"], ", ")).withColumn("low", F.array_join(low["name"], ", "))
+
+
+def save_bundle(df: DataFrame, features: str, k_parts: int, k: int, path: str, seed: int = 42):
+    """Fit and write scaler, PCA and k-means as one pipeline model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, StandardScaler
+
+    steps = [StandardScaler(inputCol="_v", outputCol="_z", withMean=True), PCA(k=k_parts, inputCol="_z", outputCol="_p"), KMeans(k=k, seed=seed, featuresCol="_p", predictionCol="cluster")]
+    model = Pipeline(stages=steps).fit(df.withColumn("_v", array_to_vector(F.col(features).cast("array<double>"))))
+    model.write().overwrite().save(path)
+    return model

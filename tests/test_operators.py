@@ -136,3 +136,23 @@ def test_small_sample_methods():
     assert sorted(np.bincount(labels)) == [20, 20, 20]
     assert ml.silhouettes(x, labels).mean() > 0.9
     assert sorted(np.bincount(ml.gaussian_mixture(x, 3)[0])) == [20, 20, 20]
+
+
+def test_grouped_ridge_and_choice(spark):
+    rng = random.Random(3)
+    rows = [(g, x := rng.gauss(0, 1), z := rng.gauss(0, 1), 2 * x - z + rng.gauss(0, 0.1), 1.0) for g in range(12) for _ in range(9)]
+    df = spark.createDataFrame(rows, "g int, x double, z double, y double, w double")
+    best, error = ml.ridge_by_group(df, "g", "y", ["x", "z"], "w", [0.1, 1000.0], 4)
+    assert best == 0.1 and error[0.1] < 0.05 < error[1000.0]
+    assert ml.ridge(df, "y", ["x", "z"], "w", 0.01) == pytest.approx([2, -1], abs=0.05)
+    assert ml.choose_k([{"k": 2, "s": 0.5, "b": 9.0}, {"k": 3, "s": 0.9, "b": 5.0}, {"k": 4, "s": 0.6, "b": 5.0}], ["s"], ["b"]) == 3
+
+
+def test_bundle_and_description(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    df = spark.createDataFrame([(float(i % 2) * 9 + 0.01 * i, float(i % 2) - 0.5) for i in range(40)], "a double, b double").withColumn("x", F.array("a", "b"))
+    ml.save_bundle(df, "x", 1, 2, f"{tmp_path}/m")
+    assert len(PipelineModel.load(f"{tmp_path}/m").stages) == 3
+    got = ml.described_clusters(df.withColumn("c", (F.col("a") > 5).cast("int")), "c", ["b"]).orderBy("c").collect()
+    assert [(r.high, r.low) for r in got] == [("", "b"), ("b", "")]
