@@ -14,7 +14,7 @@ C = F.col
 
 @query("""
 SELECT l_suppkey, l_returnflag, count(*) AS n_rows, CAST(sum(CASE WHEN l_quantity >= 25 THEN 1 ELSE 0 END) AS BIGINT) AS n_large, CAST(sum(CASE WHEN l_discount = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_full_price,
-       CAST(sum(CASE WHEN l_linestatus = 'F' AND l_tax > 0.04 THEN 1 ELSE 0 END) AS BIGINT) AS n_taxed_final, round(coalesce(sum(CASE WHEN l_quantity >= 25 THEN 3 WHEN l_quantity >= 10 THEN 2 ELSE 1 END * 1.0), 0), 2) AS points
+       CAST(sum(CASE WHEN l_linestatus = 'F' AND l_tax > 0.04 THEN 1 ELSE 0 END) AS BIGINT) AS n_taxed_final, CAST(coalesce(sum(CASE WHEN l_quantity >= 25 THEN 3 WHEN l_quantity >= 10 THEN 2 ELSE 1 END), 0) AS DOUBLE) AS points
 FROM lineitem GROUP BY 1, 2""")
 def counter_vector(spark, d):
     tests = {"n_rows": F.lit(True), "n_large": C("l_quantity") >= 25, "n_full_price": C("l_discount") == 0, "n_taxed_final": (C("l_linestatus") == "F") & (C("l_tax") > 0.04)}
