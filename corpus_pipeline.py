@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, personal data, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet and reads again for the next. All
-stages but the last return the columns of documents.
+stages but the last return the columns of documents; the last adds the columns of the mix.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, target, taken and copies."""
+    """The documents that the mix takes, with their cleaned and redacted texts, size, target, taken and copies."""
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:

@@ -170,7 +170,13 @@ FROM o LEFT JOIN c ON c.doc_id = o.doc_id
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, target, taken and the number of copies it takes of each."""
-    plain = docs.select(*(c for c in docs.columns if c not in ("_quality", "_best")))
-    mixed = mix(quality_weights(sized(plain), table(spark, sf_dir, "labels")), quality=F.col("_quality")).drop("_quality")
-    return mixed.where("taken > 0").withColumn("copies", F.expr("taken div size"))
+    """The documents that the mix takes, with their texts, size, target, taken and the number of copies it takes of each.
+
+    The choice moves rows without text; only the kept row keys are joined back. The keys are stored with the rows, so they
+    are the same on both sides of the join.
+    """
+    plain = docs.select(*(c for c in docs.columns if c not in ("_quality", "_best", "_doc", "size", "source_size", "target", "taken", "copies")))
+    keyed = store(plain.withColumn("_doc", F.monotonically_increasing_id()), "mixing")
+    slim = quality_weights(sized(keyed.select("_doc", "doc_id", "source", "text")), table(spark, sf_dir, "labels"))
+    mixed = mix(slim, quality=F.col("_quality")).where("taken > 0").withColumn("copies", F.expr("taken div size"))
+    return keyed.join(mixed.select("_doc", "size", "source_size", "target", "taken", "copies"), "_doc").drop("_doc")

@@ -45,6 +45,18 @@ def test_stages(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == len(mixed)
 
 
+def test_mixing_returns_the_texts(spark, tmp_path):
+    rows = [(i // 2, f"text {i} " + "word " * (i % 7), "en", f"s{i % 3}", i) for i in range(60)] + [(None, "no id", "en", None, 60), (99, None, "en", "s0", 61)]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 30, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    stage = importlib.import_module("corpus_pipeline").STAGES[4][1]
+    mixed = stage(spark, docs, str(tmp_path))
+    assert mixed.columns == [*docs.columns, "size", "source_size", "target", "taken", "copies"]
+    by_row, got = {r[4]: r for r in rows}, mixed.collect()
+    assert len({r.n_chars for r in got}) == len(got) > 20  # equal ids stay apart
+    assert all(tuple(r)[:5] == by_row[r.n_chars] and r.size == len(r.text.split()) and r.taken == r.copies * r.size for r in got)
+
+
 def test_entry_has_the_queries():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
