@@ -1,8 +1,8 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one class. The classes of a label are dealt into shards, each shard becomes a graph, and every class queries
-every shard of its label. Beams widen until an audit against brute force passes and no beam is full of links; links are
-verified by cosine in double precision, and their components are united.
+every shard of its label. Beams widen until an audit against brute force, over enough links, passes and no beam is full of
+links; where links are too few to tell, the products with the whole shard are the result. Links are verified by cosine in double precision, and their components are united.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from .common import components, few, store, table
 #: Vectors of a shard (16 MB at 128 dimensions), neighbours of a node (twice that on the ground layer), and beam widths for
 #: building and searching. Beyond WIDEST a product with the whole shard is cheaper than a walk, and exact.
 SHARD, LINKS, BUILD_BEAM, BEAM, WIDEST = 16_384, 12, 48, 32, 64
-#: Queries of a block, queries walked at once, and audited queries of each block.
+#: Queries of a block, queries walked at once, and the first audited queries of each block.
 BLOCK, AT_ONCE, AUDITED = 2048, 256, 48
 #: Links that are verified at once.
 PAIRS = 200_000
-#: A block's beam is widened until this share of the audited links is found.
-RECALL = 0.999
+#: A block's beam is widened until this share of the audited links is found, among so many links at least.
+RECALL, EVIDENCE = 0.999, 1000
 FEW_KEYS = 400_000
 
 
@@ -172,24 +172,37 @@ def links_of(g: Graph, x: np.ndarray, q: np.ndarray, least: float, own: np.ndarr
     double precision."""
     margin = least - 1e-5  # the walk is in single precision
     q32 = q.astype(np.float32)
-    audit = np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)
-    truth = [set(np.flatnonzero(x @ q[i] >= least)) - {own[i]} for i in audit]
-    width, todo, found = BEAM, np.arange(len(q)), {}
+    found, truth, links = {}, {}, 0
+
+    def exact(rows):
+        for k in range(0, len(rows), AT_ONCE):
+            some = rows[k : k + AT_ONCE]
+            a, b = np.nonzero(q[some] @ x.T >= margin)
+            found.update(zip(some.tolist(), np.split(b.astype(np.int32), np.searchsorted(a, np.arange(1, len(some))))))
+
+    # audited queries double until they have enough links on beams that are not full; their exact results stay
+    order = np.random.default_rng(7).permutation(len(q))
+    while len(truth) < len(q) and links < EVIDENCE:
+        more = order[len(truth) : len(truth) + max(AUDITED, len(truth))]
+        exact(more)
+        for i in more.tolist():
+            truth[i] = set(found[i][x[found[i]] @ q[i] >= least].tolist()) - {int(own[i])}
+            links += len(truth[i]) if len(found[i]) < BEAM else 0
+    width, todo = BEAM, np.arange(len(q) if len(truth) < len(q) else 0)
     while len(todo):
         if width > WIDEST or width >= len(x):
-            for k in range(0, len(todo), AT_ONCE):
-                rows = todo[k : k + AT_ONCE]
-                a, b = np.nonzero(q[rows] @ x.T >= margin)
-                cuts = np.searchsorted(a, np.arange(1, len(rows)))
-                found.update(zip(rows.tolist(), np.split(b.astype(np.int32), cuts)))
+            exact(np.array([i for i in todo.tolist() if i not in truth], int))
             break
         ids, sims = g.search(q32[todo], width)
         full = sims[:, -1] >= margin if ids.shape[1] == width else np.zeros(len(todo), bool)
-        for i, row, s in zip(todo, ids, sims):
-            found[i] = row[(row >= 0) & (s >= margin)]
-        wanted = sum(len(t) for t in truth)
-        got = sum(len(t & set(found[i])) for i, t in zip(audit, truth))
-        todo = np.arange(len(q)) if got < RECALL * wanted else todo[full]
+        wanted = got = 0
+        for i, row, s, f in zip(todo.tolist(), ids, sims, full):
+            hits = row[(row >= 0) & (s >= margin)]
+            if i not in truth:
+                found[i] = hits
+            elif not f:  # a full beam is widened for itself
+                wanted, got = wanted + len(truth[i]), got + len(truth[i].intersection(hits.tolist()))
+        todo = todo[full] if wanted >= EVIDENCE and got >= RECALL * wanted else todo
         width *= 2
     count = np.array([len(found[i]) for i in range(len(q))])
     part = (np.cumsum(count) - count) // PAIRS

@@ -260,6 +260,30 @@ def test_graph_recall():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(top, ids)]) > 0.9
 
 
+def test_rare_links_are_not_left_to_an_empty_audit():
+    rng = np.random.default_rng(3)
+    x = hnsw.unit(rng.normal(size=(2000, 32)))
+    x[701] = hnsw.unit(x[700:701] + 0.01 * rng.normal(size=(1, 32)))[0]
+    g = hnsw.Graph(x.astype(np.float32), [np.full((2000, 24), -1, np.int32)], [np.arange(2000)])  # its walks find nothing
+    want = {(int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.93) if a != b}
+    assert {(700, 701), (701, 700)} <= want
+    got = {(int(i), int(j)) for a, b in hnsw.links_of(g, x, x, 0.93, np.arange(2000)) for i, j in zip(a, b)}
+    assert got == want
+
+
+def test_full_beams_widen_for_themselves():
+    rng = np.random.default_rng(4)
+    size = np.array([200] + [6] * 300)
+    x = hnsw.unit(np.repeat(rng.normal(size=(301, 32)), size, 0) + 0.02 * rng.normal(size=(2000, 32)))
+    g, walked = hnsw.Graph.build(x.astype(np.float32)), []
+    search = g.search
+    g.search = lambda q, width: walked.append((width, len(q))) or search(q, width)
+    got = {(int(i), int(j)) for a, b in hnsw.links_of(g, x, x, 0.93, np.arange(2000)) for i, j in zip(a, b)}
+    want = {(int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.93) if a != b}
+    assert len(got & want) >= 0.999 * len(want) and got <= want
+    assert walked[0] == (32, 2000) and walked[1] == (64, 200)
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(7)
     rows, labels = [], []
