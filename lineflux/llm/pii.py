@@ -84,12 +84,16 @@ def located(docs: DataFrame) -> DataFrame:
 def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(_key, kind, start, end): tokens off the base spans that trusted patterns vouch for."""
     # the furthest end of the base spans that begin before a token's end tells whether they meet
-    base = found.where("kind >= 0").select("_key", F.col("start").alias("pos"), F.lit(0).alias("side"), F.struct(F.col("end").alias("to"), "kind").alias("b"), F.lit(None).cast("struct<start:long,end:long,hit:string,left:string>").alias("t"))
+    base = found.where("kind >= 0").select("_key", F.col("start").alias("pos"), F.lit(0).alias("side"), F.struct(F.col("end").alias("to"), "kind", "hit").alias("b"), F.lit(None).cast("struct<start:long,end:long,hit:string,left:string>").alias("t"))
     tokens = found.where("kind < 0").select("_key", F.col("end").alias("pos"), F.lit(-1).alias("side"), F.lit(None).cast(base.schema["b"].dataType).alias("b"), F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "hit", "left").alias("t"))
     sweep = Window.partitionBy("_key").orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, 0)
     tokens = base.unionAll(tokens).withColumn("b", F.max("b").over(sweep)).where("t is not null")
     word = F.regexp_replace(F.lower("t.hit"), r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
-    tokens = tokens.select("_key", F.col("t.start").alias("start"), F.col("t.end").alias("end"), word.alias("instance"), F.when(F.col("b.to") > F.col("t.start"), F.col("b.kind")).alias("seed"),
+    # a token on a base span stands for the whole match, numbers by their digits; the words before its first token are its patterns
+    spaced = F.col("b.kind").isin(KINDS.index("card"), KINDS.index("phone"))
+    whole = F.when(spaced, F.regexp_replace("b.hit", "[^+0-9]", "")).otherwise(F.lower("b.hit"))
+    on_base = F.coalesce(F.col("b.to") > F.col("t.start"), F.lit(False))
+    tokens = tokens.select("_key", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.when(on_base, whole).otherwise(word).alias("instance"), F.when(on_base, F.col("b.kind")).alias("seed"),
                            F.array_distinct(F.filter(F.array(F.col("t.left"), F.element_at(F.split("t.left", rf"[{WS}]+"), -1)), lambda x: x.rlike(r"[\p{L}]"))).alias("patterns"))
     tokens = store(tokens.where("instance <> ''"), "tokens")
     edges = tokens.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))

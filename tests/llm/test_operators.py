@@ -164,6 +164,13 @@ def test_personal_data_in_context(spark):
     assert clean[3] == "lorem write to [EMAIL] now" and clean[100] == "lorem write to [EMAIL] now" and clean[101] == "room 17 is free"
 
 
+def test_spaced_numbers_are_whole_seeds(spark):
+    rows = [(i, f"lorem please dial +1 (743) 555-{3000 + i} today") for i in range(30)] + [(100, "lorem please dial 743.555.9999 today"), (101, "room 17 is free")]
+    got = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_phone == 1 and got[i].n_added == 0 for i in range(30))
+    assert got[100].spans == "phone:18:30" and got[100].n_added == 1 and got[101].spans == ""
+
+
 def test_token_counts(spark):
     P = pytest.importorskip("public_tokenizers")
     import sentencepiece
