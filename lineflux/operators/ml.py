@@ -174,7 +174,7 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, key: str, features: str, k
 
 
 def group_folds(sizes: DataFrame, group: str, size: str, folds: int) -> list[tuple]:
-    """(group, fold): the largest group to the lightest fold; groups are few."""
+    """(group, fold) of the SMALL largest groups at most: the largest group to the lightest fold."""
     load, out = [0] * folds, []
     for g, n in sizes.select(group, size).orderBy(F.desc(size), group).limit(SMALL).collect():
         f = load.index(min(load))
@@ -186,13 +186,15 @@ def group_folds(sizes: DataFrame, group: str, size: str, folds: int) -> list[tup
 def ridge_by_group(df: DataFrame, group: str, y: str, xs: list[str], w: str, alphas: list[float], folds: int = 5) -> tuple[float, dict[float, float]]:
     """(best alpha, weighted squared error by alpha) by folds of whole groups.
 
+    Groups beyond the dealt ones, and a null group, go to folds by hash, so every row takes part.
     Cross-products are summed once by group and fold; every fit and every error is algebra on those p × p sums.
     """
     p = len(xs)
     fold = df.sparkSession.createDataFrame(group_folds(df.groupBy(group).agg(F.count("*").alias("n")), group, "n", folds), df.select(group).schema.add("fold", "integer"))
     cols = xs + [y]
     sums = [F.sum(F.col(w) * F.col(cols[i]) * F.col(cols[j])).alias(f"s{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
-    rows = df.join(fold, group).groupBy("fold").agg(*sums, F.sum(w).alias("w")).orderBy("fold").collect()
+    rest = F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
+    rows = df.join(fold, group, "left").withColumn("fold", F.coalesce("fold", rest)).groupBy("fold").agg(*sums, F.sum(w).alias("w")).orderBy("fold").collect()
     s = np.array([[[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)] for r in rows], float)
     weight = np.array([r["w"] for r in rows], float)
     error = {}

@@ -148,6 +148,14 @@ def test_grouped_ridge_and_choice(spark):
     assert ml.choose_k([{"k": 2, "s": 0.5, "b": 9.0}, {"k": 3, "s": 0.9, "b": 5.0}, {"k": 4, "s": 0.6, "b": 5.0}], ["s"], ["b"]) == 3
 
 
+def test_grouped_ridge_keeps_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(ml, "SMALL", 5)
+    rng = random.Random(4)
+    rows = [(g, x := rng.gauss(0, 1), 2 * x, 1.0) for g in range(5) for _ in range(9)] + [(g, x := rng.gauss(0, 1), 2 * x + 10, 1.0) for g in [*range(5, 25), None]]
+    df = spark.createDataFrame(rows, "g int, x double, y double, w double")
+    assert ml.ridge_by_group(df, "g", "y", ["x"], "w", [0.1], 4)[1][0.1] > 10
+
+
 def test_bundle_and_description(spark, tmp_path):
     from pyspark.ml import PipelineModel
 
