@@ -107,6 +107,47 @@ def ward(x: np.ndarray, k: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+def small_kmeans(x: np.ndarray, k: int, starts: int = 50, seed: int = 42, steps: int = 300) -> np.ndarray:
+    """Labels of Lloyd's iterations on a small sample, seeded by distance: the start of least cost."""
+    best = None
+    rng = np.random.default_rng(seed)
+    for _ in range(starts):
+        c = x[rng.integers(len(x))][None]
+        while len(c) < k:
+            d = ((x[:, None] - c) ** 2).sum(2).min(1)
+            c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum() if d.sum() > 0 else None)]])
+        label = None
+        for _ in range(steps):
+            d = ((x[:, None] - c) ** 2).sum(2)
+            now = d.argmin(1)
+            if label is not None and (now == label).all():
+                break
+            label = now
+            c = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
+        cost = d.min(1).sum()
+        if best is None or cost < best[0]:
+            best = (cost, label)
+    return best[1]
+
+
+def rand_index(a: np.ndarray, b: np.ndarray) -> float:
+    """The adjusted Rand index of two labellings of a small sample; 1 where both are trivial alike."""
+    t = np.zeros((a.max() + 1, b.max() + 1))
+    np.add.at(t, (a, b), 1)
+    pairs = lambda c: (c * (c - 1) / 2).sum()
+    rows, cols = pairs(t.sum(1)), pairs(t.sum(0))
+    expected = rows * cols / max(len(a) * (len(a) - 1) / 2, 1)
+    top = (rows + cols) / 2 - expected
+    return float((pairs(t) - expected) / top) if top else 1.0
+
+
+def subsample_stability(x: np.ndarray, k: int, replicates: int = 200, share: float = 0.8, seed: int = 42) -> float:
+    """Mean adjusted Rand index between k-means on the whole sample and on subsamples of it."""
+    rng, full = np.random.default_rng(seed), small_kmeans(x, k)
+    picks = [rng.choice(len(x), int(share * len(x)), replace=False) for _ in range(replicates)]
+    return float(np.mean([rand_index(full[p], small_kmeans(x[p], k, 10, seed + i)) for i, p in enumerate(picks)]))
+
+
 def silhouettes(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Euclidean silhouettes, 0 in clusters of one; distances by blocks of rows."""
     names, at = np.unique(labels, return_inverse=True)

@@ -67,33 +67,39 @@ def kmeans(spark, d):
 
 
 def prototypes(spark, d):
-    """Mean vectors of small groups: the small sample that linkage and mixtures are for."""
-    e = vectors(spark, d).withColumn("grp", F.pmod(C("vec_id"), F.lit(60)).cast("long"))
-    m = e.select("grp", F.posexplode("x").alias("i", "v")).where("i < 8").groupBy("grp", "i").agg(F.avg("v").alias("v"))
+    """Mean vector of each label, all components: the small sample that linkage and mixtures are for."""
+    e = vectors(spark, d).where("label is not null").select(C("label").cast("long").alias("grp"), F.posexplode("x").alias("i", "v"))
+    m = e.groupBy("grp", "i").agg(F.avg("v").alias("v"))
     return m.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s")).select("grp", C("s.v").alias("x"))
 
 
 @query()
 def cluster_methods(spark, d):
-    """Ward, a diagonal mixture and k-means on one small sample, for k = 2 to 7: silhouette, BIC and agreement by rank."""
+    """Ward, a diagonal mixture and k-means on one small sample, for k = 2 to 7: silhouettes, BIC, stability over subsamples,
+    agreement, and the k that the ranks choose among 4 to 6 without clusters of one."""
     ids, x = ml.matrix(prototypes(spark, d), "grp", "x")
     rows = []
-    for k in range(2, 8):
-        w = ml.ward(x, k)
-        g, bic = ml.gaussian_mixture(x, k, 5)
-        rows.append((k, float(ml.silhouettes(x, w).mean()), float(bic), float(ml.silhouettes(x, g).mean())))
-    return spark.createDataFrame(rows, "k int, ward_silhouette double, bic double, mixture_silhouette double")
+    for k in range(2, min(8, len(ids))):
+        w, m = ml.ward(x, k), ml.small_kmeans(x, k)
+        g, bic = ml.gaussian_mixture(x, k)
+        silhouette = {f"{n}_silhouette": float(ml.silhouettes(x, label).mean()) for n, label in (("ward", w), ("mixture", g), ("kmeans", m))}
+        rows.append({"k": k, "bic": float(bic), **silhouette, "stability": ml.subsample_stability(x, k), "ari_ward": ml.rand_index(m, w), "ari_mixture": ml.rand_index(m, g), "least_size": int(np.bincount(m, minlength=k).min())})
+    able = [r for r in rows if 4 <= r["k"] <= 6 and r["least_size"] >= 2]
+    best = ml.choose_k(able, ["kmeans_silhouette", "stability", "ari_mixture"], []) if able else None
+    out = "k int, ward_silhouette double, bic double, mixture_silhouette double, kmeans_silhouette double, stability double, ari_ward double, ari_mixture double, least_size int"
+    names = [c.split()[0] for c in out.split(", ")]
+    return spark.createDataFrame([(*(r[n] for n in names), r["k"] == best) for r in rows], out + ", chosen boolean")
 
 
 @query()
 def stability(spark, d):
-    """Co-clustering frequency of pairs over subsamples of 80 %."""
+    """Co-clustering frequency of pairs over 200 subsamples of 80 %, by k-means."""
     ids, x = ml.matrix(prototypes(spark, d), "grp", "x")
-    rng, n = np.random.default_rng(42), len(ids)
+    rng, n = np.random.default_rng(43), len(ids)
     same, both = np.zeros((n, n)), np.zeros((n, n))
-    for _ in range(50):
+    for i in range(200):
         pick = np.sort(rng.choice(n, int(0.8 * n), replace=False))
-        label = ml.ward(x[pick], 4)
+        label = ml.small_kmeans(x[pick], 4, 10, i)
         both[np.ix_(pick, pick)] += 1
         same[np.ix_(pick, pick)] += label[:, None] == label
     share = np.divide(same, both, out=np.zeros_like(same), where=both > 0)

@@ -138,6 +138,23 @@ def test_small_sample_methods():
     assert sorted(np.bincount(ml.gaussian_mixture(x, 3)[0])) == [20, 20, 20]
 
 
+def test_stability_and_agreement(spark, tmp_path):
+    import numpy as np
+
+    from lineflux.plans import learning
+
+    x = np.concatenate([np.random.default_rng(0).normal(c, 0.1, (20, 2)) for c in ((0, 0), (5, 5), (0, 5))])
+    m = ml.small_kmeans(x, 3)
+    assert sorted(np.bincount(m)) == [20, 20, 20] and ml.rand_index(m, ml.ward(x, 3)) == 1.0 and ml.subsample_stability(x, 3, 20) == 1.0
+    assert ml.rand_index(np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])) == pytest.approx(-0.5)
+    # labels differ in the last component only, in five pairs
+    rows = [(i, [0.0] * 9 + [float(i % 10 // 2 * 5 + i % 2 * 0.1)], i % 10) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.k: r for r in learning.cluster_methods(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(2, 8)) and got[5].chosen and got[5].ari_ward == 1.0 and got[5].kmeans_silhouette > 0.9
+    assert {r.a for r in learning.stability(spark, str(tmp_path)).collect()} == set(range(9))
+
+
 def test_grouped_ridge_and_choice(spark):
     rng = random.Random(3)
     rows = [(g, x := rng.gauss(0, 1), z := rng.gauss(0, 1), 2 * x - z + rng.gauss(0, 0.1), 1.0) for g in range(12) for _ in range(9)]
