@@ -14,19 +14,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import letters, store, table
-from .repeats import candidates, covered, gathered
+from .common import mix64, release_shuffles, store, table
+from .repeats import asked, candidates, covered, gathered
 
 LENGTH, GRAM = 100, 40
 #: Bytes of a collection from which the next key begins another one: its columns then stay in a core's cache.
 COLLECTION = 1 << 17
 #: A byte that no UTF-8 text holds.
 END = 255
-_LETTERS = letters(False, 8)
+#: Bytes that one symbol's hash covers.
+CONTEXT = 8
 
 
 def symbolize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _LETTERS[data], offsets
+    """A hash of the CONTEXT bytes from each byte on."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return mix64(np.ndarray((len(data),), "<u8", padded, 0, (1,)) + np.uint64(0x9E3779B97F4A7C15)), offsets
 
 
 def suffix_order(data: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -153,10 +156,10 @@ def dedup_strings(docs: DataFrame, texts: bool = True) -> DataFrame:
     columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = candidates(docs.where("doc_id is not null"), symbolize, LENGTH, GRAM, True)
-    asked = store(found.where("request").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "hot", "key")).alias("spans")), "asked")
-    near = docs.join(asked, "doc_id").select("doc_id", "text", "spans")
+    found = candidates(docs.where("doc_id is not null"), symbolize, LENGTH, GRAM, within_doc=True, deciding=True, context=CONTEXT)
+    near = docs.join(asked(found), "doc_id").select("doc_id", "text", "spans")
     extra = store(repeated_strings(segment_texts(near)), "strings")
+    release_shuffles(docs.sparkSession)
     return finished(docs.join(gathered(found, extra), "doc_id", "left").select("doc_id", "text", "spans"), texts)
 
 

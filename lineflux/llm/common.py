@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineflux-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lineflux-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -63,10 +68,18 @@ def _clear() -> None:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended before the interpreter
+        except (Py4JError, OSError, AttributeError):  # the session has ended before the interpreter
             return
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that ended in a stored table: its cleaner waits for a collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     path = fresh_path(df.sparkSession, name)
@@ -75,14 +88,28 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def few(df: DataFrame, most: int) -> DataFrame:
-    """df, marked for broadcast if its checked number of rows allows; otherwise it is joined by shuffle, with the same rows."""
-    return F.broadcast(df) if df.count() <= most else df
+#: Bytes of a broadcast table, as text, unless a caller states another bound.
+FEW_BYTES = 64 << 20
+
+
+def few(df: DataFrame, most: int, most_bytes: int = FEW_BYTES) -> DataFrame:
+    """df (stored, or cheap to work out again), marked for broadcast if its checked rows and bytes allow; otherwise it is joined by
+    shuffle, with the same rows."""
+    if df.count() > most:
+        return df
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most_bytes else df
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The planner's estimate of df's size, from its files where it is a table."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-case A-Z only; texts of one byte a character take the faster built-in."""
+    plain = F.octet_length(c) == F.length(c)
+    return F.when(plain, F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
@@ -148,9 +175,8 @@ def chunks(offsets: np.ndarray, most: int = 1 << 20):
 class Words:
     """Word boundaries and 64-bit word hashes of a stretch of rows.
 
-    data and offsets as binary_view gives them. is_sep: 256 booleans; table: 256 random uint64 by byte, equal for
-    bytes that count as the same letter. start, end: byte positions of words; row: each word's row; first: the index of
-    each row's first word, n + 1 entries.
+    data and offsets as binary_view gives them. is_sep: 256 booleans; letter: 256 bytes, equal for bytes that count as the same
+    letter. start, end: byte positions of words; row: each word's row; first: the index of each row's first word, n + 1 entries.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_sep: np.ndarray, letter: np.ndarray):
@@ -169,10 +195,33 @@ class Words:
         else:
             self.start = self.end = np.zeros(0, np.int64)
         self.first = np.searchsorted(self.start, offsets)
-        power, inverse = powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(letter[data] * power[:n], out=total[1:])
-        self.hash = mix64((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = string_hashes(letter[data], self.start, self.end)
+
+
+#: Strings longer than this are hashed one by one.
+LONG_STRING = 256
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start : end], eight bytes at a time, each block scrambled before it is chained, so that no
+    regular pattern of letters cancels out."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    left = end - start
+    h = mix64(left.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    live, at = np.arange(len(start)), start
+    for i in np.flatnonzero(left > LONG_STRING).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    left = np.where(left > LONG_STRING, 0, left)
+    while True:
+        more = left > 0
+        live, at, left = live[more], at[more], left[more]
+        if not len(live):
+            return h
+        x = blocks[at] & _MASKS[np.minimum(left, 8)]
+        h[live] = mix64(mix64(x + np.uint64(0x9E3779B97F4A7C15)) ^ (h[live] * np.uint64(0xD6E8FEB86659FD93)))
+        at, left = at + 8, left - 8
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -189,9 +238,9 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def letters(lower: bool, seed: int = 20_11) -> np.ndarray:
-    """A random uint64 for each byte; A-Z as a-z if lower."""
-    t = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def letters(lower: bool) -> np.ndarray:
+    """Each byte as itself; A-Z as a-z if lower."""
+    t = np.arange(256, dtype=np.uint8)
     if lower:
         t[65:91] = t[97:123]
     return t

@@ -1,46 +1,57 @@
 """Candidates for repeated windows, shared by the substring operators.
 
 A text is a sequence of symbols (bytes or words). Of each window of `length` symbols the least hash of its grams is the key, so
-equal windows have equal keys. Consecutive windows with one key form a segment; equal segments are one class. The first
-segment of a class stands for all: the others' windows all repeat its windows. Only keys with several classes (or a segment
-that may repeat itself) need the texts; their segments are requested for the operator's own method, which decides exactly.
-
-Records travel as packed arrays, one row for each task and bucket of keys. A key with many classes in one batch (a common
-passage in ever new surroundings) is hot: its segments are requested at once and only a mark of it is shuffled.
+equal windows have equal keys. Consecutive windows with one key form a segment; segments with equal hashes are one class.
+Windows whose key occurs once in all documents repeat nothing and are left out; the other segments are requested for the operator's
+own method. With `deciding`, the first segment of a class stands for its copies, told by 128 bits of hashes under a secret
+of the run, and only keys with several classes (or a segment that may repeat itself) are requested.
+
+Records travel as packed arrays, one row for each task and bucket of keys. Copies within one batch are not sent again, so a key
+that all documents share sends one record per batch and class. A key with many classes (a common passage in ever new
+surroundings) is hot: its windows are to be compared one by one instead of by segment.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_view, chunks, mix64, powers, sliding_min, store
+from .common import binary_view, chunks, few, mix64, powers, release_shuffles, sliding_min, store
 
 #: Windows of a segment at most (more than a gram lasts, so only periodic texts reach it), and classes of a key in a batch or
 #: bucket from which it is hot.
 LONGEST, HOT = 100, 256
-#: Buckets of keys for each shuffle partition.
-BUCKETS_PER_PARTITION = 16
-RECORD = np.dtype([("key", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1"), ("flag", "u1")])
-MULTI, HOT_MARK = 1, 2
-
-
-def segments(symbols: np.ndarray, first: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, at, n, key, seg, multi) of rows of symbol hashes; first: where each row begins, and the end."""
+#: Buckets of keys for each shuffle partition at least, and bytes of text whose records fill a bucket.
+BUCKETS_PER_PARTITION, BUCKET_BYTES = 16, 32 << 20
+#: Hot keys (8 bytes each) that are broadcast.
+FEW_HOT = 1_000_000
+FIELDS = [("key", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1"), ("flag", "u1")]
+MULTI, HOT_MARK, SHARED = 1, 2, 4
+#: Kinds of rows that candidates() returns: windows that only repeat earlier ones, requested segments, and hot keys.
+REPEAT, REQUEST, HOT_KEY = 0, 1, 2
+
+
+def segments(symbols: np.ndarray, first: np.ndarray, length: int, gram: int, context: int, secret: int) -> dict[str, np.ndarray]:
+    """The fields of the segments of rows of symbol hashes, and their rows. first: where each row begins, and the end; a symbol's
+    hash covers `context` symbols from its place on."""
     total = len(symbols)
+    none = {k: np.zeros(0, np.int64) for k in ("row", "at", "n", "key", "seg", "seg2", "multi")}
     if total < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return none
     power, back = powers(total + 1)
+    span = gram - context + 1
     sums = np.zeros(total + 1, np.uint64)
     np.cumsum(symbols * power[:total], out=sums[1:])
-    grams = mix64((sums[gram:] - sums[: total + 1 - gram]) * back[: total + 1 - gram])
+    grams = mix64((sums[span:] - sums[: total + 1 - span]) * back[: total + 1 - span])
     least = sliding_min(grams, length - gram + 1)
     count = np.maximum(np.diff(first) - length + 1, 0)
     within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     start = np.repeat(first[:-1], count) + within
     if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return none
     value = least[start]
     new = np.ones(len(start), bool)
     new[1:] = (value[1:] != value[:-1]) | (within[1:] == 0)
@@ -51,52 +62,60 @@ def segments(symbols: np.ndarray, first: np.ndarray, length: int, gram: int) ->
     head = np.repeat(head, pieces) + step * LONGEST
     n = np.minimum(np.repeat(run, pieces) - step * LONGEST, LONGEST)
     s = start[head]
-    e = s + n + length - 1
+    e = s + n + length - context  # after the last symbol whose context ends within the segment
     key = value[head]
-    seg = mix64((sums[e] - sums[s]) * back[s] + n.astype(np.uint64))
+    seg = mix64((sums[e] - sums[s]) * back[s] + n.astype(np.uint64) + np.uint64(secret))
+    other = np.zeros(total + 1, np.uint64)
+    np.cumsum(mix64(symbols ^ np.uint64(secret)) * power[:total], out=other[1:])
+    seg2 = mix64((other[e] - other[s]) * back[s] + n.astype(np.uint64))
     # a segment can only repeat itself if its least gram occurs in it twice
     rows_of = np.searchsorted(first, s, side="right") - 1
     width = n + length - gram
     flat = np.repeat(s, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
     equal = (grams[flat] == np.repeat(key, width)).astype(np.int64)
     multi = np.add.reduceat(equal, np.cumsum(width) - width) > 1
-    return rows_of, s - first[rows_of], n, mix64(key), seg, multi
+    return {"row": rows_of, "at": s - first[rows_of], "n": n, "key": mix64(key), "seg": seg, "seg2": seg2, "multi": multi}
 
 
-def first_of_classes(r: np.ndarray, within_doc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted records, which of them only repeat another, and the number of classes of each one's key.
+def classes_of(r: np.ndarray, within_doc: bool) -> tuple[np.ndarray, ...]:
+    """Sorted records; which of them only repeat the first of their class; and of each one's key the number of classes (above HOT where
+    marked as hot) and whether different documents (within_doc: places) share it.
 
     within_doc: a window may repeat one of its own document; otherwise only one of a smaller document."""
-    r = r[np.lexsort((r["at"], r["doc"], r["seg"], r["key"]))]
+    names = [f for f in ("seg2", "seg") if f in r.dtype.names]
+    r = r[np.lexsort((r["at"], r["doc"], *(r[f] for f in names), r["key"]))]
+    if not len(r):
+        return r, np.zeros(0, bool), np.zeros(0, int), np.zeros(0, bool)
     new_key = np.ones(len(r), bool)
     new_key[1:] = r["key"][1:] != r["key"][:-1]
     new = new_key.copy()
-    new[1:] |= r["seg"][1:] != r["seg"][:-1]
+    for f in names:
+        new[1:] |= r[f][1:] != r[f][:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
     # equal records come of repeated rows of one document
     copy = ((r["doc"] != r["doc"][head]) | (r["at"] != r["at"][head])) if within_doc else r["doc"] > r["doc"][head]
     of = np.cumsum(new_key) - 1
-    classes = np.bincount(of, new, of[-1] + 1 if len(of) else 0).astype(int)[of] if len(r) else np.zeros(0, int)
-    marks = np.bincount(of, r["flag"] & HOT_MARK, of[-1] + 1)[of] > 0 if len(r) else np.zeros(0, bool)
-    return r, copy, np.where(marks, HOT + 1, classes)
-
+    per_key = lambda x: np.bincount(of, x, of[-1] + 1)[of]
+    lead = np.maximum.accumulate(np.where(new_key, np.arange(len(r)), 0))
+    other = (r["doc"] != r["doc"][lead]) | (within_doc & (r["at"] != r["at"][lead]))
+    shared = per_key(other | ((r["flag"] & SHARED) > 0)) > 0
+    return r, copy, np.where(per_key(r["flag"] & HOT_MARK) > 0, HOT + 1, per_key(new).astype(int)), shared
 
-OUT = "doc_id long, request boolean, hot boolean, at int, n int, key long"
 
+OUT = "kind int, doc_id long, at int, n int, key long"
 
-def out_batch(r: np.ndarray, request: bool, hot: np.ndarray):
-    import pyarrow as pa
 
-    k = len(r)
-    return [np.ascontiguousarray(r["doc"]), np.full(k, request), hot, r["at"].astype(np.int32), r["n"].astype(np.int32), np.ascontiguousarray(r["key"]).view(np.int64)], pa
-
-
-def candidates(docs: DataFrame, symbolize, length: int, gram: int, within_doc: bool) -> DataFrame:
-    """Segments by document: windows [at, at + n) that only repeat earlier ones (request false), or whose texts are needed.
+def candidates(docs: DataFrame, symbolize, length: int, gram: int, *, within_doc: bool, deciding: bool, context: int = 1) -> DataFrame:
+    """(kind, doc_id, at, n, key): windows [at, at + n) that only repeat earlier ones, segments whose texts are needed, and hot keys.
 
     docs: doc_id (no nulls), text (binary). symbolize(data, offsets): symbol hashes and each row's first symbol."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS_PER_PARTITION * partitions
+    buckets = max(BUCKETS_PER_PARTITION * partitions, -(-size // BUCKET_BYTES))
+    partitions = max(partitions, buckets // BUCKETS_PER_PARTITION)
+    secret = int.from_bytes(os.urandom(8), "little")
+    record = np.dtype([*FIELDS, ("seg2", "<u8")] if deciding else FIELDS)
+    names = [x.split()[0] for x in OUT.split(", ")]
 
     def scan(batches):
         import pyarrow as pa
@@ -108,71 +127,72 @@ def candidates(docs: DataFrame, symbolize, length: int, gram: int, within_doc: b
             made = []
             for i, j in chunks(offsets):
                 symbols, first = symbolize(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                row, at, n, key, seg, multi = segments(symbols, first, length, gram)
-                r = np.zeros(len(row), RECORD)
-                r["doc"], r["at"], r["n"], r["key"], r["seg"], r["flag"] = ids[i:j][row], at, n, key, seg, multi * MULTI
+                got = segments(symbols, first, length, gram, context, secret)
+                r = np.zeros(len(got["row"]), record)
+                r["doc"], r["flag"] = ids[i:j][got["row"]], got["multi"] * MULTI
+                for f in record.names:
+                    if f not in ("doc", "flag"):
+                        r[f] = got[f]
                 made.append(r)
-            r, copy, classes = first_of_classes(np.concatenate(made) if made else np.zeros(0, RECORD), within_doc)
+            r, copy, classes, shared = classes_of(np.concatenate(made) if made else np.zeros(0, record), within_doc)
             hot = classes > HOT
-            known = packed(r, copy, hot & ~copy)
             lead = np.ones(len(r), bool)
             lead[1:] = r["key"][1:] != r["key"][:-1]
-            send = r[~copy & (~hot | lead)]
-            send["flag"] |= (hot[~copy & (~hot | lead)] * HOT_MARK).astype("u1")
+            # what is settled here: copies of a class, and the segments of a hot key
+            known = copy | (hot & ~lead)
+            kept = r[known].copy()
+            kept["flag"] = np.where(copy[known] & deciding, REPEAT, REQUEST)
+            send = r[~known].copy()
+            send["flag"] |= (hot[~known] * HOT_MARK + shared[~known] * SHARED).astype("u1")
             send = send[np.lexsort((send["at"], send["doc"]))]
             b = (send["key"] % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(b, kind="stable")
             b, send = b[order], send[order]
             cuts = np.flatnonzero(np.diff(b)) + 1
             parts = np.split(send, cuts) if len(send) else []
-            blobs = [b"".join(np.ascontiguousarray(p[f]).tobytes() for f in RECORD.names) for p in parts]
+            blobs = [b"".join(np.ascontiguousarray(p[f]).tobytes() for f in record.names) for p in parts]
             heads = [int(x[0]) for x in np.split(b, cuts)] if len(send) else []
-            yield pa.RecordBatch.from_arrays([pa.array([*heads, None], pa.int32()), pa.array([*blobs, None], pa.binary()), pa.array([*[None] * len(heads), known], pa.binary())], schema=schema)
-
-    def packed(r, copy, request) -> bytes:
-        out = np.zeros(int(copy.sum() + request.sum()), RECORD)
-        out[: copy.sum()], out[copy.sum() :] = r[copy], r[request]
-        out["flag"] = np.where(np.arange(len(out)) < copy.sum(), 0, HOT_MARK)
-        return out.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([*heads, None], pa.int32()), pa.array([*blobs, None], pa.binary()), pa.array([*[None] * len(heads), kept.tobytes()], pa.binary())], schema=schema)
 
     def reduce_(batches):
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int64()]
-        names = [x.split()[0] for x in OUT.split(", ")]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
-        def emit(r, request, hot):
-            cols = out_batch(r, request, hot)[0]
+        def emit(r, kind):
+            cols = [kind.astype(np.int32), np.ascontiguousarray(r["doc"]), r["at"].astype(np.int32), r["n"].astype(np.int32), np.ascontiguousarray(r["key"]).view(np.int64)]
             for k in range(0, len(r), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000], t) for c, t in zip(cols, kinds)], names)
 
         held, now = [], None
 
         def finish():
-            r, copy, classes = first_of_classes(np.concatenate(held), within_doc)
-            yield from emit(r[copy], False, np.zeros(int(copy.sum()), bool))
-            ask = ~copy & ((classes > 1) | ((r["flag"] & MULTI) > 0 if within_doc else False))
-            yield from emit(r[ask], True, classes[ask] > HOT)
+            r, copy, classes, shared = classes_of(np.concatenate(held), within_doc)
+            ask = ~copy & ((classes > 1) | ((r["flag"] & MULTI) > 0)) if deciding else shared | (classes > HOT)
+            out = ask | copy
+            yield from emit(r[out], np.where(ask, REQUEST, REPEAT)[out])
+            head = np.ones(len(r), bool)
+            head[1:] = r["key"][1:] != r["key"][:-1]
+            head &= classes > HOT
+            yield from emit(r[head], np.full(int(head.sum()), HOT_KEY))
 
         for batch in batches:
             for bucket, blob, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if bucket is None:
-                    r = np.frombuffer(known.as_py(), RECORD)
-                    for request in (False, True):
-                        some = r[(r["flag"] > 0) == request]
-                        yield from emit(some, request, np.full(len(some), request))
+                    r = np.frombuffer(known.as_py(), record)
+                    yield from emit(r, r["flag"])
                     continue
                 if bucket != now and held:
                     yield from finish()
                     held.clear()
                 now = bucket
                 blob = blob.as_py()
-                k, at = len(blob) // RECORD.itemsize, 0
-                r = np.zeros(k, RECORD)
-                for f in RECORD.names:
-                    size = RECORD[f].itemsize * k
-                    r[f] = np.frombuffer(blob, RECORD[f], k, at)
-                    at += size
+                k, at = len(blob) // record.itemsize, 0
+                r = np.zeros(k, record)
+                for f in record.names:
+                    width = record[f].itemsize * k
+                    r[f] = np.frombuffer(blob, record[f], k, at)
+                    at += width
                 held.append(r)
         if held:
             yield from finish()
@@ -180,12 +200,22 @@ def candidates(docs: DataFrame, symbolize, length: int, gram: int, within_doc: b
     scanned = docs.mapInArrow(scan, "bucket int, records binary, known binary")
     spread = F.when(F.col("bucket").isNull(), F.pmod(F.xxhash64("known"), F.lit(1 << 20))).otherwise(F.col("bucket")).cast("int")
     dealt = scanned.withColumn("part", spread).repartition(partitions, "part").sortWithinPartitions("bucket").select("bucket", "records", "known")
-    return store(dealt.mapInArrow(reduce_, OUT), "segments")
+    found = store(dealt.mapInArrow(reduce_, OUT), "segments")
+    release_shuffles(docs.sparkSession)
+    return found
+
+
+def asked(found: DataFrame) -> DataFrame:
+    """doc_id and its requested segments (at, n, key, hot)."""
+    hot = few(store(found.where(F.col("kind") == HOT_KEY).select("key").distinct(), "hot"), FEW_HOT)
+    wanted = found.where(F.col("kind") == REQUEST).join(hot.withColumn("hot", F.lit(True)), "key", "left")
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spans"))
+    return store(lists, "asked")
 
 
 def gathered(found: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, spans: the packed starts and lengths (in windows) of the windows to remove. spans: doc_id, at, n."""
-    all_ = found.where("not request").select("doc_id", "at", "n").unionAll(spans.select("doc_id", "at", "n"))
+    all_ = found.where(F.col("kind") == REPEAT).select("doc_id", "at", "n").unionAll(spans.select("doc_id", "at", "n"))
     return all_.groupBy("doc_id").agg(F.collect_list(F.col("at").cast("long") * 65536 + F.col("n")).alias("spans"))
 
 

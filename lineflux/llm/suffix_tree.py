@@ -1,9 +1,11 @@
 """Removal of repeated word windows by prefix-partitioned suffix trees.
 
-repeats.py finds the segments whose windows may repeat elsewhere in other surroundings. Their suffixes are grouped by prefixes of
-variable length: a prefix with too many suffixes is extended until its group fits a task. Each group's subtree (sorted suffixes
-with their common prefixes) gives the repeats: an internal node of WINDOW words or more is a maximal stretch of suffixes
-that share a window.
+Of each window the suffix that begins at its least gram (repeats.py) is sampled; the gram is that suffix's prefix and decides its
+group. Where one gram has too many different surroundings its windows are grouped by their whole first WINDOW words instead, the
+longest prefix that matters. Groups are put together until a task's memory-sized share is full, and a share becomes one
+generalised suffix tree over the segments' words: sorted suffixes, their common prefixes, and internal nodes with depths. Whatever
+lies below a node of WINDOW words or more repeats; the node's smallest document keeps its words. Words are compared, never hashes:
+hashes only choose what comes together.
 """
 
 from __future__ import annotations
@@ -14,14 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, binary_view, few, letters, space_bytes, store, table
-from .repeats import candidates, covered, gathered
+from .common import Words, binary_view, letters, release_shuffles, space_bytes, store, table
+from .repeats import asked, candidates, covered, gathered
 
 WINDOW, GRAM = 13, 5
-#: Words of the prefixes tried in turn; a whole window is the last. Suffixes of a group at most, before extension.
-PREFIXES, GROUP = (2, 5, WINDOW), 50_000
-#: Cells of the table of prefix counts that decides on extension; its size does not grow with the input.
-CELLS = 1 << 16
+#: Words of a subtree's segments from which the next group begins another one.
+SUBTREE = 1 << 18
 _LETTERS, _SPACES = letters(False), space_bytes()
 
 
@@ -30,97 +30,159 @@ def symbolize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return w.hash, w.first
 
 
-def windows_of(spans: np.ndarray, n: int) -> np.ndarray:
-    """The distinct window starts of packed spans, below n."""
-    at, count = spans >> 16, spans & 65535
-    out = np.repeat(at, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.unique(out[out < n])
-
-
-def suffixes(texts: DataFrame) -> DataFrame:
-    """(doc_id, at, c0, c1, suffix): the requested suffixes, cut at WINDOW words, and the cells of their shorter prefixes.
-
-    Of equal suffixes of one batch only those of its smallest document are kept; the others repeat it, and come with a null suffix."""
+class SuffixTree:
+    """The generalised suffix tree of sequences of symbol numbers, as far as nodes of `least` symbols or more: where (sequence, offset)
+    each suffix below such a node starts, in sorted order, and common[i], the symbols that suffix i shares with the one before.
+
+    Ranks of the suffixes' first 1, 2, 4, ... symbols come by doubling, a sequence's end before any symbol, so the last ranks are the
+    order of whole suffixes."""
+
+    def __init__(self, sequences: list[list[int]], least: int):
+        size = np.array([len(s) for s in sequences], np.int64)
+        first = np.cumsum(size) - size
+        n = int(size.sum())
+        of = np.repeat(np.arange(len(size)), size)
+        left = first[of] + size[of] - np.arange(n)  # symbols up to the sequence's end
+        rank = np.concatenate([np.asarray(s, np.int64) for s in sequences]) + 1 if n else np.zeros(0, np.int64)
+        ranks, k = [rank], 1
+        while k < (int(size.max()) if n else 0):
+            ahead = np.zeros(n, np.int64)
+            ahead[: n - k] = np.where(left[: n - k] > k, rank[k:], 0)
+            rank = np.unique(rank * np.int64(1 << 31) + ahead, return_inverse=True)[1] + 1
+            ranks.append(rank)
+            k *= 2
+        at = np.flatnonzero(left >= least)
+        at = at[np.argsort(rank[at], kind="stable")]
+        common = np.zeros(len(at), np.int64)
+        a, b = at[:-1].copy(), at[1:].copy()
+        for j in range(len(ranks) - 1, -1, -1):
+            fits = (left[np.minimum(a, n - 1)] >= 1 << j) & (left[np.minimum(b, n - 1)] >= 1 << j) & (common[1:] + (1 << j) <= np.minimum(left[at[:-1]], left[at[1:]]))
+            step = (fits & (ranks[j][np.minimum(a, n - 1)] == ranks[j][np.minimum(b, n - 1)])).astype(np.int64) << j
+            common[1:] += step
+            a, b = a + step, b + step
+        # suffixes alone above the depth are no part of a node
+        deep = common >= least
+        near = deep.copy()
+        near[:-1] |= deep[1:]
+        self.common, at = common[near], at[near]
+        self.sequence = of[at]
+        self.offset = at - first[self.sequence]
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """The number of the topmost node of `depth` symbols or more above each suffix."""
+        return np.cumsum(self.common < depth) - (1 if len(self.common) else 0)
+
+    def maximal(self, depth: int) -> list[tuple[int, int, int]]:
+        """(depth, first, last) of every internal node of `depth` or more: its suffixes [first, last) share that many symbols, not more."""
+        out, stack = [], []
+        for i, d in enumerate([*self.common.tolist()[1:], 0], 1):
+            begin = i - 1
+            while stack and stack[-1][0] > d:
+                top, begin = stack.pop()
+                if top >= depth:
+                    out.append((top, begin, i))
+            if not stack or stack[-1][0] < d:
+                stack.append((d, begin))
+        return out
+
+
+def stretches(texts: DataFrame) -> DataFrame:
+    """(key, doc_id, at, n, text): the requested segments' words, or single windows of hot keys with keys of their own.
+
+    Equal segments of one batch are compared here: those of its smallest document stand for them, and the others repeat it (key and text
+    null). So a passage that all documents share gives a row per batch."""
+    names, kinds = ["key", "doc_id", "at", "n", "text"], ["int64", "int64", "int32", "int32", "binary"]
 
     def rows(batches):
         import pyarrow as pa
 
-        names, kinds = ["doc_id", "at", "c0", "c1", "suffix"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        types = [getattr(pa, k)() for k in kinds]
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                data, offsets = binary_view(part.column(1))
-                ids, out = part.column(0).to_numpy(), []
-                spans, cut = part.column(2).combine_chunks() if hasattr(part.column(2), "combine_chunks") else part.column(2), None
-                for r in range(part.num_rows):
-                    text = data[offsets[r] : offsets[r + 1]].tobytes()
-                    cut = text.split()
-                    for at in windows_of(np.array(spans[r].as_py(), np.int64), len(cut) - WINDOW + 1).tolist():
-                        out.append((b" ".join(cut[at : at + WINDOW]), int(ids[r]), at))
-                out.sort()
-                kept, least = [], (None, None)
-                for suffix, doc, at in out:
-                    if suffix != least[0]:
-                        least = (suffix, doc)
-                    if doc > least[1]:
-                        kept.append((doc, at, None, None, None))
-                    else:
-                        words = suffix.split(b" ", PREFIXES[1])
-                        kept.append((doc, at, cell(words[: PREFIXES[0]]), cell(words[: PREFIXES[1]]), suffix))
-                if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), kinds)], names)
-
-    def cell(words) -> int:
-        return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=4).digest(), "little") % CELLS
-
-    return texts.mapInArrow(rows, "doc_id long, at int, c0 int, c1 int, suffix binary")
-
-
-def repeats_of(group: list[tuple[bytes, int, int]]) -> list[tuple[int, int]]:
-    """(document, start) of suffixes below a node of WINDOW words or more that a smaller document also reaches."""
-    group.sort()
-    out, node = [], []
-    for item in group:
-        # suffixes are cut at WINDOW words, so a common prefix of that depth is the whole suffix
-        if node and node[-1][0] != item[0]:
-            out += [(d, a) for _, d, a in node if d > node[0][1]]
-            node.clear()
-        node.append(item)
-    return out + [(d, a) for _, d, a in node if d > node[0][1]]
-
-
-def repeated_windows(suffix: DataFrame) -> DataFrame:
-    """(doc_id, at, n): single windows to remove."""
-    known = suffix.where("suffix is null").select("doc_id", "at")
-    full = suffix.where("suffix is not null")
-    wide = [few(full.groupBy(c).count().where(F.col("count") > GROUP).select(c), CELLS) for c in ("c0", "c1")]
-    deep = full.join(wide[0].withColumn("w0", F.lit(True)), "c0", "left").join(wide[1].withColumn("w1", F.lit(True)), "c1", "left")
-    key = F.when(F.col("w0").isNull(), F.col("c0").cast("long")).when(F.col("w1").isNull(), F.col("c1").cast("long") + CELLS).otherwise(F.xxhash64("suffix"))
+                by_text: dict[bytes, list] = {}
+                for doc, text, spans in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
+                    words, places = text.as_py().split(), set()
+                    for q in spans.as_py():
+                        at, n = q["at"], q["n"]
+                        places |= {(at + i, 1, None) for i in range(n)} if q["hot"] else {(at, n, q["key"])}
+                    for at, n, key in places:
+                        by_text.setdefault(b" ".join(words[at : at + n + WINDOW - 1]), []).append((doc, at, n, key))
+                out = []
+                for s, found in by_text.items():
+                    least = min(f[0] for f in found)
+                    own = int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) if found[0][3] is None else None
+                    out += [(key if own is None else own, doc, at, n, s) if doc == least else (None, doc, at, n, None) for doc, at, n, key in found]
+                for i in range(0, len(out), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000]), types)], names)
+
+    return texts.mapInArrow(rows, "key long, doc_id long, at int, n int, text binary")
+
+
+def repeats_of(rows: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, windows) of what repeats below the nodes of the tree over rows (document, start, windows, text)."""
+    strings: dict[bytes, int] = {}
+    of = np.array([strings.setdefault(r[3], len(strings)) for r in rows])
+    doc, at, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    numbers: dict[bytes, int] = {}
+    tree = SuffixTree([[numbers.setdefault(w, len(numbers)) for w in s.split(b" ")] for s in strings], WINDOW)
+    windows = np.zeros(len(strings), np.int64)
+    windows[of] = n
+    base = np.cumsum(windows) - windows
+    # a string is a node over its own occurrences; nodes over several strings have smaller documents still
+    own = np.full(len(strings), np.iinfo(np.int64).max)
+    np.minimum.at(own, of, doc)
+    least = np.repeat(own, windows)
+    if len(tree.common):
+        node = tree.nodes(WINDOW)
+        best = np.full(node[-1] + 1, np.iinfo(np.int64).max)
+        np.minimum.at(best, node, own[tree.sequence])
+        least[base[tree.sequence] + tree.offset] = best[node]
+    row = np.repeat(np.arange(len(rows)), n)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    gone = least[base[of[row]] + within] < doc[row]
+    begin, end = gone.copy(), gone.copy()
+    begin[1:] &= ~(gone[:-1] & (row[1:] == row[:-1]))
+    end[:-1] &= ~(gone[1:] & (row[1:] == row[:-1]))
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end)
+    return doc[row[begin]], at[row[begin]] + within[begin], end - begin + 1
+
+
+def repeated_windows(segments: DataFrame) -> DataFrame:
+    """(doc_id, at, n): windows to remove, from one tree for each share of the groups."""
+    known = segments.where("text is null").select("doc_id", "at", "n")
 
     def trees(batches):
         import pyarrow as pa
 
-        held, now = [], None
+        def made(held):
+            doc, at, n = repeats_of(held)
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "at", "n"])
+
+        held, size, now, last, copies = [], 0, None, (None, None), []
         for batch in batches:
-            out = []
-            for k, doc, at, s in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if k != now:
-                    out += repeats_of(held)
-                    held, now = [], k
-                elif len(held) > 4 * GROUP:  # one suffix over and over: its smallest document stands for it
-                    out += repeats_of(held)
-                    best = {}
-                    for item in held:
-                        best.setdefault(item[0], item)
-                    held = list(best.values())
-                held.append((s, doc, at))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in out], pa.int64()), "at": pa.array([x[1] for x in out], pa.int32())})
-        out = repeats_of(held)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in out], pa.int64()), "at": pa.array([x[1] for x in out], pa.int32())})
-
-    n = int(suffix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = deep.select(key.alias("k"), "doc_id", "at", "suffix").repartition(n, "k").sortWithinPartitions("k", "doc_id")
-    return known.unionAll(dealt.mapInArrow(trees, "doc_id long, at int")).withColumn("n", F.lit(1))
+            for key, doc, at, n, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if key != now and size > SUBTREE:
+                    yield made(held)
+                    held, size = [], 0
+                now = key
+                if text == last[0] and doc > last[1] and len(held) > 64:  # rows come by text and document, so one string over and over needs no room
+                    copies.append((doc, at, n))
+                    if len(copies) >= 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*copies), (pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "at", "n"])
+                        copies = []
+                    continue
+                last = (text, doc) if text != last[0] else last
+                held.append((doc, at, n, text))
+                size += n + WINDOW
+        if held:
+            yield made(held)
+        if copies:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*copies), (pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "at", "n"])
+
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = segments.where("text is not null").repartition(n, "key").sortWithinPartitions("key", "text", "doc_id")
+    return known.unionAll(dealt.mapInArrow(trees, "doc_id long, at int, n int"))
 
 
 def dedup_windows(docs: DataFrame, texts: bool = True) -> DataFrame:
@@ -128,14 +190,14 @@ def dedup_windows(docs: DataFrame, texts: bool = True) -> DataFrame:
 
     Words covered by a window of WINDOW words that also starts in a document with a smaller doc_id are removed; windows are judged on the
     input. Null and empty texts have no words. A row without doc_id is left as it is and takes nothing from others; equal rows
-    count as one document and give equal rows; texts shorter than a window keep all words. Other columns are ignored.
+    count as one document and give equal rows; texts shorter than a window keep all words; rows of one doc_id with different texts
+    are not told apart, so ids must identify documents. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = candidates(docs.where("doc_id is not null"), symbolize, WINDOW, GRAM, False)
-    asked = found.where("request").groupBy("doc_id").agg(F.collect_list(F.col("at").cast("long") * 65536 + F.col("n")).alias("spans"))
-    asked = store(asked, "asked")
-    near = docs.join(asked, "doc_id").select("doc_id", "text", "spans")
-    extra = store(repeated_windows(store(suffixes(near), "suffixes")), "windows")
+    found = candidates(docs.where("doc_id is not null"), symbolize, WINDOW, GRAM, within_doc=False, deciding=False)
+    near = docs.join(asked(found), "doc_id").select("doc_id", "text", "spans")
+    extra = store(repeated_windows(store(stretches(near), "stretches")), "windows")
+    release_shuffles(docs.sparkSession)
     return finished(docs.join(gathered(found, extra), "doc_id", "left").select("doc_id", "text", "spans"), texts)
 
 
