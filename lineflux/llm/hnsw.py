@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one class. The classes of a label are dealt into shards, each shard becomes a graph, and every class queries
-every shard of its label. Beams widen until an audit against brute force, over enough links, passes and no beam is full of
-links; where links are too few to tell, the products with the whole shard are the result. Links are verified by cosine in double precision, and their components are united.
+every shard of its label. A graph is audited with planted links: queries turned away from known nodes to exactly the least cosine,
+which must find them. Beams widen until the audit passes; a graph that fails at the widest beam answers by products with the whole
+shard. Queries whose beam is full of links, and blocks in which a sample against brute force misses links, are answered by products
+too. Links are verified by cosine in double precision, and their components are united.
 """
 
 from __future__ import annotations
@@ -14,14 +16,14 @@ from pyspark.sql import functions as F
 from .common import components, few, store, table
 
 #: Vectors of a shard (16 MB at 128 dimensions), neighbours of a node (twice that on the ground layer), and beam widths for
-#: building and searching. Beyond WIDEST a product with the whole shard is cheaper than a walk, and exact.
-SHARD, LINKS, BUILD_BEAM, BEAM, WIDEST = 16_384, 12, 48, 32, 64
-#: Queries of a block, queries walked at once, and the first audited queries of each block.
-BLOCK, AT_ONCE, AUDITED = 2048, 256, 48
+#: building and searching. A shard of WIDEST vectors or fewer needs no walk.
+SHARD, LINKS, BUILD_BEAM, BEAM, WIDEST = 16_384, 12, 48, 32, 256
+#: Queries of a block, blocks that share one copy of a graph, queries walked at once, and queries of a block that are audited.
+BLOCK, PER_GRAPH, AT_ONCE, AUDITED = 2048, 16, 256, 48
 #: Links that are verified at once.
 PAIRS = 200_000
-#: A block's beam is widened until this share of the audited links is found, among so many links at least.
-RECALL, EVIDENCE = 0.999, 1000
+#: Planted links of a graph's audit, and the share of links that an audit must find.
+PLANTED, RECALL = 1000, 0.999
 FEW_KEYS = 400_000
 
 
@@ -167,12 +169,31 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def links_of(g: Graph, x: np.ndarray, q: np.ndarray, least: float, own: np.ndarray):
+def planted_width(g: Graph, x: np.ndarray, least: float) -> tuple[int | None, int, int]:
+    """The first beam width at which g finds enough of its planted links (None: none does), and how many it found of how many."""
+    rng = np.random.default_rng(11)
+    node = rng.permutation(len(x))[:PLANTED]
+    away = rng.normal(size=(len(node), x.shape[1]))
+    away -= np.einsum("nd,nd->n", away, x[node])[:, None] * x[node]
+    if x.shape[1] < 2 or not len(node):
+        return None, 0, 0
+    q = (least * x[node] + np.sqrt(max(0.0, 1 - least * least)) * unit(away)).astype(np.float32)
+    width, found = BEAM, 0
+    while width <= WIDEST and width < len(x):
+        ids, _ = g.search(q, width)
+        found = int((ids == node[:, None]).any(1).sum())
+        if found >= RECALL * len(node):
+            return width, found, len(node)
+        width *= 2
+    return None, found, len(node)
+
+
+def links_of(g: Graph, x: np.ndarray, q: np.ndarray, least: float, own: np.ndarray, width: int | None, seen: dict | None = None):
     """(queries, nodes) of links with a cosine of `least` or more, some at a time. own: each query's own node, or -1. x and q in
-    double precision."""
+    double precision. width: of the beams; None answers by products. seen counts queries, those answered exactly, and the audit."""
     margin = least - 1e-5  # the walk is in single precision
-    q32 = q.astype(np.float32)
-    found, truth, links = {}, {}, 0
+    found: dict[int, np.ndarray] = {}
+    seen = {} if seen is None else seen
 
     def exact(rows):
         for k in range(0, len(rows), AT_ONCE):
@@ -180,30 +201,20 @@ def links_of(g: Graph, x: np.ndarray, q: np.ndarray, least: float, own: np.ndarr
             a, b = np.nonzero(q[some] @ x.T >= margin)
             found.update(zip(some.tolist(), np.split(b.astype(np.int32), np.searchsorted(a, np.arange(1, len(some))))))
 
-    # audited queries double until they have enough links on beams that are not full; their exact results stay
-    order = np.random.default_rng(7).permutation(len(q))
-    while len(truth) < len(q) and links < EVIDENCE:
-        more = order[len(truth) : len(truth) + max(AUDITED, len(truth))]
-        exact(more)
-        for i in more.tolist():
-            truth[i] = set(found[i][x[found[i]] @ q[i] >= least].tolist()) - {int(own[i])}
-            links += len(truth[i]) if len(found[i]) < BEAM else 0
-    width, todo = BEAM, np.arange(len(q) if len(truth) < len(q) else 0)
-    while len(todo):
-        if width > WIDEST or width >= len(x):
-            exact(np.array([i for i in todo.tolist() if i not in truth], int))
-            break
-        ids, sims = g.search(q32[todo], width)
-        full = sims[:, -1] >= margin if ids.shape[1] == width else np.zeros(len(todo), bool)
-        wanted = got = 0
-        for i, row, s, f in zip(todo.tolist(), ids, sims, full):
-            hits = row[(row >= 0) & (s >= margin)]
-            if i not in truth:
-                found[i] = hits
-            elif not f:  # a full beam is widened for itself
-                wanted, got = wanted + len(truth[i]), got + len(truth[i].intersection(hits.tolist()))
-        todo = todo[full] if wanted >= EVIDENCE and got >= RECALL * wanted else todo
-        width *= 2
+    todo = np.arange(len(q))
+    if width is not None and width < len(x):
+        ids, sims = g.search(q.astype(np.float32), width)
+        found = {i: row[(row >= 0) & (s >= margin)] for i, (row, s) in enumerate(zip(ids, sims))}
+        walked = {i: set(found[i].tolist()) for i in np.random.default_rng(7).permutation(len(q))[:AUDITED].tolist()}
+        full = sims[:, -1] >= margin if ids.shape[1] == width else np.zeros(len(q), bool)
+        exact(np.array(sorted(walked), int))
+        truth = {i: {j for j in found[i].tolist() if x[j] @ q[i] >= least and j != own[i]} for i in walked if not full[i]}
+        wanted, got = sum(map(len, truth.values())), sum(len(t & walked[i]) for i, t in truth.items())
+        seen["wanted"], seen["got"] = seen.get("wanted", 0) + wanted, seen.get("got", 0) + got
+        todo = np.flatnonzero(full) if got >= RECALL * wanted else todo
+        todo = todo[[i not in walked for i in todo.tolist()]] if len(todo) else todo
+    exact(todo)
+    seen["queries"], seen["exact"] = seen.get("queries", 0) + len(q), seen.get("exact", 0) + len(todo)
     count = np.array([len(found[i]) for i in range(len(q))])
     part = (np.cumsum(count) - count) // PAIRS
     for rows in np.split(np.arange(len(q)), np.flatnonzero(np.diff(part)) + 1):
@@ -232,20 +243,18 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def near_embeddings(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) -> DataFrame:
-    """vec_id, n_links, component_id, kept for vectors (vec_id, embedding, label).
+STATS = ("queries", "exact", "wanted", "got", "planted", "refound")
 
-    Vectors of one label and one length with a cosine of `least` or more are linked. A vector without a label, null, of norm zero, or
-    with a null or non-finite component links with nothing. Rows of one vec_id are vectors of their own with a common id. An
-    empty table gives no rows; other columns are ignored.
-    """
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
-    finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    v = v.withColumn("cls", F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)), F.md5(F.array_join(F.col("e").cast("array<string>"), ","))))
-    classes = v.where("cls is not null").groupBy("label", "cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("e").alias("e"))
-    classes = store(classes.withColumn("grp", F.concat_ws(":", "label", F.size("e").cast("string"))), "vectors")
-    shards = classes.groupBy("grp").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    dealt = classes.join(few(store(shards, "shards"), FEW_KEYS), "grp").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+
+def searched(classes: DataFrame, least: float, shard: int) -> DataFrame:
+    """(a, b, n) of classes (grp, rep, copies, e): each class's number of links (b null) and links that join what all links join; and a
+    row of STATS for each graph and share of its queries (a null).
+
+    A shard is built by one task. Its vectors go on as blocks of queries; PER_GRAPH blocks at most meet one copy of a graph, so what is
+    copied is a block for each graph of its label, and a graph for each PER_GRAPH blocks."""
+    shards = store(classes.groupBy("grp").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")), "shards")
+    dealt = classes.join(few(shards, FEW_KEYS), "grp").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    names = ["grp", "shard", "block", "ids", "copies", "x", "layers", "members"]
 
     def build(t):
         import pyarrow as pa
@@ -254,38 +263,88 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, shard: int = SHARD)
         x = np.array(t.column("e").to_pylist(), np.float64)
         x = unit(x / np.abs(x).max(axis=1, keepdims=True))
         g = Graph.build(x.astype(np.float32))
-        blob = lambda y: pa.array([y.tobytes()], pa.binary())
-        return pa.table({"grp": t.column("grp")[:1], "shard": t.column("shard")[:1], "ids": blob(t.column("rep").to_numpy()), "copies": blob(t.column("copies").to_numpy()), "x": blob(x),
-                         "layers": pa.array([[y.tobytes() for y in g.layers]], pa.list_(pa.binary())), "members": pa.array([[y.astype(np.int64).tobytes() for y in g.members]], pa.list_(pa.binary()))})
+        ids, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
+        starts = range(0, len(x), BLOCK)
+        rows = [(-1, ids.tobytes(), copies.tobytes(), x.tobytes(), [y.tobytes() for y in g.layers], [y.astype(np.int64).tobytes() for y in g.members])]
+        rows += [(k // BLOCK, ids[k : k + BLOCK].tobytes(), None, x[k : k + BLOCK].tobytes(), None, None) for k in starts]
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+        grp, part = t.column("grp")[0].as_py(), t.column("shard")[0].as_py()
+        columns = [pa.array([grp] * len(rows), pa.string()), pa.array([part] * len(rows), pa.int32()), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))]
+        return pa.Table.from_arrays(columns, names)
 
-    graphs = store(dealt.select("grp", "shard", "rep", "copies", "e").groupBy("grp", "shard").applyInArrow(build, "grp string, shard int, ids binary, copies binary, x binary, layers array<binary>, members array<binary>"), "graphs")
+    built = store(dealt.select("grp", "shard", "rep", "copies", "e").groupBy("grp", "shard").applyInArrow(build, "grp string, shard int, block int, ids binary, copies binary, x binary, layers array<binary>, members array<binary>"), "graphs")
 
     def query(batches):
         import pyarrow as pa
 
+        g = x = ids = copies = width = None
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda c, r=r, batch=batch: batch.column(c)[r].as_py()
-                ids, copies = np.frombuffer(get("ids"), np.int64), np.frombuffer(get("copies"), np.int64)
-                x = np.frombuffer(get("x"), np.float64).reshape(len(ids), -1)
-                g = Graph(x.astype(np.float32), [np.frombuffer(y, np.int32).reshape(len(ids), -1) for y in get("layers")], [np.frombuffer(y, np.int64) for y in get("members")])
-                q_ids = np.frombuffer(get("q_ids"), np.int64)
-                at = get("block") * BLOCK
-                q = np.frombuffer(get("q_x"), np.float64).reshape(len(q_ids), -1)[at : at + BLOCK]
-                q_ids = q_ids[at : at + BLOCK]
-                own = np.arange(at, at + len(q)) if get("shard") == get("q_shard") else np.full(len(q), -1)
-                for a, b in links_of(g, x, q, least, own):
+                if get("block") < 0:
+                    ids, copies = np.frombuffer(get("ids"), np.int64), np.frombuffer(get("copies"), np.int64)
+                    x = np.frombuffer(get("x"), np.float64).reshape(len(ids), -1)
+                    g = Graph(x.astype(np.float32), [np.frombuffer(y, np.int32).reshape(len(ids), -1) for y in get("layers")], [np.frombuffer(y, np.int64) for y in get("members")])
+                    width, refound, planted = planted_width(g, x, least)
+                    yield made(pa, [], [], [], {"planted": planted, "refound": refound})
+                    continue
+                q_ids, at = np.frombuffer(get("ids"), np.int64), get("block") * BLOCK
+                q = np.frombuffer(get("x"), np.float64).reshape(len(q_ids), -1)
+                own = np.arange(at, at + len(q)) if get("shard") == get("of") else np.full(len(q), -1)
+                seen: dict[str, int] = {}
+                for a, b in links_of(g, x, q, least, own, width, seen):
                     count = np.bincount(a, copies[b], len(q)).astype(np.int64)
                     some = np.flatnonzero(count)
                     f = forest(q_ids[a], ids[b])
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([q_ids[some], q_ids[a][f]])), "b": pa.array([None] * len(some) + ids[b][f].tolist(), pa.int64()), "n": pa.array(np.concatenate([count[some], np.zeros(len(f), np.int64)]))})
+                    yield made(pa, [*q_ids[some].tolist(), *q_ids[a][f].tolist()], [None] * len(some) + ids[b][f].tolist(), [*count[some].tolist(), *[0] * len(f)])
+                yield made(pa, [], [], [], seen)
+
+    def made(pa, a, b, n, stats=None):
+        rows = [None] if stats is not None else []
+        columns = [pa.array([*a, *rows], pa.int64()), pa.array([*b, *rows], pa.int64()), pa.array([*n, *rows], pa.int64())]
+        columns += [pa.array([None] * len(a) + [stats.get(k, 0)] if stats is not None else [None] * len(a), pa.int64()) for k in STATS]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "n", *STATS])
+
+    # of: the shard that answers; share: the copy of its graph
+    shares = built.where("block >= 0").groupBy("grp").agg(F.ceil(F.count("*") / PER_GRAPH).cast("int").alias("shares")).join(shards, "grp")
+    shares = store(shares, "shares")
+    graphs = built.where("block < 0").join(few(shares, FEW_KEYS), "grp").select(*names, F.col("shard").alias("of"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    blocks = built.where("block >= 0").join(few(shares, FEW_KEYS), "grp").select(*names, F.pmod(F.xxhash64("shard", "block"), F.col("shares")).cast("int").alias("share"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("of"))
+    n = shares.agg(F.coalesce(F.sum(F.col("shares") * F.col("shards")), F.lit(1))).first()[0]
+    tasks = graphs.unionByName(blocks).repartition(int(n), "grp", "of", "share").sortWithinPartitions("grp", "of", "share", "block", "shard")
+    return store(tasks.mapInArrow(query, ", ".join(f"{c} long" for c in ("a", "b", "n", *STATS))), "links")
 
-    side = graphs.select("grp", F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0), F.floor((F.length("ids") / 8 - 1) / BLOCK).cast("int"))).alias("block"))
-    tasks = side.join(graphs, "grp")
-    n = side.select("grp", "block").join(graphs.select("grp"), "grp").count()
-    got = store(tasks.repartition(max(1, n)).mapInArrow(query, "a long, b long, n long"), "links")
+
+def audit(links: DataFrame) -> DataFrame:
+    """One row: the share of queries answered by products, and the recall of planted and of sampled links (null without any)."""
+    share = lambda a, b: F.sum(a) / F.nullif(F.sum(b), F.lit(0))
+    return links.where("queries is not null").agg(F.sum("queries").alias("queries"), share("exact", "queries").alias("answered_exactly"), share("refound", "planted").alias("planted_recall"), share("got", "wanted").alias("sampled_recall"))
+
+
+def classes_of(v: DataFrame) -> DataFrame:
+    classes = v.where("cls is not null").groupBy("label", "cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("e").alias("e"))
+    return store(classes.withColumn("grp", F.concat_ws(":", "label", F.size("e").cast("string"))), "vectors")
+
+
+def valid(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, e, cls): cls tells the vectors that may link, by their components."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
+    finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
+    return v.withColumn("cls", F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)), F.md5(F.array_join(F.col("e").cast("array<string>"), ","))))
+
+
+def near_embeddings(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) -> DataFrame:
+    """vec_id, n_links, component_id, kept for vectors (vec_id, embedding, label).
+
+    Vectors of one label and one length with a cosine of `least` or more are linked. A vector without a label, null, of norm zero, or
+    with a null or non-finite component links with nothing. Rows of one vec_id are vectors of their own with a common id. An
+    empty table gives no rows; other columns are ignored.
+    """
+    v = valid(vectors)
+    classes = classes_of(v)
+    got = searched(classes, least, shard).where("a is not null")
     counts = got.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
-    joined = components(got.where("b is not null").select("a", "b"))
+    counts, joined = store(counts, "counts"), store(components(got.where("b is not null").select("a", "b")), "joined")
     of = classes.select("label", "cls", "rep", "copies").join(few(counts, FEW_KEYS), F.col("rep") == F.col("a"), "left").join(few(joined, FEW_KEYS), F.col("rep") == F.col("id"), "left")
     of = store(of.select("label", "cls", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "classes")
     out = v.select("vec_id", "label", "cls").join(of, ["label", "cls"], "left")
