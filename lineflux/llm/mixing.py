@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import inf
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,31 +20,49 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with nr, its rows' numbers from 1 in the given order: rows are dealt by range and numbered within, no task sees them all."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = store(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "numbered")
+    sizes = sorted(map(tuple, dealt.groupBy("part").count().collect()))  # a row per partition
+    starts = [(part, sum(k for _, k in sizes[:i])) for i, (part, _) in enumerate(sizes)]
+    starts = df.sparkSession.createDataFrame(starts, "part int, start long")
+    return dealt.join(F.broadcast(starts), "part").withColumn("nr", F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(*order))).drop("part", "start")
+
+
 def targets(sizes: DataFrame, most_epochs: int = 3) -> DataFrame:
     """Targets by water-filling for the per-source table (source, source_size).
 
     Sources in code-point order, null last, weigh 1, 2, 3, repeating. All sizes are shared out by weight; a target stops at
-    most_epochs times its source's size and the excess goes to the others by weight until none is above. In the order of
-    cap / weight the sources that reach their cap come first, so one level closes the recursion. One row per source: the
-    table is an aggregate, so its window needs no split.
+    most_epochs times its source's size and the excess goes to the others by weight until none is above. Each round is one aggregate,
+    so many sources need no single task; sums of sizes and weights are exact, so the order of tasks doesn't matter.
     """
-    everything = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "nr")
-    s = (
-        sizes.withColumn("nr", F.row_number().over(by_name))
-        .withColumn("weight", ((F.col("nr") - 1) % 3 + 1).cast("double"))
-        .withColumn("cap", F.lit(float(most_epochs)) * F.col("source_size"))
-        .withColumn("total", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("rank", F.row_number().over(by_ratio))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("capped")) / F.col("open"))
-        .withColumn("first", F.min(F.when(F.col("cap") >= F.col("weight") * F.col("level"), F.col("rank"))).over(everything))
-        .withColumn("final", F.max(F.when(F.col("rank") == F.col("first"), F.col("level"))).over(everything))
-    )
-    below = F.col("first").isNull() | (F.col("rank") < F.col("first"))
-    return s.select("source", "source_size", F.when(below, F.col("cap")).otherwise(F.col("weight") * F.col("final")).alias("target"))
+    s = numbered(sizes, [F.col("source").isNull(), F.col("source")])
+    s = s.withColumn("weight", ((F.col("nr") - 1) % 3 + 1).cast("double")).withColumn("cap", F.lit(float(most_epochs)) * F.col("source_size"))
+    s = store(s, "sources")
+    total = float(s.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    level, closed = 0.0, -1
+    while True:
+        full = F.col("cap") < F.col("weight") * level
+        n, capped, open_ = s.agg(F.count(F.when(full, 1)), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
+        if n == closed:
+            break
+        closed, level = n, (total - capped) / open_ if open_ else inf
+    return s.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.least("cap", F.col("weight") * level)).alias("target"))
+
+
+def spread(docs: DataFrame, q: Column) -> Column:
+    """A rising function of the key that is uniform on (0, 1) over docs: the mixture of the qualities' exponential distributions.
+    Qualities are counted in bins of a quarter of their logarithm, put together to 64 at most; they only even out the ranges."""
+    bins = sorted((r[0], r[1]) for r in docs.groupBy(F.round(F.log2(q) * 4).cast("int").alias("bin")).count().collect() if r[0] is not None)
+    every = -(-len(bins) // 64) or 1
+    groups = [bins[i : i + every] for i in range(0, len(bins), every)] or [[(0, 1)]]
+    total = sum(k for _, k in bins) or 1
+    out = F.lit(0.0)
+    for g in groups:
+        share = sum(k for _, k in g) / total
+        out = out + F.lit(share) * (1 - F.exp(-F.col("_key") * F.lit(2.0 ** (sum(b * k for b, k in g) / max(1, sum(k for _, k in g)) / 4))))
+    return out
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -53,33 +73,31 @@ def sized(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, *, quality: Column | None = None, most_epochs: int = 3, ranges: int = RANGES) -> DataFrame:
     """docs (from sized()) plus source_size, target and taken.
 
-    docs needs doc_id, size and source; other columns stay. quality is a positive weight from docs' columns (default 1).
-    Each document gets the key -ln(u) / quality, u from md5 of its id, so reruns agree. Within a source, complete epochs come
+    docs needs doc_id, size and source; other columns stay, whatever their names. quality is a positive weight from docs' columns
+    (default 1). Each document gets the key -ln(u) / quality, u from md5 of its id, so reruns agree. Within a source, complete epochs come
     first; for the rest of the target documents are taken in key order while their prefix sum fits, and one more document, the
     one that brings the source nearest to its target, closes the gap. taken counts words with repeats. Whole documents only.
     Empty and null texts have size 0 and take 0; equal ids are told apart by their row; an empty table gives no rows; a null
     source is a source of its own. Columns of docs named like the new ones are replaced.
 
     A source's rows are never gathered: sums by key range locate the one range in which the budget ends, and only its rows
-    are ordered (1 / ranges of the source).
+    are ordered. Ranges hold equal shares of all rows by spread(), whatever the qualities are.
     """
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     q = F.coalesce(quality, F.lit(1.0)) if quality is not None else F.lit(1.0)
-    base = store(
-        docs.select(*own, "size", (-F.log(u) / q).alias("_key"), F.monotonically_increasing_id().alias("_row"))
-        .withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * ranges), F.lit(ranges - 1)).cast("int")),
-        "mix",
-    )
-    by_range = base.groupBy("source", "_range").agg(F.sum("size").alias("range_size"))
+    key = (-F.log(u) / q).alias("_key")
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), "doc_id", "source", "size", key, F.monotonically_increasing_id().alias("_row"))
+    base = store(base.withColumn("_range", F.least(F.floor(spread(docs, q) * ranges), F.lit(ranges - 1)).cast("int")), "mix")
+    by_range = store(base.groupBy("source", "_range").agg(F.sum("size").alias("range_size")), "ranges")
     goal = targets(by_range.groupBy("source").agg(F.sum("range_size").alias("source_size")), most_epochs)
     goal = goal.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = store(goal.withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size")).withColumnRenamed("source", "_source"), "goal")
 
-    few = goal.count() <= FEW_SOURCES
+    small = goal.count() <= FEW_SOURCES
 
     def with_goal(df: DataFrame, right: DataFrame) -> DataFrame:
-        right = F.broadcast(right) if few else right
+        right = F.broadcast(right) if small else right
         return df.join(right, df["source"].eqNullSafe(right["_source"]), "left")
 
     order = Window.partitionBy("source").orderBy("_range")
@@ -88,10 +106,9 @@ def mix(docs: DataFrame, *, quality: Column | None = None, most_epochs: int = 3,
     edge = edge.select(F.col("source").alias("_source"), F.col("e._range").alias("_edge"), F.col("e._before").alias("_before"))
     goal = store(goal.join(edge.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"), "goal")
 
-    spread = with_goal(base, goal)
     within = Window.partitionBy("source").orderBy("_key", "doc_id", "_row").rowsBetween(Window.unboundedPreceding, 0)
     inner = (
-        spread.where(F.col("_range") == F.col("_edge"))
+        with_goal(base.drop("own"), goal).where(F.col("_range") == F.col("_edge"))
         .withColumn("_sum", F.sum("size").over(within) + F.col("_before"))
         .where(F.col("_sum") <= F.col("_rest"))
     )
@@ -102,20 +119,19 @@ def mix(docs: DataFrame, *, quality: Column | None = None, most_epochs: int = 3,
 
     # _edge null: every range fits (or the source has no words)
     chosen = F.coalesce((F.col("_range") < F.col("_edge")) | ((F.col("_range") == F.col("_edge")) & (F.struct("_key", "doc_id", "_row") <= F.col("_last"))), F.col("_edge").isNull() & (F.col("_rest") > 0))
-    spread = with_goal(base, goal).withColumn("_in", F.coalesce(chosen, F.lit(False)))
     miss = F.abs(F.col("_gap") - F.col("size"))
-    last = spread.where(~F.col("_in") & F.col("_edge").isNotNull() & (miss < F.col("_gap"))).groupBy("source")
+    last = with_goal(base.drop("own"), goal).withColumn("_in", F.coalesce(chosen, F.lit(False))).where(~F.col("_in") & F.col("_edge").isNotNull() & (miss < F.col("_gap"))).groupBy("source")
     last = last.agg(F.min(F.struct(miss.alias("miss"), "_key", F.col("_row").alias("row"))).alias("_close"))
     last = last.select(F.col("source").alias("_s"), F.col("_close.row").alias("_top"))
     goal = goal.join(last, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
     out = with_goal(base, goal).withColumn("_in", F.coalesce(chosen, F.lit(False)) | F.coalesce(F.col("_row") == F.col("_top"), F.lit(False)))
-    return out.withColumn("taken", (F.col("_epochs") + F.col("_in").cast("long")) * F.col("size")).select(*own, "size", "source_size", "target", "taken")
+    return out.withColumn("taken", (F.col("_epochs") + F.col("_in").cast("long")) * F.col("size")).select("own.*", "size", "source_size", "target", "taken")
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with _quality: 1 where the document's label says good, 0.25 where bad, 0.5 without a label."""
-    best = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_best"))
-    return docs.join(best, "doc_id", "left").withColumn("_quality", F.when(F.col("_best") > 0, 1.0).when(F.col("_best").isNotNull(), 0.25).otherwise(0.5)).drop("_best")
+def quality_weights(docs: DataFrame, labels: DataFrame, name: str = "_quality") -> DataFrame:
+    """docs with a quality weight: 1 where the document's label says good, 0.25 where bad, 0.5 without a label."""
+    best = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("best"))
+    return docs.join(best, docs["doc_id"] == F.col("labelled"), "left").select(*(docs[f"`{c}`"] for c in docs.columns), F.when(F.col("best") > 0, 1.0).when(F.col("best").isNotNull(), 0.25).otherwise(0.5).alias(name))
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:
@@ -173,10 +189,11 @@ def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their texts, size, target, taken and the number of copies it takes of each.
 
     The choice moves rows without text; only the kept row keys are joined back. The keys are stored with the rows, so they
-    are the same on both sides of the join.
+    are the same on both sides of the join. Empty and null texts have no words to take and go; null ids, null sources and repeated
+    rows are documents of their own; an empty table gives no rows; columns named like the new ones are replaced, others stay.
     """
-    plain = docs.select(*(c for c in docs.columns if c not in ("_quality", "_best", "_doc", "size", "source_size", "target", "taken", "copies")))
-    keyed = store(plain.withColumn("_doc", F.monotonically_increasing_id()), "mixing")
-    slim = quality_weights(sized(keyed.select("_doc", "doc_id", "source", "text")), table(spark, sf_dir, "labels"))
-    mixed = mix(slim, quality=F.col("_quality")).where("taken > 0").withColumn("copies", F.expr("taken div size"))
-    return keyed.join(mixed.select("_doc", "size", "source_size", "target", "taken", "copies"), "_doc").drop("_doc")
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
+    keyed = store(docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), F.monotonically_increasing_id().alias("row")), "mixing")
+    slim = sized(keyed.select("row", "own.doc_id", "own.source", "own.text"))
+    mixed = mix(quality_weights(slim, table(spark, sf_dir, "labels")), quality=F.col("_quality")).where("taken > 0").withColumn("copies", F.expr("taken div size"))
+    return keyed.join(mixed.select("row", "size", "source_size", "target", "taken", "copies"), "row").select("own.*", "size", "source_size", "target", "taken", "copies")
