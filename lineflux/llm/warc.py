@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,10 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import few, fresh_path, store, table
 
+LOG = logging.getLogger(__name__)
 VERSION = re.compile(rb"WARC/1\.[0-9]\r?\n")
 MEMBER = b"\x1f\x8b\x08"
-#: Records per archive: an archive is read whole by one task, so this bounds its memory.
-RECORDS_PER_ARCHIVE = 2000
+#: Bytes that are inflated at once.
+PIECE = 1 << 16
+#: Records per archive, payload bytes above which a page goes to archives of its own kind, and bytes of those archives (one record at
+#: least): an archive is read whole by one task, so these bound its memory.
+RECORDS_PER_ARCHIVE, LARGE, ARCHIVE_BYTES = 2000, 1 << 17, 1 << 28
 #: Shared digests (about 60 bytes each) up to this number are broadcast.
 FEW_DIGESTS = 200_000
 
@@ -74,31 +79,47 @@ def parse_record(data: bytes, at: int) -> Found | str:
     return Found(at, end + 4, None, headers, block)
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at `at` and where it ends, or None if it is damaged."""
-    d = zlib.decompressobj(wbits=31)
-    try:
-        out = d.decompress(data[at:])
-    except zlib.error:
-        return None
-    return (out, len(data) - len(d.unused_data)) if d.eof else None
+def inflate(data: memoryview, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at `at` gives, and where it ends: None if it is damaged, with what came before the damage."""
+    d, out = zlib.decompressobj(wbits=31), []
+    for k in range(at, len(data), PIECE):
+        try:
+            out.append(d.decompress(data[k : k + PIECE]))
+        except zlib.error:
+            # the damaged piece again in small steps, for what it still gives
+            d = zlib.decompressobj(wbits=31)
+            out = [d.decompress(data[at:k])] if k > at else []
+            for i in range(k, min(k + PIECE, len(data)), 64):
+                try:
+                    out.append(d.decompress(data[i : i + 64]))
+                except zlib.error:
+                    break
+            return b"".join(out), None
+        if d.eof:
+            return b"".join(out), min(k + PIECE, len(data)) - len(d.unused_data)
+    return b"".join(out), None
 
 
 def salvage(data: bytes) -> Iterator[Found]:
-    """Records and gaps of an archive, in order; together they cover all its bytes."""
-    at, bad, why = 0, None, ""
+    """Records and gaps of an archive, in order; together they cover all its bytes.
+
+    A damaged gzip member is a gap; whole records that it gave before the damage come first, with an empty extent at its start."""
+    at, bad, why, view = 0, None, "", memoryview(data)
     while at < len(data):
         if data.startswith(MEMBER, at):
-            member = inflate(data, at)
-            inside = list(salvage(member[0])) if member else []
-            if any(not f.fault for f in inside):
-                if bad is not None:
-                    yield Found(bad, at, why)
-                    bad = None
+            out, end = inflate(view, at)
+            inside = list(salvage(out)) if out else []
+            good = [f for f in inside if not f.fault]
+            if good and bad is not None:
+                yield Found(bad, at, why)
+                bad = None
+            if good and end is not None:
                 for f in inside:
-                    yield Found(at, member[1], f.fault, f.headers, f.block)
-                at = member[1]
+                    yield Found(at, end, f.fault, f.headers, f.block)
+                at = end
                 continue
+            for f in good:
+                yield Found(at, at, None, f.headers, f.block)
             got = "damaged gzip member"
         else:
             got = parse_record(data, at)
@@ -147,8 +168,10 @@ def one_line(c: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, records_per_archive: int = RECORDS_PER_ARCHIVE) -> None:
     """Write pages (page_id, url, html) as WARC/1.1 archives, one record each. Null html is an empty payload, a null url an
-    empty target; a null page_id has no page header. Further columns are ignored. Spark's text writer commits the files."""
+    empty target; a null page_id has no page header; an empty table gives no records. Further columns are ignored. Spark's text writer
+    commits the files. Pages of more than LARGE bytes go to archives of fewer records, so an archive's bytes are bounded."""
     p = deduplicated(pages, least_bytes)
+    most = pages.agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0))).first()[0]
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     empty = base64.b32encode(hashlib.sha1(b"").digest()).decode()
@@ -174,7 +197,10 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, records
         block,
     )
     # the line separator is the end of a record
-    p.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_archive).text(path)
+    large = F.col("payload_bytes") > LARGE
+    parts = [(p.where(~large), records_per_archive), (p.where(large), max(1, ARCHIVE_BYTES // most))] if most > LARGE else [(p, records_per_archive)]
+    for some, records in parts:
+        some.select(record.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(path)
 
 
 def read_archives(spark, path: str, *, payloads: bool = True) -> DataFrame:
@@ -215,11 +241,23 @@ def read_archives(spark, path: str, *, payloads: bool = True) -> DataFrame:
     return files.mapInArrow(rows, SCHEMA)
 
 
+def quarantine(found: DataFrame, most: int = 100) -> DataFrame:
+    """(archive, first_byte, end_byte, fault) of the gaps; the first `most` of them go to the log, with their number."""
+    gaps = found.where("fault is not null").select("archive", "first_byte", "end_byte", "fault")
+    n = gaps.count()
+    for r in gaps.orderBy("archive", "first_byte").limit(most).collect() if n else ():
+        LOG.warning("quarantined %s bytes %d to %d: %s", *r)
+    if n:
+        LOG.warning("%d gaps quarantined", n)
+    return gaps
+
+
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    back = read_archives(spark, path, payloads=False).where("fault is null")
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    back = store(read_archives(spark, path, payloads=False).drop("payload"), "records")
+    quarantine(back)
+    return back.where("fault is null").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 OP1_SQL = r"""
