@@ -98,3 +98,33 @@ def total_of(*columns: Column) -> Column:
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
+
+
+def display_clock(quarter: Column, clock: Column) -> Column:
+    """'Q2 03:15'; a clock without digits shows the period's end."""
+    return F.concat(F.lit("Q"), quarter.cast("string"), F.lit(" "), F.when(clock == "--:--", F.lit("00:00(end)")).otherwise(clock))
+
+
+def clipped(c: Column, low: float | None = None, high: float | None = None) -> Column:
+    """c held between bounds; null stays null."""
+    out = c if low is None else F.greatest(c, F.lit(low))
+    out = out if high is None else F.least(out, F.lit(high))
+    return F.when(c.isNotNull(), out)
+
+
+def mean_ordinal(text: Column, separator: str, values: list[str]) -> Column:
+    """The mean place, from 1, of the separated parts that are among values; null if none is."""
+    places = F.filter(F.transform(F.split(text, separator), lambda p: F.array_position(F.array(*map(F.lit, values)), p)), lambda x: x > 0)
+    return F.when(F.size(places) > 0, F.aggregate(places, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(places))
+
+
+def season_date(text: Column, first_month: int = 10, first_year: int = 2025) -> Column:
+    """'yy/mm/dd' of the first 'm/d(x)' in a text, the year by a season that begins in first_month; else 'Unknown'."""
+    month, day = (F.regexp_extract(text, r"(\d{1,2})/(\d{1,2})\s*[（(].[）)]", k) for k in (1, 2))
+    year = F.when(month.try_cast("int") >= first_month, first_year % 100).otherwise(first_year % 100 + 1)
+    return F.when(month == "", "Unknown").otherwise(F.concat_ws("/", F.lpad(year.cast("string"), 2, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
+
+
+def appeared(flag: Column, minutes: Column) -> Column:
+    """On the sheet as playing, with minutes above zero; missing minutes are none."""
+    return F.coalesce(flag, F.lit(False)) & (F.coalesce(minutes, F.lit(0)) > 0)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import pairs_within
 from .stats import jaccard, overlap
 
 
-def co_membership(members: DataFrame, group: list[str], member: str, weight: Column | None = None, least: int = 1) -> DataFrame:
-    """(a, b, shared, n) with a < b: groups that both are in, and the sum of the groups' weights."""
-    p = pairs_within(members, group, member)
-    return p.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+def co_membership(members: DataFrame, group: list[str], member: str, weight: str | None = None, least: int = 1) -> DataFrame:
+    """(a, b, shared) with a < b: groups that both are in; with a weight column, which is one value per group, also weight, its sum over them."""
+    p = pairs_within(members, group, member, carry=[weight] if weight else None)
+    sums = [F.sum(weight).alias("weight")] if weight else []
+    return p.groupBy("a", "b").agg(F.count("*").alias("shared"), *sums).where(F.col("shared") >= least)
+
+
+def ranked_edges(edges: DataFrame, by: list[str], most: int) -> DataFrame:
+    """The `most` heaviest edges by falling columns, ties by their ends, with their rank."""
+    order = [*(F.desc(c) for c in by), "a", "b"]
+    return edges.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # `most` rows
 
 
 def normalised(edges: DataFrame, totals: DataFrame, node: str, total: str) -> DataFrame:

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only in local mode, where the session names none."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lineflux-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineflux-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -63,18 +72,35 @@ def greedy_match(candidates: DataFrame, group: list[str], a: str, b: str, cost:
         left = checkpointed(left.join(won.select(*group, a), [*group, a], "left_anti").join(won.select(*group, b), [*group, b], "left_anti"))
 
 
+def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], value: str, default: Column | None = None) -> DataFrame:
+    """rows with the value of their keys: the default where there is none, or an error if no default is given."""
+    found = rows.join(values.select(*keys, F.col(value)).withColumn("_hit", F.lit(True)), keys, "left")
+    missing = F.raise_error(F.concat(F.lit("no value for "), F.to_json(F.struct(*keys)))) if default is None else default
+    return found.withColumn(value, F.when(F.col("_hit").isNull(), missing).otherwise(F.col(value))).drop("_hit")
+
+
 def nearest(candidates: DataFrame, keys: list[str], cost: Column, tie: list[str], most: int = 1) -> DataFrame:
     """The `most` cheapest candidates of each key."""
     w = Window.partitionBy(*keys).orderBy(cost, *tie)
     return candidates.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
-def pairs_within(members: DataFrame, group: list[str], member: str, *, directed: bool = False) -> DataFrame:
-    """Pairs of different members of a group: a < b, or both directions. Groups must be small (orders, line-ups)."""
-    m = members.select(*group, F.col(member).alias("a")).distinct()
-    other = m.withColumnRenamed("a", "b")
-    p = m.join(other, group)
-    return p.where("a <> b" if directed else "a < b")
+#: Members of a group from which its pairs are dealt out block by block.
+PAIR_BLOCK = 512
+
+
+def pairs_within(members: DataFrame, group: list[str], member: str, *, directed: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """Pairs of different members of a group: a < b, or both directions, with the group's carried columns.
+
+    The pairs are the result, so their number can't shrink; but a group of more than PAIR_BLOCK members is dealt into blocks, and
+    every two blocks meet in a place of their own, so no task makes all pairs of a large group."""
+    carry = carry or []
+    m = members.select(*group, *carry, F.col(member).alias("a")).distinct()
+    sizes = m.groupBy(*group).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("_blocks"))
+    m = m.join(sizes, group).withColumn("_mine", F.pmod(F.xxhash64("a"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    left = m.select(*group, *carry, "a", "_mine", "_other")
+    right = m.select(*group, F.col("a").alias("b"), F.col("_mine").alias("_other"), F.col("_other").alias("_mine"))
+    return left.join(right, [*group, "_mine", "_other"]).where("a <> b" if directed else "a < b").select(*group, *carry, "a", "b")
 
 
 def bipartite(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:

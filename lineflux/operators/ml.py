@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -187,20 +189,109 @@ def ridge(df: DataFrame, y: str, xs: list[str], w: str, alpha: float, free: floa
     return np.linalg.solve(a + alpha * free * np.eye(p), np.array([r[f"b{i}"] for i in range(p)], float)).tolist()
 
 
-def group_bootstrap(df: DataFrame, group: str, num: Column, den: Column, replicates: int, seed: int = 0) -> DataFrame:
-    """One row: the ratio of sums and its 95 % interval under resampling of groups.
+def multiplicity(key: Column, replicate: Column, seed: int = 0) -> Column:
+    """How often a resample takes a group: Poisson(1) from md5 of replicate, group and seed, so reruns agree."""
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", replicate.cast("string"), key.cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    return reduce(lambda a, c: a + (u > c).cast("int"), poisson_steps(), F.lit(0))
+
+
+def poisson_steps(most: int = 12) -> list[float]:
+    """P(X <= k) of Poisson(1) for k below `most`."""
+    term, total, out = np.exp(-1.0), 0.0, []
+    for k in range(most):
+        total += term
+        out.append(float(total))
+        term /= k + 1
+    return out
+
+
+def group_bootstrap(df: DataFrame, group: str, num: Column, den: Column, replicates: int, seed: int = 0, keys: list[str] | None = None) -> DataFrame:
+    """By key (one row without): the ratio of sums, its 95 % interval under resampling of groups, and the share of replicates above 0.
 
-    Sums by group come first; a replicate weighs them by Poisson(1) multiplicities drawn from a hash, so no row is copied by its
-    multiplicity and reruns agree.
+    Sums by group come first; a replicate weighs them by multiplicity(), so no row is copied by its multiplicity.
     """
-    g = df.groupBy(group).agg(F.sum(num).alias("n"), F.sum(den).alias("d"))
-    u = (F.pmod(F.xxhash64(F.col(group), F.col("r"), F.lit(seed)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    cdf = np.cumsum([np.exp(-1.0) / np.prod(range(1, k + 1)) if k else np.exp(-1.0) for k in range(12)])
-    times = sum(((u > float(c)).cast("int") for c in cdf[1:]), (u > float(cdf[0])).cast("int"))
-    reps = g.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", times)
-    reps = reps.groupBy("r").agg((F.sum(F.col("k") * F.col("n")) / F.sum(F.col("k") * F.col("d"))).alias("v"))
-    point = g.agg((F.sum("n") / F.sum("d")).alias("value"))
-    return point.crossJoin(reps.agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"), F.avg((F.col("v") > 0).cast("double")).alias("p_above")))  # single rows
+    keys = keys or []
+    g = df.groupBy(*keys, group).agg(F.sum(num).alias("n"), F.sum(den).alias("d"))
+    reps = g.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", multiplicity(F.col(group), F.col("r"), seed))
+    reps = reps.groupBy(*keys, "r").agg((F.sum(F.col("k") * F.col("n")) / F.nullif(F.sum(F.col("k") * F.col("d")), F.lit(0))).alias("v"))
+    point = g.groupBy(*keys).agg((F.sum("n") / F.sum("d")).alias("value"))
+    spread = reps.groupBy(*keys).agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"), F.avg((F.col("v") > 0).cast("double")).alias("p_above"))
+    return point.join(spread, keys) if keys else point.crossJoin(spread)  # single rows
+
+
+class Moments:
+    """Weighted cross-products of columns and an outcome; they add up over rows, so folds and resamples are sums of groups' moments."""
+
+    def __init__(self, xs: list[str], y: str, w: str):
+        self.cols, self.w, self.p = [*xs, y], w, len(xs)
+        one = self.cols + [None]
+        self.pairs = [(i, j) for i in range(len(one)) for j in range(i, len(one))]
+
+    def sums(self, times: Column | None = None) -> list[Column]:
+        pick = lambda i: F.lit(1.0) if i == len(self.cols) else F.col(self.cols[i])
+        w = F.col(self.w) if times is None else F.col(self.w) * times
+        return [F.sum(w * pick(i) * pick(j)).alias(f"m{i}_{j}") for i, j in self.pairs]
+
+    def again(self, times: Column) -> list[Column]:
+        """Sums of stored moments, each times a multiplicity."""
+        return [F.sum(times * F.col(f"m{i}_{j}")).alias(f"m{i}_{j}") for i, j in self.pairs]
+
+    def read(self, row) -> np.ndarray:
+        """The symmetric matrix over columns, outcome and one."""
+        m = np.zeros((self.p + 2, self.p + 2))
+        for i, j in self.pairs:
+            m[i, j] = m[j, i] = float(row[f"m{i}_{j}"] or 0.0)
+        return m
+
+    def fit(self, m: np.ndarray, alpha: float, free: list[int], scale: float = 100.0) -> tuple[np.ndarray, np.ndarray]:
+        """(coefficients, centres) of the weighted ridge without intercept. Columns in `free` are dummies: not centred, and scaled so that the
+        penalty hardly holds them; the others are centred by their weighted means. The outcome is as it is."""
+        p, one = self.p, self.p + 1
+        mean = np.array([0.0 if i in free else m[i, one] / m[one, one] for i in range(p)])
+        size = np.array([scale if i in free else 1.0 for i in range(p)])
+        xx = m[:p, :p] - np.outer(mean, m[:p, one]) - np.outer(m[:p, one], mean) + np.outer(mean, mean) * m[one, one]
+        xy = m[:p, p] - mean * m[p, one]
+        b = np.linalg.solve(xx * np.outer(size, size) + alpha * np.eye(p), xy * size) * size
+        return b, mean
+
+    def error(self, m: np.ndarray, b: np.ndarray, mean: np.ndarray) -> float:
+        """Weighted mean squared error of y against b (x - mean)."""
+        p, one = self.p, self.p + 1
+        shift = float(b @ mean)
+        total = m[p, p] + b @ m[:p, :p] @ b + shift**2 * m[one, one] - 2 * b @ m[:p, p] + 2 * shift * m[p, one] - 2 * shift * (b @ m[:p, one])
+        return float(total / m[one, one])
+
+
+def centred_ridge(df: DataFrame, y: str, xs: list[str], w: str, alpha: float, free: list[str]) -> dict[str, float]:
+    """Coefficients of Moments.fit, one aggregation."""
+    mo = Moments(xs, y, w)
+    b, _ = mo.fit(mo.read(df.agg(*mo.sums()).head()), alpha, [xs.index(f) for f in free])
+    return dict(zip(xs, b.tolist()))
+
+
+def fold_errors(df: DataFrame, fold: str, y: str, xs: list[str], w: str, alphas: list[float], free: list[str] | None = None) -> dict[float, float]:
+    """Mean over folds of the weighted squared error on a fold under the fit of the others, by alpha. Rows of no fold take no part."""
+    mo = Moments(xs, y, w)
+    at = [xs.index(f) for f in free or []]
+    folds = [mo.read(r) for r in df.where(F.col(fold).isNotNull()).groupBy(fold).agg(*mo.sums()).orderBy(fold).collect()]
+    return {a: float(np.mean([mo.error(m, *mo.fit(sum(folds) - m, a, at)) for m in folds])) for a in alphas}
+
+
+def ridge_effects(df: DataFrame, group: str, y: str, xs: list[str], w: str, free: list[str], alphas: list[float], folds: int = 5, replicates: int = 200, seed: int = 0) -> dict:
+    """Effects of the free dummies and of their differences, with 95 % intervals under resampling of groups; the penalty by folds of whole groups.
+
+    Moments by group are summed once; a replicate weighs them, so the rows are read three times at most, whatever the replicates."""
+    alpha, errors = ridge_by_group(df, group, y, xs, w, alphas, folds, free)
+    mo, at = Moments(xs, y, w), [xs.index(f) for f in free]
+    by = df.groupBy(group).agg(*mo.sums())
+    b, _ = mo.fit(mo.read(df.agg(*mo.sums()).head()), alpha, at)
+    reps = by.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", multiplicity(F.col(group), F.col("r"), seed))
+    reps = reps.groupBy("r").agg(*mo.again(F.col("k"))).orderBy("r").collect()  # a row per replicate
+    boot = np.array([mo.fit(mo.read(r), alpha, at)[0] for r in reps])
+    span = lambda v: [float(x) for x in np.quantile(v, [0.025, 0.975])]
+    effects = [(f, float(b[i]), *span(boot[:, i])) for f, i in zip(free, at)]
+    diffs = [(f, g, float(b[i] - b[j]), *span(boot[:, i] - boot[:, j]), float((boot[:, i] > boot[:, j]).mean())) for n, (f, i) in enumerate(zip(free, at)) for g, j in list(zip(free, at))[n + 1 :]]
+    return {"alpha": alpha, "errors": errors, "effects": effects, "differences": diffs}
 
 
 def nearest_rows(queries: DataFrame, rows: DataFrame, key: str, features: str, k: int, blocks: int) -> DataFrame:
@@ -224,28 +315,15 @@ def group_folds(sizes: DataFrame, group: str, size: str, folds: int) -> list[tup
     return out
 
 
-def ridge_by_group(df: DataFrame, group: str, y: str, xs: list[str], w: str, alphas: list[float], folds: int = 5) -> tuple[float, dict[float, float]]:
-    """(best alpha, weighted squared error by alpha) by folds of whole groups.
+def ridge_by_group(df: DataFrame, group: str, y: str, xs: list[str], w: str, alphas: list[float], folds: int = 5, free: list[str] | None = None) -> tuple[float, dict[float, float]]:
+    """(best alpha, error by alpha) by folds of whole groups, errors as fold_errors() has them: weighted within a fold, then averaged.
 
     Groups beyond the dealt ones, and a null group, go to folds by hash, so every row takes part.
-    Cross-products are summed once by group and fold; every fit and every error is algebra on those p × p sums.
     """
-    p = len(xs)
-    fold = df.sparkSession.createDataFrame(group_folds(df.groupBy(group).agg(F.count("*").alias("n")), group, "n", folds), df.select(group).schema.add("fold", "integer"))
-    cols = xs + [y]
-    sums = [F.sum(F.col(w) * F.col(cols[i]) * F.col(cols[j])).alias(f"s{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
+    dealt = df.sparkSession.createDataFrame(group_folds(df.groupBy(group).agg(F.count("*").alias("n")), group, "n", folds), df.select(group).schema.add("_fold", "integer"))
     rest = F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
-    rows = df.join(fold, group, "left").withColumn("fold", F.coalesce("fold", rest)).groupBy("fold").agg(*sums, F.sum(w).alias("w")).orderBy("fold").collect()
-    s = np.array([[[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)] for r in rows], float)
-    weight = np.array([r["w"] for r in rows], float)
-    error = {}
-    for a in alphas:
-        total = 0.0
-        for k in range(len(rows)):
-            train = s.sum(0) - s[k]
-            b = np.linalg.solve(train[:p, :p] + a * np.eye(p), train[:p, p])
-            total += s[k][p, p] - 2 * b @ s[k][:p, p] + b @ s[k][:p, :p] @ b
-        error[a] = float(total / weight.sum())
+    rows = df.join(dealt, group, "left").withColumn("_fold", F.coalesce("_fold", rest))
+    error = fold_errors(rows, "_fold", y, xs, w, alphas, free)
     return min(error, key=lambda a: (error[a], a)), error
 
 
@@ -277,3 +355,17 @@ def save_bundle(df: DataFrame, features: str, k_parts: int, k: int, path: str, s
     model = Pipeline(stages=steps).fit(df.withColumn("_v", array_to_vector(F.col(features).cast("array<double>"))))
     model.write().overwrite().save(path)
     return model
+
+
+def profile_distance(df: DataFrame, axes: list[str], focus: Column) -> DataFrame:
+    """df with its Euclidean distance from the mean of the focus rows on the axes. One row is broadcast."""
+    centre = df.where(focus).agg(*(F.avg(a).alias(f"_{a}") for a in axes))
+    square = reduce(lambda x, y: x + y, ((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes))
+    return df.crossJoin(F.broadcast(centre)).withColumn("distance", F.sqrt(square)).drop(*(f"_{a}" for a in axes))
+
+
+def relabelled(df: DataFrame, cluster: str, by: str) -> DataFrame:
+    """Clusters numbered from 0 by falling mean of a column, ties by their old number; a row per cluster is broadcast."""
+    means = df.groupBy(cluster).agg(F.avg(by).alias("_mean"))
+    number = means.select(cluster, (F.row_number().over(Window.orderBy(F.desc("_mean"), cluster)) - 1).alias("_number"))
+    return df.join(F.broadcast(number), cluster).withColumn(cluster, F.col("_number").cast("int")).drop("_number")

@@ -53,3 +53,48 @@ def overlap(shared: Column, a: Column, b: Column) -> Column:
 
 def jaccard(shared: Column, a: Column, b: Column) -> Column:
     return safe_div(shared, a + b - shared)
+
+
+def asserted(df: DataFrame, checks: dict[str, Column], fail: bool = False) -> DataFrame:
+    """(check, n_bad, ok): rows that break each rule; a rule that is null is broken. With fail, a broken rule is an error."""
+    bad = df.agg(*(F.sum(F.when(F.coalesce(c, F.lit(False)), 0).otherwise(1)).alias(n) for n, c in checks.items()))
+    rows = bad.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("n_bad")) for n in checks))).alias("r")).select("r.*")
+    rows = rows.withColumn("ok", F.col("n_bad") == 0)
+    return rows.where(F.assert_true(F.col("ok"), F.concat(F.lit("broken: "), F.col("check"))).isNull()) if fail else rows
+
+
+def without_nulls(df: DataFrame, column: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose column is known, and by key how many were kept and dropped."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    known = F.col(column).isNotNull()
+    return df.where(known), df.groupBy(*keys).agg(n(known).alias("kept"), n(~known).alias("dropped"))
+
+
+def reconciled_summary(compared: DataFrame, within: list[float]) -> DataFrame:
+    """One row of reconcile()'s rows: their number, how many differ by each bound at most, and the largest difference."""
+    d = F.abs("diff")
+    return compared.agg(F.count("*").alias("n"), *(F.sum((d <= w).cast("int")).cast("long").alias(f"within_{w:g}") for w in within), F.max(d).alias("max_diff"))
+
+
+def contrasts(groups: DataFrame, group: str, member: str, value: str, focus, other: str = "mate") -> DataFrame:
+    """For every mate of the focus, in both directions: mean value of the focus's groups with and without the mate, and of the mate's groups
+    with and without the focus. Without is the total less with, so nothing is paired but the focus's own groups. Null where there is none."""
+    own = groups.where(F.col(member) == focus).select(group, F.col(value).alias("_v"))
+    total = own.agg(F.count("*").alias("n"), F.sum("_v").alias("v"))
+    mates = groups.where(F.col(member) != focus)
+    alone = mates.groupBy(F.col(member).alias(other)).agg(F.count("*").alias("mate_n"), F.sum(value).alias("mate_v"))
+    both = own.join(mates.select(group, F.col(member).alias(other)), group).groupBy(other).agg(F.count("*").alias("with_n"), F.sum("_v").alias("with_v"))
+    mean = lambda v, n: safe_div(v.cast("double"), n)
+    c = F.col
+    out = both.join(alone, other).crossJoin(F.broadcast(total))  # one row
+    out = out.select(other, "with_n", (c("n") - c("with_n")).alias("focus_without_n"), (c("mate_n") - c("with_n")).alias("mate_without_n"), mean(c("with_v"), c("with_n")).alias("with_mean"),
+                     mean(c("v") - c("with_v"), c("n") - c("with_n")).alias("focus_without_mean"), mean(c("mate_v") - c("with_v"), c("mate_n") - c("with_n")).alias("mate_without_mean"))
+    return out.withColumn("focus_diff", c("with_mean") - c("focus_without_mean")).withColumn("mate_diff", c("with_mean") - c("mate_without_mean"))
+
+
+def per_unit(totals: DataFrame, minutes: str, counters: list[str], rates: dict[str, tuple[str, str]], span: float = 36.0) -> DataFrame:
+    """totals with each counter per `span` minutes and rates in percent (0 without attempts); rows without minutes are left out."""
+    t = totals.where(F.col(minutes) > 0)
+    per = {f"{k}_per": F.round(F.col(k) / F.col(minutes) * span, 2) for k in counters}
+    pct = {n: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b) * 100, 1)).otherwise(F.lit(0.0)) for n, (a, b) in rates.items()}
+    return t.withColumns(per | pct)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +14,24 @@ from ..functions.windows import UP_TO
 TIME, SCORE, DELTA, QUARTER = r"^(?:[0-9]{1,2}:[0-9]{2}|--:--)$", r"^[0-9]+ - [0-9]+$", r"^\+[0-9]+$", r"^Q([0-9]+) (?:start|end)$"
 
 
-def parse_log(docs: DataFrame, doc: str, text: str, made: str = "made") -> DataFrame:
+def parse_log(docs: DataFrame, doc: str, text: str, made: str = "made", left_first: bool = False) -> DataFrame:
     """(doc, seq, quarter, elapsed_s, body, delta, points) of newest-first line logs.
 
     A time line opens a record, a score line is skipped, a delta line overwrites the record's delta, other lines are its texts. Records are
     read backwards, texts within a record forwards; a start marker sets the quarter of what follows. Points count only where
-    the text says so.
+    the text says so. A page shows the left team's text before its clock: read line by line it falls to the record above, which is the
+    default; with left_first a text that stands directly before a clock belongs to that clock's record.
     """
     lines = docs.select(doc, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     line = F.col("line")
     kind = F.when(line.rlike(QUARTER), "quarter").when(line.rlike(TIME), "time").when(line.rlike(SCORE), "score").when(line.rlike(DELTA), "delta").otherwise("text")
     w = Window.partitionBy(doc).orderBy("pos").rowsBetween(*UP_TO)
-    lines = lines.withColumn("kind", kind).withColumn("rec", F.sum((F.col("kind") == "time").cast("int")).over(w)).where("rec > 0")
+    lines = lines.withColumn("kind", kind).withColumn("rec", F.sum((F.col("kind") == "time").cast("int")).over(w))
+    if left_first:
+        ahead = Window.partitionBy(doc).orderBy("pos")
+        own = (F.col("kind") == "text") & (F.coalesce(F.lag("kind").over(ahead), F.lit("score")) == "score") & F.lead("kind").over(ahead).isin("time", "delta")
+        lines = lines.withColumn("_own", own).withColumn("rec", F.col("rec") + (F.col("_own") | ((F.col("kind") == "delta") & F.coalesce(F.lag("_own").over(ahead), F.lit(False)))).cast("int"))
+    lines = lines.where("rec > 0")
     heads = lines.groupBy(doc, "rec").agg(
         F.max(F.when(F.col("kind") == "time", line)).alias("clock"),
         F.max_by(F.when(F.col("kind") == "delta", F.substring(line, 2, 9).cast("int")), F.when(F.col("kind") == "delta", F.col("pos"))).alias("delta"),
@@ -36,18 +44,67 @@ def parse_log(docs: DataFrame, doc: str, text: str, made: str = "made") -> DataF
     return rows.select(doc, "seq", "quarter", (base + PERIOD_S - clock_seconds(F.col("clock"))).cast("long").alias("elapsed_s"), line.alias("body"), "delta", F.when(F.contains(line, F.lit(made)), F.coalesce("delta", F.lit(0))).otherwise(0).alias("points"))
 
 
-def translated(text: Column, phrases: dict[str, str]) -> Column:
-    """Phrases replaced longest first, runs of spaces collapsed."""
-    for k in sorted(phrases, key=lambda k: (-len(k), k)):
-        text = F.replace(text, F.lit(k), F.lit(phrases[k]))
+def replaced(text: Column, table: dict[str, str], after: str = "") -> Column:
+    """Each key by its value and `after`, longest key first."""
+    for k in sorted(table, key=lambda k: (-len(k), k)):
+        text = F.replace(text, F.lit(k), F.lit(table[k] + after))
+    return text
+
+
+def translated(text: Column, phrases: dict[str, str], names: dict[str, str] | None = None, markers: dict[str, str] | None = None, after: str = "") -> Column:
+    """A line with its markers (regular expression to replacement, which may name groups), then names, then phrases replaced, the last two longest
+    first and a phrase followed by `after`; runs of spaces collapse."""
+    for regex, value in (markers or {}).items():
+        text = F.regexp_replace(text, regex, value)
+    text = replaced(replaced(text, names or {}), phrases, after)
     return F.trim(F.regexp_replace(text, " +", " "))
 
 
-def mined_names(docs: DataFrame, text: str, keyword: str) -> DataFrame:
-    """Distinct words of 2 to 6 letters before the first space or hyphen of lines with the keyword, and their number of lines."""
-    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).where(F.contains("line", F.lit(keyword)))
-    name = F.regexp_extract(F.trim("line"), "^([^ -]+)", 1)
-    return lines.select(name.alias("name")).where(F.length("name").between(2, 6) & ~F.col("name").rlike("[0-9]")).groupBy("name").agg(F.count("*").alias("n_lines"))
+def by_line(text: Column, f) -> Column:
+    """f on every line of a text."""
+    return F.array_join(F.transform(F.split(text, "\n"), f), "\n")
+
+
+def mined_names(docs: DataFrame, text: str, keywords: str | list[str], *, prefixes: tuple[str, ...] = (), mark: str | None = None, banned: str = "[0-9]") -> DataFrame:
+    """Distinct words of 2 to 6 letters before the first space or hyphen of lines with a keyword, and their number of lines.
+
+    Left out: words that begin with a prefix (what teams do), lines with the mark among their first six letters, and words with a banned
+    character."""
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("line"))
+    has = [F.contains("line", F.lit(k)) for k in ([keywords] if isinstance(keywords, str) else keywords)]
+    lines = lines.where(reduce(lambda a, b: a | b, has)).select(F.trim("line").alias("line"))
+    lines = lines.withColumn("name", F.regexp_extract("line", "^([^ -]+)", 1)).where(F.length("name").between(2, 6) & ~F.col("name").rlike(banned))
+    for p in prefixes:
+        lines = lines.where(~F.startswith("name", F.lit(p)))
+    if mark is not None:
+        lines = lines.where(~F.contains(F.substring("line", 1, 6), F.lit(mark)))
+    return lines.groupBy("name").agg(F.count("*").alias("n_lines"))
+
+
+def classified(rows: DataFrame, keys: list[str], text: str, points: str, rules: list[tuple[list[str], str]], shots: dict[str, tuple[str, int]], made: list[str], missed: list[str], ignored: list[str]) -> DataFrame:
+    """Counters by key of what texts say, the first rule that fits deciding.
+
+    A text with an ignored word counts nowhere. rules: words, and the counter that they raise. Other texts count only if they say made or
+    missed: shots gives, in order, each word's counter and its points where the row has none. Returns keys, pts, the rules' counters, and _m
+    and _a (made, attempted) of each shot."""
+    t = F.col(text)
+    says = lambda words: reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words))
+    kind = F.when(says(ignored), F.lit(None).cast("string"))
+    for words, name in rules:
+        kind = kind.when(says(words), name)
+    hit, miss = says(made), says(missed)
+    for word, (name, _) in shots.items():
+        kind = kind.when((hit | miss) & F.contains(t, F.lit(word)), name)
+    r = rows.withColumn("_kind", kind).withColumn("_made", hit)
+    given = F.when(F.col(points) > 0, F.col(points))
+    worth = F.lit(0)
+    for name, value in shots.values():
+        worth = F.when((F.col("_kind") == name) & F.col("_made"), F.coalesce(given, F.lit(value))).otherwise(worth)
+    count = lambda c, name: F.sum(F.when(c, 1).otherwise(0)).alias(name)
+    sums = [count(F.col("_kind") == n, n) for n in dict.fromkeys(n for _, n in rules)]
+    for name, _ in dict.fromkeys(shots.values()):
+        sums += [count((F.col("_kind") == name) & F.col("_made"), f"{name}_m"), count(F.col("_kind") == name, f"{name}_a")]
+    return r.groupBy(*keys).agg(F.sum(worth).cast("long").alias("pts"), *sums)
 
 
 def prefix_lookup(lines: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import derived, graphs, learning, measures, sequences, streamed, texts  # noqa: F401
+from . import derived, files, graphs, learning, measures, sequences, stages, streamed, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 

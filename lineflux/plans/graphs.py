@@ -108,10 +108,13 @@ def with_without(spark, d):
 
 
 @query("""
-WITH s AS (SELECT n_nationkey, n_name, n_regionkey FROM nation), e AS (SELECT DISTINCT x.n_nationkey AS a, y.n_nationkey AS b, x.n_regionkey AS region FROM s x JOIN s y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey)
+WITH s AS (SELECT n_nationkey, n_name, n_regionkey FROM nation), h AS (SELECT * FROM (VALUES (0, '000', '<?xml version="1.0" encoding="UTF-8"?>'), (0, '001', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'),
+  (0, '002', '<key id="n_n_name" for="node" attr.name="n_name" attr.type="string"/>'), (0, '003', '<key id="e_region" for="edge" attr.name="region" attr.type="int"/>'), (0, '004', '<graph edgedefault="undirected">'),
+  (3, '0', '</graph>'), (3, '1', '</graphml>')) t(part, id, line)), e AS (SELECT DISTINCT x.n_nationkey AS a, y.n_nationkey AS b, x.n_regionkey AS region FROM s x JOIN s y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey)
 SELECT 1 AS part, CAST(n_nationkey AS VARCHAR) AS id, '<node id="' || n_nationkey || '"><data key="n_n_name">' || n_name || '</data></node>' AS line FROM s WHERE n_nationkey IN (SELECT a FROM e UNION SELECT b FROM e)
-UNION ALL SELECT 2, a || '-' || b, '<edge source="' || a || '" target="' || b || '"><data key="e_region">' || region || '</data></edge>' FROM e""")
+UNION ALL SELECT 2, a || '-' || b, '<edge source="' || a || '" target="' || b || '"><data key="e_region">' || region || '</data></edge>' FROM e
+UNION ALL SELECT part, id, line FROM h""")
 def graphml_export(spark, d):
     n = table(spark, d, "nation")
     e = joins.pairs_within(n, ["n_regionkey"], "n_nationkey").select("a", "b", F.col("n_regionkey").alias("region"))
-    return graph.graphml_lines(n.select("n_nationkey", "n_name"), e, "n_nationkey", False).where("part in (1, 2)")
+    return graph.graphml_lines(n.select("n_nationkey", "n_name"), e, "n_nationkey", False)

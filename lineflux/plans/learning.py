@@ -42,11 +42,117 @@ def ridge(spark, d):
     return spark.range(1).select(F.round(F.lit(b[0]), 3).alias("tax"), F.round(F.lit(b[1]), 3).alias("discount"))
 
 
-@query()
+REPLICATES = 200
+STEPS = " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in ml.poisson_steps())
+DRAWS = f"(SELECT *, {STEPS} AS k FROM (SELECT *, (CAST(('0x' || substr(md5(r || ':' || g || ':0'), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM (SELECT *, unnest(range(1, {REPLICATES + 1})) AS r FROM s)))"
+
+
+@query(f"""
+WITH s AS (SELECT o_custkey AS g, sum(l_extendedprice * l_discount) AS n, sum(l_extendedprice) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+v AS (SELECT r, sum(k * n) / sum(k * d) AS v FROM {DRAWS} GROUP BY r)
+SELECT round((SELECT sum(n) / sum(d) FROM s), 8) AS value, round(quantile_cont(v, 0.025), 8) AS low, round(quantile_cont(v, 0.975), 8) AS high, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) AS p_above FROM v""")
 def bootstrap(spark, d):
     """Ratio of sums with an interval from resampled customers."""
     o = table(spark, d, "orders").join(table(spark, d, "lineitem"), C("o_orderkey") == C("l_orderkey"))
-    return ml.group_bootstrap(o, "o_custkey", C("l_extendedprice") * C("l_discount"), C("l_extendedprice"), 200)
+    out = ml.group_bootstrap(o, "o_custkey", C("l_extendedprice") * C("l_discount"), C("l_extendedprice"), REPLICATES)
+    return out.select(*(F.round(c, 8).alias(c) for c in ("value", "low", "high")), "p_above")
+
+
+@query(f"""
+WITH s AS (SELECT o_orderpriority AS pair, o_custkey AS g, sum(l_extendedprice * l_discount) AS n, sum(l_extendedprice) AS d, sum(l_quantity) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2),
+v AS (SELECT pair, r, sum(k * n) / nullif(sum(k * d), 0) AS v FROM {DRAWS} GROUP BY 1, 2), t AS (SELECT pair, sum(q) AS minutes, sum(n) / sum(d) AS value FROM s GROUP BY 1)
+SELECT pair, minutes, round(100 * value, 6) AS rate, CASE WHEN minutes >= 20 THEN round(100 * (SELECT quantile_cont(v, 0.025) FROM v WHERE v.pair = t.pair), 6) END AS low,
+       CASE WHEN minutes >= 20 THEN round(100 * (SELECT quantile_cont(v, 0.975) FROM v WHERE v.pair = t.pair), 6) END AS high FROM t""")
+def pair_summary(spark, d):
+    """A rate by group, with an interval from resampled customers where the group has enough, by falling volume."""
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), C("o_orderkey") == C("l_orderkey")).withColumnRenamed("o_orderpriority", "pair")
+    rate = ml.group_bootstrap(o, "o_custkey", C("l_extendedprice") * C("l_discount"), C("l_extendedprice"), REPLICATES, keys=["pair"])
+    enough = lambda c: F.when(C("minutes") >= 20, F.round(100 * C(c), 6)).alias(c)
+    out = rate.join(o.groupBy("pair").agg(F.sum("l_quantity").alias("minutes")), "pair")
+    return out.select("pair", "minutes", F.round(100 * C("value"), 6).alias("rate"), enough("low"), enough("high")).orderBy(F.desc("minutes"), "pair")
+
+
+EFFECT = "x AS (SELECT o_custkey % 5 AS fold, CAST(l_returnflag = 'R' AS DOUBLE) AS p, l_discount * 100 AS c, l_extendedprice / 1000 AS y, l_quantity AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+MOMENTS = "sum(w) AS s1, sum(w * p) AS sp, sum(w * c) AS sc, sum(w * y) AS sy, sum(w * p * p) AS spp, sum(w * p * c) AS spc, sum(w * c * c) AS scc, sum(w * p * y) AS spy, sum(w * c * y) AS scy, sum(w * y * y) AS syy"
+#: The 2 × 2 system of a dummy times 100 and a control less its weighted mean m.
+SYSTEM = "sc / s1 AS m, 10000 * spp + alpha AS a, 100 * (spc - sp * sc / s1) AS b, scc - sc * sc / s1 + alpha AS e, 100 * spy AS f, scy - sc * sy / s1 AS g"
+SOLVED = "100 * (e * f - b * g) / (a * e - b * b) AS bp, (a * g - b * f) / (a * e - b * b) AS bc"
+
+
+def effect_rows(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), C("o_orderkey") == C("l_orderkey"))
+    return o.select("o_custkey", (C("o_custkey") % 5).alias("fold"), F.when(C("l_returnflag") == "R", 1.0).otherwise(0.0).alias("p"), (C("l_discount") * 100).alias("c"), (C("l_extendedprice") / 1000).alias("y"), C("l_quantity").alias("w"))
+
+
+@query(f"""
+WITH {EFFECT}, t AS (SELECT {MOMENTS}, CAST(30 AS DOUBLE) AS alpha FROM x), z AS (SELECT {SYSTEM} FROM t)
+SELECT round(bp, 6) AS partner, round(bc, 6) AS control FROM (SELECT {SOLVED} FROM z)""")
+def centred_ridge(spark, d):
+    """A free dummy and a centred control, weighted, without intercept."""
+    b = ml.centred_ridge(effect_rows(spark, d), "y", ["p", "c"], "w", 30.0, ["p"])
+    return spark.range(1).select(F.round(F.lit(b["p"]), 6).alias("partner"), F.round(F.lit(b["c"]), 6).alias("control"))
+
+
+@query(f"""
+WITH {EFFECT}, k AS (SELECT fold, {MOMENTS} FROM x GROUP BY 1), t AS (SELECT {', '.join(f'sum({n}) AS {n}' for n in 's1 sp sc sy spp spc scc spy scy syy'.split())} FROM k),
+n AS (SELECT alpha, k.fold, {', '.join(f't.{n} - k.{n} AS {n}' for n in 's1 sp sc sy spp spc scc spy scy syy'.split())} FROM k, t, (VALUES (CAST(1 AS DOUBLE)), (100), (10000)) v(alpha)),
+z AS (SELECT alpha, fold, {SYSTEM} FROM n), b AS (SELECT alpha, fold, m, {SOLVED} FROM z),
+r AS (SELECT alpha, (syy + bp * bp * spp + bc * bc * scc + 2 * bp * bc * spc + bc * m * bc * m * s1 - 2 * bp * spy - 2 * bc * scy + 2 * bc * m * sy - 2 * bc * m * (bp * sp + bc * sc)) / s1 AS err FROM b JOIN k USING (fold))
+SELECT CAST(alpha AS DOUBLE) AS alpha, round(avg(err), 6) AS error FROM r GROUP BY 1""")
+def ridge_fold_errors(spark, d):
+    """Mean over folds of the weighted error of the centred ridge, by penalty; a fold's centres are those of its training rows."""
+    e = ml.fold_errors(effect_rows(spark, d), "fold", "y", ["p", "c"], "w", [1.0, 100.0, 10000.0], ["p"])
+    return spark.createDataFrame([(a, x) for a, x in e.items()], "alpha double, error double").withColumn("error", F.round("error", 6))
+
+
+@query()
+def ridge_effects(spark, d):
+    """Effects of two free dummies under the best penalty, and their difference, with intervals."""
+    rows = effect_rows(spark, d).withColumn("q", F.when(C("w") > 25, 1.0).otherwise(0.0))
+    got = ml.ridge_effects(rows, "o_custkey", "y", ["p", "q", "c"], "w", ["p", "q"], [1.0, 100.0, 10000.0])
+    out = [(f, None, value, low, high, None) for f, value, low, high in got["effects"]] + got["differences"]
+    return spark.createDataFrame(out, "effect string, less string, value double, low double, high double, p_above double").withColumn("alpha", F.lit(got["alpha"]))
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
+m AS (SELECT avg(a) AS a, avg(b) AS b, avg(c) AS c FROM e WHERE label = 1)
+SELECT vec_id, round(sqrt((e.a - m.a) * (e.a - m.a) + (e.b - m.b) * (e.b - m.b) + (e.c - m.c) * (e.c - m.c)), 8) AS distance FROM e, m""")
+def profile_distance(spark, d):
+    """Distance on three axes from the mean profile of one label."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", *(C("embedding")[i].cast("double").alias(n) for i, n in enumerate("abc")))
+    return ml.profile_distance(e, ["a", "b", "c"], C("label") == 1).select("vec_id", F.round("distance", 8).alias("distance"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS usage FROM embeddings WHERE label IS NOT NULL), m AS (SELECT label, avg(usage) AS u FROM e GROUP BY 1)
+SELECT vec_id, CAST(n AS INTEGER) AS label FROM e JOIN (SELECT label, row_number() OVER (ORDER BY u DESC, label) - 1 AS n FROM m) USING (label)""")
+def relabelled_clusters(spark, d):
+    """Clusters numbered by falling mean of a usage column."""
+    e = table(spark, d, "embeddings").where("label is not null").select("vec_id", "label", C("embedding")[0].cast("double").alias("usage"))
+    return ml.relabelled(e, "label", "usage").select("vec_id", "label")
+
+
+@query("""
+WITH e AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings WHERE label IS NOT NULL), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM e),
+z AS (SELECT label, avg((a - ma) / sa) AS a, avg((b - mb) / sb) AS b FROM e, s GROUP BY 1)
+SELECT label, round(a, 8) AS a, round(b, 8) AS b, array_to_string(list_transform(list_reverse_sort(list_filter([{'z': a, 'name': 'a'}, {'z': b, 'name': 'b'}], lambda x: x.z > 0.05)), lambda x: x.name), ', ') AS high,
+       array_to_string(list_transform(list_sort(list_filter([{'z': a, 'name': 'a'}, {'z': b, 'name': 'b'}], lambda x: x.z < -0.05)), lambda x: x.name), ', ') AS low FROM z""")
+def cluster_profile(spark, d):
+    """Means of standardised features by cluster, and what stands out, as text."""
+    e = table(spark, d, "embeddings").where("label is not null").select("label", *(C("embedding")[i].cast("double").alias(n) for i, n in enumerate("ab")))
+    s = e.agg(*(f(n).alias(f"{p}{n}") for n in "ab" for p, f in (("m", F.avg), ("s", F.stddev_pop))))
+    z = e.crossJoin(F.broadcast(s)).select("label", *(((C(n) - C(f"m{n}")) / C(f"s{n}")).alias(n) for n in "ab"))  # one row
+    return ml.described_clusters(z, "label", ["a", "b"], 0.05).select("label", F.round("a", 8).alias("a"), F.round("b", 8).alias("b"), "high", "low")
+
+
+@query("""
+WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS sd FROM e GROUP BY 1)
+SELECT vec_id, round(sum((v - m) / sd), 5) AS total, round(max((v - m) / sd), 5) AS most FROM e JOIN s USING (i) GROUP BY 1""")
+def standard_scores(spark, d):
+    """Vectors standardised by population deviation, shown by the sum and the largest of their components."""
+    z = ml.standardised(vectors(spark, d), "x")
+    return z.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.array_max("x"), 5).alias("most"))
 
 
 @query()

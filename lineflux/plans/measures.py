@@ -224,9 +224,10 @@ def semi_filter(spark, d):
     return table(spark, d, "orders").where(C("o_orderstatus").isin("F", "O")).join(big, C("o_orderkey") == C("l_orderkey"), "left_semi").select("o_orderkey", "o_orderstatus")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND c_mktsegment NOT IN ('BUILDING')")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) AND c_mktsegment NOT IN ('BUILDING')")
 def anti_filter(spark, d):
-    return table(spark, d, "customer").where(~C("c_mktsegment").isin("BUILDING")).join(table(spark, d, "orders"), C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey")
+    large = table(spark, d, "orders").where("o_totalprice > 400000")
+    return table(spark, d, "customer").where(~C("c_mktsegment").isin("BUILDING")).join(large, C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean_value FROM events WHERE event_type = 'view' GROUP BY 1 HAVING count(*) >= 3 AND NOT (max(value) >= 99 AND count(*) >= 5)")

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.joins import shared_folder
 from ..streaming import streams
 from .registry import query
 
 
 def scratch(spark) -> str:
-    """A folder that driver and executors share."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineflux-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 @query("SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")

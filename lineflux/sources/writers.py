@@ -6,7 +6,7 @@ import json
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL = 1_000_000
@@ -23,23 +23,43 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def export_csv(df: DataFrame, file: str, mark: bool = False) -> None:
+def write_bytes(spark: SparkSession, file: str | Path, data: bytes) -> None:
+    """One file of bytes, through Spark's file systems, so that a path need not be local."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(str(file))
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def read_bytes(spark: SparkSession, file: str | Path) -> bytes:
+    """The bytes of one small file."""
+    return bytes(spark.read.format("binaryFile").load(str(file)).head().content)
+
+
+def export_csv(df: DataFrame, file: str | Path, mark: bool = False) -> None:
     """One CSV file, with a byte order mark if asked."""
     import csv
+    import io
 
-    with Path(file).open("w", encoding="utf-8-sig" if mark else "utf-8", newline="") as f:
-        w = csv.writer(f)
-        w.writerow(df.columns)
-        w.writerows(["" if v is None else v for v in r] for r in small_rows(df))
+    text = io.StringIO(newline="")
+    w = csv.writer(text)
+    w.writerow(df.columns)
+    w.writerows(["" if v is None else v for v in r] for r in small_rows(df))
+    write_bytes(df.sparkSession, file, text.getvalue().encode("utf-8-sig" if mark else "utf-8"))
 
 
-def export_arrays(tables: dict[str, DataFrame], file: str) -> None:
+def export_arrays(tables: dict[str, DataFrame], file: str | Path) -> None:
     """An NPZ bundle: one array from each single-column table (numbers, or arrays of numbers)."""
-    np.savez_compressed(file, **{n: np.array([r[0] for r in small_rows(df)]) for n, df in tables.items()})
+    import io
+
+    data = io.BytesIO()
+    np.savez_compressed(data, **{n: np.array([r[0] for r in small_rows(df)]) for n, df in tables.items()})
+    write_bytes(next(iter(tables.values())).sparkSession, file, data.getvalue())
 
 
 def export_lines(df: DataFrame, file: str, order: list[str], line: str = "line") -> None:
-    Path(file).write_text("\n".join(r[0] for r in small_rows(df.orderBy(*order).select(line))) + "\n", encoding="utf-8")
+    write_bytes(df.sparkSession, file, ("\n".join(r[0] for r in small_rows(df.orderBy(*order).select(line))) + "\n").encode())
 
 
 def report(df: DataFrame) -> DataFrame:
