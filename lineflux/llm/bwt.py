@@ -24,6 +24,8 @@ COLLECTION = 1 << 17
 END = 255
 #: Bytes that one symbol's hash covers.
 CONTEXT = 8
+#: Hot strings that a task remembers at once.
+SEEN = 100_000
 
 
 def symbolize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,33 +78,46 @@ def repeats_of(strings: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[n
 
 
 def segment_texts(texts: DataFrame) -> DataFrame:
-    """(key, doc_id, at, text): the requested segments; those of hot keys as single strings with keys of their own."""
+    """(key, doc_id, at, text): the requested segments; those of hot keys as single strings with keys of their own.
+
+    Of a hot string the task keeps the earliest place; later ones that it sees only repeat it (key and text null), so a string that all
+    documents share is dealt out about once a task."""
     names, kinds = ["key", "doc_id", "at", "text"], ["int64", "int64", "int32", "binary"]
 
     def rows(batches):
         import pyarrow as pa
 
         types = [getattr(pa, k)() for k in kinds]
+
+        def made(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+        hot: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            for r in range(batch.num_rows):
-                text, doc = batch.column(1)[r].as_py(), batch.column(0)[r].as_py()
-                out, seen = [], set()
-                for q in batch.column(2)[r].as_py():
-                    at, n = q["at"], q["n"]
-                    if q["hot"]:
-                        for k in range(at, at + n):
-                            s = text[k : k + LENGTH]
-                            h = int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)
-                            if len(s) == LENGTH:
-                                out.append((h, doc, k, s))
-                    elif (at, n) not in seen:
-                        seen.add((at, n))
-                        out.append((q["key"], doc, at, text[at : at + n + LENGTH - 1]))
+            out = []
+            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                text, values = text.as_py(), spans.values
+                at, n, key, is_hot = (values.field(k).to_pylist() for k in ("at", "n", "key", "hot"))
+                for a, m, k in {(a, m, None if h else k) for a, m, k, h in zip(at, n, key, is_hot)}:
+                    if k is not None:
+                        out.append((k, doc, a, text[a : a + m + LENGTH - 1]))
+                    else:
+                        # a string that a batch saw before needs no row of its own but its place, unless it is the earliest so far
+                        for i in range(a, min(a + m, len(text) - LENGTH + 1)):
+                            s = text[i : i + LENGTH]
+                            first = hot.get(s)
+                            if first is None or (doc, i) < first:
+                                hot[s] = (doc, i)
+                                out.append((int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), doc, i, s))
+                            elif (doc, i) > first:
+                                out.append((None, doc, i, None))
+                        if len(hot) > SEEN:
+                            hot.clear()
                     if len(out) > 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                        yield made(out)
                         out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            if out:
+                yield made(out)
 
     return texts.mapInArrow(rows, "key long, doc_id long, at int, text binary")
 
@@ -111,7 +126,8 @@ def repeated_strings(segments: DataFrame) -> DataFrame:
     """(doc_id, at, n): single strings to remove."""
     # equal segments meet first, so that only the earliest goes into a collection
     n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = segments.repartition(n, "key").sortWithinPartitions("key", "text", "doc_id", "at")
+    spread = F.when(F.col("text").isNotNull(), F.col("key")).otherwise(F.xxhash64("doc_id", "at"))
+    dealt = segments.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")).repartition(n, "part").sortWithinPartitions("key", "text", "doc_id", "at").drop("part")
 
     def build(batches):
         import pyarrow as pa
@@ -125,6 +141,9 @@ def repeated_strings(segments: DataFrame) -> DataFrame:
         held, total, last, copies = [], 0, (None, None, None, None), []
         for batch in batches:
             for key, doc, at, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                if text is None:
+                    copies.append((doc, at))
+                    continue
                 if key == last[0] and text == last[1]:
                     if (doc, at) != last[2:]:
                         copies += [(doc, at + k) for k in range(len(text) - LENGTH + 1)]
@@ -157,8 +176,10 @@ def dedup_strings(docs: DataFrame, texts: bool = True) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     found = candidates(docs.where("doc_id is not null"), symbolize, LENGTH, GRAM, within_doc=True, deciding=True, context=CONTEXT)
-    near = docs.join(asked(found), "doc_id").select("doc_id", "text", "spans")
-    extra = store(repeated_strings(segment_texts(near)), "strings")
+    release_shuffles(docs.sparkSession)
+    lists = asked(found)
+    release_shuffles(docs.sparkSession)
+    extra = store(repeated_strings(segment_texts(docs.join(lists, "doc_id").select("doc_id", "text", "spans"))), "strings")
     release_shuffles(docs.sparkSession)
     return finished(docs.join(gathered(found, extra), "doc_id", "left").select("doc_id", "text", "spans"), texts)
 

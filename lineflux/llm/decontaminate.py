@@ -141,8 +141,9 @@ def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     found = contamination(keyed, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     bad = store(found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("hash").alias("bad_hash")).distinct(), "bad")
-    same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_hash"))
-    return docs.join(few(bad, FEW_KEYS), same, "left_anti")
+    bad = few(bad, FEW_KEYS)
+    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_hash"])
+    return docs.join(bad, same, "left_anti")
 
 
 OP3_SQL = r"""

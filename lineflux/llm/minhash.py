@@ -350,4 +350,5 @@ def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words and rows without an id stay; rows of one id are one document and stay or go together."""
     gone = store(near_duplicates(docs, 80, 100).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(few(gone, FEW_KEYS), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = few(gone, FEW_KEYS)
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

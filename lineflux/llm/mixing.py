@@ -131,7 +131,8 @@ def mix(docs: DataFrame, *, quality: Column | None = None, most_epochs: int = 3,
 def quality_weights(docs: DataFrame, labels: DataFrame, name: str = "_quality") -> DataFrame:
     """docs with a quality weight: 1 where the document's label says good, 0.25 where bad, 0.5 without a label."""
     best = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("best"))
-    return docs.join(best, docs["doc_id"] == F.col("labelled"), "left").select(*(docs[f"`{c}`"] for c in docs.columns), F.when(F.col("best") > 0, 1.0).when(F.col("best").isNotNull(), 0.25).otherwise(0.5).alias(name))
+    weight = F.when(best["best"] > 0, 1.0).when(best["best"].isNotNull(), 0.25).otherwise(0.5).alias(name)
+    return docs.join(best, docs["doc_id"] == best["labelled"], "left").select(*(docs[f"`{c}`"] for c in docs.columns if c != name), weight)
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:

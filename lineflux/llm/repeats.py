@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_view, chunks, few, mix64, powers, release_shuffles, sliding_min, store
+from .common import binary_view, chunks, few, mix64, powers, sliding_min, store
 
 #: Windows of a segment at most (more than a gram lasts, so only periodic texts reach it), and classes of a key in a batch or
 #: bucket from which it is hot.
@@ -200,9 +200,7 @@ def candidates(docs: DataFrame, symbolize, length: int, gram: int, *, within_doc
     scanned = docs.mapInArrow(scan, "bucket int, records binary, known binary")
     spread = F.when(F.col("bucket").isNull(), F.pmod(F.xxhash64("known"), F.lit(1 << 20))).otherwise(F.col("bucket")).cast("int")
     dealt = scanned.withColumn("part", spread).repartition(partitions, "part").sortWithinPartitions("bucket").select("bucket", "records", "known")
-    found = store(dealt.mapInArrow(reduce_, OUT), "segments")
-    release_shuffles(docs.sparkSession)
-    return found
+    return store(dealt.mapInArrow(reduce_, OUT), "segments")
 
 
 def asked(found: DataFrame) -> DataFrame:

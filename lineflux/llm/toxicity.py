@@ -179,6 +179,14 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not toxic."""
+    """The documents that are not toxic, as they came.
+
+    Null and empty texts and null ids stay (without a feature nothing is toxic while most labelled rows are clean); repeated rows stay or go
+    together; without labels nothing goes; an empty table gives no rows; columns of any name are kept."""
     model = fit(docs, grades_table(table(spark, sf_dir, "labels")))
-    return score(docs, model).where("not toxic").select(*docs.columns)
+    put = {c: c for c in docs.columns}
+    for c in ("severity", "p_toxic", "toxic"):
+        while c in put and put[c] in docs.columns:
+            put[c] += "_"
+    found = score(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in put.items())), model).where("not toxic")
+    return found.select(*(F.col(f"`{n}`").alias(c) for c, n in put.items()))

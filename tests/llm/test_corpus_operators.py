@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests_llm_helpers import PLAIN, plain_spans
+
 from lineflux.llm import bwt, common, decontaminate, hnsw, minhash, mixing, pii, suffix_tree, tokens, toxicity, warc
 
 VOCABULARY = ["ab", "c", "dé", "x9", "the", "of", "zz", "q"]
@@ -77,6 +79,57 @@ def test_byte_strings(spark, seed):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == want[r.doc_id]
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_suffix_tree_nodes(seed):
+    rng = random.Random(seed)
+    letters, least = rng.choice([1, 2, 3, 8]), rng.choice([1, 2, 3, 5, 13])
+    strings = [[rng.randrange(letters) for _ in range(rng.randint(1, 40))] for _ in range(rng.randint(0, 12))]
+    strings += strings[:1]
+    tree = suffix_tree.SuffixTree(strings, least)
+    want, got = defaultdict(list), defaultdict(list)
+    for i, s in enumerate(strings):
+        for k in range(len(s) - least + 1):
+            want[tuple(s[k : k + least])].append((i, k))
+    for node, i, k in zip(tree.nodes(least).tolist(), tree.sequence.tolist(), tree.offset.tolist()):
+        got[node].append((i, k))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    suffix = [strings[i][k:] for i, k in zip(tree.sequence.tolist(), tree.offset.tolist())]
+    assert suffix == sorted(suffix)
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for i in range(1, len(suffix)):
+        if shared(suffix[i - 1], suffix[i]) >= least:
+            assert tree.common[i] == shared(suffix[i - 1], suffix[i])
+    for depth, first, last in tree.maximal(least):
+        assert depth == min(shared(a, b) for a, b in zip(suffix[first : last - 1], suffix[first + 1 : last])) >= least
+
+
+def thue_morse(n: int) -> str:
+    s = "a"
+    for _ in range(n):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_regular_words_do_not_collide(spark):
+    one = thue_morse(10)
+    other = one.translate(str.maketrans("ab", "ba"))
+    shared = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{shared} {one}"), (2, f"{shared} {other}")], "doc_id long, text string")
+    assert [r.n_removed for r in suffix_tree.dedup_windows(docs).collect()] == [0, 0]
+    docs = spark.createDataFrame([(1, f"{one} {one} x y z"), (2, f"{other} {other} x y z")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2}
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in bwt.dedup_strings(docs).collect()}
+    seen, want = set(), {}
+    for i, t in ((1, one), (2, other)):
+        cut = np.zeros(len(t), bool)
+        for k in range(len(t) - 99):
+            cut[k : k + 100] |= t[k : k + 100] in seen
+            seen.add(t[k : k + 100])
+        want[i] = int(cut.sum())
+    assert got == want
+
+
 def test_suffix_order_is_sorted():
     strings = [b"banana", b"ananas", b"banana", b"b"]
     data = np.frombuffer(b"\xff" + b"\xff".join(strings) + b"\xff", np.uint8)
@@ -155,6 +208,50 @@ def test_personal_data_base(spark):
     assert got[6].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_personal_data_against_plain_patterns(spark):
+    rng = random.Random(21)
+    parts = ["a", "B.", "@", ".", "-", "x@y.de", "+1", "1", "25", "255", "256", " ", " ", "(", ")", "4111111111111111", "10.0.0.1", "+49 30 1234567", "é", "𝕏", "\n", "0", "%", "_", "5500-0000-0000-0004"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))) for i in range(800)]
+    got = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(len(plain_spans(t)) for _, t in rows) > 300
+    for i, t in rows:
+        want, r = plain_spans(t), got[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in want) for kind in PLAIN], t
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest(), t
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r.spans.split(",")) | {""}
+
+
+def test_pattern_scores_against_plain_loops(spark):
+    rng = random.Random(22)
+    edges = sorted({(f"p{rng.randrange(8)}", f"i{rng.randrange(60)}") for _ in range(260)})
+    seed = {f"i{k}": k % 2 for k in range(50)}
+    rows = [(p, i, seed.get(i)) for p, i in edges]
+    of_p, of_i = defaultdict(set), defaultdict(set)
+    for p, i in edges:
+        of_p[p].add(i)
+        of_i[i].add(p)
+    score = {(i, k): 1.0 for i, k in seed.items()}
+    for _ in range(3):
+        trust = {(p, k): sum(score.get((i, k), 0) for i in of_p[p]) / (len(of_p[p]) + 1) for p in of_p for k in (0, 1)}
+        trust = {x: t for x, t in trust.items() if any((i, x[1]) in score for i in of_p[x[0]])}
+        fresh = {(i, k): 1 - np.prod([1 - min(trust.get((p, k), 0), 0.999) for p in of_i[i]]) for i in of_i if i not in seed for k in (0, 1) if any((p, k) in trust for p in of_i[i])}
+        score = {(i, k): 1.0 for i, k in seed.items() if i in of_i} | fresh
+    got = {(r.pattern, r.kind): r.trust for r in pii.trusted(spark.createDataFrame(rows, "pattern string, instance string, seed int"), 3, 0.0).collect()}
+    assert got == pytest.approx(trust) and len(got) == 16
+
+
+def test_shapes_and_right_words_find_unseen_numbers(spark):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(i, f"{word()} {word()} 10.{100 + i % 100}.7.{10 + i % 80} {word()}") for i in range(120)] + [(500, f"{word()} {word()} 10.300.7.25 {word()}"), (501, f"version 10.2 of {word()}")]
+    rows += [(600 + i, f"{word()} x{i}@mail.org writes") for i in range(30)] + [(700, f"{word()} kim9(at)home writes")]
+    rows += [(800, f"{word()} token = \"{'0123456789abcdef' * 3}\" {word()}")]
+    got = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[500].n_ip == 0 and got[500].spans.startswith("ip:") and got[501].spans == ""
+    assert got[700].spans.startswith("email:") and got[700].n_email == 0
+    assert got[800].spans.startswith("secret:") and got[800].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
 def test_personal_data_in_context(spark):
     seeds = [(i, f"lorem write to user{i}@mail.example.org now", "s", "en") for i in range(20)]
     rows = [*seeds, (100, "lorem write to bob7(at)example now", None, None), (101, "room 17 is free", None, None)]
@@ -267,28 +364,51 @@ def test_graph_recall():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(top, ids)]) > 0.9
 
 
-def test_rare_links_are_not_left_to_an_empty_audit():
+def test_planted_audit_rejects_a_graph_that_finds_nothing():
     rng = np.random.default_rng(3)
     x = hnsw.unit(rng.normal(size=(2000, 32)))
     x[701] = hnsw.unit(x[700:701] + 0.01 * rng.normal(size=(1, 32)))[0]
-    g = hnsw.Graph(x.astype(np.float32), [np.full((2000, 24), -1, np.int32)], [np.arange(2000)])  # its walks find nothing
+    broken = hnsw.Graph(x.astype(np.float32), [np.full((2000, 24), -1, np.int32)], [np.arange(2000)])
+    width, found, planted = hnsw.planted_width(broken, x, 0.93)
+    assert width is None and found < 10 and planted == hnsw.PLANTED
     want = {(int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.93) if a != b}
     assert {(700, 701), (701, 700)} <= want
-    got = {(int(i), int(j)) for a, b in hnsw.links_of(g, x, x, 0.93, np.arange(2000)) for i, j in zip(a, b)}
-    assert got == want
+    seen = {}
+    assert {(int(i), int(j)) for a, b in hnsw.links_of(broken, x, x, 0.93, np.arange(2000), width, seen) for i, j in zip(a, b)} == want
+    assert seen["queries"] == seen["exact"] == 2000
 
 
-def test_full_beams_widen_for_themselves():
+def test_a_sound_graph_answers_by_itself_and_full_beams_by_products():
     rng = np.random.default_rng(4)
     size = np.array([200] + [6] * 300)
     x = hnsw.unit(np.repeat(rng.normal(size=(301, 32)), size, 0) + 0.02 * rng.normal(size=(2000, 32)))
-    g, walked = hnsw.Graph.build(x.astype(np.float32)), []
-    search = g.search
-    g.search = lambda q, width: walked.append((width, len(q))) or search(q, width)
-    got = {(int(i), int(j)) for a, b in hnsw.links_of(g, x, x, 0.93, np.arange(2000)) for i, j in zip(a, b)}
+    g = hnsw.Graph.build(x.astype(np.float32))
+    width, found, planted = hnsw.planted_width(g, x, 0.93)
+    assert width is not None and found >= hnsw.RECALL * planted
+    seen = {}
+    got = {(int(i), int(j)) for a, b in hnsw.links_of(g, x, x, 0.93, np.arange(2000), width, seen) for i, j in zip(a, b)}
     want = {(int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.93) if a != b}
     assert len(got & want) >= 0.999 * len(want) and got <= want
-    assert walked[0] == (32, 2000) and walked[1] == (64, 200)
+    assert seen["exact"] <= 200 and seen["got"] >= 0.999 * seen["wanted"] > 0
+
+
+def test_several_shards_at_default_settings(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(hnsw.SHARD + 3000, 8))
+    twin = base[:40] + 0.001 * rng.normal(size=(40, 8))
+    x = np.concatenate([base, twin])
+    rows = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    links = hnsw.searched(hnsw.classes_of(hnsw.valid(rows)), 0.9995, hnsw.SHARD)
+    report = hnsw.audit(links).first()
+    assert links.where("queries is not null and planted > 0").count() >= 2 and report.queries >= 2 * len(x)
+    u = hnsw.unit(x)
+    want = np.zeros(len(x), int)
+    for k in range(0, len(x), 1000):
+        want[k : k + 1000] = (u[k : k + 1000] @ u.T >= 0.9995).sum(1) - 1
+    got = np.zeros(len(x), int)
+    for r in links.where("a is not null and b is null").collect():
+        got[r.a] += r.n
+    assert (got <= want).all() and got.sum() >= 0.999 * want.sum() and want.sum() >= 80 and (got[:40] > 0).all()
 
 
 def test_toxicity_held_out(spark):
@@ -310,6 +430,41 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.severity <= 2 and r.severity >= r.p_toxic - 1e-9 for r in got.values())
 
 
+def test_cumulative_link_fit_and_scores(spark):
+    """The fit is a stationary point of the penalised likelihood, worked out here by plain loops; scores are the model's sums."""
+    rng = np.random.default_rng(13)
+    rows = [np.flatnonzero(rng.random(6) < 0.4).astype(np.int32) for _ in range(300)]
+    true = np.array([2.0, -1.0, 0.5, 0.0, 1.0, -2.0])
+    latent = np.array([true[r].sum() for r in rows]) + rng.logistic(size=300)
+    grades = np.digitize(latent, [0.0, 1.5])
+
+    def cost(w, cuts):
+        out = 0.5e-5 * float(w @ w)
+        for r, g in zip(rows, grades):
+            p = [1.0, *(1 / (1 + np.exp(-(w[r].sum() - c))) for c in cuts), 0.0]
+            out -= np.log(p[g] - p[g + 1]) / len(rows)
+        return out
+
+    w, cuts = toxicity.fit_cumulative(rows, grades, 6, steps=3000, rate=0.05)
+    assert list(cuts) == sorted(cuts)
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-4
+        assert abs(cost(w + step, cuts) - cost(w - step, cuts)) / 2e-4 < 2e-3
+    for k in range(2):
+        step = np.zeros(2)
+        step[k] = 1e-4
+        assert abs(cost(w, cuts + step) - cost(w, cuts - step)) / 2e-4 < 2e-3
+
+    model = toxicity.Model({"vile*": 1.5, "vilezor": 0.5, "good": -1.0}, [0.25, 1.75])
+    texts = ["Vilezor good", "good good", "", None, "vile vilepun VILEPUN", "x " * 5000 + "vilemak"]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        total = sum(sum(model.weights.get(f, 0.0) for f in toxicity.features_of(x)) for x in set(re.findall(r"\w+", (t or "").lower())))
+        p = [1 / (1 + np.exp(-(total - c))) for c in model.cuts]
+        assert got[i].severity == pytest.approx(sum(p)) and got[i].p_toxic == pytest.approx(p[0]) and got[i].toxic == (p[0] >= 0.5)
+
+
 def test_without_labels_nothing_is_toxic(spark):
     docs = frame(spark, corpus(8))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -345,10 +500,65 @@ def test_null_ids(spark):
     assert pii.extract(docs).count() == 3 and mixing.mix(mixing.sized(docs)).count() == 3
 
 
+CLASHING = ("n_words", "n_hit", "taken", "toxic", "spans", "component_id", "_key", "_row", "_source", "_spans", "_quality", "_best", "key", "own", "row", "words", "h", "id", "grp", "text_", "copies", "size", "kind", "start", "rep")
+
+
 def test_clashing_columns(spark):
-    docs = frame(spark, corpus(2)).withColumns({"n_words": F.lit("x"), "n_hit": F.lit(1), "taken": F.lit(2), "toxic": F.lit("y"), "spans": F.lit(0), "component_id": F.lit(9), "_key": F.lit(3)})
-    bench = spark.createDataFrame([(1, "zz")], "item_id int, text string")
+    docs = frame(spark, corpus(2)).withColumns({c: F.lit(k) for k, c in enumerate(CLASHING)})
+    bench = spark.createDataFrame([(1, "zz", 5)], "item_id int, text string, words int")
     n = docs.count()
     assert decontaminate.contamination(docs, bench).count() == n and minhash.near_duplicates(docs).count() == n and pii.extract(docs).count() == n
-    assert toxicity.score(docs, toxicity.Model({}, [0.0])).count() == n and mixing.mix(mixing.sized(docs.drop("_key"))).count() == n
+    assert toxicity.score(docs, toxicity.Model({}, [0.0])).count() == n and mixing.mix(mixing.sized(docs)).count() == n
     assert suffix_tree.dedup_windows(docs).count() == n and bwt.dedup_strings(docs).count() == n
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns and clean.where("_key = 6 and spans = 4").count() == n
+    mixed = mixing.mix(mixing.sized(docs))
+    assert mixed.where("_key = 6 and _row = 7 and _source = 8").count() == n
+    P = pytest.importorskip("public_tokenizers")
+    assert tokens.count_tokens(docs, P.path(tokens.MODEL)).count() == n
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 1, 2, "x", 3), (2, [1.0, 0.1], 1, 2, "x", 3)], "vec_id long, embedding array<double>, label int, rep int, cls string, links int")
+    assert [r.component_id for r in hnsw.near_embeddings(vectors).collect()] == [1, 1]
+
+
+def test_clashing_columns_of_pages(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x", 7, "d"), (2, "v", "x", 7, "d")], "page_id long, url string, html string, payload_bytes int, payload_digest string")
+    warc.write_archives(pages, f"{tmp_path}/a")
+    assert sorted((r.page_id, r.record_type) for r in warc.read_archives(spark, f"{tmp_path}/a").collect()) == [(1, "response"), (2, "revisit")]
+
+
+def test_empty_tables_of_the_others(spark, tmp_path):
+    docs = frame(spark, corpus(1)).where("doc_id < 0")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/a")
+    assert warc.read_archives(spark, f"{tmp_path}/a").count() == 0
+    P = pytest.importorskip("public_tokenizers")
+    assert tokens.count_tokens(docs, P.path(tokens.MODEL)).count() == 0
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, toxicity.fit(docs, toxicity.grades_table(labels))).count() == 0
+
+
+def test_large_pages_go_to_archives_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 100)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2500)
+    rows = [(i, "u", ("y" if i % 4 else "z" * 1000) + str(i)) for i in range(40)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/a")
+    back = warc.read_archives(spark, f"{tmp_path}/a")
+    assert {r.page_id: bytes(r.payload).decode() for r in back.collect()} == {i: t for i, _, t in rows}
+    assert max(p.stat().st_size for p in (tmp_path / "a").glob("part-*")) < 30 * 600 + 2500 and back.select("archive").distinct().count() == 6
+
+
+def test_salvage_of_a_damaged_member_and_its_log(spark, tmp_path, caplog):
+    record = lambda k: f"WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: {k}\r\nContent-Length: 3000\r\n\r\n".encode() + random.Random(k).randbytes(3000) + b"\r\n\r\n"
+    one, two = gzip.compress(b"".join(map(record, range(60)))), gzip.compress(record(99))
+    cut = bytearray(one)
+    cut[100_000:100_400] = b"\0" * 400
+    found = list(warc.salvage(bytes(cut) + two))
+    kept = [int(f.headers["x-page-id"]) for f in found if not f.fault]
+    assert kept[-1] == 99 and kept[:-1] == list(range(len(kept) - 1)) and 25 < len(kept) < 60
+    gaps = [f for f in found if f.fault]
+    assert sum(f.end - f.first for f in found) == len(one) + len(two) and gaps
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc.gz").write_bytes(bytes(cut) + two)
+    got = warc.quarantine(warc.read_archives(spark, f"{tmp_path}/w")).collect()
+    assert [(r.first_byte, r.end_byte) for r in got] == [(f.first, f.end) for f in gaps] and "quarantined" in caplog.text
+
+
