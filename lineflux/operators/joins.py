@@ -55,22 +55,46 @@ def band(left: DataFrame, right: DataFrame, keys: list[str], l_pos: str, r_pos:
     return l.join(r, [*keys, "_b"]).where(F.abs(F.col(l_pos) - F.col(r_pos)) <= reach).drop("_b")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "nr") -> DataFrame:
+    """df with its rows' numbers from 1 in the given order: rows are dealt by range and numbered within, so no task sees them all."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted(map(tuple, dealt.groupBy("_part").count().collect()))  # a row per partition
+    starts = df.sparkSession.createDataFrame([(part, sum(k for _, k in sizes[:i])) for i, (part, _) in enumerate(sizes)], "_part int, _start long")
+    return dealt.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).drop("_part", "_start")
+
+
+#: Candidates of a group that one task may match in order.
+SEQUENTIAL = 100_000
+
+
 def greedy_match(candidates: DataFrame, group: list[str], a: str, b: str, cost: str) -> DataFrame:
     """One-to-one matching: ascending (cost, a, b), each side once.
 
-    A pair that is the best of both its sides is in the greedy matching whatever else happens, so rounds of such pairs give it.
+    Groups are independent, and one of SEQUENTIAL candidates at most is matched in order by one task. In larger ones a pair that is the
+    best of both its sides is in the matching whatever else happens, so rounds of such pairs shrink them until they are small.
     """
     left, matched = candidates.select(*group, a, b, cost), None
-    while True:
-        best = F.struct(cost, a, b)
-        by_a = Window.partitionBy(*group, a)
-        by_b = Window.partitionBy(*group, b)
-        won = checkpointed(left.withColumn("_a", F.min(best).over(by_a)).withColumn("_b", F.min(best).over(by_b)).where((F.col("_a") == best) & (F.col("_b") == best)).select(*group, a, b, cost))
-        if won.isEmpty():
-            return matched if matched is not None else won
+    best = F.struct(cost, a, b)
+    while left.groupBy(*group).count().where(F.col("count") > SEQUENTIAL).limit(1).count():
+        won = left.withColumn("_a", F.min(best).over(Window.partitionBy(*group, a))).withColumn("_b", F.min(best).over(Window.partitionBy(*group, b)))
+        won = checkpointed(won.where((F.col("_a") == best) & (F.col("_b") == best)).select(*group, a, b, cost))
         matched = won if matched is None else matched.unionAll(won)
         left = checkpointed(left.join(won.select(*group, a), [*group, a], "left_anti").join(won.select(*group, b), [*group, b], "left_anti"))
 
+    def in_order(rows):
+        used_a, used_b, keep = set(), set(), []
+        rows = rows.sort_values([cost, a, b])
+        for x, y in zip(rows[a], rows[b]):
+            keep.append(x not in used_a and y not in used_b)
+            if keep[-1]:
+                used_a.add(x)
+                used_b.add(y)
+        return rows[keep]
+
+    rest = left.groupBy(*group).applyInPandas(in_order, left.schema).select(*group, a, b, cost)
+    return rest if matched is None else matched.unionAll(rest)
+
 
 def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], value: str, default: Column | None = None) -> DataFrame:
     """rows with the value of their keys: the default where there is none, or an error if no default is given."""

@@ -29,7 +29,7 @@ def parse_log(docs: DataFrame, doc: str, text: str, made: str = "made", left_fir
     lines = lines.withColumn("kind", kind).withColumn("rec", F.sum((F.col("kind") == "time").cast("int")).over(w))
     if left_first:
         ahead = Window.partitionBy(doc).orderBy("pos")
-        own = (F.col("kind") == "text") & (F.coalesce(F.lag("kind").over(ahead), F.lit("score")) == "score") & F.lead("kind").over(ahead).isin("time", "delta")
+        own = (F.col("kind") == "text") & (F.coalesce(F.lag("kind").over(ahead), F.lit("score")) == "score") & F.coalesce(F.lead("kind").over(ahead), F.lit("")).isin("time", "delta")
         lines = lines.withColumn("_own", own).withColumn("rec", F.col("rec") + (F.col("_own") | ((F.col("kind") == "delta") & F.coalesce(F.lag("_own").over(ahead), F.lit(False)))).cast("int"))
     lines = lines.where("rec > 0")
     heads = lines.groupBy(doc, "rec").agg(

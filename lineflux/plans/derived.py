@@ -30,15 +30,15 @@ SELECT p_partkey, CAST(code AS BIGINT) AS code, coalesce(CASE WHEN p_partkey % 7
 def categorical_code(spark, d):
     """Codes by first appearance; a missing look-up is -1."""
     p = table(spark, d, "part").select("p_partkey", "p_brand")
-    codes = p.groupBy("p_brand").agg(F.min("p_partkey").alias("first_key")).withColumn("code", (F.row_number().over(Window.orderBy("first_key")) - 1).cast("long"))
+    codes = joins.numbered(p.groupBy("p_brand").agg(F.min("p_partkey").alias("first_key")), [C("first_key")]).withColumn("code", C("nr") - 1)
     return p.join(codes, "p_brand").select("p_partkey", "code", F.coalesce(F.when(C("p_partkey") % 7 != 0, C("code")), F.lit(-1)).alias("idx"))
 
 
 @query("""
-WITH s AS (SELECT o_orderkey, o_custkey % 2 = 0 AS home, o_totalprice AS a, o_totalprice * 0.5 AS b FROM orders WHERE o_custkey % 5 = 1 OR o_custkey % 7 = 1)
+WITH s AS (SELECT o_orderkey, o_orderpriority = '1-URGENT' AS home, o_totalprice AS a, o_totalprice * 0.5 AS b FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderstatus = 'F')
 SELECT o_orderkey, CASE WHEN home THEN a ELSE b END AS own, CASE WHEN home THEN b ELSE a END AS other, CASE WHEN home THEN a - b ELSE b - a END AS margin FROM s""")
 def perspective_flip(spark, d):
-    s = table(spark, d, "orders").where((C("o_custkey") % 5 == 1) | (C("o_custkey") % 7 == 1)).select("o_orderkey", (C("o_custkey") % 2 == 0).alias("home"), C("o_totalprice").alias("a"), (C("o_totalprice") * 0.5).alias("b"))
+    s = table(spark, d, "orders").where((C("o_orderpriority") == "1-URGENT") | (C("o_orderstatus") == "F")).select("o_orderkey", (C("o_orderpriority") == "1-URGENT").alias("home"), C("o_totalprice").alias("a"), (C("o_totalprice") * 0.5).alias("b"))
     own, other = F.when(C("home"), C("a")).otherwise(C("b")), F.when(C("home"), C("b")).otherwise(C("a"))
     return s.select("o_orderkey", own.alias("own"), other.alias("other"), (own - other).alias("margin"))
 
@@ -99,14 +99,15 @@ def team_box(spark, d):
 
 
 @query("""
-WITH c AS (SELECT label, avg(CAST(embedding[1] AS DOUBLE)) AS x1, avg(CAST(embedding[2] AS DOUBLE)) AS x2, avg(CAST(embedding[3] AS DOUBLE)) AS x3 FROM embeddings GROUP BY 1),
-r AS (SELECT label, rank() OVER (ORDER BY x1) + rank() OVER (ORDER BY x2 DESC) + rank() OVER (ORDER BY x3 DESC) AS score FROM c)
-SELECT label, CAST(score AS INTEGER) AS score FROM r""")
+WITH c AS (SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 3) AS x1, round(avg(CAST(embedding[2] AS DOUBLE)), 3) AS x2, round(avg(CAST(embedding[3] AS DOUBLE)), 3) AS x3 FROM embeddings GROUP BY 1),
+r AS (SELECT label, rank() OVER (ORDER BY x1) + (count(*) OVER (PARTITION BY x1) - 1) / 2.0 + rank() OVER (ORDER BY x2 DESC) + (count(*) OVER (PARTITION BY x2) - 1) / 2.0
+  + rank() OVER (ORDER BY x3 DESC) + (count(*) OVER (PARTITION BY x3) - 1) / 2.0 AS score FROM c)
+SELECT label, CAST(score AS DOUBLE) AS score FROM r""")
 def summed_ranks(spark, d):
-    """Candidates by the sum of their ranks on several criteria."""
-    c = table(spark, d, "embeddings").groupBy("label").agg(*(F.avg(C("embedding")[i].cast("double")).alias(f"x{i + 1}") for i in range(3)))
-    rank = lambda o: F.rank().over(Window.orderBy(o))  # noqa: E731  one row per label
-    return c.select("label", (rank(C("x1")) + rank(F.desc("x2")) + rank(F.desc("x3"))).cast("int").alias("score"))
+    """Candidates by the sum of their average ranks on several criteria."""
+    c = table(spark, d, "embeddings").groupBy("label").agg(*(F.round(F.avg(C("embedding")[i].cast("double")), 3).alias(f"x{i + 1}") for i in range(3)))
+    rank = lambda n, o: F.rank().over(Window.orderBy(o)) + (F.count(F.lit(1)).over(Window.partitionBy(n)) - 1) / 2.0  # noqa: E731  one row per label
+    return c.select("label", (rank("x1", C("x1")) + rank("x2", F.desc("x2")) + rank("x3", F.desc("x3"))).alias("score"))
 
 
 @query("""

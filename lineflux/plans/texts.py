@@ -55,11 +55,11 @@ def contains_filter(spark, d):
 
 
 @query("""
-WITH n AS (SELECT DISTINCT array_to_string(string_split(p_type, ' ')[1:1 + p_partkey % 2], ' ') AS name FROM part WHERE p_partkey % 5 = 0)
+WITH n AS (SELECT DISTINCT array_to_string(string_split(p_type, ' ')[1:1 + p_partkey % 2], ' ') AS name FROM part WHERE p_size > 40)
 SELECT p_partkey, (SELECT arg_max(name, length(name)) FROM n WHERE p_type = name OR starts_with(p_type, name || ' ')) AS name FROM part""")
 def prefix_lookup(spark, d):
     p = table(spark, d, "part")
-    names = p.where("p_partkey % 5 = 0").select(F.array_join(F.slice(F.split("p_type", " "), F.lit(1), (1 + C("p_partkey") % 2).cast("int")), " ").alias("name"))
+    names = p.where("p_size > 40").select(F.array_join(F.slice(F.split("p_type", " "), F.lit(1), (1 + C("p_partkey") % 2).cast("int")), " ").alias("name"))
     return T.prefix_lookup(p, "p_partkey", "p_type", names, "name")
 
 
