@@ -65,6 +65,11 @@ def batch_lineups(log: DataFrame, keys: list[str], entity: str, enters: Column,
     return out.select(*keys, "start_time", "end_time", F.coalesce("lineup", empty).alias("lineup"))
 
 
+def side_of(lineup: str, which: str) -> Column:
+    """The members of one side in a line-up of (side, id)."""
+    return F.transform(F.filter(lineup, lambda x: x["side"] == which), lambda x: x["id"])
+
+
 def two_sided_stints(log: DataFrame, game: str, period: str, side: str, entity: str, is_sub: Column, enters: Column, pos: str, time: str, begin: Column, end: Column) -> DataFrame:
     """Stints of two sides, told record by record and begun anew in each period.
 
@@ -74,11 +79,10 @@ def two_sided_stints(log: DataFrame, game: str, period: str, side: str, entity:
     who = log.withColumn("_who", F.struct(F.col(side).alias("side"), F.col(entity).alias("id")))
     keys = [game, period]
     s = record_lineups(who, keys, "_who", is_sub, enters, pos, time)
-    of = lambda which: F.transform(F.filter("lineup", lambda x: x["side"] == which), lambda x: x["id"])
     s = s.withColumn("start", F.when(F.col("stint") == 1, begin).otherwise(F.col("start_time")))
     s = s.withColumn("end", F.coalesce(F.lead("start").over(over(keys, ["stint"])), end)).withColumn("duration", F.col("end") - F.col("start"))
     s = s.withColumn("stint_no", F.row_number().over(over([game], [period, "stint"])))
-    return s.select(*keys, "stint_no", F.format_string("%s_%03d", F.col(game).cast("string"), F.col("stint_no")).alias("stint_id"), "start", "end", "duration", of("home").alias("home"), of("away").alias("away"))
+    return s.select(*keys, "stint_no", F.format_string("%s_%03d", F.col(game).cast("string"), F.col("stint_no")).alias("stint_id"), "start", "end", "duration", side_of("lineup", "home").alias("home"), side_of("lineup", "away").alias("away"))
 
 
 def valid_stints(stints: DataFrame, stint: str, size: int, known: DataFrame, entity: str) -> DataFrame:

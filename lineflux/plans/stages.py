@@ -94,6 +94,41 @@ def lineups_to_the_end(spark, d):
     return final(spark, d).select("grp", C("start_time").alias("start_t"), C("end_time").alias("end_t"), F.array_join(C("lineup").cast("array<string>"), "|").alias("lineup_ids"))
 
 
+@query("""
+WITH log AS (SELECT user_id % 20 AS game, CAST(event_id % 2 + 1 AS INTEGER) AS quarter, CASE WHEN user_id // 20 % 2 = 0 THEN 'home' ELSE 'away' END AS side, user_id AS id, event_type = 'signup' AS enters, epoch_us(ts) // 21600000000 AS t
+             FROM events WHERE event_type IN ('signup', 'error')),
+s AS (SELECT game, quarter, side, id, t, max(CASE WHEN enters THEN 1 ELSE 0 END) AS on_ FROM log GROUP BY ALL), r AS (SELECT *, lead(t) OVER (PARTITION BY game, quarter, id ORDER BY t) AS until FROM s),
+x AS (SELECT game, quarter, t AS start_t, lead(t) OVER (PARTITION BY game, quarter ORDER BY t) AS end_t FROM (SELECT DISTINCT game, quarter, t FROM s)),
+u AS (SELECT x.*, row_number() OVER (PARTITION BY game ORDER BY quarter, start_t) AS no FROM x WHERE end_t IS NOT NULL)
+SELECT u.game || '_' || lpad(CAST(u.no AS VARCHAR), 3, '0') AS stint_id, u.start_t, u.end_t, coalesce(string_agg(CAST(r.id AS VARCHAR), '|' ORDER BY r.id) FILTER (WHERE r.side = 'home'), '') AS home_ids,
+       coalesce(string_agg(CAST(r.id AS VARCHAR), '|' ORDER BY r.id) FILTER (WHERE r.side = 'away'), '') AS away_ids, count(*) FILTER (WHERE r.side = 'home') = 2 AND count(*) FILTER (WHERE r.side = 'away') = 2 AND u.end_t > u.start_t AS valid
+FROM u LEFT JOIN r ON r.game = u.game AND r.quarter = u.quarter AND r.on_ = 1 AND r.t <= u.start_t AND (r.until IS NULL OR r.until > u.start_t) GROUP BY u.game, u.no, u.start_t, u.end_t""")
+def batch_stints(spark, d):
+    """Two-sided stints from substitutions batched by equal time, by quarter, valid with two members a side."""
+    e = timed(spark, d).where(C("event_type").isin("signup", "error")).select((C("user_id") % 20).alias("game"), (C("event_id") % 2 + 1).cast("int").alias("quarter"), "event_type", "event_id", F.floor(C("us") / 21_600_000_000).cast("long").alias("t"),
+                                F.struct(F.when(F.floor(C("user_id") / 20) % 2 == 0, "home").otherwise("away").alias("side"), C("user_id").alias("id")).alias("who"))
+    s = intervals.batch_lineups(e, ["game", "quarter"], "who", C("event_type") == "signup", "t", "event_id")
+    no = F.row_number().over(Wn.over(["game"], ["quarter", "start_time"]))
+    s = s.select(F.format_string("%d_%03d", "game", no).alias("stint_id"), C("start_time").alias("start_t"), C("end_time").alias("end_t"), (C("end_time") - C("start_time")).alias("duration"), intervals.side_of("lineup", "home").alias("home"), intervals.side_of("lineup", "away").alias("away"))
+    everyone = table(spark, d, "events").select(C("user_id").alias("id")).distinct()
+    ids = lambda c: F.array_join(C(c).cast("array<string>"), "|").alias(f"{c}_ids")
+    return intervals.valid_stints(s, "stint_id", 2, everyone, "id").select("stint_id", "start_t", "end_t", ids("home"), ids("away"), "valid")
+
+
+@query("""
+WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT user_id, count(*) AS n, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS made, CAST(count(*) FILTER (WHERE event_type = 'purchase' AND before = 'click') AS BIGINT) AS linked,
+       CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN count(*) FILTER (WHERE event_type = 'purchase' AND before = 'click') / count(*) FILTER (WHERE event_type = 'purchase') END AS linked_share,
+       CAST(count(*) FILTER (WHERE event_type = 'purchase' AND value > 100) AS BIGINT) AS missing_xy, count(*) FILTER (WHERE event_type = 'signup') = count(*) FILTER (WHERE event_type = 'error') AS score_ok, count(DISTINCT event_type) AS kinds FROM e GROUP BY 1""")
+def validation_table(spark, d):
+    """Checks of each log: totals that agree, the share of made shots that are linked, those without a place, kinds seen."""
+    e = table(spark, d, "events").withColumn("before", F.lag("event_type").over(Wn.over(["user_id"], ["ts", "event_id"])))
+    made = C("event_type") == "purchase"
+    c = stats.counters(e, ["user_id"], {"n": F.lit(True), "made": made, "linked": made & (C("before") == "click"), "missing_xy": made & (C("value") > 100), "ins": C("event_type") == "signup", "outs": C("event_type") == "error"})
+    kinds = e.groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"))
+    return c.join(kinds, "user_id").select("user_id", "n", "made", "linked", X.safe_div(C("linked"), C("made")).alias("linked_share"), "missing_xy", (C("ins") == C("outs")).alias("score_ok"), "kinds")
+
+
 SAYS_SQL = """CASE event_type WHEN 'click' THEN CASE WHEN value >= 50 THEN 'two shot made' ELSE 'two shot missed' END WHEN 'purchase' THEN CASE WHEN value >= 20 THEN 'three shot made' ELSE 'three shot blocked, shot missed' END
   WHEN 'view' THEN 'assist to a three shot made' WHEN 'error' THEN CASE WHEN value >= 30 THEN 'turnover' ELSE 'free throw shot made' END ELSE 'sub turnover' END"""
 KINDS_SQL = """CASE WHEN contains(says, 'sub') THEN NULL WHEN contains(says, 'assist') THEN 'ast' WHEN contains(says, 'block') THEN 'blk' WHEN contains(says, 'turnover') THEN 'tov'
