@@ -59,8 +59,8 @@ def numbered(df: DataFrame, order: list[Column], name: str = "nr") -> DataFrame:
     """df with its rows' numbers from 1 in the given order: rows are dealt by range and numbered within, so no task sees them all."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = checkpointed(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = sorted(map(tuple, dealt.groupBy("_part").count().collect()))  # a row per partition
-    starts = df.sparkSession.createDataFrame([(part, sum(k for _, k in sizes[:i])) for i, (part, _) in enumerate(sizes)], "_part int, _start long")
+    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("_part").count().select("_part", F.coalesce(before, F.lit(0)).alias("_start"))  # a row per partition
     return dealt.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).drop("_part", "_start")
 
 

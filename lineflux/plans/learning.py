@@ -210,3 +210,53 @@ def stability(spark, d):
         same[np.ix_(pick, pick)] += label[:, None] == label
     share = np.divide(same, both, out=np.zeros_like(same), where=both > 0)
     return spark.createDataFrame([(int(ids[i]), int(ids[j]), float(share[i, j])) for i in range(n) for j in range(i + 1, n)], "a long, b long, share double")
+
+
+@query("""
+WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, corr(a, b) AS r FROM e),
+z AS (SELECT vec_id, (a - ma) / sa AS a, (b - mb) / sb * CASE WHEN r < 0 THEN -1 ELSE 1 END AS b, r FROM e, s)
+SELECT vec_id, round((a + b) * (a + b) / 2, 6) AS first_sq, round((a - b) * (a - b) / 2, 6) AS second_sq, round((1 + abs(r)) / 2, 8) AS first_share, round((1 + abs(r)) / 2 + (1 - abs(r)) / 2, 8) AS both_share FROM z""")
+def components_of_two(spark, d):
+    """Two standardised columns: their components are known, with the shares they explain; squares leave signs out."""
+    e = table(spark, d, "embeddings").select("vec_id", F.slice(C("embedding").cast("array<double>"), 1, 2).alias("x"))
+    out, shares, _ = ml.pca(ml.standardised(e, "x"), "x", 1.0)
+    square = lambda i: F.round(C("pc")[i] * C("pc")[i], 6)
+    return out.select("vec_id", square(0).alias("first_sq"), square(1).alias("second_sq"), F.round(F.lit(shares[0]), 8).alias("first_share"), F.round(F.lit(sum(shares)), 8).alias("both_share"))
+
+
+@query("SELECT n_nationkey, CAST(n_nationkey % 3 AS INTEGER) AS kmeans, CAST(n_nationkey % 3 AS INTEGER) AS ward, CAST(n_nationkey % 3 AS INTEGER) AS mixture, CAST(n_nationkey % 3 AS INTEGER) AS small FROM nation")
+def separated_clusters(spark, d):
+    """Three far groups: k-means, Ward's linkage, a mixture and the small-sample k-means must all find them; numbered by place."""
+    e = table(spark, d, "nation").select("n_nationkey", F.array((C("n_nationkey") % 3) * 100.0 + C("n_regionkey"), C("n_regionkey") * 1.0).alias("x"))
+    found, centres, _ = ml.kmeans(e, "x", 3, 5)
+    ids, x = ml.matrix(e, "n_nationkey", "x")
+    place = lambda label: np.argsort(np.argsort([x[label == k, 0].mean() for k in range(3)]))[label]
+    small = [place(label) for label in (ml.ward(x, 3), ml.gaussian_mixture(x, 3)[0], ml.small_kmeans(x, 3))]
+    rows = spark.createDataFrame([(int(i), *(int(s[k]) for s in small)) for k, i in enumerate(ids)], "n_nationkey int, ward int, mixture int, small int")
+    number = np.argsort(np.argsort([c[0] for c in centres]))
+    return found.select("n_nationkey", F.element_at(F.array(*(F.lit(int(i)) for i in number)), C("cluster") + 1).alias("kmeans")).join(rows, "n_nationkey")
+
+
+@query("""
+WITH e AS (SELECT n_nationkey AS k, n_nationkey * 1.0 AS a, n_regionkey * 2.0 AS b, n_regionkey % 3 AS g FROM nation),
+p AS (SELECT x.k, x.g, y.g AS h, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) AS d, x.k = y.k AS own FROM e x, e y),
+m AS (SELECT k, g, h, sum(d) AS total, count(*) AS n FROM p GROUP BY 1, 2, 3),
+s AS (SELECT k, max(CASE WHEN g = h THEN CASE WHEN n > 1 THEN total / (n - 1) ELSE 0 END END) AS a, min(CASE WHEN g <> h THEN total / n END) AS b, max(CASE WHEN g = h THEN n END) AS size FROM m GROUP BY 1)
+SELECT k AS n_nationkey, CAST(round(CASE WHEN size > 1 THEN (b - a) / greatest(a, b) ELSE 0 END, 8) AS DOUBLE) AS silhouette FROM s""")
+def silhouette_scores(spark, d):
+    """How much nearer each row of a small sample is to its own group than to the next one."""
+    e = table(spark, d, "nation").select("n_nationkey", F.array(C("n_nationkey") * 1.0, C("n_regionkey") * 2.0, (C("n_regionkey") % 3) * 1.0).alias("x"))
+    ids, x = ml.matrix(e, "n_nationkey", "x")
+    s = ml.silhouettes(x[:, :2], x[:, 2].astype(int))
+    return spark.createDataFrame([(int(i), round(float(v), 8)) for i, v in zip(ids, s)], "n_nationkey int, silhouette double")
+
+
+@query("""
+WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+w AS (SELECT vec_id, exp(-(a * a + b * b) / 0.1) AS p, exp(-((a - 0.1) * (a - 0.1) + (b + 0.1) * (b + 0.1)) / 0.1) AS q, exp(-((a + 0.2) * (a + 0.2) + (b - 0.2) * (b - 0.2)) / 0.1) AS r FROM e)
+SELECT vec_id, round(p / (p + q + r), 8) AS p, round(q / (p + q + r), 8) AS q, round(r / (p + q + r), 8) AS r FROM w""")
+def membership_shares(spark, d):
+    """Soft membership in three given centres."""
+    e = table(spark, d, "embeddings").select("vec_id", F.slice(C("embedding").cast("array<double>"), 1, 2).alias("x"))
+    m = ml.soft_membership(C("x"), [[0.0, 0.0], [0.1, -0.1], [-0.2, 0.2]], 0.05)
+    return e.select("vec_id", m.alias("m")).select("vec_id", *(F.round(C("m")[i], 8).alias(n) for i, n in enumerate("pqr")))
