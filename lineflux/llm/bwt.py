@@ -28,45 +28,66 @@ CONTEXT = 8
 SEEN = 100_000
 
 
-def symbolize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def symbolize(data: np.ndarray, offsets: np.ndarray, secret: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """A hash of the CONTEXT bytes from each byte on."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return mix64(np.ndarray((len(data),), "<u8", padded, 0, (1,)) + np.uint64(0x9E3779B97F4A7C15)), offsets
+    return mix64(np.ndarray((len(data),), "<u8", padded, 0, (1,)) ^ secret), offsets
 
 
 def suffix_order(data: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Where in data the collection's suffixes start, in sorted order. String s is data[base[s] : base[s] + size[s]], with END
-    before it and after the last one.
+    """Where in data the collection's suffixes start, in sorted order. String s is data[base[s] : base[s] + size[s]], with the largest
+    symbol, which strings don't hold, before it and after the last one.
 
     The symbols before the suffixes so far are the transform. Sorting the order by it, equal symbols in place, inserts the next
     symbol of every string that has one left; the empty suffixes come first, by string."""
+    none = np.iinfo(data.dtype).max
     ends = (base + size).astype(np.int32)
     order = ends
     for _ in range(int(size.max()) if len(size) else 0):
         before = order - 1
         bwt = data[before]
         by = np.argsort(bwt, kind="stable")
-        order = np.concatenate([ends, before[by[: len(bwt) - np.count_nonzero(bwt == END)]]])
+        order = np.concatenate([ends, before[by[: len(bwt) - np.count_nonzero(bwt == none)]]])
     return order
 
 
+def in_pairs(data: np.ndarray, base: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each string as two strings of pairs of bytes, from its first and from its second byte, so that half the rounds insert all
+    suffixes: the pairs, the strings' bases and sizes, and the byte at which each pair starts."""
+    pair = data[:-1].astype(np.uint16) * np.uint16(256) + data[1:]
+    begin = np.concatenate([base, base + 1])
+    count = np.concatenate([(size + 1) // 2, size // 2])
+    base2 = np.cumsum(count + 1) - count
+    at = np.repeat(begin - 2 * base2, count + 1) + 2 * (1 + np.arange(int((count + 1).sum())))
+    at = np.concatenate([[0], at])
+    out = np.full(len(at), np.iinfo(np.uint16).max, np.uint16)
+    inside = np.ones(len(at), bool)
+    inside[0] = False
+    inside[base2 + count] = False
+    out[inside] = pair[at[inside]]
+    return out, base2, count, at
+
+
 def repeats_of(strings: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, start) of strings of LENGTH bytes that also start earlier in the collection. at: a segment's place in doc."""
     end = bytes([END])
     data = np.frombuffer(end + end.join(strings) + end, np.uint8)
     size = np.array([len(s) for s in strings])
     base = np.cumsum(size + 1) - size
-    place = suffix_order(data, base, size)
+    pairs, base2, count, byte = in_pairs(data, base, size)
+    place = suffix_order(pairs, base2, count)
+    place = byte[place[len(count) :]]  # without the empty suffixes
     string = np.searchsorted(base, place, side="right") - 1
     start = place - base[string]
     whole = size[string] - start >= LENGTH
     string, start, place = string[whole], start[whole], place[whole]
-    common = np.zeros(len(place), bool)  # with the suffix before
-    step = 4096
-    window = np.arange(LENGTH)
-    for i in range(1, len(place), step):
-        j = min(i + step, len(place))
-        common[i:j] = (data[place[i:j, None] + window] == data[place[i - 1 : j - 1, None] + window]).all(1)
+    # which suffixes share LENGTH bytes with the one before: eight bytes at a time, only where all were equal so far
+    blocks = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    same = np.arange(1, len(place))
+    for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        same = same[blocks[place[same] + k] == blocks[place[same - 1] + k]]
+    common = np.zeros(len(place), bool)
+    common[same] = True
     node = np.cumsum(~common) - 1
     d, a = doc[string], at[string] + start
     by = np.lexsort((a, d, node))

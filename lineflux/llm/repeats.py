@@ -3,8 +3,8 @@
 A text is a sequence of symbols (bytes or words). Of each window of `length` symbols the least hash of its grams is the key, so
 equal windows have equal keys. Consecutive windows with one key form a segment; segments with equal hashes are one class.
 Windows whose key occurs once in all documents repeat nothing and are left out; the other segments are requested for the operator's
-own method. With `deciding`, the first segment of a class stands for its copies, told by 128 bits of hashes under a secret
-of the run, and only keys with several classes (or a segment that may repeat itself) are requested.
+own method. With `deciding`, the first segment of a class stands for its copies, told by the hashes of key and segment (128 bits,
+under a secret of the run), and only keys with several classes (or a segment that may repeat itself) are requested.
 
 Records travel as packed arrays, one row for each task and bucket of keys. Copies within one batch are not sent again, so a key
 that all documents share sends one record per batch and class. A key with many classes (a common passage in ever new
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import binary_view, chunks, few, mix64, powers, sliding_min, store
 
-#: Windows of a segment at most (more than a gram lasts, so only periodic texts reach it), and classes of a key in a batch or
-#: bucket from which it is hot.
-LONGEST, HOT = 100, 256
+#: Classes of a key in a batch or bucket from which it is hot.
+HOT = 256
 #: Buckets of keys for each shuffle partition at least, and bytes of text whose records fill a bucket.
 BUCKETS_PER_PARTITION, BUCKET_BYTES = 16, 32 << 20
 #: Hot keys (8 bytes each) that are broadcast.
@@ -34,11 +33,11 @@ MULTI, HOT_MARK, SHARED = 1, 2, 4
 REPEAT, REQUEST, HOT_KEY = 0, 1, 2
 
 
-def segments(symbols: np.ndarray, first: np.ndarray, length: int, gram: int, context: int, secret: int) -> dict[str, np.ndarray]:
+def segments(symbols: np.ndarray, first: np.ndarray, length: int, gram: int, context: int) -> dict[str, np.ndarray]:
     """The fields of the segments of rows of symbol hashes, and their rows. first: where each row begins, and the end; a symbol's
-    hash covers `context` symbols from its place on."""
-    total = len(symbols)
-    none = {k: np.zeros(0, np.int64) for k in ("row", "at", "n", "key", "seg", "seg2", "multi")}
+    hash covers `context` symbols from its place on. A segment has as many windows at most as a gram lasts; only periodic texts reach it."""
+    total, longest = len(symbols), length - gram + 1
+    none = {k: np.zeros(0, np.int64) for k in ("row", "at", "n", "key", "seg", "multi")}
     if total < length:
         return none
     power, back = powers(total + 1)
@@ -57,24 +56,21 @@ def segments(symbols: np.ndarray, first: np.ndarray, length: int, gram: int, con
     new[1:] = (value[1:] != value[:-1]) | (within[1:] == 0)
     head = np.flatnonzero(new)
     run = np.diff(np.append(head, len(start)))
-    pieces = -(-run // LONGEST)
+    pieces = -(-run // longest)
     step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    head = np.repeat(head, pieces) + step * LONGEST
-    n = np.minimum(np.repeat(run, pieces) - step * LONGEST, LONGEST)
+    head = np.repeat(head, pieces) + step * longest
+    n = np.minimum(np.repeat(run, pieces) - step * longest, longest)
     s = start[head]
     e = s + n + length - context  # after the last symbol whose context ends within the segment
     key = value[head]
-    seg = mix64((sums[e] - sums[s]) * back[s] + n.astype(np.uint64) + np.uint64(secret))
-    other = np.zeros(total + 1, np.uint64)
-    np.cumsum(mix64(symbols ^ np.uint64(secret)) * power[:total], out=other[1:])
-    seg2 = mix64((other[e] - other[s]) * back[s] + n.astype(np.uint64))
+    seg = mix64((sums[e] - sums[s]) * back[s] + n.astype(np.uint64))
     # a segment can only repeat itself if its least gram occurs in it twice
     rows_of = np.searchsorted(first, s, side="right") - 1
     width = n + length - gram
     flat = np.repeat(s, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
     equal = (grams[flat] == np.repeat(key, width)).astype(np.int64)
     multi = np.add.reduceat(equal, np.cumsum(width) - width) > 1
-    return {"row": rows_of, "at": s - first[rows_of], "n": n, "key": mix64(key), "seg": seg, "seg2": seg2, "multi": multi}
+    return {"row": rows_of, "at": s - first[rows_of], "n": n, "key": mix64(key), "seg": seg, "multi": multi}
 
 
 def classes_of(r: np.ndarray, within_doc: bool) -> tuple[np.ndarray, ...]:
@@ -82,15 +78,13 @@ def classes_of(r: np.ndarray, within_doc: bool) -> tuple[np.ndarray, ...]:
     marked as hot) and whether different documents (within_doc: places) share it.
 
     within_doc: a window may repeat one of its own document; otherwise only one of a smaller document."""
-    names = [f for f in ("seg2", "seg") if f in r.dtype.names]
-    r = r[np.lexsort((r["at"], r["doc"], *(r[f] for f in names), r["key"]))]
+    r = r[np.lexsort((r["at"], r["doc"], r["seg"], r["key"]))]
     if not len(r):
         return r, np.zeros(0, bool), np.zeros(0, int), np.zeros(0, bool)
     new_key = np.ones(len(r), bool)
     new_key[1:] = r["key"][1:] != r["key"][:-1]
     new = new_key.copy()
-    for f in names:
-        new[1:] |= r[f][1:] != r[f][:-1]
+    new[1:] |= r["seg"][1:] != r["seg"][:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
     # equal records come of repeated rows of one document
     copy = ((r["doc"] != r["doc"][head]) | (r["at"] != r["at"][head])) if within_doc else r["doc"] > r["doc"][head]
@@ -108,13 +102,13 @@ OUT = "kind int, doc_id long, at int, n int, key long"
 def candidates(docs: DataFrame, symbolize, length: int, gram: int, *, within_doc: bool, deciding: bool, context: int = 1) -> DataFrame:
     """(kind, doc_id, at, n, key): windows [at, at + n) that only repeat earlier ones, segments whose texts are needed, and hot keys.
 
-    docs: doc_id (no nulls), text (binary). symbolize(data, offsets): symbol hashes and each row's first symbol."""
+    docs: doc_id (no nulls), text (binary). symbolize(data, offsets, secret): symbol hashes and each row's first symbol."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(BUCKETS_PER_PARTITION * partitions, -(-size // BUCKET_BYTES))
     partitions = max(partitions, buckets // BUCKETS_PER_PARTITION)
     secret = int.from_bytes(os.urandom(8), "little")
-    record = np.dtype([*FIELDS, ("seg2", "<u8")] if deciding else FIELDS)
+    record = np.dtype(FIELDS)
     names = [x.split()[0] for x in OUT.split(", ")]
 
     def scan(batches):
@@ -126,8 +120,8 @@ def candidates(docs: DataFrame, symbolize, length: int, gram: int, *, within_doc
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             made = []
             for i, j in chunks(offsets):
-                symbols, first = symbolize(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                got = segments(symbols, first, length, gram, context, secret)
+                symbols, first = symbolize(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], np.uint64(secret))
+                got = segments(symbols, first, length, gram, context)
                 r = np.zeros(len(got["row"]), record)
                 r["doc"], r["flag"] = ids[i:j][got["row"]], got["multi"] * MULTI
                 for f in record.names:
