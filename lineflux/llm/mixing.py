@@ -7,6 +7,7 @@ from math import inf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import numbered
 from .common import SPACE_WORD, store, table
 
 #: Key ranges per source for the coarse prefix sums; only the rows of one range per source are ever sorted.
@@ -20,16 +21,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
-def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with nr, its rows' numbers from 1 in the given order: rows are dealt by range and numbered within, no task sees them all."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = store(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "numbered")
-    sizes = sorted(map(tuple, dealt.groupBy("part").count().collect()))  # a row per partition
-    starts = [(part, sum(k for _, k in sizes[:i])) for i, (part, _) in enumerate(sizes)]
-    starts = df.sparkSession.createDataFrame(starts, "part int, start long")
-    return dealt.join(F.broadcast(starts), "part").withColumn("nr", F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(*order))).drop("part", "start")
-
-
 def targets(sizes: DataFrame, most_epochs: int = 3) -> DataFrame:
     """Targets by water-filling for the per-source table (source, source_size).
 
