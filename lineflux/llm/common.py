@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -73,11 +75,12 @@ def _clear() -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that ended in a stored table: its cleaner waits for a collection."""
-    import gc
-
+    """Let Spark drop the shuffle files of plans that ended in a stored table. Its cleaner waits for a collection, and what refers to a
+    finished job goes only with a second one."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

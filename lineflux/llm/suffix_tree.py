@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, binary_view, letters, release_shuffles, space_bytes, store, table
+from .common import Words, letters, mix64, release_shuffles, space_bytes, store, table
 from .repeats import asked, candidates, covered, gathered
 
 WINDOW, GRAM = 13, 5
@@ -28,9 +28,9 @@ BATCH = 6 << 20
 _LETTERS, _SPACES = letters(False), space_bytes()
 
 
-def symbolize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def symbolize(data: np.ndarray, offsets: np.ndarray, secret: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     w = Words(data, offsets, _SPACES, _LETTERS)
-    return w.hash, w.first
+    return mix64(w.hash ^ secret), w.first
 
 
 class SuffixTree:
