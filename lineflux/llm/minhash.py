@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
             two.select(name.alias("bundle"), name.alias("part"), F.lit(2).alias("role"), *cols))
         links = links.unionAll(stars).unionAll(store(compared(cross, ["sig", "text"], confirm), "cross"))
 
-    joined = components(links).withColumnRenamed("id", "rep")
+    joined = store(components(links).withColumnRenamed("id", "rep"), "joined")
     of_class = classes.join(few(joined, FEW_KEYS), "rep", "left").where("copies > 1 or component is not null")
     of_class = store(of_class.select("words", F.coalesce("component", "rep").alias("component")), "members")
     out = all_.select("doc_id", "n", "words").join(few(of_class, FEW_KEYS // 4), "words", "left")

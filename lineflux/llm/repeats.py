@@ -25,6 +25,8 @@ from .common import binary_view, chunks, few, mix64, powers, sliding_min, store
 HOT = 256
 #: Buckets of keys for each shuffle partition at least, and bytes of text whose records fill a bucket.
 BUCKETS_PER_PARTITION, BUCKET_BYTES = 16, 32 << 20
+#: Bytes of texts whose symbols are worked out at once (about 100 bytes of memory each); a longer text is one stretch.
+CHUNK = 1 << 19
 #: Hot keys (8 bytes each) that are broadcast.
 FEW_HOT = 1_000_000
 FIELDS = [("key", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1"), ("flag", "u1")]
@@ -119,7 +121,7 @@ def candidates(docs: DataFrame, symbolize, length: int, gram: int, *, within_doc
             data, offsets = binary_view(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             made = []
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, CHUNK):
                 symbols, first = symbolize(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], np.uint64(secret))
                 got = segments(symbols, first, length, gram, context)
                 r = np.zeros(len(got["row"]), record)
