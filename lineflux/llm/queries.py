@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bwt, decontaminate, hnsw, minhash, mixing, pii, quality, suffix_tree, tokens, toxicity, warc
+from . import bwt, decontaminate, hnsw, minhash, mixing, pii, quality, suffix_tree, timestamps, tokens, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_array": bwt.op8_suffix_array,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_near_duplicates": minhash.op10_near_duplicates,
+    "op11_timestamps": timestamps.op11_timestamps,
     "op13_quality_rules": quality.op13_quality_rules,
 }
 
@@ -22,4 +23,5 @@ SQL = {
     "op1_warc": warc.OP1_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_mix": mixing.OP6_SQL,
+    "op11_timestamps": timestamps.OP11_SQL,
 }
