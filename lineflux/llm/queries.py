@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bwt, decontaminate, hnsw, minhash, mixing, pii, quality, suffix_tree, timestamps, tokens, toxicity, warc
+from . import alignment, bwt, decontaminate, hnsw, minhash, mixing, pii, quality, suffix_tree, timestamps, tokens, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_near_duplicates": minhash.op10_near_duplicates,
     "op11_timestamps": timestamps.op11_timestamps,
+    "op12_alignment": alignment.op12_alignment,
     "op13_quality_rules": quality.op13_quality_rules,
 }
 
