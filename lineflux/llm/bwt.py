@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, release_shuffles, store, table
+from .common import identified, mix64, release_shuffles, store, table
 from .repeats import asked, candidates, covered, gathered
 
 LENGTH, GRAM = 100, 40
@@ -192,17 +192,17 @@ def dedup_strings(docs: DataFrame, texts: bool = True) -> DataFrame:
 
     Bytes covered by a string of LENGTH bytes that also starts earlier (smaller doc_id, or the same document and an earlier start) are
     removed; strings are judged on the input and never cross documents. Null and empty texts have no bytes. A row without
-    doc_id is left as it is and takes nothing from others; equal rows count as one document and give equal rows. Other
-    columns are ignored.
+    doc_id is left as it is and takes nothing from others; equal rows count as one document and give equal rows; different
+    texts of one doc_id are documents of their own, ordered by a hash of the text. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = candidates(docs.where("doc_id is not null"), symbolize, LENGTH, GRAM, within_doc=True, deciding=True, context=CONTEXT)
+    docs, _ = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
+    found = candidates(docs.where("doc_id is not null").select("doc_id", "text"), symbolize, LENGTH, GRAM, within_doc=True, deciding=True, context=CONTEXT)
     release_shuffles(docs.sparkSession)
     lists = asked(found)
     release_shuffles(docs.sparkSession)
     extra = store(repeated_strings(segment_texts(docs.join(lists, "doc_id").select("doc_id", "text", "spans"))), "strings")
     release_shuffles(docs.sparkSession)
-    return finished(docs.join(gathered(found, extra), "doc_id", "left").select("doc_id", "text", "spans"), texts)
+    return finished(docs.join(gathered(found, extra), "doc_id", "left").select(F.col("own").alias("doc_id"), "text", "spans"), texts)
 
 
 def finished(docs: DataFrame, texts: bool) -> DataFrame:

@@ -16,6 +16,8 @@ from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import numbered
+
 #: The separators of whole-text words: space and 0x09-0x0D.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -109,6 +111,22 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def identified(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs (doc_id long, text binary) as own (the id), doc_id and text, where doc_id tells documents, and whether that is another number.
+
+    It is the id itself unless rows of one id have different texts. Then documents are numbered by (id, hash of the text), so that each text
+    is a document of its own, one of a smaller id still has a smaller number, and of one id's texts that of the smaller hash comes first."""
+    h = F.sha2("text", 256)
+    d = docs.select(F.col("doc_id").alias("own"), "doc_id", "text")
+    told = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"), F.max(F.col("text").isNull()).alias("c"), F.min(F.col("text").isNull()).alias("d"))
+    if told.where("a <> b or c <> d").isEmpty():
+        return d, False
+    d = d.withColumn("h", F.coalesce(h, F.lit("")))
+    numbers = numbered(d.where("own is not null").select("own", "h").distinct(), [F.col("own"), F.col("h")], "number")
+    numbers = store(numbers.select(F.col("own").alias("o"), F.col("h").alias("k"), F.col("number").cast("long").alias("doc_id")), "numbers")
+    return store(d.drop("doc_id").join(numbers, (F.col("own") == F.col("o")) & (F.col("h") == F.col("k")), "left").select("own", "doc_id", "text"), "identified"), True
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; texts of one byte a character take the faster built-in."""
     plain = F.octet_length(c) == F.length(c)

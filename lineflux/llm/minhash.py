@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, binary_view, chunks, components, few, letters, mix64, space_bytes, store, table
+from .common import Words, binary_view, chunks, components, few, identified, letters, mix64, space_bytes, store, table
 
 SHINGLE = 5
 #: At similarity s a pair of one band in BANDS passes with 1 - (1 - s^ROWS)^BANDS: all but 1e-10 at 0.85, 5e-8 at 0.8.
@@ -287,10 +287,21 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     """doc_id, n_shingles, component_id, kept.
 
     Documents with intersection / union of their sets >= num / den are linked. A document without words links with nothing.
-    Rows of one doc_id count as one document; a row without doc_id has no component and is kept. Empty tables give no rows;
-    other columns are ignored.
+    Equal rows of one doc_id count as one document; different texts of one doc_id are documents of their own, of which the one with the
+    smaller hash comes first, so only one of a component is kept. A row without doc_id has no component and is kept. Empty tables give no
+    rows; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known, renumbered = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
+    out = grouped(known.select("doc_id", "text"), num, den)
+    if not renumbered:
+        return out
+    owns = known.where("doc_id is not null").select("doc_id", "own").distinct()
+    out = out.join(owns, "doc_id", "left").join(owns.select(F.col("doc_id").alias("component_id"), F.col("own").alias("component")), "component_id", "left")
+    return out.select(F.col("own").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+def grouped(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """near_duplicates() of docs whose ids tell documents."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     all_ = store(sketches(docs), "sketches")
     real = all_.where("doc_id is not null and n > 0")
@@ -348,7 +359,12 @@ def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one of the least id, as it came.
 
-    Documents without words and rows without an id stay; rows of one id are one document and stay or go together."""
-    gone = store(near_duplicates(docs, 80, 100).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    gone = few(gone, FEW_KEYS)
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    Documents without words and rows without an id stay; equal rows stay or go together, different texts of one id are judged apart."""
+    known, renumbered = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
+    gone = store(grouped(known.select("doc_id", "text"), 80, 100).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    if not renumbered:
+        gone = few(gone, FEW_KEYS)
+        return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    told = lambda c: F.xxhash64(F.sha2(c.cast("binary"), 256))
+    gone = known.join(gone, F.col("doc_id") == F.col("gone_id"), "left_semi").select(F.col("own").alias("gone_id"), told(F.col("text")).alias("gone_text")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (told(docs["text"]) == gone["gone_text"]), "left_anti")

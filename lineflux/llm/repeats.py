@@ -25,7 +25,7 @@ from .common import binary_view, chunks, few, mix64, powers, sliding_min, store
 HOT = 256
 #: Buckets of keys for each shuffle partition at least, and bytes of text whose records fill a bucket.
 BUCKETS_PER_PARTITION, BUCKET_BYTES = 16, 32 << 20
-#: Bytes of texts whose symbols are worked out at once (about 100 bytes of memory each); a longer text is one stretch.
+#: Bytes of texts, and symbols of one longer text, whose segments are worked out at once (about 100 bytes of memory each).
 CHUNK = 1 << 19
 #: Hot keys (8 bytes each) that are broadcast.
 FEW_HOT = 1_000_000
@@ -75,6 +75,16 @@ def segments(symbols: np.ndarray, first: np.ndarray, length: int, gram: int, con
     return {"row": rows_of, "at": s - first[rows_of], "n": n, "key": mix64(key), "seg": seg, "multi": multi}
 
 
+def stretches_of(symbols: np.ndarray, first: np.ndarray, length: int):
+    """(place, symbols, first): the rows as they are, or one long row cut into stretches that overlap, so that each window is in one."""
+    if len(first) > 2 or len(symbols) <= CHUNK + length:
+        yield 0, symbols, first
+        return
+    for at in range(0, len(symbols) - length + 1, CHUNK):
+        stretch = symbols[at : at + CHUNK + length - 1]
+        yield at, stretch, np.array([0, len(stretch)], first.dtype)
+
+
 def classes_of(r: np.ndarray, within_doc: bool) -> tuple[np.ndarray, ...]:
     """Sorted records; which of them only repeat the first of their class; and of each one's key the number of classes (above HOT where
     marked as hot) and whether different documents (within_doc: places) share it.
@@ -123,13 +133,15 @@ def candidates(docs: DataFrame, symbolize, length: int, gram: int, *, within_doc
             made = []
             for i, j in chunks(offsets, CHUNK):
                 symbols, first = symbolize(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], np.uint64(secret))
-                got = segments(symbols, first, length, gram, context)
-                r = np.zeros(len(got["row"]), record)
-                r["doc"], r["flag"] = ids[i:j][got["row"]], got["multi"] * MULTI
-                for f in record.names:
-                    if f not in ("doc", "flag"):
-                        r[f] = got[f]
-                made.append(r)
+                for at, stretch, ends in stretches_of(symbols, first, length):
+                    got = segments(stretch, ends, length, gram, context)
+                    r = np.zeros(len(got["row"]), record)
+                    r["doc"], r["flag"] = ids[i:j][got["row"]], got["multi"] * MULTI
+                    for f in record.names:
+                        if f not in ("doc", "flag"):
+                            r[f] = got[f]
+                    r["at"] += np.uint32(at)
+                    made.append(r)
             r, copy, classes, shared = classes_of(np.concatenate(made) if made else np.zeros(0, record), within_doc)
             hot = classes > HOT
             lead = np.ones(len(r), bool)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, letters, mix64, release_shuffles, space_bytes, store, table
+from .common import Words, identified, letters, mix64, release_shuffles, space_bytes, store, table
 from .repeats import asked, candidates, covered, gathered
 
 WINDOW, GRAM = 13, 5
@@ -243,17 +243,17 @@ def dedup_windows(docs: DataFrame, texts: bool = True) -> DataFrame:
 
     Words covered by a window of WINDOW words that also starts in a document with a smaller doc_id are removed; windows are judged on the
     input. Null and empty texts have no words. A row without doc_id is left as it is and takes nothing from others; equal rows
-    count as one document and give equal rows; texts shorter than a window keep all words; rows of one doc_id with different texts
-    are not told apart, so ids must identify documents. Other columns are ignored.
+    count as one document and give equal rows; texts shorter than a window keep all words; different texts of one doc_id are
+    documents of their own, ordered by a hash of the text. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = candidates(docs.where("doc_id is not null"), symbolize, WINDOW, GRAM, within_doc=False, deciding=False)
+    docs, _ = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
+    found = candidates(docs.where("doc_id is not null").select("doc_id", "text"), symbolize, WINDOW, GRAM, within_doc=False, deciding=False)
     release_shuffles(docs.sparkSession)
     lists = asked(found)
     release_shuffles(docs.sparkSession)
     extra = store(repeated_windows(stretches(docs.join(lists, "doc_id").select("doc_id", "text", "spans"))), "windows")
     release_shuffles(docs.sparkSession)
-    return finished(docs.join(gathered(found, extra), "doc_id", "left").select("doc_id", "text", "spans"), texts)
+    return finished(docs.join(gathered(found, extra), "doc_id", "left").select(F.col("own").alias("doc_id"), "text", "spans"), texts)
 
 
 def finished(docs: DataFrame, texts: bool) -> DataFrame:

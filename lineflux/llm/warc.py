@@ -25,6 +25,8 @@ VERSION = re.compile(rb"WARC/1\.[0-9]\r?\n")
 MEMBER = b"\x1f\x8b\x08"
 #: Bytes that are inflated at once.
 PIECE = 1 << 16
+#: Gzip members within members beyond this depth, and members that give more bytes than this, are quarantined.
+DEEPEST, MOST_INFLATED = 4, 1 << 28
 #: Records per archive, payload bytes above which a page goes to archives of its own kind, and bytes of those archives (one record at
 #: least): an archive is read whole by one task, so these bound its memory.
 RECORDS_PER_ARCHIVE, LARGE, ARCHIVE_BYTES = 2000, 1 << 17, 1 << 28
@@ -79,36 +81,50 @@ def parse_record(data: bytes, at: int) -> Found | str:
     return Found(at, end + 4, None, headers, block)
 
 
-def inflate(data: memoryview, at: int) -> tuple[bytes, int | None]:
-    """What the gzip member at `at` gives, and where it ends: None if it is damaged, with what came before the damage."""
-    d, out = zlib.decompressobj(wbits=31), []
-    for k in range(at, len(data), PIECE):
-        try:
-            out.append(d.decompress(data[k : k + PIECE]))
-        except zlib.error:
-            # the damaged piece again in small steps, for what it still gives
-            d = zlib.decompressobj(wbits=31)
-            out = [d.decompress(data[at:k])] if k > at else []
-            for i in range(k, min(k + PIECE, len(data)), 64):
-                try:
-                    out.append(d.decompress(data[i : i + 64]))
-                except zlib.error:
-                    break
-            return b"".join(out), None
-        if d.eof:
-            return b"".join(out), min(k + PIECE, len(data)) - len(d.unused_data)
+def inflate(data: memoryview, at: int, most: int = MOST_INFLATED) -> tuple[bytes, int | None]:
+    """What the gzip member at `at` gives, and where it ends: None if it is damaged or gives more than `most` bytes, with what came before."""
+    d, out, left, k = zlib.decompressobj(wbits=31), [], most, at
+    while k < len(data):
+        piece = data[k : k + PIECE]
+        while len(piece):
+            before = d.copy()
+            try:
+                got = d.decompress(piece, max(min(left, 16 * PIECE), 1))
+            except zlib.error:
+                # the damaged piece again in small steps, for what it still gives
+                d = before
+                for i in range(0, len(piece), 64):
+                    try:
+                        out.append(d.decompress(piece[i : i + 64], max(left, 1)))
+                    except zlib.error:
+                        break
+                    left -= len(out[-1])
+                    if left <= 0 or d.unconsumed_tail:
+                        break
+                return b"".join(out), None
+            out.append(got)
+            left -= len(got)
+            piece = d.unconsumed_tail
+            if d.eof:
+                return b"".join(out), min(k + PIECE, len(data)) - len(d.unused_data)
+            if left <= 0:
+                return b"".join(out), None
+        k += PIECE
     return b"".join(out), None
 
 
-def salvage(data: bytes) -> Iterator[Found]:
+def salvage(data: bytes, depth: int = 0, most: int = MOST_INFLATED) -> Iterator[Found]:
     """Records and gaps of an archive, in order; together they cover all its bytes.
 
-    A damaged gzip member is a gap; whole records that it gave before the damage come first, with an empty extent at its start."""
+    A damaged gzip member is a gap; whole records that it gave before the damage come first, with an empty extent at its start. So is a
+    member that gives more than `most` bytes, and one within more than DEEPEST others, which isn't opened at all."""
     at, bad, why, view = 0, None, "", memoryview(data)
     while at < len(data):
-        if data.startswith(MEMBER, at):
-            out, end = inflate(view, at)
-            inside = list(salvage(out)) if out else []
+        if data.startswith(MEMBER, at) and depth > DEEPEST:
+            got = "gzip members nested too deeply"
+        elif data.startswith(MEMBER, at):
+            out, end = inflate(view, at, most)
+            inside = list(salvage(out, depth + 1, most)) if out else []
             good = [f for f in inside if not f.fault]
             if good and bad is not None:
                 yield Found(bad, at, why)
@@ -120,7 +136,7 @@ def salvage(data: bytes) -> Iterator[Found]:
                 continue
             for f in good:
                 yield Found(at, at, None, f.headers, f.block)
-            got = "damaged gzip member"
+            got = "damaged gzip member" if len(out) < most else "gzip member of too many bytes"
         else:
             got = parse_record(data, at)
         if isinstance(got, Found):
