@@ -11,8 +11,11 @@ neither all links nor all counts go through one place.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 from pyspark import TaskContext
@@ -26,7 +29,7 @@ MARK = "▁"
 #: Tokens of a run, links of a row, and characters that are encoded at once.
 RUN, LINKS, STRETCH = 1024, 2048, 1 << 16
 #: Entries of a worker's cache of encoded stretches between spaces, and the longest of them.
-CACHE, LONGEST_CACHED = 200_000, 64
+CACHE, LONGEST_CACHED = 300_000, 64
 #: Bytes of input to a part, at least; the session's shuffle partitions are the least number of parts.
 PART_BYTES = 64 << 20
 #: The planner's size of rows that it knows nothing about is beyond this.
@@ -35,6 +38,12 @@ UNKNOWN = 1 << 60
 COUNTED = 4 << 20
 #: Both engines cut a text before a space that follows something else than white space, unless it is the last character.
 CUT = re.compile(r"(?<=\S) (?=[\s\S])")
+WIDE = re.compile(r"\s ")
+
+#: Fixed: how a byte-level vocabulary of this kind cuts texts into words.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters beyond Latin.
+OTHER = re.compile("[^\0-\u024f]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,7 +54,10 @@ def byte_letters() -> dict[str, int]:
 
 class Encoders:
     """Both tokenizers, and the bytes of their tokens. A text is encoded stretch by stretch between spaces; of() gives the same ids as whole
-    texts do, since no token of either side crosses a cut. That is checked for B's vocabulary; A's words begin at such spaces."""
+    texts do, since no token of either side crosses a cut. That is checked for B's vocabulary; A's words begin at such spaces.
+
+    Where A's merges are in the order of its ids, a faster library with the same ranks encodes texts of the scripts that both libraries'
+    character classes agree on."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,51 +68,107 @@ class Encoders:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = byte_letters()
-        self.a_bytes = [bytes(letters[c] for c in self.a.id_to_token(i)) if all(c in letters for c in self.a.id_to_token(i)) else self.a.id_to_token(i).encode() for i in range(self.a.get_vocab_size())]
+        names = [self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
+        self.a_bytes = [bytes(letters[c] for c in x) if all(c in letters for c in x) else x.encode() for x in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
             raise ValueError("vocabularies of over 65,536 entries do not fit the runs")
+        self.lengths = tuple(np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.cache: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.ranked = self.ranks(a_path)
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
+
+    def ranks(self, path: str):
+        import tiktoken
+
+        with open(path) as f:
+            spec = json.load(f)
+        ids, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        order = [ids["".join(m)] for m in merges]
+        if order != list(range(order[0], order[0] + len(order))) or not (spec["pre_tokenizer"] or {}).get("use_regex"):
+            return None
+        special = {x["id"] for x in spec["added_tokens"]}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes) if i not in special}, special_tokens={})
+
+    def ids(self, text: str) -> tuple[list[int], list[int]]:
+        """Of a text after a space."""
+        fast = self.ranked and not OTHER.search(text)
+        return self.ranked.encode_ordinary(" " + text) if fast else self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
 
     def encoded(self, stretches: list[str]) -> list[tuple[bytes, bytes, bool]]:
         """Of each stretch, after a space: the ids of both sides as 16-bit numbers, and whether both give its bytes back."""
-        a = self.a.encode_batch([" " + s for s in stretches], add_special_tokens=False)
-        out = []
-        for s, x, y in zip(stretches, a, self.b.encode(stretches, num_threads=1)):
-            x, want = x.ids, (" " + s).encode()
-            good = b"".join([self.a_bytes[i] for i in x]) == want and b"".join([self.b_bytes[i] for i in y]) == want
-            out.append((np.array(x, np.uint16).tobytes(), np.array(y, np.uint16).tobytes(), good))
-        return out
+        if len(stretches) > 1:
+            # all at once where each ends in something else than white space: then their places in the ids follow from their bytes
+            text = " ".join(stretches)
+            sides, want = self.ids(text), (" " + text).encode()
+            ends = np.cumsum([len(s.encode()) + 1 for s in stretches])
+            cut = []
+            for ids, bytes_, size in zip(sides, (self.a_bytes, self.b_bytes), self.lengths):
+                if b"".join([bytes_[i] for i in ids]) != want:
+                    break
+                ids = np.array(ids, np.int64)
+                at, data = 2 * (np.searchsorted(np.cumsum(size[ids]), ends) + 1), ids.astype(np.uint16).tobytes()
+                cut.append([data[i:j] for i, j in zip([0, *at.tolist()], at.tolist())])
+            else:
+                return [(x, y, True) for x, y in zip(*cut)]
+            return [self.encoded([s])[0] for s in stretches]
+        (x, y), want = self.ids(stretches[0]), (" " + stretches[0]).encode()
+        good = b"".join([self.a_bytes[i] for i in x]) == want and b"".join([self.b_bytes[i] for i in y]) == want
+        return [(np.array(x, np.uint16).tobytes(), np.array(y, np.uint16).tobytes(), good)]
+
+    def learned(self, words: list[str]) -> tuple[dict, bool]:
+        """The ids of both sides by word, and whether all give their bytes back; only such words are kept for later."""
+        ends = [w and not w[-1].isspace() for w in words]
+        fresh, good = {}, True
+        for some in ([w for w, e in zip(words, ends) if e], *([w] for w, e in zip(words, ends) if not e)):
+            for w, (a, b, fine) in zip(some, self.encoded(some) if some else ()):
+                fresh[w] = a, b
+                good &= fine
+        if good:
+            if len(self.cache) + len(fresh) > CACHE:
+                self.cache.clear()
+            self.cache.update({w: f for w, f in fresh.items() if len(w) <= LONGEST_CACHED})
+        return fresh, good
 
     def of(self, text: str):
         """(ids of A, ids of B, good) of the text's stretches, in order. A text whose bytes don't come back has a stretch that isn't good."""
         if not self.cuts or "\0" in text:
-            yield tuple(np.frombuffer(x, np.uint16) if isinstance(x, bytes) else x for x in self.encoded([text])[0])
+            a, b, good = self.encoded([text])[0]
+            yield np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16), good
             return
         at = 0
         while at < len(text):
             cut = CUT.search(text, at + STRETCH)
             to = cut.start() if cut else len(text)
-            words = CUT.split(text[at:to])
-            found = [self.cache.get(w) for w in words]
-            missing = list({w for w, f in zip(words, found) if f is None})
-            if missing:
-                fresh = dict(zip(missing, self.encoded(missing)))
+            stretch = text[at:to]
+            words = CUT.split(stretch) if stretch[0] == " " or stretch[-1] == " " or WIDE.search(stretch) else stretch.split(" ")
+            found, good = list(map(self.cache.get, words)), True
+            if None in found:
+                fresh, good = self.learned(list({w for w, f in zip(words, found) if f is None}))
                 found = [f or fresh[w] for w, f in zip(words, found)]
-                if len(self.cache) + len(fresh) > CACHE:
-                    self.cache.clear()
-                self.cache.update((w, f) for w, f in fresh.items() if len(w) <= LONGEST_CACHED)
-            yield np.frombuffer(b"".join([f[0] for f in found]), np.uint16), np.frombuffer(b"".join([f[1] for f in found]), np.uint16), all(f[2] for f in found)
+            yield *(np.frombuffer(b"".join(map(itemgetter(side), found)), np.uint16) for side in (0, 1)), good
             at = to + 1
 
 
-def runs_of(encoders: Encoders, lengths: tuple[np.ndarray, np.ndarray], text: str):
+@lru_cache(1)
+def encoders(a_path: str, b_path: str) -> tuple[Encoders, tuple[np.ndarray, np.ndarray]]:
+    """The encoders and their tokens' lengths, once for each worker."""
+    e = Encoders(a_path, b_path)
+    return e, e.lengths
+
+
+@lru_cache(1)
+def written() -> list[bytes]:
+    """Each id as text after a comma, a bar and a semicolon."""
+    return [mark + b"%d" % i for mark in (b",", b"|", b";") for i in range(1 << 16)]
+
+
+def runs_of(e: Encoders, lengths: tuple[np.ndarray, np.ndarray], text: str):
     """(side, at, ids) of the text's runs, then (-1, -1, ids) with a byte that tells whether the text has tokens at all."""
     at, good = [0, 0], bool(text)
     held: list[list[np.ndarray]] = [[], []]
-    for a, b, fine in encoders.of(text) if text else ():
+    for a, b, fine in e.of(text) if text else ():
         good &= fine
         if not good:
             break
@@ -123,8 +191,8 @@ class Sweep:
 
     What it keeps is bounded by a few runs and the open group."""
 
-    def __init__(self, lengths, written: list[bytes], keep_groups: bool):
-        self.lengths, self.written, self.keep = lengths, written, keep_groups
+    def __init__(self, lengths, keep_groups: bool):
+        self.lengths, self.written, self.keep = lengths, written(), keep_groups
         self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.ends = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.n, self.groups, self.links, self.due = [0, 0], 0, 0, 4 * RUN
@@ -186,8 +254,7 @@ def swept(docs: DataFrame, a_path: str, b_path: str, *, keep_groups: bool = Fals
     def events(batches):
         import pyarrow as pa
 
-        e = Encoders(a_path, b_path)
-        lengths = tuple(np.array([len(x) for x in side], np.int64) for side in (e.a_bytes, e.b_bytes))
+        e, lengths = encoders(a_path, b_path)
         names, kinds = ["row_id", "doc_id", "side", "at", "ids"], None
         for batch in batches:
             kinds = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int32(), pa.int64(), pa.binary()]
@@ -205,9 +272,7 @@ def swept(docs: DataFrame, a_path: str, b_path: str, *, keep_groups: bool = Fals
     def machine(batches):
         import pyarrow as pa
 
-        e = Encoders(a_path, b_path)
-        lengths = tuple(np.array([len(x) for x in side], np.int64) for side in (e.a_bytes, e.b_bytes))
-        written = [mark + b"%d" % i for mark in (b",", b"|", b";") for i in range(1 << 16)]
+        _, lengths = encoders(a_path, b_path)
         part = TaskContext.get().partitionId()
         out, held, now, doc, sweep, seq = [], 0, None, None, None, 0
         kinds = None
@@ -240,7 +305,7 @@ def swept(docs: DataFrame, a_path: str, b_path: str, *, keep_groups: bool = Fals
             for row_id, doc_id, side, at, run in zip(*(c.to_pylist() for c in batch.columns)):
                 if side < 0:  # sorts first
                     closed()
-                    now, doc, seq, sweep = row_id, doc_id, 0, Sweep(lengths, written, keep_groups) if run == b"\1" else None
+                    now, doc, seq, sweep = row_id, doc_id, 0, Sweep(lengths, keep_groups) if run == b"\1" else None
                 elif sweep is not None:
                     put(sweep.push(side, at, np.frombuffer(run, np.uint16)))
                 if held > 4 << 20 and len(out) > 1:
