@@ -1,19 +1,32 @@
-"""Structured Streaming forms: landed event files, windowed counts with late data, and presence as keyed state."""
+"""Structured Streaming forms: landed event files, windowed counts and sessions with late data, interval joins of two streams, and ordered
+keyed state: presence and stints.
+
+Keyed state is ordered: events wait in the key's buffer until the watermark has passed them, whatever order they came in, and are then read in
+order of time. A key that has been idle is closed and its state removed.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def landed_events(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
-    s = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).parquet(folder)
-    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+def landed_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files: int | None = None) -> DataFrame:
+    s = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern)
+    s = s.option("maxFilesPerTrigger", files) if files else s
+    return s.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def end_of_stream(spark: SparkSession, folder: str, day: str = "2100-01-01") -> None:
+    """Land a last event, of no key and far ahead, so that the watermark passes all others."""
+    row = spark.range(1).select(F.lit(None).cast("long").alias("event_id"), F.to_timestamp_ntz(F.lit(day)).alias("ts"), F.lit(None).cast("long").alias("user_id"), F.lit("signup").alias("event_type"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("props"))
+    row.coalesce(1).write.mode("append").parquet(folder)
 
 
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -21,34 +34,154 @@ def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "1 day")
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
-def presence(events: DataFrame) -> DataFrame:
-    """(user_id, from_id, to_id) whenever a user that entered (signup) leaves (error); who is present is keyed state."""
+def sessions(events: DataFrame, keys: list[str], gap: Column, late: str | None = None) -> DataFrame:
+    """(keys, start, end, n, value): an event holds its session open for its gap; one that falls into two sessions makes them one.
+
+    A null key has sessions of its own. The same call serves tables (late None) and streams, whose sessions come out when the watermark has
+    passed their end."""
+    e = events.withWatermark("ts", late) if late else events
+    s = e.groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return s.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "value")
+
+
+def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], time: str, start: str, end: str, longest: str, late: str) -> DataFrame:
+    """points × spans with start <= time <= end by key, of two streams. No span lasts more than `longest`, which is how long the watermarks let
+    either side wait for the other; both sides' state beyond that goes."""
+    p = points.withWatermark(time, late)
+    s = spans.withWatermark(start, late).withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = (F.col(time) >= F.col(start)) & (F.col(time) <= F.col(end)) & (F.col(time) <= F.col(start) + F.expr(f"INTERVAL {longest}"))
+    for k in keys:
+        on &= F.col(k) == F.col(f"_{k}")
+    return p.join(s, on).drop(*(f"_{k}" for k in keys))
+
+
+class Ordered(StatefulProcessor):
+    """Reads each key's events in order. Events have ts (event time), us (its microseconds), seq (the order of equal times) and `fields`.
+
+    Subclasses give step(machine, event) and closed(machine), which return output rows without the key; machine is a dict that survives in the
+    state as JSON. Rows of a key may come in any number of batches: they are only read once the watermark has passed them."""
 
-    def step(key, frames: Iterator, state):
+    fields = ""
+
+    def __init__(self, keys: int, output: str, idle_ms: int):
+        self.keys, self.output, self.idle_ms = keys, output, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buffer = handle.getListState("buffer", f"us long, seq long, {self.fields}")
+        self.machine = handle.getValueState("machine", "state string, last_us long")
+
+    def frame(self, key, rows):
         import pandas as pd
 
-        on = state.get[0] if state.exists else None
+        return pd.DataFrame([(*key[: self.keys], *r) for r in rows], columns=self.output.split(","))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        names, last = ["us", "seq", *(x.split()[0] for x in self.fields.split(", "))], None
+        for f in rows:
+            if len(f):
+                self.buffer.appendList(list(f[names].astype(object).itertuples(index=False, name=None)))
+                last = max(int(f["us"].max()), last or 0)
+        if last is not None:
+            # one timer when these are complete, one when the key has been idle since
+            self.handle.registerTimer(last // 1000 + 1)
+            self.handle.registerTimer(last // 1000 + 1 + self.idle_ms)
+        yield self.frame(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        known = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(r) for r in self.buffer.get()]
+        ready = sorted((r for r in held if r[0] <= known), key=lambda r: r[:2])
+        rest = [r for r in held if r[0] > known]
+        state = self.machine.get() if self.machine.exists() else None
+        machine, last = (json.loads(state[0]), state[1]) if state else ({}, None)
         out = []
-        for f in frames:
-            for r in f.sort_values(["ts", "event_id"]).itertuples():
-                if r.event_type == "signup" and on is None:
-                    on = r.event_id
-                elif r.event_type == "error" and on is not None:
-                    out.append((key[0], on, r.event_id))
-                    on = None
-        if on is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((on,))
-        yield pd.DataFrame(out, columns=["user_id", "from_id", "to_id"])
-
-    return events.where(F.col("event_type").isin("signup", "error")).groupBy("user_id").applyInPandasWithState(step, "user_id long, from_id long, to_id long", "on_id long", "append", GroupStateTimeout.NoTimeout)
-
-
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Read what has landed, once, into a Parquet table; a rerun takes up only new files."""
+        for r in ready:
+            out += self.step(machine, *r)
+        if ready:
+            self.buffer.put(rest) if rest else self.buffer.clear()
+            last = ready[-1][0]
+            self.machine.update((json.dumps(machine), last))
+        if not rest and last is not None and last // 1000 + self.idle_ms < known // 1000:
+            out += self.closed(machine)
+            self.machine.clear()
+        yield self.frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+    def step(self, machine: dict, *event) -> list[tuple]:
+        raise NotImplementedError
+
+    def closed(self, machine: dict) -> list[tuple]:
+        return []
+
+
+class Presence(Ordered):
+    fields = "enters boolean"
+
+    def step(self, machine, us, seq, enters):
+        if enters:
+            machine.setdefault("on", seq)
+            return []
+        return [(machine.pop("on"), seq)] if "on" in machine else []
+
+
+class Stints(Ordered):
+    """Two sides' line-ups told record by record: what the batch operator two_sided_stints does for each game and period."""
+
+    fields = "side string, id long, what int, at double, begin double, end double"
+
+    def step(self, m, us, seq, side, id_, what, at, begin, end):
+        if not m:
+            m |= {"home": [], "away": [], "dirty": True, "at": begin, "no": 0}
+        m["end"] = end
+        if what:
+            on = set(m[side]) | {id_} if what > 0 else set(m[side]) - {id_}
+            m[side], m["dirty"], m["at"] = sorted(on), True, at
+            return []
+        out = []
+        if m["dirty"]:
+            line = [m["home"], m["away"]]
+            if not m["no"] or line != m["line"]:
+                start = m["at"] if m["no"] else begin
+                out = self.ended(m, start)
+                m |= {"line": line, "start": start, "no": m["no"] + 1}
+            m["dirty"] = False
+        return out
+
+    def ended(self, m, end):
+        return [(m["no"], m["start"], end, *m["line"])] if m.get("no") else []
+
+    def closed(self, m):
+        return self.ended(m, m["end"]) if m else []
+
+
+def keyed(events: DataFrame, keys: list[str], processor: Ordered, late: str, out: str) -> DataFrame:
+    """events by key through the processor, with event-time timers; late events that the watermark has passed are dropped."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    e = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return e.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
+
+
+def presence(events: DataFrame, late: str = "1 day", idle_days: int = 30) -> DataFrame:
+    """(user_id, from_id, to_id) whenever a user that entered (signup) leaves (error). A user idle for so long is forgotten, present or not."""
+    e = events.where(F.col("event_type").isin("signup", "error")).select("user_id", "ts", F.col("event_id").alias("seq"), (F.col("event_type") == "signup").alias("enters"))
+    return keyed(e, ["user_id"], Presence(1, "user_id,from_id,to_id", idle_days * 86_400_000), late, "user_id long, from_id long, to_id long")
+
+
+def stints(events: DataFrame, late: str = "1 day", idle_days: int = 30) -> DataFrame:
+    """(game, period, stint, start, end, home, away) of events with game, period, ts, seq, side, id, what (1 enters, -1 leaves, 0 neither), at,
+    begin and end (clocks of the event and of its period). The last stint of a period comes out when the period has been idle for so long."""
+    out = "game long, period int, stint int, start double, end double, home array<long>, away array<long>"
+    return keyed(events, ["game", "period"], Stints(2, "game,period,stint,start,end,home,away", idle_days * 86_400_000), late, out)
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Read what has landed, once, into a Parquet table; a rerun takes up only new files. Returns the query, which has ended."""
     if mode == "append":
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     else:
-        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start().awaitTermination()
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
