@@ -100,7 +100,7 @@ SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(until)) AS end_us, c
 
 
 def session_rows(s):
-    return s.where("user_id is not null").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n", F.round("value", 4).alias("value"))
+    return s.where(f"user_id <> {streams.NOBODY}").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n", F.round("value", 4).alias("value"))
 
 
 def gap():

@@ -16,6 +16,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
+NOBODY = -1
+
 
 def landed_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files: int | None = None) -> DataFrame:
     s = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern)
@@ -24,8 +26,8 @@ def landed_events(spark: SparkSession, folder: str, pattern: str = "events.parqu
 
 
 def end_of_stream(spark: SparkSession, folder: str, day: str = "2100-01-01") -> None:
-    """Land a last event, of no key and far ahead, so that the watermark passes all others."""
-    row = spark.range(1).select(F.lit(None).cast("long").alias("event_id"), F.to_timestamp_ntz(F.lit(day)).alias("ts"), F.lit(None).cast("long").alias("user_id"), F.lit("signup").alias("event_type"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("props"))
+    """Land a last event, of user NOBODY and far ahead, so that the watermark passes all others."""
+    row = spark.range(1).select(F.lit(NOBODY).cast("long").alias("event_id"), F.to_timestamp_ntz(F.lit(day)).alias("ts"), F.lit(NOBODY).cast("long").alias("user_id"), F.lit("signup").alias("event_type"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("props"))
     row.coalesce(1).write.mode("append").parquet(folder)
 
 
@@ -86,7 +88,7 @@ class Ordered(StatefulProcessor):
             # one timer when these are complete, one when the key has been idle since
             self.handle.registerTimer(last // 1000 + 1)
             self.handle.registerTimer(last // 1000 + 1 + self.idle_ms)
-        yield self.frame(key, [])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         known = timerValues.getCurrentWatermarkInMs() * 1000
@@ -105,7 +107,8 @@ class Ordered(StatefulProcessor):
         if not rest and last is not None and last // 1000 + self.idle_ms < known // 1000:
             out += self.closed(machine)
             self.machine.clear()
-        yield self.frame(key, out)
+        if out:
+            yield self.frame(key, out)
 
     def close(self) -> None:
         pass
@@ -158,8 +161,10 @@ class Stints(Ordered):
 
 
 def keyed(events: DataFrame, keys: list[str], processor: Ordered, late: str, out: str) -> DataFrame:
-    """events by key through the processor, with event-time timers; late events that the watermark has passed are dropped."""
+    """events by key through the processor, with event-time timers; late events that the watermark has passed are dropped, and
+    events of a null key, of which no state can be kept."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = events.dropna(subset=keys)
     e = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
     return e.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
 
