@@ -25,19 +25,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, order: list[str], values: list[str]) -> DataFrame:
-    """left plus right's values at the last right row at or before each left row's time, by key; ties go to the last in `order`.
-
-    A union and one window: one shuffle, no blow-up. Right rows sort before left rows of the same time.
-    """
+def asof_sides(left: DataFrame, right: DataFrame, keys: list[str], time: str, order: list[str], values: list[str]) -> DataFrame:
+    """Both sides in one table: keys, _t, _side (right rows first), _o (the order of equal times), _v (right's values) and _l (the left row)."""
     payload = F.struct(*values)
     kind = right.select(payload.alias("v")).schema["v"].dataType
     l_cols = left.columns
     l_kind = left.select(F.struct(*l_cols).alias("l")).schema["l"].dataType
     a = right.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.struct(*order).alias("_o"), payload.alias("_v"), F.lit(None).cast(l_kind).alias("_l"))
     b = left.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_o"].dataType).alias("_o"), F.lit(None).cast(kind).alias("_v"), F.struct(*l_cols).alias("_l"))
+    return a.unionAll(b)
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, order: list[str], values: list[str]) -> DataFrame:
+    """left plus right's values at the last right row at or before each left row's time, by key; ties go to the last in `order`.
+
+    A union and one window: one shuffle, no blow-up. A key is one task's; scans.asof() spreads keys that may be hot."""
     w = Window.partitionBy(*keys).orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionAll(b).withColumn("_v", F.last("_v", True).over(w)).where("_l is not null").select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
+    both = asof_sides(left, right, keys, time, order, values).withColumn("_v", F.last("_v", True).over(w))
+    return both.where("_l is not null").select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
 def within_intervals(points: DataFrame, spans: DataFrame, keys: list[str], time: str, start: str, end: str, width: int) -> DataFrame:
@@ -72,7 +77,8 @@ def greedy_match(candidates: DataFrame, group: list[str], a: str, b: str, cost:
     """One-to-one matching: ascending (cost, a, b), each side once.
 
     Groups are independent, and one of SEQUENTIAL candidates at most is matched in order by one task. In larger ones a pair that is the
-    best of both its sides is in the matching whatever else happens, so rounds of such pairs shrink them until they are small.
+    best of both its sides is in the matching whatever else happens, so rounds of such pairs shrink them until they are small. Where a and b
+    are positions, scans.greedy_match() needs no rounds.
     """
     left, matched = candidates.select(*group, a, b, cost), None
     best = F.struct(cost, a, b)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -11,6 +13,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import numbered
+
 #: Rows that may be collected for methods on small samples (linkage, mixtures, silhouettes).
 SMALL = 20_000
 
@@ -219,6 +223,59 @@ def group_bootstrap(df: DataFrame, group: str, num: Column, den: Column, replica
     return point.join(spread, keys) if keys else point.crossJoin(spread)  # single rows
 
 
+#: The prime of the hash that draws resamples: 2^31 - 1.
+PRIME = 2_147_483_647
+
+
+def drawn(name: str) -> int:
+    """28 bits of a name's md5."""
+    return int(hashlib.md5(name.encode()).hexdigest()[:7], 16)
+
+
+def resampled(df: DataFrame, group: str, sums: dict[str, Column], statistics: dict[str, Callable], replicates: int, keys: list[str] | None = None, levels: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """(keys, statistic, value, low, high): statistics of sums, and their intervals when whole groups are resampled.
+
+    statistics: name to a function of {sum's name: column}. A replicate takes a group Poisson(1) times; its draw is (a_r h + b_r) mod PRIME with
+    md5 bits of the group and the replicate, so reruns agree and any two groups' draws are independent. A task works out the weighted sums of
+    all replicates for its groups at once and sends one row a replicate, none for each group; a null group is one too."""
+    keys = keys or []
+    h = F.conv(F.substring(F.md5(F.coalesce(F.col(group).cast("string"), F.lit("null"))), 1, 7), 16, 10).cast("long")
+    g = df.groupBy(*keys, group).agg(*(F.sum(c).cast("double").alias(n) for n, c in sums.items())).fillna(0.0, list(sums))
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_"))
+    slim = g.select(key.alias("key"), h.alias("h"), F.array(*sums).alias("x"))
+    kind = slim.schema["key"].dataType.simpleString()
+    names, steps = list(sums), poisson_steps()
+
+    def weighted(batches):
+        import pyarrow as pa
+
+        a = np.array([drawn(f"a{r}") + 1 for r in range(1, replicates + 1)], np.int64)
+        b = np.array([drawn(f"b{r}") for r in range(1, replicates + 1)], np.int64)
+        bounds = np.array(steps)
+        for batch in batches:
+            codes = batch.column(0).to_pylist()
+            x = batch.column(2).flatten().to_numpy().reshape(len(codes), -1)
+            hs = batch.column(1).to_numpy()
+            of = {}
+            for i, k in enumerate(codes):
+                of.setdefault(tuple(k.values()), []).append(i)
+            for rows in of.values():
+                total = np.zeros((replicates, len(names)))
+                for i in range(0, len(rows), 512):
+                    some = rows[i : i + 512]
+                    u = ((hs[some][:, None] * a + b) % PRIME + 0.5) / PRIME
+                    total += np.searchsorted(bounds, u).T @ x[some]
+                yield pa.RecordBatch.from_arrays([pa.array([codes[rows[0]]] * replicates, batch.schema.field(0).type), pa.array(np.arange(replicates), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["key", "r", "x"])
+
+    each = slim.mapInArrow(weighted, f"key {kind}, r int, x array<double>").groupBy("key", "r").agg(*(F.sum(F.get("x", F.lit(i))).alias(n) for i, n in enumerate(names)))
+    of = {n: F.col(n) for n in names}
+    rows = lambda d: d.select("key", F.explode(F.array(*(F.struct(F.lit(n).alias("statistic"), f(of).cast("double").alias("v")) for n, f in statistics.items()))).alias("s")).select("key", "s.*")
+    point = rows(g.groupBy(key.alias("key")).agg(*(F.sum(n).alias(n) for n in names))).withColumnRenamed("v", "value")
+    spread = rows(each).groupBy("key", "statistic").agg(F.percentile("v", F.array(*map(F.lit, levels))).alias("q"))
+    out = point.join(spread, ["key", "statistic"])
+    return out.select(*(F.col(f"key.{k}").alias(k) for k in keys), "statistic", "value", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+
+
 class Moments:
     """Weighted cross-products of columns and an outcome; they add up over rows, so folds and resamples are sums of groups' moments."""
 
@@ -305,24 +362,47 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, key: str, features: str, k
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key))).where(F.col("rank") <= k).drop("block")
 
 
-def group_folds(sizes: DataFrame, group: str, size: str, folds: int) -> list[tuple]:
-    """(group, fold) of the SMALL largest groups at most: the largest group to the lightest fold."""
-    load, out = [0] * folds, []
-    for g, n in sizes.select(group, size).orderBy(F.desc(size), group).limit(SMALL).collect():
-        f = load.index(min(load))
-        load[f] += n
-        out.append((g, f))
+def dealing(histogram: list[tuple[int, int]], folds: int) -> list[tuple[int, int, list[int], list[int]]]:
+    """(size, first, steps, cycle) for a histogram of group sizes, largest first: `first` groups are larger; the groups of a size go to the folds
+    in steps, then to those in cycle over and over. Each group goes to the lightest fold, the first of equals.
+
+    Once the folds are less than a group's size apart, each takes one in turn, so equal groups need no step of their own."""
+    load, first, out = [0] * folds, 0, []
+    for size, n in sorted(histogram, reverse=True):
+        steps, left = [], n
+        while left and max(load) - min(load) >= size:
+            f = load.index(min(load))
+            load[f] += size
+            steps.append(f)
+            left -= 1
+        cycle = sorted(range(folds), key=lambda f: (load[f], f))
+        for k, f in enumerate(cycle):
+            load[f] += (left // folds + (k < left % folds)) * size
+        out.append((size, first, steps, cycle))
+        first += n
     return out
 
 
+def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
+    """(group, fold): whole groups of df's rows, from the largest to the lightest fold, equal sizes by group; a null group is one too.
+
+    The driver sees the histogram of sizes only: different sizes of N rows number less than the root of 2 N. Groups are numbered by range."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
+    sizes = numbered(sizes, [F.desc("_size"), F.col(group)], "_nr")
+    plan = dealing([(r["_size"], r["n"]) for r in sizes.groupBy("_size").agg(F.count("*").alias("n")).collect()], folds)
+    rows = df.sparkSession.createDataFrame(plan, "_size long, _first long, _steps array<int>, _cycle array<int>")
+    at = F.col("_nr") - F.col("_first") - 1
+    fold = F.coalesce(F.get("_steps", at.cast("int")), F.get("_cycle", ((at - F.size("_steps")) % folds).cast("int")))
+    return sizes.join(rows, "_size").select(group, fold.alias("_fold"))
+
+
 def ridge_by_group(df: DataFrame, group: str, y: str, xs: list[str], w: str, alphas: list[float], folds: int = 5, free: list[str] | None = None) -> tuple[float, dict[float, float]]:
     """(best alpha, error by alpha) by folds of whole groups, errors as fold_errors() has them: weighted within a fold, then averaged.
 
-    Groups beyond the dealt ones, and a null group, go to folds by hash, so every row takes part.
+    Folds are dealt by size whatever the number of groups; a null group is one too.
     """
-    dealt = df.sparkSession.createDataFrame(group_folds(df.groupBy(group).agg(F.count("*").alias("n")), group, "n", folds), df.select(group).schema.add("_fold", "integer"))
-    rest = F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
-    rows = df.join(dealt, group, "left").withColumn("_fold", F.coalesce("_fold", rest))
+    dealt = group_folds(df, group, folds)
+    rows = df.join(dealt.withColumnRenamed(group, "_of"), F.col(group).eqNullSafe(F.col("_of")), "left").drop("_of")
     error = fold_errors(rows, "_fold", y, xs, w, alphas, free)
     return min(error, key=lambda a: (error[a], a)), error
 

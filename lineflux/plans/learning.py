@@ -72,6 +72,43 @@ def pair_summary(spark, d):
     return out.select("pair", "minutes", F.round(100 * C("value"), 6).alias("rate"), enough("low"), enough("high")).orderBy(F.desc("minutes"), "pair")
 
 
+#: The reference intervals' own number of replicates.
+FULL = 2_000
+STATISTICS_SQL = f"""
+WITH s AS (SELECT l_linestatus AS side, o_custkey AS g, sum(l_extendedprice * l_discount) AS n, sum(l_extendedprice) AS d, coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 0) AS qr, coalesce(sum(l_extendedprice) FILTER (WHERE l_returnflag = 'R'), 0) AS dr, sum(l_quantity) AS q, sum(l_tax) AS t, count(*) AS c
+           FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2),
+r AS (SELECT r, CAST('0x' || substr(md5('a' || r), 1, 7) AS BIGINT) + 1 AS a, CAST('0x' || substr(md5('b' || r), 1, 7) AS BIGINT) AS b FROM range(1, {FULL + 1}) t(r)),
+k AS (SELECT s.*, r, {STEPS} AS k FROM (SELECT s.*, r.r, ((CAST('0x' || substr(md5(CAST(g AS VARCHAR)), 1, 7) AS BIGINT) * a + b) % {ml.PRIME} + 0.5) / {ml.PRIME} AS u FROM s, r) s),
+w AS (SELECT side, r, sum(k * n) AS n, sum(k * d) AS d, sum(k * qr) AS qr, sum(k * dr) AS dr, sum(k * q) AS q, sum(k * t) AS t, sum(k * c) AS c FROM k GROUP BY 1, 2 UNION ALL SELECT side, 0, sum(n), sum(d), sum(qr), sum(dr), sum(q), sum(t), sum(c) FROM s GROUP BY 1),
+v AS (SELECT side, r, 'rate' AS statistic, n / nullif(d, 0) AS v FROM w UNION ALL SELECT side, r, 'difference', 1000 * (qr / nullif(dr, 0) - q / nullif(d, 0)) FROM w
+      UNION ALL SELECT side, r, 'four_factors', 0.4 * n / nullif(d, 0) + 0.25 * qr / nullif(q, 0) + 0.2 * t / nullif(c, 0) + 0.15 * dr / nullif(d, 0) FROM w)
+SELECT side, statistic, round(max(v) FILTER (WHERE r = 0), 7) AS value, round(quantile_cont(v, 0.025) FILTER (WHERE r > 0), 7) AS low, round(quantile_cont(v, 0.975) FILTER (WHERE r > 0), 7) AS high FROM v GROUP BY 1, 2"""
+
+
+@query(STATISTICS_SQL)
+def bootstrap_statistics(spark, d):
+    """A ratio, a difference of ratios and a weighted sum of four factors by line status, with intervals from 2,000 resamples of customers."""
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), C("o_orderkey") == C("l_orderkey")).withColumnRenamed("l_linestatus", "side")
+    back = C("l_returnflag") == "R"
+    sums = {"n": C("l_extendedprice") * C("l_discount"), "d": C("l_extendedprice"), "qr": F.when(back, C("l_quantity")).otherwise(0), "dr": F.when(back, C("l_extendedprice")).otherwise(0), "q": C("l_quantity"), "t": C("l_tax"), "c": F.lit(1)}
+    over = lambda a, b: a / F.nullif(b, F.lit(0.0))
+    out = ml.resampled(o, "o_custkey", sums, {
+        "rate": lambda s: over(s["n"], s["d"]), "difference": lambda s: 1000 * (over(s["qr"], s["dr"]) - over(s["q"], s["d"])),
+        "four_factors": lambda s: 0.4 * over(s["n"], s["d"]) + 0.25 * over(s["qr"], s["q"]) + 0.2 * over(s["t"], s["c"]) + 0.15 * over(s["dr"], s["d"])}, FULL, ["side"])
+    return out.select("side", "statistic", *(F.round(c, 7).alias(c) for c in ("value", "low", "high")))
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS k FROM orders GROUP BY 1),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, -1 AS fold
+      UNION ALL SELECT k, CASE fold WHEN 0 THEN a + n ELSE a END, CASE fold WHEN 1 THEN b + n ELSE b END, CASE fold WHEN 2 THEN c + n ELSE c END, fold
+      FROM (SELECT s.k, s.n, a, b, c, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS fold FROM r JOIN s ON s.k = r.k + 1))
+SELECT o_custkey, fold FROM r JOIN s USING (k)""")
+def folds_by_size(spark, d):
+    """Customers dealt to three folds, the one with most orders to the lightest."""
+    return ml.group_folds(table(spark, d, "orders"), "o_custkey", 3).select("o_custkey", C("_fold").alias("fold"))
+
+
 EFFECT = "x AS (SELECT o_custkey % 5 AS fold, CAST(l_returnflag = 'R' AS DOUBLE) AS p, l_discount * 100 AS c, l_extendedprice / 1000 AS y, l_quantity AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 MOMENTS = "sum(w) AS s1, sum(w * p) AS sp, sum(w * c) AS sc, sum(w * y) AS sy, sum(w * p * p) AS spp, sum(w * p * c) AS spc, sum(w * c * c) AS scc, sum(w * p * y) AS spy, sum(w * c * y) AS scy, sum(w * y * y) AS syy"
 #: The 2 × 2 system of a dummy times 100 and a control less its weighted mean m.

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import joins, stats
+from ..operators import joins, scans, stats
 from .registry import query, table
 
 C = F.col
@@ -126,8 +126,11 @@ def corr_matrix(spark, d):
 @query("""
 SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 4) AS low, round(quantile_cont(l_extendedprice, 0.975), 4) AS high, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 8) AS p_above FROM lineitem GROUP BY 1""")
 def percentile_ci(spark, d):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.025), F.lit(0.975)))
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(q.alias("q"), F.round(F.avg(F.when(C("l_discount") > 0.05, 1.0).otherwise(0.0)), 8).alias("p_above")).select("l_returnflag", F.round(C("q")[0], 4).alias("low"), F.round(C("q")[1], 4).alias("high"), "p_above")
+    lines = table(spark, d, "lineitem")
+    q = scans.percentiles(lines, ["l_returnflag"], "l_extendedprice", [0.025, 0.975]).groupBy("l_returnflag")
+    at = lambda share: F.round(F.max(F.when(C("share") == share, C("l_extendedprice"))), 4)
+    above = lines.groupBy("l_returnflag").agg(F.round(F.avg(F.when(C("l_discount") > 0.05, 1.0).otherwise(0.0)), 8).alias("p_above"))
+    return q.agg(at(0.025).alias("low"), at(0.975).alias("high")).join(above, "l_returnflag")
 
 
 TYPES = ["click", "error", "purchase", "signup", "view"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import windows as Wn
-from ..operators import intervals, joins
+from ..operators import intervals, joins, scans
 from .registry import query, table
 
 KEY, ORDER = ["user_id"], ["ts", "event_id"]
@@ -214,10 +214,45 @@ m AS (SELECT grp, unnest(ua) AS a_pos, unnest(ub) AS b_pos FROM (SELECT *, row_n
 SELECT grp, a_pos, b_pos, abs(a_pos - b_pos) AS gap FROM m""")
 def greedy_match(spark, d):
     """One-to-one by ascending (gap, a, b)."""
-    m = joins.greedy_match(band_candidates(spark, d), ["grp"], "a_pos", "b_pos", "gap")
+    m = scans.greedy_match(band_candidates(spark, d), ["grp"], "a_pos", "b_pos", "gap")
     return m.select("grp", "a_pos", "b_pos", "gap")
 
 
 @query(f"WITH {BAND_SQL} SELECT grp, a_id, b_id, gap FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY gap, b_pos) AS r FROM c) WHERE r = 1")
 def nearest_match(spark, d):
     return joins.nearest(band_candidates(spark, d), ["a_id"], F.col("gap"), ["b_pos"]).select("grp", "a_id", "b_id", "gap")
+
+
+SALES_ORDER = ["sold_at", "sale_id", "arrived_at", "total", "status", "priority"]
+
+
+@query("""
+WITH s AS (SELECT *, CAST(total AS DECIMAL(18, 2)) AS t FROM sales)
+SELECT sale_id, client_id, CAST(sum(t) OVER w AS DOUBLE) AS spent, max(t) OVER w AS highest, last_value(CASE WHEN status = 'done' THEN sale_id END IGNORE NULLS) OVER w AS last_done
+FROM s WINDOW w AS (PARTITION BY client_id ORDER BY sold_at NULLS FIRST, sale_id NULLS FIRST, arrived_at NULLS FIRST, total NULLS FIRST, status NULLS FIRST, priority NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def client_running_totals(spark, d):
+    """By client, of which one has a large share of all sales: spent so far, the highest sale and the last finished one."""
+    s = table(spark, d, "sales").withColumn("t", F.col("total").cast("decimal(18,2)"))
+    done = F.when(F.col("status") == "done", F.col("sale_id"))
+    out = scans.scanned(s, ["client_id"], SALES_ORDER, sums={"spent": F.col("t")}, highs={"highest": F.col("t")}, lasts={"last_done": done})
+    return out.select("sale_id", "client_id", F.col("spent").cast("double").alias("spent"), "highest", "last_done")
+
+
+@query("""
+WITH u AS (SELECT client_id, sold_at AS t, 0 AS side, sale_id, NULL AS click_id FROM sales WHERE client_id IS NOT NULL AND sale_id IS NOT NULL UNION ALL SELECT client_id, ts, 1, NULL, click_id FROM clicks WHERE client_id IS NOT NULL),
+f AS (SELECT side, click_id, client_id, last_value(sale_id IGNORE NULLS) OVER (PARTITION BY client_id ORDER BY t NULLS FIRST, side, sale_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sale_id FROM u)
+SELECT click_id, client_id, sale_id FROM f WHERE side = 1""")
+def last_sale_before_click(spark, d):
+    """The client's last sale at or before each click, spread over all tasks whatever one client holds."""
+    clicks = table(spark, d, "clicks").where("client_id is not null").select("click_id", "client_id", F.col("ts").alias("t"))
+    sales = table(spark, d, "sales").where("client_id is not null and sale_id is not null").select("client_id", F.col("sold_at").alias("t"), "sale_id")
+    return scans.asof(clicks, sales, ["client_id"], "t", ["sale_id"], ["sale_id"]).select("click_id", "client_id", "sale_id")
+
+
+@query("""
+WITH s AS (SELECT client_id, CAST(total AS DOUBLE) AS t FROM sales WHERE total IS NOT NULL)
+SELECT client_id, CAST(0.1 AS DOUBLE) AS share, quantile_cont(t, 0.1) AS total FROM s GROUP BY 1
+UNION ALL SELECT client_id, 0.5, quantile_cont(t, 0.5) FROM s GROUP BY 1 UNION ALL SELECT client_id, 0.99, quantile_cont(t, 0.99) FROM s GROUP BY 1""")
+def client_percentiles(spark, d):
+    """Exact percentiles of each client's sales."""
+    return scans.percentiles(table(spark, d, "sales"), ["client_id"], "total", [0.1, 0.5, 0.99])
