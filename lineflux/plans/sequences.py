@@ -251,8 +251,8 @@ def last_sale_before_click(spark, d):
 
 @query("""
 WITH s AS (SELECT client_id, CAST(total AS DOUBLE) AS t FROM sales WHERE total IS NOT NULL)
-SELECT client_id, CAST(0.1 AS DOUBLE) AS share, quantile_cont(t, 0.1) AS total FROM s GROUP BY 1
-UNION ALL SELECT client_id, 0.5, quantile_cont(t, 0.5) FROM s GROUP BY 1 UNION ALL SELECT client_id, 0.99, quantile_cont(t, 0.99) FROM s GROUP BY 1""")
+SELECT client_id, CAST(0.1 AS DOUBLE) AS share, round(quantile_cont(t, 0.1), 4) AS total FROM s GROUP BY 1
+UNION ALL SELECT client_id, 0.5, round(quantile_cont(t, 0.5), 4) FROM s GROUP BY 1 UNION ALL SELECT client_id, 0.99, round(quantile_cont(t, 0.99), 4) FROM s GROUP BY 1""")
 def client_percentiles(spark, d):
     """Exact percentiles of each client's sales."""
-    return scans.percentiles(table(spark, d, "sales"), ["client_id"], "total", [0.1, 0.5, 0.99])
+    return scans.percentiles(table(spark, d, "sales"), ["client_id"], "total", [0.1, 0.5, 0.99]).withColumn("total", F.round("total", 4))
