@@ -209,20 +209,6 @@ def poisson_steps(most: int = 12) -> list[float]:
     return out
 
 
-def group_bootstrap(df: DataFrame, group: str, num: Column, den: Column, replicates: int, seed: int = 0, keys: list[str] | None = None) -> DataFrame:
-    """By key (one row without): the ratio of sums, its 95 % interval under resampling of groups, and the share of replicates above 0.
-
-    Sums by group come first; a replicate weighs them by multiplicity(), so no row is copied by its multiplicity.
-    """
-    keys = keys or []
-    g = df.groupBy(*keys, group).agg(F.sum(num).alias("n"), F.sum(den).alias("d"))
-    reps = g.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", multiplicity(F.col(group), F.col("r"), seed))
-    reps = reps.groupBy(*keys, "r").agg((F.sum(F.col("k") * F.col("n")) / F.nullif(F.sum(F.col("k") * F.col("d")), F.lit(0))).alias("v"))
-    point = g.groupBy(*keys).agg((F.sum("n") / F.sum("d")).alias("value"))
-    spread = reps.groupBy(*keys).agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"), F.avg((F.col("v") > 0).cast("double")).alias("p_above"))
-    return point.join(spread, keys) if keys else point.crossJoin(spread)  # single rows
-
-
 #: The prime of the hash that draws resamples: 2^31 - 1.
 PRIME = 2_147_483_647
 
@@ -233,7 +219,8 @@ def drawn(name: str) -> int:
 
 
 def resampled(df: DataFrame, group: str, sums: dict[str, Column], statistics: dict[str, Callable], replicates: int, keys: list[str] | None = None, levels: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
-    """(keys, statistic, value, low, high): statistics of sums, and their intervals when whole groups are resampled.
+    """(keys, statistic, value, low, high, p_above): statistics of sums, their intervals when whole groups are resampled, and the share of
+    replicates above 0.
 
     statistics: name to a function of {sum's name: column}. A replicate takes a group Poisson(1) times; its draw is (a_r h + b_r) mod PRIME with
     md5 bits of the group and the replicate, so reruns agree and any two groups' draws are independent. A task works out the weighted sums of
@@ -271,9 +258,15 @@ def resampled(df: DataFrame, group: str, sums: dict[str, Column], statistics: di
     of = {n: F.col(n) for n in names}
     rows = lambda d: d.select("key", F.explode(F.array(*(F.struct(F.lit(n).alias("statistic"), f(of).cast("double").alias("v")) for n, f in statistics.items()))).alias("s")).select("key", "s.*")
     point = rows(g.groupBy(key.alias("key")).agg(*(F.sum(n).alias(n) for n in names))).withColumnRenamed("v", "value")
-    spread = rows(each).groupBy("key", "statistic").agg(F.percentile("v", F.array(*map(F.lit, levels))).alias("q"))
+    spread = rows(each).groupBy("key", "statistic").agg(F.percentile("v", F.array(*map(F.lit, levels))).alias("q"), F.avg((F.col("v") > 0).cast("double")).alias("p_above"))
     out = point.join(spread, ["key", "statistic"])
-    return out.select(*(F.col(f"key.{k}").alias(k) for k in keys), "statistic", "value", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    return out.select(*(F.col(f"key.{k}").alias(k) for k in keys), "statistic", "value", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "p_above")
+
+
+def group_bootstrap(df: DataFrame, group: str, num: Column, den: Column, replicates: int, keys: list[str] | None = None) -> DataFrame:
+    """By key (one row without): the ratio of sums, its 95 % interval under resampling of groups, and the share of replicates above 0."""
+    ratio = {"ratio": lambda s: s["n"] / F.nullif(s["d"], F.lit(0.0))}
+    return resampled(df, group, {"n": num, "d": den}, ratio, replicates, keys).drop("statistic")
 
 
 class Moments:

@@ -15,6 +15,28 @@ def counters(df: DataFrame, keys: list[str], tests: dict[str, Column], weights:
     return df.groupBy(*keys).agg(*counted, *summed)
 
 
+def play_tests(kind: Column, outcome: Column, made: Column, assisted: Column, zone: Column, action: Column, zones: list[str], actions: list[str]) -> dict[str, Column]:
+    """The counters of a play log by name: field goals by worth, made, assisted or not, by zone and by action; free throws, rebounds, assists,
+    steals, blocks, turnovers and fouls. A condition that is null counts nothing."""
+    shot, two = kind.isin("TwoPointer", "ThreePointer"), kind == "TwoPointer"
+    of = {"FGA": shot, "2PA": two, "3PA": shot & ~two, "FGM": shot & made, "2PM": two & made, "3PM": shot & ~two & made, "FGM_assisted": shot & made & assisted, "FGM_unassisted": shot & made & ~assisted}
+    for z in zones:
+        of |= {f"{z}_FGA": shot & (zone == z), f"{z}_FGM": shot & made & (zone == z)}
+    of |= {f"act_{a}_FGA": shot & (action == a) for a in actions}
+    of |= {"FTA": kind == "FreeThrow", "FTM": (kind == "FreeThrow") & made, "OREB": (kind == "Rebound") & (outcome == "Offensive"), "DREB": (kind == "Rebound") & F.coalesce(outcome != "Offensive", F.lit(True))}
+    return of | {n: kind == k for n, k in {"AST": "Assist", "STL": "Steal", "BLK": "Block", "TOV": "Turnover", "PF": "RosterFoul"}.items()}
+
+
+def play_counters(log: DataFrame, keys: list[str], team: str, player: str, tests: dict[str, Column], points: Column) -> DataFrame:
+    """(keys, team, player, counters, PTS, possessions): a row for each player, and one with a null player for each team, which also counts plays
+    of no player. One pass: players first, and teams are sums of them; possessions are FGA - OREB + TOV + 0.44 FTA."""
+    one = counters(log, [*keys, team, player], tests, {"PTS": points})
+    names = [*tests, "PTS"]
+    teams = one.groupBy(*keys, team).agg(*(F.sum(n).alias(n) for n in names)).select(*keys, team, F.lit(None).cast(one.schema[player].dataType).alias(player), *names)
+    out = one.where(F.col(player).isNotNull()).unionByName(teams)
+    return out.withColumn("possessions", F.col("FGA") - F.col("OREB") + F.col("TOV") + 0.44 * F.col("FTA"))
+
+
 def shrunk(n: Column, d: Column, prior: Column, k: float) -> Column:
     """Empirical Bayes: k pseudo-trials at the prior."""
     return (n + k * prior) / (F.greatest(d, F.lit(0)) + k)

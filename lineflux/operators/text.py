@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,6 +61,61 @@ def translated(text: Column, phrases: dict[str, str], names: dict[str, str] | No
     return F.trim(F.regexp_replace(text, " +", " "))
 
 
+SPACES = re.compile(" +")
+#: Entries of a dictionary that is broadcast, and their characters.
+ENTRIES, ENTRY_CHARACTERS = 1_000_000, 1 << 26
+
+
+def entries(table: DataFrame, key: str, value: str) -> list[tuple[str, str]]:
+    """A dictionary's entries in the order in which they replace: longest key first. Its size is checked. Of several values the greatest counts;
+    empty and null keys are left out, and a null value is empty."""
+    t = table.where(F.col(key) != "").groupBy(F.col(key).alias("k")).agg(F.coalesce(F.max(value), F.lit("")).alias("v"))
+    n, size = t.agg(F.count("*"), F.coalesce(F.sum(F.length("k") + F.length("v")), F.lit(0))).first()
+    if n > ENTRIES or size > ENTRY_CHARACTERS:
+        raise ValueError(f"a dictionary of {n} entries and {size} characters is too large to broadcast")
+    return sorted(((r.k, r.v) for r in t.collect()), key=lambda x: (-len(x[0]), x[0]))
+
+
+def replace_in_order(text: str, finder, order: list[tuple[str, str]]) -> str:
+    """Each entry in order, as replacing all of them would, but only those that the text holds by then are touched."""
+    done = -1
+    while True:
+        following = [i for _, i in finder.iter(text) if i > done]
+        if not following:
+            return text
+        done = min(following)
+        text = text.replace(*order[done])
+
+
+def translated_by(lines: DataFrame, text: str, tables: list[list[tuple[str, str]]]) -> DataFrame:
+    """lines with text translated by dictionaries (entries()), one after the other; runs of spaces collapse. A null text stays.
+
+    The entries go out once and are found by an automaton, so a line's cost does not grow with the dictionary and the plan doesn't either."""
+    sc = lines.sparkSession.sparkContext
+    known = sc.broadcast(tables)
+
+    def rows(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        finders = []
+        for order in known.value:
+            f = ahocorasick.Automaton()
+            for i, (k, _) in enumerate(order):
+                f.add_word(k, i)
+            f.make_automaton()
+            finders.append(f)
+        for batch in batches:
+            at, out = batch.schema.get_field_index(text), []
+            for t in batch.column(at).to_pylist():
+                for f, order in zip(finders, known.value):
+                    t = replace_in_order(t, f, order) if t and order else t
+                out.append(t if t is None else SPACES.sub(" ", t).strip(" "))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return lines.mapInArrow(rows, lines.schema)
+
+
 def by_line(text: Column, f) -> Column:
     """f on every line of a text."""
     return F.array_join(F.transform(F.split(text, "\n"), f), "\n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import windows as Wn
-from ..operators import joins, stats
+from ..operators import joins, scans, stats
 from .registry import query, table
 
 C = F.col
@@ -115,7 +115,7 @@ WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT
 SELECT orders, customers, CAST(sum(customers) OVER (ORDER BY orders) AS BIGINT) AS so_far FROM t""")
 def count_of_counts(spark, d):
     t = stats.counters(table(spark, d, "orders"), ["o_custkey"], {"orders": F.lit(True)}).groupBy("orders").agg(F.count("*").alias("customers"))
-    return t.withColumn("so_far", F.sum("customers").over(Window.orderBy("orders")))
+    return scans.scanned(t, [], ["orders"], sums={"so_far": C("customers")})
 
 
 @query("""

@@ -44,12 +44,12 @@ def loaded_inputs(spark, d):
 
 
 @query("""
-WITH e AS (SELECT user_id % 20 AS game, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) - 1 AS o, event_type, value, user_id FROM events)
+WITH e AS (SELECT user_id // 20 AS game, row_number() OVER (PARTITION BY user_id // 20 ORDER BY ts, event_id) - 1 AS o, event_type, value, user_id FROM events)
 SELECT CAST(game AS VARCHAR) AS game_id, o AS "order", CAST(o // 100 + 1 AS INTEGER) AS quarter, o * 10 AS clock_ms, event_type, CAST(user_id AS VARCHAR) AS player_id,
        CASE WHEN event_type = 'purchase' THEN value + 1 END AS x_mm, CASE WHEN event_type = 'purchase' THEN value * 2 END AS y_mm FROM e""")
 def broadcast_events(spark, d):
     """Nested broadcasts, a folder for each game: rounds of events and coordinates by order, of which the last duplicate counts."""
-    e = table(spark, d, "events").withColumn("game", C("user_id") % 20)
+    e = table(spark, d, "events").withColumn("game", F.floor(C("user_id") / 20))
     e = e.withColumn("o", Wn.sequence(["game"], ["ts", "event_id"])).withColumn("round", (F.floor(C("o") / 100) + 1).cast("int"))
     one = F.struct(C("o").alias("order"), F.when(C("o") % 2 == 0, C("round")).alias("quarter"), (C("o") * 10).alias("event_quarter_time"), "event_type", F.struct(C("user_id").cast("string").alias("id")).alias("player"))
     rounds = e.groupBy("game", "round").agg(F.sort_array(F.collect_list(one)).alias("events")).groupBy("game").agg(F.sort_array(F.collect_list(F.struct("round", "events"))).alias("rounds"))
@@ -65,7 +65,8 @@ def text_files(spark, d):
     """A folder of text for each name, read back whole."""
     to = scratch(spark)
     writers.write_texts(table(spark, d, "supplier").withColumn("text", F.concat_ws("\n", "s_name", F.concat(F.lit("in "), C("s_nationkey").cast("string")))), "s_suppkey", "text", to)
-    return spark.read.text(to, wholetext=True).select(C("s_suppkey").cast("long").alias("s_suppkey"), F.regexp_replace("value", "\n$", "").alias("value"))
+    t = readers.read_texts(spark, to)
+    return t.select(C("s_suppkey").cast("long").alias("s_suppkey"), F.regexp_replace("text", "\n$", "").alias("value"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS value FROM part WHERE p_size % 5 NOT IN (0, 1)")

@@ -42,9 +42,10 @@ def ridge(spark, d):
     return spark.range(1).select(F.round(F.lit(b[0]), 3).alias("tax"), F.round(F.lit(b[1]), 3).alias("discount"))
 
 
-REPLICATES = 200
+REPLICATES = 2_000
 STEPS = " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in ml.poisson_steps())
-DRAWS = f"(SELECT *, {STEPS} AS k FROM (SELECT *, (CAST(('0x' || substr(md5(r || ':' || g || ':0'), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM (SELECT *, unnest(range(1, {REPLICATES + 1})) AS r FROM s)))"
+DRAWS = f"""(SELECT *, {STEPS} AS k FROM (SELECT s.*, r, ((CAST('0x' || substr(md5(CAST(g AS VARCHAR)), 1, 7) AS BIGINT) * a + b) % {ml.PRIME} + 0.5) / {ml.PRIME} AS u FROM s,
+  (SELECT r, CAST('0x' || substr(md5('a' || r), 1, 7) AS BIGINT) + 1 AS a, CAST('0x' || substr(md5('b' || r), 1, 7) AS BIGINT) AS b FROM range(1, {REPLICATES + 1}) t(r))))"""
 
 
 @query(f"""
@@ -72,14 +73,10 @@ def pair_summary(spark, d):
     return out.select("pair", "minutes", F.round(100 * C("value"), 6).alias("rate"), enough("low"), enough("high")).orderBy(F.desc("minutes"), "pair")
 
 
-#: The reference intervals' own number of replicates.
-FULL = 2_000
 STATISTICS_SQL = f"""
 WITH s AS (SELECT l_linestatus AS side, o_custkey AS g, sum(l_extendedprice * l_discount) AS n, sum(l_extendedprice) AS d, coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 0) AS qr, coalesce(sum(l_extendedprice) FILTER (WHERE l_returnflag = 'R'), 0) AS dr, sum(l_quantity) AS q, sum(l_tax) AS t, count(*) AS c
            FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2),
-r AS (SELECT r, CAST('0x' || substr(md5('a' || r), 1, 7) AS BIGINT) + 1 AS a, CAST('0x' || substr(md5('b' || r), 1, 7) AS BIGINT) AS b FROM range(1, {FULL + 1}) t(r)),
-k AS (SELECT s.*, r, {STEPS} AS k FROM (SELECT s.*, r.r, ((CAST('0x' || substr(md5(CAST(g AS VARCHAR)), 1, 7) AS BIGINT) * a + b) % {ml.PRIME} + 0.5) / {ml.PRIME} AS u FROM s, r) s),
-w AS (SELECT side, r, sum(k * n) AS n, sum(k * d) AS d, sum(k * qr) AS qr, sum(k * dr) AS dr, sum(k * q) AS q, sum(k * t) AS t, sum(k * c) AS c FROM k GROUP BY 1, 2 UNION ALL SELECT side, 0, sum(n), sum(d), sum(qr), sum(dr), sum(q), sum(t), sum(c) FROM s GROUP BY 1),
+w AS (SELECT side, r, sum(k * n) AS n, sum(k * d) AS d, sum(k * qr) AS qr, sum(k * dr) AS dr, sum(k * q) AS q, sum(k * t) AS t, sum(k * c) AS c FROM {DRAWS} GROUP BY 1, 2 UNION ALL SELECT side, 0, sum(n), sum(d), sum(qr), sum(dr), sum(q), sum(t), sum(c) FROM s GROUP BY 1),
 v AS (SELECT side, r, 'rate' AS statistic, n / nullif(d, 0) AS v FROM w UNION ALL SELECT side, r, 'difference', 1000 * (qr / nullif(dr, 0) - q / nullif(d, 0)) FROM w
       UNION ALL SELECT side, r, 'four_factors', 0.4 * n / nullif(d, 0) + 0.25 * qr / nullif(q, 0) + 0.2 * t / nullif(c, 0) + 0.15 * dr / nullif(d, 0) FROM w)
 SELECT side, statistic, round(max(v) FILTER (WHERE r = 0), 7) AS value, round(quantile_cont(v, 0.025) FILTER (WHERE r > 0), 7) AS low, round(quantile_cont(v, 0.975) FILTER (WHERE r > 0), 7) AS high FROM v GROUP BY 1, 2"""
@@ -94,7 +91,7 @@ def bootstrap_statistics(spark, d):
     over = lambda a, b: a / F.nullif(b, F.lit(0.0))
     out = ml.resampled(o, "o_custkey", sums, {
         "rate": lambda s: over(s["n"], s["d"]), "difference": lambda s: 1000 * (over(s["qr"], s["dr"]) - over(s["q"], s["d"])),
-        "four_factors": lambda s: 0.4 * over(s["n"], s["d"]) + 0.25 * over(s["qr"], s["q"]) + 0.2 * over(s["t"], s["c"]) + 0.15 * over(s["dr"], s["d"])}, FULL, ["side"])
+        "four_factors": lambda s: 0.4 * over(s["n"], s["d"]) + 0.25 * over(s["qr"], s["q"]) + 0.2 * over(s["t"], s["c"]) + 0.15 * over(s["dr"], s["d"])}, REPLICATES, ["side"])
     return out.select("side", "statistic", *(F.round(c, 7).alias(c) for c in ("value", "low", "high")))
 
 

@@ -22,6 +22,35 @@ def counter_vector(spark, d):
     return stats.counters(table(spark, d, "lineitem"), ["l_suppkey", "l_returnflag"], tests, {"points": points})
 
 
+ZONES, ACTIONS = ["rim", "short", "mid", "corner", "arc"], ["drive", "post", "jump", "cut", "tip"]
+PLAYS_SQL = """
+WITH p AS (SELECT user_id // 20 AS game, user_id % 2 AS team, CASE WHEN event_id % 11 <> 0 THEN user_id END AS player, event_id % 4 = 1 AS made, event_id % 3 = 0 AS assisted, value,
+  CASE event_type WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'ThreePointer' ELSE 'TwoPointer' END WHEN 'click' THEN 'FreeThrow' WHEN 'view' THEN 'Rebound' WHEN 'error' THEN 'Turnover' ELSE CASE event_id % 4 WHEN 0 THEN 'Assist' WHEN 1 THEN 'Steal' WHEN 2 THEN 'Block' ELSE 'RosterFoul' END END AS kind,
+  CASE WHEN event_id % 5 = 0 THEN 'Offensive' WHEN event_id % 5 < 4 THEN 'Defensive' END AS outcome, (['rim', 'short', 'mid', 'corner', 'arc', NULL])[event_id % 6 + 1] AS zone, (['drive', 'post', 'jump', 'cut', 'tip', NULL, NULL])[event_id % 7 + 1] AS action FROM events),
+q AS (SELECT *, kind IN ('TwoPointer', 'ThreePointer') AS shot, CASE WHEN made THEN CASE kind WHEN 'TwoPointer' THEN 2 WHEN 'ThreePointer' THEN 3 WHEN 'FreeThrow' THEN 1 ELSE 0 END ELSE 0 END AS points FROM p),
+c AS (SELECT game, team, player, GROUPING(player) AS whole, count(*) FILTER (shot) AS "FGA", count(*) FILTER (kind = 'TwoPointer') AS "2PA", count(*) FILTER (kind = 'ThreePointer') AS "3PA", count(*) FILTER (shot AND made) AS "FGM",
+  count(*) FILTER (kind = 'TwoPointer' AND made) AS "2PM", count(*) FILTER (kind = 'ThreePointer' AND made) AS "3PM", count(*) FILTER (shot AND made AND assisted) AS "FGM_assisted", count(*) FILTER (shot AND made AND NOT assisted) AS "FGM_unassisted", """ + ", ".join(
+    [f"""count(*) FILTER (shot AND zone = '{z}') AS "{z}_FGA", count(*) FILTER (shot AND made AND zone = '{z}') AS "{z}_FGM\"""" for z in ZONES] + [f"""count(*) FILTER (shot AND action = '{a}') AS "act_{a}_FGA\"""" for a in ACTIONS]) + """,
+  count(*) FILTER (kind = 'FreeThrow') AS "FTA", count(*) FILTER (kind = 'FreeThrow' AND made) AS "FTM", count(*) FILTER (kind = 'Rebound' AND outcome = 'Offensive') AS "OREB", count(*) FILTER (kind = 'Rebound' AND outcome IS DISTINCT FROM 'Offensive') AS "DREB",
+  count(*) FILTER (kind = 'Assist') AS "AST", count(*) FILTER (kind = 'Steal') AS "STL", count(*) FILTER (kind = 'Block') AS "BLK", count(*) FILTER (kind = 'Turnover') AS "TOV", count(*) FILTER (kind = 'RosterFoul') AS "PF", CAST(sum(points) AS DOUBLE) AS "PTS"
+  FROM q GROUP BY GROUPING SETS ((game, team, player), (game, team)))
+SELECT * EXCLUDE (whole), round(CAST("FGA" - "OREB" + "TOV" + 0.44 * "FTA" AS DOUBLE), 6) AS possessions FROM c WHERE whole = 1 OR player IS NOT NULL"""
+
+
+@query(PLAYS_SQL)
+def play_counters(spark, d):
+    """All counters of players and teams; plays without a player count for the team only."""
+    i, t = C("event_id"), C("event_type")
+    at = lambda names, n: F.get(F.array(*map(F.lit, names), *[F.lit(None).cast("string")] * (n - len(names))), (i % n).cast("int"))
+    kind = F.when(t == "purchase", F.when(i % 3 == 0, "ThreePointer").otherwise("TwoPointer")).when(t == "click", "FreeThrow").when(t == "view", "Rebound").when(t == "error", "Turnover").otherwise(at(["Assist", "Steal", "Block", "RosterFoul"], 4))
+    e = table(spark, d, "events").select(
+        F.floor(C("user_id") / 20).alias("game"), (C("user_id") % 2).alias("team"), F.when(i % 11 != 0, C("user_id")).alias("player"), kind.alias("kind"), F.when(i % 5 == 0, "Offensive").when(i % 5 < 4, "Defensive").alias("outcome"),
+        (i % 4 == 1).alias("made"), (i % 3 == 0).alias("assisted"), at(ZONES, 6).alias("zone"), at(ACTIONS, 7).alias("action"))
+    tests = stats.play_tests(C("kind"), C("outcome"), C("made"), C("assisted"), C("zone"), C("action"), ZONES, ACTIONS)
+    worth = F.when(C("made"), F.when(C("kind") == "TwoPointer", 2.0).when(C("kind") == "ThreePointer", 3.0).when(C("kind") == "FreeThrow", 1.0))
+    return stats.play_counters(e, ["game"], "team", "player", tests, F.coalesce(worth, F.lit(0.0))).withColumn("possessions", F.round("possessions", 6))
+
+
 @query("""
 SELECT c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)) / sum(l_quantity), 6) AS revenue_per_unit, round(sum(l_extendedprice * l_discount) / sum(l_extendedprice), 6) AS discount_rate,
        round(100.0 * sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / (sum(l_quantity) + 50), 6) AS shrunk_returns

@@ -136,14 +136,14 @@ def interval_inclusive(spark, d):
 
 
 LOG_SQL = """
-log AS (SELECT user_id % 20 AS grp, user_id AS entity, event_id, event_type, epoch_us(ts) AS us,
+log AS (SELECT user_id // 20 AS grp, user_id AS entity, event_id, event_type, epoch_us(ts) AS us,
         event_type IN ('signup', 'error') AS is_sub, event_type = 'signup' AS enters,
-        row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS pos FROM events)"""
+        row_number() OVER (PARTITION BY user_id // 20 ORDER BY ts, event_id) AS pos FROM events)"""
 
 
 def log_of(spark, d):
-    """Users by group of 20: a signup enters, an error leaves, other events are ordinary."""
-    e = timed(spark, d).select((F.col("user_id") % 20).alias("grp"), F.col("user_id").alias("entity"), "event_id", "event_type", "us")
+    """Users in groups of twenty, however many there are: a signup enters, an error leaves, other events are ordinary."""
+    e = timed(spark, d).select(F.floor(F.col("user_id") / 20).alias("grp"), F.col("user_id").alias("entity"), "event_id", "event_type", "us")
     return e.withColumn("pos", Wn.sequence(["grp"], ["us", "event_id"]) + 1)
 
 
@@ -186,13 +186,13 @@ def single_presence(spark, d):
 
 
 BAND_SQL = """
-s AS (SELECT user_id % 50 AS grp, user_id, event_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS pos FROM events),
+s AS (SELECT user_id // 10 AS grp, user_id, event_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id // 10 ORDER BY ts, event_id) AS pos FROM events),
 c AS (SELECT a.grp, a.event_id AS a_id, b.event_id AS b_id, a.pos AS a_pos, b.pos AS b_pos, abs(a.pos - b.pos) AS gap, abs(a.us - b.us) AS dt
       FROM s a JOIN s b ON a.grp = b.grp AND a.event_type = 'click' AND b.event_type = 'purchase' AND abs(a.pos - b.pos) <= 6 AND a.user_id <> b.user_id AND abs(a.us - b.us) <= 86400000000)"""
 
 
 def band_candidates(spark, d):
-    e = timed(spark, d).select((F.col("user_id") % 50).alias("grp"), "user_id", "event_id", "event_type", "us")
+    e = timed(spark, d).select(F.floor(F.col("user_id") / 10).alias("grp"), "user_id", "event_id", "event_type", "us")
     e = e.withColumn("pos", Wn.sequence(["grp"], ["us", "event_id"]) + 1)
     side = lambda kind, p: e.where(F.col("event_type") == kind).select("grp", F.col("event_id").alias(f"{p}_id"), F.col("user_id").alias(f"{p}_user"), F.col("us").alias(f"{p}_us"), F.col("pos").alias(f"{p}_pos"))
     c = joins.band(side("click", "a"), side("purchase", "b"), ["grp"], "a_pos", "b_pos", 6)

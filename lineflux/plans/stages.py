@@ -49,8 +49,8 @@ def contrast_both_ways(spark, d):
 
 
 @query("""
-WITH log AS (SELECT user_id % 20 AS game, CAST(event_id % 4 + 1 AS INTEGER) AS quarter, CASE WHEN user_id // 20 % 2 = 0 THEN 'home' ELSE 'away' END AS side, user_id AS id, event_type IN ('signup', 'error') AS is_sub, event_type = 'signup' AS enters,
-             row_number() OVER (PARTITION BY user_id % 20, event_id % 4 ORDER BY ts, event_id) AS pos FROM events),
+WITH log AS (SELECT user_id // 20 AS game, CAST(event_id % 4 + 1 AS INTEGER) AS quarter, CASE WHEN user_id % 2 = 0 THEN 'home' ELSE 'away' END AS side, user_id AS id, event_type IN ('signup', 'error') AS is_sub, event_type = 'signup' AS enters,
+             row_number() OVER (PARTITION BY user_id // 20, event_id % 4 ORDER BY ts, event_id) AS pos FROM events),
 l AS (SELECT *, CAST((quarter - 1) * 720 + least(pos, 719) AS DOUBLE) AS t FROM log),
 p AS (SELECT game, quarter, side, id, pos AS f, enters, lead(pos) OVER (PARTITION BY game, quarter, id ORDER BY pos) AS u FROM l WHERE is_sub),
 o AS (SELECT l.game, l.quarter, l.pos, coalesce(string_agg(CAST(p.id AS VARCHAR), '|' ORDER BY p.id) FILTER (WHERE p.side = 'home'), '') AS home, coalesce(string_agg(CAST(p.id AS VARCHAR), '|' ORDER BY p.id) FILTER (WHERE p.side = 'away'), '') AS away,
@@ -65,7 +65,7 @@ SELECT game || '_' || lpad(CAST(no AS VARCHAR), 3, '0') AS stint_id, game, quart
        n_home = 2 AND n_away = 2 AND end_ - start > 0 AND known AS valid FROM e""")
 def league_stints(spark, d):
     """Two-sided stints by quarter, valid with two known members a side and a positive duration."""
-    e = timed(spark, d).select((C("user_id") % 20).alias("game"), (C("event_id") % 4 + 1).cast("int").alias("quarter"), F.when(F.floor(C("user_id") / 20) % 2 == 0, "home").otherwise("away").alias("side"), C("user_id").alias("id"), "event_type", "us", "event_id")
+    e = timed(spark, d).select(F.floor(C("user_id") / 20).alias("game"), (C("event_id") % 4 + 1).cast("int").alias("quarter"), F.when(C("user_id") % 2 == 0, "home").otherwise("away").alias("side"), C("user_id").alias("id"), "event_type", "us", "event_id")
     e = e.withColumn("pos", Wn.sequence(["game", "quarter"], ["us", "event_id"]) + 1).withColumn("t", ((C("quarter") - 1) * 720 + F.least("pos", F.lit(719))).cast("double"))
     begin, end = ((C("quarter") - 1) * 720).cast("double"), X.period_end(C("quarter")).cast("double")
     s = intervals.two_sided_stints(e, "game", "quarter", "side", "id", C("event_type").isin("signup", "error"), C("event_type") == "signup", "pos", "t", begin, end)
@@ -95,7 +95,7 @@ def lineups_to_the_end(spark, d):
 
 
 @query("""
-WITH log AS (SELECT user_id % 20 AS game, CAST(event_id % 2 + 1 AS INTEGER) AS quarter, CASE WHEN user_id // 20 % 2 = 0 THEN 'home' ELSE 'away' END AS side, user_id AS id, event_type = 'signup' AS enters, epoch_us(ts) // 21600000000 AS t
+WITH log AS (SELECT user_id // 20 AS game, CAST(event_id % 2 + 1 AS INTEGER) AS quarter, CASE WHEN user_id % 2 = 0 THEN 'home' ELSE 'away' END AS side, user_id AS id, event_type = 'signup' AS enters, epoch_us(ts) // 21600000000 AS t
              FROM events WHERE event_type IN ('signup', 'error')),
 s AS (SELECT game, quarter, side, id, t, max(CASE WHEN enters THEN 1 ELSE 0 END) AS on_ FROM log GROUP BY ALL), r AS (SELECT *, lead(t) OVER (PARTITION BY game, quarter, id ORDER BY t) AS until FROM s),
 x AS (SELECT game, quarter, t AS start_t, lead(t) OVER (PARTITION BY game, quarter ORDER BY t) AS end_t FROM (SELECT DISTINCT game, quarter, t FROM s)),
@@ -105,8 +105,8 @@ SELECT u.game || '_' || lpad(CAST(u.no AS VARCHAR), 3, '0') AS stint_id, u.start
 FROM u LEFT JOIN r ON r.game = u.game AND r.quarter = u.quarter AND r.on_ = 1 AND r.t <= u.start_t AND (r.until IS NULL OR r.until > u.start_t) GROUP BY u.game, u.no, u.start_t, u.end_t""")
 def batch_stints(spark, d):
     """Two-sided stints from substitutions batched by equal time, by quarter, valid with two members a side."""
-    e = timed(spark, d).where(C("event_type").isin("signup", "error")).select((C("user_id") % 20).alias("game"), (C("event_id") % 2 + 1).cast("int").alias("quarter"), "event_type", "event_id", F.floor(C("us") / 21_600_000_000).cast("long").alias("t"),
-                                F.struct(F.when(F.floor(C("user_id") / 20) % 2 == 0, "home").otherwise("away").alias("side"), C("user_id").alias("id")).alias("who"))
+    e = timed(spark, d).where(C("event_type").isin("signup", "error")).select(F.floor(C("user_id") / 20).alias("game"), (C("event_id") % 2 + 1).cast("int").alias("quarter"), "event_type", "event_id", F.floor(C("us") / 21_600_000_000).cast("long").alias("t"),
+                                F.struct(F.when(C("user_id") % 2 == 0, "home").otherwise("away").alias("side"), C("user_id").alias("id")).alias("who"))
     s = intervals.batch_lineups(e, ["game", "quarter"], "who", C("event_type") == "signup", "t", "event_id")
     no = F.row_number().over(Wn.over(["game"], ["quarter", "start_time"]))
     s = s.select(F.format_string("%d_%03d", "game", no).alias("stint_id"), C("start_time").alias("start_t"), C("end_time").alias("end_t"), (C("end_time") - C("start_time")).alias("duration"), intervals.side_of("lineup", "home").alias("home"), intervals.side_of("lineup", "away").alias("away"))
@@ -260,14 +260,14 @@ NAMES, PHRASES = {"er": "Ann", "ere": "Bo", "erer": "Cy"}, {"th": "TO", "the": "
 
 
 @query("""
-WITH c AS (SELECT conv_id, turn, '第' || (turn % 4 + 1) || '節' || CASE WHEN role = 'user' THEN '開始' ELSE '結束' END || ' ' || text AS line FROM conversations WHERE turn = 0),
-m AS (SELECT conv_id, regexp_replace(regexp_replace(line, '第([0-9]+)節開始', 'Q\\1 start', 'g'), '第([0-9]+)節結束', 'Q\\1 end', 'g') AS line FROM c),
-n AS (SELECT conv_id, replace(replace(replace(line, 'erer', 'Cy'), 'ere', 'Bo'), 'er', 'Ann') AS line FROM m)
-SELECT conv_id, trim(regexp_replace(replace(replace(replace(line, 'the', 'DE '), 'on', 'AN '), 'th', 'TO '), ' +', ' ', 'g'), ' ') AS line FROM n""")
+WITH c AS (SELECT conv_id, turn, role, '第' || (turn % 4 + 1) || '節' || CASE WHEN role = 'user' THEN '開始' ELSE '結束' END || ' ' || text AS line FROM conversations),
+m AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(line, '第([0-9]+)節開始', 'Q\\1 start', 'g'), '第([0-9]+)節結束', 'Q\\1 end', 'g') AS line FROM c),
+n AS (SELECT conv_id, turn, role, replace(replace(replace(line, 'erer', 'Cy'), 'ere', 'Bo'), 'er', 'Ann') AS line FROM m)
+SELECT conv_id, turn, role, trim(regexp_replace(replace(replace(replace(line, 'the', 'DE '), 'on', 'AN '), 'th', 'TO '), ' +', ' ', 'g'), ' ') AS line FROM n""")
 def translate_lines(spark, d):
     """Period markers, then names, then phrases with a space after each, the longest first."""
     line = F.concat(F.lit("第"), (C("turn") % 4 + 1).cast("string"), F.lit("節"), F.when(C("role") == "user", "開始").otherwise("結束"), F.lit(" "), C("text"))
-    return table(spark, d, "conversations").where("turn = 0").select("conv_id", T.translated(line, PHRASES, NAMES, MARKERS, " ").alias("line"))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", T.translated(line, PHRASES, NAMES, MARKERS, " ").alias("line"))
 
 
 LATIN, GREEK = "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψωϊϋ"

@@ -41,6 +41,23 @@ def text_translate(spark, d):
     return table(spark, d, "documents").select("doc_id", T.translated(C("text"), PHRASES).alias("text"))
 
 
+WORDS = "(SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,5}')) AS k FROM benchmark)"
+REPLACED = "list_reduce(list_prepend({0}, {1}), lambda acc, k: replace(acc, k, {2}))"
+
+
+@query(f"""
+WITH n AS (SELECT list(k ORDER BY length(k) DESC, k) AS names FROM {WORDS} WHERE length(k) > 3), p AS (SELECT list(k ORDER BY k) AS phrases FROM {WORDS} WHERE length(k) = 3),
+l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, line_no, trim(regexp_replace({REPLACED.format(REPLACED.format("line", "names", "upper(k)"), "phrases", "reverse(k) || ' '")}, ' +', ' ', 'g'), ' ') AS line FROM l, n, p""")
+def translate_by_table(spark, d):
+    """Every line by two dictionaries that are tables: names, then phrases with a space after each, the longest first."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,5}"), F.lit(0))).alias("k")).distinct()
+    names = T.entries(words.where(F.length("k") > 3).withColumn("v", F.upper("k")), "k", "v")
+    phrases = T.entries(words.where(F.length("k") == 3).withColumn("v", F.concat(F.reverse("k"), F.lit(" "))), "k", "v")
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line_no", (C("line_no") + 1).cast("long"))
+    return T.translated_by(lines, "line", [names, phrases])
+
+
 @query("""
 WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT regexp_extract(trim(line, ' '), '^([^ -]+)', 1) AS name FROM l WHERE contains(line, 'the'))
 SELECT name, count(*) AS n_lines FROM n WHERE length(name) BETWEEN 2 AND 6 AND NOT regexp_matches(name, '[0-9]') GROUP BY 1""")

@@ -18,9 +18,10 @@ def captures(attempts: DataFrame, keys: list[str], order: str, status: str, body
     """By key: the body of the last successful attempt (status 200, not empty), attempts, failures since then, and the seconds to
     wait before the next try (doubling, 0 after a success)."""
     ok = F.coalesce((F.col(status) == 200) & (F.col(body) != ""), F.lit(False))
-    a = attempts.groupBy(*keys).agg(
-        F.max(F.when(ok, F.struct(order, body))).alias("_best"), F.count("*").alias("attempts"),
-        F.collect_list(F.when(~ok, F.col(order))).alias("_failed"))
-    since = F.size(F.filter("_failed", lambda x: F.col("_best").isNull() | (x > F.col(f"_best.{order}"))))
-    a = a.withColumn("failures", since.cast("long"))
+    best = attempts.where(ok).groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max(F.struct(order, body)).alias("_best"))
+    on = F.lit(True)
+    for k in keys:
+        on &= attempts[k].eqNullSafe(best[f"_{k}"])
+    since = ~ok & (F.col("_best").isNull() | (F.col(order) > F.col(f"_best.{order}")))
+    a = attempts.join(best, on, "left").groupBy(*keys).agg(F.max("_best").alias("_best"), F.count("*").alias("attempts"), F.count_if(since).alias("failures"))
     return a.select(*keys, F.col(f"_best.{body}").alias(body), "attempts", "failures", F.when(F.col("failures") == 0, 0.0).otherwise(F.least(F.lit(wait) * F.pow(F.lit(2.0), F.col("failures") - 1), F.lit(most_wait))).alias("wait_s"))

@@ -55,8 +55,8 @@ def read_broadcasts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(number, name, text) of whole text files, the number from the file's name."""
-    t = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("name"))
+    """(number, name, text) of whole text files, the number from the file's name, and the columns of the folders' names."""
+    t = spark.read.text(path, wholetext=True).select("*", F.col("_metadata.file_name").alias("name")).withColumnRenamed("value", "text")
     return t.withColumn("number", F.regexp_extract("name", r"([0-9]+)", 1).try_cast("long"))
 
 

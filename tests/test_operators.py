@@ -181,3 +181,24 @@ def test_bundle_and_description(spark, tmp_path):
     assert len(PipelineModel.load(f"{tmp_path}/m").stages) == 3
     got = ml.described_clusters(df.withColumn("c", (F.col("a") > 5).cast("int")), "c", ["b"]).orderBy("c").collect()
     assert [(r.high, r.low) for r in got] == [("", "b"), ("b", "")]
+
+
+def test_a_dictionary_of_ten_thousand_entries(spark):
+    from lineflux.operators import text as T
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    entries = {word(rng.randint(2, 9)): word(rng.randint(0, 4)) + rng.choice(["", " "]) for _ in range(16_000)}
+    assert len(entries) > 10_000
+    lines = [None, "", "  ", *(" ".join(word(rng.randint(1, 12)) for _ in range(rng.randint(1, 9))) for _ in range(60))]
+    table = spark.createDataFrame([*entries.items(), (None, "x"), ("", "y")], "k string, v string")
+    order = T.entries(table, "k", "v")
+    assert order == sorted(entries.items(), key=lambda x: (-len(x[0]), x[0]))
+    got = T.translated_by(spark.createDataFrame(list(enumerate(lines)), "i int, line string"), "line", [order, [("zz", "q")]]).collect()
+    for r in got:
+        want = lines[r.i]
+        if want is not None:
+            for k, v in order:
+                want = want.replace(k, v)
+            want = " ".join(x for x in want.split(" ") if x)
+        assert r.line == want
