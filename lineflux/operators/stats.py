@@ -114,6 +114,25 @@ def contrasts(groups: DataFrame, group: str, member: str, value: str, focus, oth
     return out.withColumn("focus_diff", c("with_mean") - c("focus_without_mean")).withColumn("mate_diff", c("with_mean") - c("mate_without_mean"))
 
 
+def contrast_measures(groups: DataFrame, group: str, member: str, values: list[str], focus, other: str = "mate") -> DataFrame:
+    """contrasts() of any number of measures in one pass: with_n, focus_without_n, mate_without_n, and of each measure its mean with, the focus's
+    and the mate's without, and both differences (columns {measure}_with, _focus_without, _mate_without, _focus_diff, _mate_diff)."""
+    c, own = F.col, groups.where(F.col(member) == focus).select(group, *values)
+    total = own.agg(F.count("*").alias("_n"), *(F.sum(v).alias(f"_t_{v}") for v in values))
+    mates = groups.where(F.col(member) != focus)
+    alone = mates.groupBy(F.col(member).alias(other)).agg(F.count("*").alias("_m"), *(F.sum(v).alias(f"_m_{v}") for v in values))
+    both = own.join(mates.select(group, F.col(member).alias(other)), group).groupBy(other).agg(F.count("*").alias("with_n"), *(F.sum(v).alias(f"_w_{v}") for v in values))
+    out = both.join(alone, other).crossJoin(F.broadcast(total))  # one row
+    n = {"with": c("with_n"), "focus_without": c("_n") - c("with_n"), "mate_without": c("_m") - c("with_n")}
+    means = {}
+    for v in values:
+        w = c(f"_w_{v}")
+        for name, x in (("with", w), ("focus_without", c(f"_t_{v}") - w), ("mate_without", c(f"_m_{v}") - w)):
+            means[f"{v}_{name}"] = safe_div(x.cast("double"), n[name])
+    out = out.select(other, *(x.alias(f"{k}_n") for k, x in n.items()), *(x.alias(k) for k, x in means.items()))
+    return out.withColumns({f"{v}_{side}_diff": c(f"{v}_with") - c(f"{v}_{side}_without") for v in values for side in ("focus", "mate")})
+
+
 def per_unit(totals: DataFrame, minutes: str, counters: list[str], rates: dict[str, tuple[str, str]], span: float = 36.0) -> DataFrame:
     """totals with each counter per `span` minutes and rates in percent (0 without attempts); rows without minutes are left out."""
     t = totals.where(F.col(minutes) > 0)

@@ -48,6 +48,33 @@ def contrast_both_ways(spark, d):
     return stats.contrasts(m, "l_orderkey", "l_suppkey", "v", 1)
 
 
+MEASURES = ["price", "lines", "quantity", "discount", "tax", "returned", "late", "urgent"]
+
+
+def _contrast_sql() -> str:
+    sums = lambda p, t: ", ".join(f"sum({t}.{v}) AS {p}_{v}" for v in MEASURES)
+    means = ", ".join(
+        f"CAST(w_{v} AS DOUBLE) / with_n AS {v}_with, CASE WHEN n > with_n THEN CAST(t_{v} - w_{v} AS DOUBLE) / (n - with_n) END AS {v}_focus_without, CASE WHEN m > with_n THEN CAST(m_{v} - w_{v} AS DOUBLE) / (m - with_n) END AS {v}_mate_without" for v in MEASURES)
+    return f"""
+WITH o AS (SELECT l_orderkey, max(CAST(o_totalprice AS DECIMAL(18, 2))) AS price, count(*) AS lines, sum(CAST(l_quantity AS DECIMAL(18, 2))) AS quantity, sum(CAST(l_discount AS DECIMAL(18, 2))) AS discount, sum(CAST(l_tax AS DECIMAL(18, 2))) AS tax,
+             count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_linestatus = 'O') AS late, max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS urgent FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+g AS (SELECT o.*, l_suppkey FROM o JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) USING (l_orderkey)), f AS (SELECT * FROM g WHERE l_suppkey = 1), t AS (SELECT count(*) AS n, {sums("t", "f")} FROM f),
+a AS (SELECT l_suppkey AS mate, count(*) AS m, {sums("m", "g")} FROM g WHERE l_suppkey <> 1 GROUP BY 1), w AS (SELECT g.l_suppkey AS mate, count(*) AS with_n, {sums("w", "f")} FROM f JOIN g ON g.l_orderkey = f.l_orderkey AND g.l_suppkey <> 1 GROUP BY 1),
+r AS (SELECT mate, with_n, n - with_n AS focus_without_n, m - with_n AS mate_without_n, {means} FROM w JOIN a USING (mate), t)
+SELECT *, {", ".join(f"{v}_with - {v}_focus_without AS {v}_focus_diff, {v}_with - {v}_mate_without AS {v}_mate_diff" for v in MEASURES)} FROM r"""
+
+
+@query(_contrast_sql())
+def contrast_measures(spark, d):
+    """Eight measures of the focus's orders with and without each mate, both ways, at once."""
+    dec = lambda c: F.sum(C(c).cast("decimal(18,2)"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), C("o_orderkey") == C("l_orderkey"))
+    o = lines.groupBy("l_orderkey").agg(
+        F.max(C("o_totalprice").cast("decimal(18,2)")).alias("price"), F.count("*").alias("lines"), dec("l_quantity").alias("quantity"), dec("l_discount").alias("discount"), dec("l_tax").alias("tax"),
+        F.count_if(C("l_returnflag") == "R").alias("returned"), F.count_if(C("l_linestatus") == "O").alias("late"), F.max(F.when(C("o_orderpriority") == "1-URGENT", 1).otherwise(0)).alias("urgent"))
+    return stats.contrast_measures(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct().join(o, "l_orderkey"), "l_orderkey", "l_suppkey", MEASURES, 1)
+
+
 @query("""
 WITH log AS (SELECT user_id // 20 AS game, CAST(event_id % 4 + 1 AS INTEGER) AS quarter, CASE WHEN user_id % 2 = 0 THEN 'home' ELSE 'away' END AS side, user_id AS id, event_type IN ('signup', 'error') AS is_sub, event_type = 'signup' AS enters,
              row_number() OVER (PARTITION BY user_id // 20, event_id % 4 ORDER BY ts, event_id) AS pos FROM events),
