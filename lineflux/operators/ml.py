@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .joins import numbered
 
 #: Rows that may be collected for methods on small samples (linkage, mixtures, silhouettes).
@@ -225,6 +226,7 @@ def resampled(df: DataFrame, group: str, sums: dict[str, Column], statistics: di
     statistics: name to a function of {sum's name: column}. A replicate takes a group Poisson(1) times; its draw is (a_r h + b_r) mod PRIME with
     md5 bits of the group and the replicate, so reruns agree and any two groups' draws are independent. A task works out the weighted sums of
     all replicates for its groups at once and sends one row a replicate, none for each group; a null group is one too."""
+    ship(df.sparkSession)
     keys = keys or []
     h = F.conv(F.substring(F.md5(F.coalesce(F.col(group).cast("string"), F.lit("null"))), 1, 7), 16, 10).cast("long")
     g = df.groupBy(*keys, group).agg(*(F.sum(c).cast("double").alias(n) for n, c in sums.items())).fillna(0.0, list(sums))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import PERIOD_S, clock_seconds
 from ..functions.windows import UP_TO
+from ..shipping import ship
 
 #: Fixed line formats of a play log.
 TIME, SCORE, DELTA, QUARTER = r"^(?:[0-9]{1,2}:[0-9]{2}|--:--)$", r"^[0-9]+ - [0-9]+$", r"^\+[0-9]+$", r"^Q([0-9]+) (?:start|end)$"
@@ -91,6 +92,7 @@ def translated_by(lines: DataFrame, text: str, tables: list[list[tuple[str, str]
     """lines with text translated by dictionaries (entries()), one after the other; runs of spaces collapse. A null text stays.
 
     The entries go out once and are found by an automaton, so a line's cost does not grow with the dictionary and the plan doesn't either."""
+    ship(lines.sparkSession)
     sc = lines.sparkSession.sparkContext
     known = sc.broadcast(tables)
 

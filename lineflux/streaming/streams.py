@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..shipping import ship
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 NOBODY = -1
@@ -163,6 +165,7 @@ class Stints(Ordered):
 def keyed(events: DataFrame, keys: list[str], processor: Ordered, late: str, out: str) -> DataFrame:
     """events by key through the processor, with event-time timers; late events that the watermark has passed are dropped, and
     events of a null key, of which no state can be kept."""
+    ship(events.sparkSession)
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     events = events.dropna(subset=keys)
     e = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
