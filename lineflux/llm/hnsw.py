@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, few, store, table
+from .common import components, few, ship, store, table
 
 #: Vectors of a shard (16 MB at 128 dimensions), neighbours of a node (twice that on the ground layer), and beam widths for
 #: building and searching. A shard of WIDEST vectors or fewer needs no walk.
@@ -252,6 +252,7 @@ def searched(classes: DataFrame, least: float, shard: int) -> DataFrame:
 
     A shard is built by one task. Its vectors go on as blocks of queries; PER_GRAPH blocks at most meet one copy of a graph, so what is
     copied is a block for each graph of its label, and a graph for each PER_GRAPH blocks."""
+    ship(classes.sparkSession)
     shards = store(classes.groupBy("grp").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")), "shards")
     dealt = classes.join(few(shards, FEW_KEYS), "grp").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     names = ["grp", "shard", "block", "ids", "copies", "x", "layers", "members"]

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, binary_view, chunks, components, few, identified, letters, mix64, space_bytes, store, table
+from .common import Words, binary_view, chunks, components, few, identified, letters, mix64, ship, space_bytes, store, table
 
 SHINGLE = 5
 #: At similarity s a pair of one band in BANDS passes with 1 - (1 - s^ROWS)^BANDS: all but 1e-10 at 0.85, 5e-8 at 0.8.
@@ -302,6 +302,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
 
 def grouped(docs: DataFrame, num: int, den: int) -> DataFrame:
     """near_duplicates() of docs whose ids tell documents."""
+    ship(docs.sparkSession)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     all_ = store(sketches(docs), "sketches")
     real = all_.where("doc_id is not null and n > 0")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_view, chunks, few, mix64, powers, sliding_min, store
+from .common import binary_view, chunks, few, mix64, powers, ship, sliding_min, store
 
 #: Classes of a key in a batch or bucket from which it is hot.
 HOT = 256
@@ -115,6 +115,7 @@ def candidates(docs: DataFrame, symbolize, length: int, gram: int, *, within_doc
     """(kind, doc_id, at, n, key): windows [at, at + n) that only repeat earlier ones, segments whose texts are needed, and hot keys.
 
     docs: doc_id (no nulls), text (binary). symbolize(data, offsets, secret): symbol hashes and each row's first symbol."""
+    ship(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(BUCKETS_PER_PARTITION * partitions, -(-size // BUCKET_BYTES))

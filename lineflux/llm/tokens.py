@@ -11,7 +11,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 MODEL = "piece_bpe_32k.model"
 #: Entries of the broadcast table; with pre-tokens of 32 characters at most this is about 3 MB.
@@ -93,6 +93,7 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 4096, sample: int =
     columns are ignored. path is the SentencePiece model, readable on every node.
     """
     table_ = {}
+    ship(docs.sparkSession)
     counts = Counts(path)
     whole = not counts.splits()
     if not whole:

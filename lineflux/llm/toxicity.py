@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import ship, store, table
 
 #: Labelled rows that the classifier is fitted on, chosen by a hash of their id.
 LABELLED_ROWS = 20_000
@@ -99,6 +99,7 @@ def fit(docs: DataFrame, grades: DataFrame, *, most: int = LABELLED_ROWS) -> Mod
 
     Rows of one doc_id count once, with the highest grade; null ids and grades are left out.
     """
+    ship(docs.sparkSession)
     picked = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # most ids of 12 bytes: a proven bound
@@ -149,6 +150,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A null or empty text has the score 0. Rows map to rows, so ties and repeated rows score alike and an empty table gives no
     rows. Columns of docs with the new names are replaced.
     """
+    ship(docs.sparkSession)
     new = ("severity", "p_toxic", "toxic")
     docs = docs.select(*(c for c in docs.columns if c not in new))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, fresh_path, store, table
+from .common import few, fresh_path, ship, store, table
 
 LOG = logging.getLogger(__name__)
 VERSION = re.compile(rb"WARC/1\.[0-9]\r?\n")
@@ -224,6 +224,7 @@ def read_archives(spark, path: str, *, payloads: bool = True) -> DataFrame:
 
     payload_bytes and payload_digest are computed from the block of a response; a revisit carries those of the full payload.
     """
+    ship(spark)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def rows(batches):
