@@ -126,8 +126,9 @@ def pairs_within(members: DataFrame, group: list[str], member: str, *, directed:
     every two blocks meet in a place of their own, so no task makes all pairs of a large group."""
     carry = carry or []
     m = members.select(*group, *carry, F.col(member).alias("a")).distinct()
-    sizes = m.groupBy(*group).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("_blocks"))
-    m = m.join(sizes, group).withColumn("_mine", F.pmod(F.xxhash64("a"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    # few groups are that large, so what their rows are joined with is small
+    large = m.groupBy(*group).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
+    m = m.join(large, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("_mine", F.pmod(F.xxhash64("a"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     left = m.select(*group, *carry, "a", "_mine", "_other")
     right = m.select(*group, F.col("a").alias("b"), F.col("_mine").alias("_other"), F.col("_other").alias("_mine"))
     return left.join(right, [*group, "_mine", "_other"]).where("a <> b" if directed else "a < b").select(*group, *carry, "a", "b")
