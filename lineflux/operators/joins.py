@@ -82,23 +82,31 @@ def greedy_match(candidates: DataFrame, group: list[str], a: str, b: str, cost:
     """
     left, matched = candidates.select(*group, a, b, cost), None
     best = F.struct(cost, a, b)
-    while left.groupBy(*group).count().where(F.col("count") > SEQUENTIAL).limit(1).count():
+    while True:
+        largest, total = left.groupBy(*group).count().agg(F.max("count"), F.sum("count")).first()
+        if (largest or 0) <= SEQUENTIAL:
+            break
         won = left.withColumn("_a", F.min(best).over(Window.partitionBy(*group, a))).withColumn("_b", F.min(best).over(Window.partitionBy(*group, b)))
         won = checkpointed(won.where((F.col("_a") == best) & (F.col("_b") == best)).select(*group, a, b, cost))
         matched = won if matched is None else matched.unionAll(won)
         left = checkpointed(left.join(won.select(*group, a), [*group, a], "left_anti").join(won.select(*group, b), [*group, b], "left_anti"))
 
     def in_order(rows):
-        used_a, used_b, keep = set(), set(), []
+        import numpy as np
+
         rows = rows.sort_values([cost, a, b])
-        for x, y in zip(rows[a], rows[b]):
-            keep.append(x not in used_a and y not in used_b)
-            if keep[-1]:
-                used_a.add(x)
-                used_b.add(y)
-        return rows[keep]
-
-    rest = left.groupBy(*group).applyInPandas(in_order, left.schema).select(*group, a, b, cost)
+        sides = [rows.groupby([*group, c], dropna=False, sort=False).ngroup().to_numpy() for c in (a, b)]
+        used = [np.zeros(len(rows), bool) for _ in sides]
+        keep = np.zeros(len(rows), bool)
+        for k, (x, y) in enumerate(zip(*(c.tolist() for c in sides))):
+            if not used[0][x] and not used[1][y]:
+                used[0][x] = used[1][y] = keep[k] = True
+        return rows[keep].drop(columns="_bundle")
+
+    # small groups share a task
+    n = max(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) // SEQUENTIAL + 1)
+    bundle = F.pmod(F.xxhash64(*group) if group else F.lit(0), F.lit(n))
+    rest = left.withColumn("_bundle", bundle).groupBy("_bundle").applyInPandas(in_order, left.schema).select(*group, a, b, cost)
     return rest if matched is None else matched.unionAll(rest)
 
 
