@@ -440,7 +440,7 @@ def profile_distance(df: DataFrame, axes: list[str], focus: Column) -> DataFrame
 
 
 def relabelled(df: DataFrame, cluster: str, by: str) -> DataFrame:
-    """Clusters numbered from 0 by falling mean of a column, ties by their old number; a row per cluster is broadcast."""
+    """Clusters numbered from 0 by falling mean of a column, ties by their old number; numbered by range, however many there are."""
     means = df.groupBy(cluster).agg(F.avg(by).alias("_mean"))
-    number = means.select(cluster, (F.row_number().over(Window.orderBy(F.desc("_mean"), cluster)) - 1).alias("_number"))
-    return df.join(F.broadcast(number), cluster).withColumn(cluster, F.col("_number").cast("int")).drop("_number")
+    number = numbered(means, [F.desc("_mean"), F.col(cluster)], "_number").select(cluster, (F.col("_number") - 1).cast("int").alias("_number"))
+    return df.join(number, cluster).withColumn(cluster, F.col("_number")).drop("_number")
\ No newline at end of file
