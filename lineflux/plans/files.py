@@ -62,11 +62,10 @@ def broadcast_events(spark, d):
 
 @query("SELECT s_suppkey, s_name || chr(10) || 'in ' || s_nationkey AS value FROM supplier")
 def text_files(spark, d):
-    """A folder of text for each name, read back whole."""
+    """Texts of several lines with their names, written in bundles and read back whole."""
     to = scratch(spark)
     writers.write_texts(table(spark, d, "supplier").withColumn("text", F.concat_ws("\n", "s_name", F.concat(F.lit("in "), C("s_nationkey").cast("string")))), "s_suppkey", "text", to)
-    t = readers.read_texts(spark, to)
-    return t.select(C("s_suppkey").cast("long").alias("s_suppkey"), F.regexp_replace("text", "\n$", "").alias("value"))
+    return readers.read_bundles(spark, to).select(C("name").cast("long").alias("s_suppkey"), C("text").alias("value"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS value FROM part WHERE p_size % 5 NOT IN (0, 1)")
@@ -105,11 +104,11 @@ def schema_listing(spark, d):
 
 @query("SELECT s_suppkey, CAST(length(s_name) AS INTEGER) AS n FROM supplier")
 def landed_page_stream(spark, d):
-    """A stream over texts that have landed, a folder for each; a rerun takes up only new ones."""
+    """A stream over texts that have landed in bundles; a rerun takes up only new ones."""
     to = scratch(spark)
     pages = table(spark, d, "supplier").withColumn("text", C("s_name"))
     writers.write_texts(pages, "s_suppkey", "text", f"{to}/in")
-    stream = landing.landed_pages(spark, f"{to}/in").select(F.regexp_extract("file", "s_suppkey=([0-9]+)", 1).cast("long").alias("s_suppkey"), F.length(F.regexp_replace("text", "\n$", "")).alias("n"))
+    stream = landing.landed_bundles(spark, f"{to}/in").select(C("name").cast("long").alias("s_suppkey"), F.length("text").alias("n"))
     for _ in range(2):
         streams.run_to_table(stream, f"{to}/out", f"{to}/log")
     return spark.read.parquet(f"{to}/out")

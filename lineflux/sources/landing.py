@@ -9,11 +9,17 @@ PAGES = "value string"
 
 
 def landed_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of whole landed texts (text, file), a row per file."""
+    """A stream of whole landed texts (text, file), a row per file. Every file is listed, logged and opened by itself, so many small texts
+    land in bundles."""
     s = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).schema(PAGES).load(folder)
     return s.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"))
 
 
+def landed_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of landed texts (name, text), many to a file, as writers.write_texts() writes them."""
+    return spark.readStream.schema("name string, text string").json(folder)
+
+
 def captures(attempts: DataFrame, keys: list[str], order: str, status: str, body: str, wait: float = 1.0, most_wait: float = 60.0) -> DataFrame:
     """By key: the body of the last successful attempt (status 200, not empty), attempts, failures since then, and the seconds to
     wait before the next try (doubling, 0 after a success)."""

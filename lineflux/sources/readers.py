@@ -60,6 +60,11 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumn("number", F.regexp_extract("name", r"([0-9]+)", 1).try_cast("long"))
 
 
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text) of what write_texts() wrote."""
+    return spark.read.schema("name string, text string").json(path)
+
+
 def read_dictionary(spark: SparkSession, path: str, drop: str = "__REMOVE__") -> DataFrame:
     """(key, value) of a JSON object; empty values and those that begin with the mark are left out."""
     t = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))

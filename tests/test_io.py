@@ -3,7 +3,8 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from lineflux.sources import readers, writers
+from lineflux.sources import landing, readers, writers
+from lineflux.streaming import streams
 
 
 def test_csv_with_mark_keeps_ids_as_text(spark, tmp_path):
@@ -48,3 +49,17 @@ def test_exports(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/m").where(F.col("n_bytes") == 2).count() == 2
     assert json.loads(writers.report(spark.createDataFrame([(1, "é")], "a int, b string")).head()[0]) == {"a": 1, "b": "é"}
     assert writers.filled_template("n = {{n}}", {"n": "3"}) == "n = 3"
+
+
+def test_texts_land_in_bundles_whose_number_does_not_follow_theirs(spark, tmp_path):
+    texts = spark.range(3000).coalesce(2).selectExpr("id", "if(id = 7, null, concat('a\n\"', id, '\n\n')) as t")
+    writers.write_texts(texts, "id", "t", f"{tmp_path}/in")
+    assert len(list((tmp_path / "in").glob("**/part-*"))) <= 2
+    want = {(str(r.id), r.t) for r in texts.collect()}
+    assert {tuple(r) for r in readers.read_bundles(spark, f"{tmp_path}/in").collect()} == want
+    stream = landing.landed_bundles(spark, f"{tmp_path}/in")
+    streams.run_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/log")
+    spark.createDataFrame([("new", "x")], "name string, text string").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    streams.run_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/log")
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(got) == 3001 and set(got) == want | {("new", "x")}
