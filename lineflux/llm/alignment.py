@@ -343,12 +343,18 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return rows.where("pairs is not null").select("part", "pairs").mapInArrow(counted, "part int, pair long, n long")
 
 
+def totals(counts: DataFrame) -> DataFrame:
+    """(pair, count, parts): a row for each id pair with its corpus-wide count and the parts that hold it, so counts go back to the parts
+    without a join of the parts' rows."""
+    return counts.groupBy("pair").agg(F.sum("n").alias("count"), F.collect_set("part").alias("parts"))
+
+
 def scored(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """(row_id, n_best, count_sum) of stored sweep rows. Links of a part meet the corpus-wide counts of its own pairs."""
-    total = counts.groupBy("pair").agg(F.sum("n").alias("count"))
+    total = totals(counts)
     best = total.groupBy(F.col("pair").bitwiseAND(0xFFFF).alias("b")).agg(F.max("count").alias("top"))  # as many rows as B has entries, at most
-    known = total.join(F.broadcast(best), F.col("pair").bitwiseAND(0xFFFF) == F.col("b")).select("pair", "count", (F.col("count") == F.col("top")).alias("best"))
-    known = counts.select("part", "pair").distinct().join(known, "pair").select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row_id"), "pair", "count", "best", F.lit(None).cast("binary").alias("pairs"))
+    known = total.join(F.broadcast(best), F.col("pair").bitwiseAND(0xFFFF) == F.col("b")).select("parts", "pair", "count", (F.col("count") == F.col("top")).alias("best"))
+    known = known.withColumn("part", F.explode("parts")).select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row_id"), "pair", "count", "best", F.lit(None).cast("binary").alias("pairs"))
     nil = lambda t: F.lit(None).cast(t)
     links = rows.where("pairs is not null").select("part", F.lit(1).alias("kind"), "row_id", nil("long").alias("pair"), nil("long").alias("count"), nil("boolean").alias("best"), "pairs")
 

@@ -7,6 +7,7 @@ from collections import Counter
 from datetime import UTC, date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,12 @@ def test_distance_is_the_jensen_shannon_distance(spark):
     m = [(a + b) / 2 for a, b in zip(x, y)]
     got = spark.createDataFrame([(p, q)], "p array<long>, q array<long>").select(quality.distance(F.col("p"), F.col("q")).alias("d"), quality.distance(F.col("p"), F.col("p")).alias("z")).first()
     assert got.d == pytest.approx(math.sqrt((kl(x, m) + kl(y, m)) / 2)) and got.z == 0
+
+
+def test_counts_of_pairs_go_back_to_their_parts_without_joining_them(spark):
+    counts = spark.createDataFrame([(p, pair, 2) for p in range(40) for pair in (5, 6 << 16 | 5, p << 16 | 9)] + [(0, 5, 1)], "part int, pair long, n long")
+    rows = spark.createDataFrame([(p, 100 + p, np.array([5, 6 << 16 | 5, p << 16 | 9], np.uint32).tobytes()) for p in range(40)], "part int, row_id long, pairs binary")
+    got = alignment.scored(rows, counts)
+    assert {tuple(r) for r in got.collect()} == {(100 + p, 2, 81 + 80 + 2) for p in range(40)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # with the best of each B id, a broadcast row each
