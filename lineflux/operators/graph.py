@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import pairs_within
+from .joins import both_ways, pair_tasks, pairs_within, placed_pairs
 from .stats import jaccard, overlap
 
 
-def co_membership(members: DataFrame, group: list[str], member: str, weight: str | None = None, least: int = 1) -> DataFrame:
-    """(a, b, shared) with a < b: groups that both are in; with a weight column, which is one value per group, also weight, its sum over them."""
-    p = pairs_within(members, group, member, carry=[weight] if weight else None)
-    sums = [F.sum(weight).alias("weight")] if weight else []
-    return p.groupBy("a", "b").agg(F.count("*").alias("shared"), *sums).where(F.col("shared") >= least)
+def co_membership(members: DataFrame, group: list[str], member: str, weight: str | None = None, least: int = 1, *, directed: bool = False, tasks: int | None = None) -> DataFrame:
+    """(a, b, shared) with a < b, or both ways: groups that both are in; with a weight column, which is one value per group, also weight, its sum
+    over them.
+
+    What a task makes it counts before it sends it on, and the counts meet in as many tasks (pair_tasks(), unless given)."""
+    tasks = tasks or pair_tasks(members, group)
+    p = placed_pairs(members, group, member, [weight] if weight else [], tasks)
+    sums = lambda n: [n.alias("shared"), *([F.sum(weight).alias("weight")] if weight else [])]
+    own = p.groupBy("_task", "a", "b").agg(*sums(F.count("*"))).drop("_task")
+    if weight:
+        own = own.withColumnRenamed("weight", weight)
+    e = own.repartition(tasks, "a", "b").groupBy("a", "b").agg(*sums(F.sum("shared"))).where(F.col("shared") >= least)
+    return both_ways(e, e.columns[2:]).select(e.columns) if directed else e
 
 
 def ranked_edges(edges: DataFrame, by: list[str], most: int) -> DataFrame:
@@ -22,18 +30,20 @@ def ranked_edges(edges: DataFrame, by: list[str], most: int) -> DataFrame:
     return edges.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # `most` rows
 
 
-def normalised(edges: DataFrame, totals: DataFrame, node: str, total: str) -> DataFrame:
-    """edges (a, b, shared) with both ends' totals, overlap and jaccard."""
+def normalised(edges: DataFrame, totals: DataFrame, node: str, total: str, tasks: int | None = None) -> DataFrame:
+    """edges (a, b, shared) with both ends' totals, overlap and jaccard; many edges meet the totals in so many tasks."""
     ta = totals.select(F.col(node).alias("a"), F.col(total).alias("total_a"))
     tb = totals.select(F.col(node).alias("b"), F.col(total).alias("total_b"))
-    e = edges.join(ta, "a").join(tb, "b")
+    dealt = lambda df, end: df.repartition(tasks, end) if tasks else df
+    e = dealt(dealt(edges, "a").join(dealt(ta, "a"), "a"), "b").join(dealt(tb, "b"), "b")
     return e.withColumn("overlap", overlap(F.col("shared"), F.col("total_a"), F.col("total_b"))).withColumn("jaccard", jaccard(F.col("shared"), F.col("total_a"), F.col("total_b")))
 
 
 def sparse_negatives(nodes: DataFrame, edges: DataFrame, group: str, node: str, most: int) -> DataFrame:
     """Pairs of one group whose shared weight is `most` or less, absent counting as 0."""
-    p = pairs_within(nodes, [group], node)
-    return p.join(edges.select("a", "b", "shared"), ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0))).where(F.col("shared") <= most)
+    tasks = pair_tasks(nodes, [group])
+    p = pairs_within(nodes, [group], node, tasks=tasks).repartition(tasks, "a", "b")
+    return p.join(edges.select("a", "b", "shared").repartition(tasks, "a", "b"), ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0))).where(F.col("shared") <= most)
 
 
 def graphml_lines(nodes: DataFrame, edges: DataFrame, node: str, directed: bool) -> DataFrame:

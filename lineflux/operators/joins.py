@@ -123,23 +123,56 @@ def nearest(candidates: DataFrame, keys: list[str], cost: Column, tie: list[str]
     return candidates.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
-#: Members of a group from which its pairs are dealt out block by block.
-PAIR_BLOCK = 512
+#: Members of a group from which its pairs are dealt out block by block, and pairs that a task makes or counts.
+PAIR_BLOCK, TASK_PAIRS = 512, 1 << 18
 
 
-def pairs_within(members: DataFrame, group: list[str], member: str, *, directed: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """Pairs of different members of a group: a < b, or both directions, with the group's carried columns.
+def tasks_for(spark: SparkSession, pairs: int) -> int:
+    """Tasks for so many pairs: the session's shuffle partitions, at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
 
-    The pairs are the result, so their number can't shrink; but a group of more than PAIR_BLOCK members is dealt into blocks, and
-    every two blocks meet in a place of their own, so no task makes all pairs of a large group."""
-    carry = carry or []
-    m = members.select(*group, *carry, F.col(member).alias("a")).distinct()
+
+def pair_tasks(members: DataFrame, group: list[str]) -> int:
+    """How many tasks the groups' pairs take, from the groups' sizes (repeated members count, so it may be more than needed)."""
+    n = members.dropna(subset=group).groupBy(*group).count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
+    return tasks_for(members.sparkSession, (n or 0) // 2)
+
+
+def placed_pairs(members: DataFrame, group: list[str], member: str, carry: list[str], tasks: int) -> DataFrame:
+    """The group, its carried columns, a < b, and _task, which tells the rows that one task makes."""
+    m = members.dropna(subset=[*group, member]).select(*group, *carry, F.col(member).alias("a"))
     # few groups are that large, so what their rows are joined with is small
     large = m.groupBy(*group).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
-    m = m.join(large, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("_mine", F.pmod(F.xxhash64("a"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    left = m.select(*group, *carry, "a", "_mine", "_other")
-    right = m.select(*group, F.col("a").alias("b"), F.col("_mine").alias("_other"), F.col("_other").alias("_mine"))
-    return left.join(right, [*group, "_mine", "_other"]).where("a <> b" if directed else "a < b").select(*group, *carry, "a", "b")
+    blocks = F.coalesce("_blocks", F.lit(1))
+    if not large.isEmpty():
+        m = m.join(large, group, "left")
+    else:
+        m = m.withColumn("_blocks", F.lit(1))
+    m = m.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64("a"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    # two blocks meet in one place, the lower one first
+    place = ["_task", *group, "_low", "_high"]
+    m = m.select(*group, *carry, "a", F.least("_mine", "_other").alias("_low"), F.greatest("_mine", "_other").alias("_high"), (F.col("_mine") > F.col("_other")).alias("_upper"))
+    m = m.withColumn("_task", F.pmod(F.xxhash64(*group, "_low", "_high"), F.lit(tasks))).repartition(tasks, "_task")
+    sides = m.groupBy(*place).agg(*(F.max(c).alias(c) for c in carry), F.sort_array(F.collect_set(F.when(~F.col("_upper"), F.col("a")))).alias("_x"), F.sort_array(F.collect_set(F.when(F.col("_upper"), F.col("a")))).alias("_y"))
+    rest = F.when(F.col("_low") == F.col("_high"), F.slice("_x", F.col("_k") + 2, F.greatest(F.size("_x"), F.lit(1)))).otherwise(F.col("_y"))
+    p = sides.select("_task", *group, *carry, "_x", "_y", "_low", "_high", F.posexplode("_x").alias("_k", "a"))
+    p = p.select("_task", *group, *carry, "a", F.explode(rest).alias("b"))
+    return p.select(*group, *carry, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "_task")
+
+
+def pairs_within(members: DataFrame, group: list[str], member: str, *, directed: bool = False, carry: list[str] | None = None, tasks: int | None = None) -> DataFrame:
+    """Pairs of different members of a group: a < b, or both directions, with the group's carried columns, of which it has one value.
+
+    The pairs are the result, so their number can't shrink; but a group of more than PAIR_BLOCK members is dealt into blocks, and
+    every two blocks meet in a place of their own, so no task makes all pairs of a large group. There are as many tasks as the pairs take."""
+    carry = carry or []
+    p = placed_pairs(members, group, member, carry, tasks or pair_tasks(members, group)).drop("_task")
+    return p if not directed else both_ways(p, [*group, *carry])
+
+
+def both_ways(pairs: DataFrame, others: list[str]) -> DataFrame:
+    both = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return pairs.select(*others, both)
 
 
 def bipartite(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:

@@ -16,12 +16,17 @@ def members(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
 
 
-def edges(spark, d):
-    return graph.co_membership(members(spark, d), ["l_orderkey"], "l_partkey")
+def edges(spark, d, tasks=None):
+    return graph.co_membership(table(spark, d, "lineitem"), ["l_orderkey"], "l_partkey", tasks=tasks)
 
 
-def totals(spark, d):
-    return members(spark, d).groupBy("l_partkey").agg(F.count("*").alias("total"))
+def normalised_edges(spark, d):
+    tasks = joins.pair_tasks(table(spark, d, "lineitem"), ["l_orderkey"])
+    return graph.normalised(edges(spark, d, tasks), totals(spark, d, tasks), "l_partkey", "total", tasks)
+
+
+def totals(spark, d, tasks):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey").repartition(tasks, "l_orderkey", "l_partkey").distinct().groupBy("l_partkey").agg(F.count("*").alias("total"))
 
 
 @query(f"WITH {EDGES} SELECT a, b, shared FROM e")
@@ -43,7 +48,7 @@ def bipartite_edges(spark, d):
 WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)
 SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS shared FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey <> y.l_suppkey GROUP BY 1, 2""")
 def directed_pairs(spark, d):
-    return joins.pairs_within(table(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey", directed=True).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return graph.co_membership(table(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey", directed=True)
 
 
 @query(f"""
@@ -51,7 +56,7 @@ WITH {EDGES}, {TOTALS}
 SELECT a, b, shared, x.total AS total_a, y.total AS total_b, shared / least(x.total, y.total) AS overlap, shared / (x.total + y.total - shared) AS jaccard
 FROM e JOIN t x ON x.p = a JOIN t y ON y.p = b""")
 def edge_overlap_jaccard(spark, d):
-    return graph.normalised(edges(spark, d), totals(spark, d), "l_partkey", "total").select("a", "b", "shared", "total_a", "total_b", "overlap", "jaccard")
+    return normalised_edges(spark, d).select("a", "b", "shared", "total_a", "total_b", "overlap", "jaccard")
 
 
 @query("""
@@ -70,7 +75,7 @@ q AS (SELECT sum(shared) / sum(total_a + total_b - shared) AS prior FROM s)
 SELECT a, b, shared, shared / least(total_a, total_b) AS overlap, (shared + 50.0 * prior) / (total_a + total_b - shared + 50.0) AS strength FROM s, q""")
 def shrunk_edges(spark, d):
     """Co-membership edges with overlap and shrunk strength."""
-    e = graph.normalised(edges(spark, d), totals(spark, d), "l_partkey", "total").withColumn("union", F.col("total_a") + F.col("total_b") - F.col("shared"))
+    e = normalised_edges(spark, d).withColumn("union", F.col("total_a") + F.col("total_b") - F.col("shared"))
     e = stats.with_prior(e, "shared", "union", "prior")
     return e.select("a", "b", "shared", "overlap", stats.shrunk(F.col("shared"), F.col("union"), F.col("prior"), 50.0).alias("strength"))
 

@@ -19,8 +19,10 @@ e AS (SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS shared, CAST(sum(x.
 
 def weighted(spark, d):
     o = table(spark, d, "orders").select(C("o_orderkey").alias("l_orderkey"), C("o_totalprice").cast("decimal(18,2)").alias("v"))
-    m = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(o, "l_orderkey")
-    return graph.co_membership(m, ["l_orderkey"], "l_partkey", weight="v").withColumn("weight", C("weight").cast("double"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    tasks = joins.pair_tasks(lines, ["l_orderkey"])
+    m = lines.repartition(tasks, "l_orderkey").join(o.repartition(tasks, "l_orderkey"), "l_orderkey")
+    return graph.co_membership(m, ["l_orderkey"], "l_partkey", weight="v", tasks=tasks).withColumn("weight", C("weight").cast("double"))
 
 
 @query(f"WITH {WEIGHTED} SELECT a, b, shared, weight FROM e")

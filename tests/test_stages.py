@@ -158,3 +158,23 @@ def test_contrasts_count_by_order(spark):
     rows = [(1, 1, 10.0), (1, 2, 10.0), (2, 1, 4.0), (3, 2, 6.0), (3, 3, 6.0)]
     got = {r.mate: r for r in stats.contrasts(spark.createDataFrame(rows, "g int, m int, v double"), "g", "m", "v", 1).collect()}
     assert set(got) == {2} and (got[2].with_mean, got[2].focus_without_mean, got[2].mate_without_mean, got[2].focus_diff, got[2].mate_diff) == (10.0, 4.0, 6.0, 6.0, 4.0)
+
+
+def test_pairs_take_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PAIR_BLOCK", 7)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 50)
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([None, *range(40)])) for _ in range(300)] + [(5, 1), (5, 2)]
+    m = spark.createDataFrame(rows, "g int, x int").withColumn("w", C("g") * 2)
+    sets = {g: {x for h, x in rows if h == g and x is not None} for g in (1, 2, 3, 5)}
+    want = {(g, a, b) for g, s in sets.items() for a in s for b in s if a != b}
+    assert sorted(tuple(r) for r in joins.pairs_within(m, ["g"], "x", directed=True).collect()) == sorted(want)
+    shared = {}
+    for g, a, b in want:
+        n, w = shared.get((a, b), (0, 0))
+        shared[a, b] = n + 1, w + 2 * g
+    got = graph.co_membership(m, ["g"], "x", "w", directed=True)
+    assert {(r.a, r.b): (r.shared, r.weight) for r in got.collect()} == shared
+    assert joins.pair_tasks(m, ["g"]) > 20
+    spread = graph.co_membership(m, ["g"], "x", "w").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 20  # the counts of pairs too, not only the pairs
