@@ -132,9 +132,15 @@ def tasks_for(spark: SparkSession, pairs: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
 
 
+def group_sizes(members: DataFrame, group: list[str]) -> DataFrame:
+    """(group, count), counted in tasks that grow in number with the rows."""
+    m = members.dropna(subset=group).select(*group)
+    return m.repartition(tasks_for(members.sparkSession, m.count()), *group).groupBy(*group).count()
+
+
 def pair_tasks(members: DataFrame, group: list[str]) -> int:
     """How many tasks the groups' pairs take, from the groups' sizes (repeated members count, so it may be more than needed)."""
-    n = members.dropna(subset=group).groupBy(*group).count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
+    n = group_sizes(members, group).agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
     return tasks_for(members.sparkSession, (n or 0) // 2)
 
 
@@ -142,7 +148,7 @@ def placed_pairs(members: DataFrame, group: list[str], member: str, carry: list[
     """The group, its carried columns, a < b, and _task, which tells the rows that one task makes."""
     m = members.dropna(subset=[*group, member]).select(*group, *carry, F.col(member).alias("a"))
     # few groups are that large, so what their rows are joined with is small
-    large = m.groupBy(*group).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
+    large = group_sizes(m, group).select(*group, F.ceil(F.col("count") / PAIR_BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
     blocks = F.coalesce("_blocks", F.lit(1))
     if not large.isEmpty():
         m = m.join(large, group, "left")
