@@ -346,15 +346,133 @@ def ridge_effects(df: DataFrame, group: str, y: str, xs: list[str], w: str, free
     return {"alpha": alpha, "errors": errors, "effects": effects, "differences": diffs}
 
 
+#: Queries and rows, about, that one task compares, and pairs that it holds at once.
+QUERY_BLOCK, ROW_BLOCK, PAIRS_AT_ONCE = 8_192, 16_384, 1 << 21
+
+
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows in pairs, summed in the order of the features."""
+    total = np.zeros(len(q))
+    for j in range(q.shape[1]):
+        d = q[:, j] - x[:, j]
+        total += d * d
+    return np.sqrt(total)
+
+
+def near_pairs(q: np.ndarray, q_key: np.ndarray, x: np.ndarray, x_key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k nearest rows of each query; ties go to the earlier row, which must have the lesser key. Rows of a query's
+    own key don't count.
+
+    Distances by a product are off by rounding only. They leave out what is farther than the k nearest by more than that can be; the rest is worked
+    out in full. So are rows that are too large for products or not finite."""
+    if not len(q) or not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    # of equal rows only the first k of each of the first k + 1 keys can be among the nearest
+    if len(x) > k + 1:
+        same = np.unique(np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, 8 * x.shape[1])))[:, 0], return_inverse=True)[1].ravel() if x.shape[1] else np.zeros(len(x), np.int64)
+        order = np.argsort(same, kind="stable")
+        s, c = same[order], x_key[order]
+        at = np.arange(len(x))
+        group = np.r_[True, s[1:] != s[:-1]]
+        key = group | np.r_[True, c[1:] != c[:-1]]
+        nth_key = np.cumsum(key) - np.maximum.accumulate(np.where(group, np.cumsum(key), 0))
+        nth = at - np.maximum.accumulate(np.where(key, at, 0))
+        rows = np.sort(order[(nth_key <= k) & (nth < k)])
+    else:
+        rows = np.arange(len(x))
+    x, x_key = x[rows], x_key[rows]
+    with np.errstate(all="ignore"):
+        q_size, x_size = (q * q).sum(1), (x * x).sum(1)
+        q_fine, x_fine = q_size < 1e300, x_size < 1e300  # not so if it is NaN
+        x_plain, x_odd = np.flatnonzero(x_fine), np.flatnonzero(~x_fine)
+        off = 8.0 * (x.shape[1] + 8) * np.finfo(float).eps
+        found = []
+        step = max(PAIRS_AT_ONCE // len(x), 1)
+        for i in range(0, len(q), step):
+            some = np.arange(i, min(i + step, len(q)))
+            fine, odd = some[q_fine[some]], some[~q_fine[some]]
+            pairs = [(np.repeat(odd, len(x)), np.tile(np.arange(len(x)), len(odd))), (np.repeat(fine, len(x_odd)), np.tile(x_odd, len(fine)))]
+            if len(fine) and len(x_plain):
+                near = q[fine] @ x[x_plain].T
+                near *= -2.0
+                size = q_size[fine][:, None] + x_size[x_plain]
+                near += size
+                size *= off
+                size += 1e-300  # squares below the least double
+                least = near - size
+                near += size
+                near[q_key[fine][:, None] == x_key[x_plain]] = np.inf
+                bound = np.partition(near, k - 1, 1)[:, k - 1] if len(x_plain) > k else np.full(len(fine), np.inf)
+                a, b = np.nonzero(least <= bound[:, None])
+                pairs.append((fine[a], x_plain[b]))
+            a, b = (np.concatenate(c) for c in zip(*pairs))
+            other = q_key[a] != x_key[b]
+            a, b = a[other], b[other]
+            d = np.concatenate([distances(q[a[j : j + 65_536]], x[b[j : j + 65_536]]) for j in range(0, len(a), 65_536)] or [np.zeros(0)])
+            order = np.lexsort((b, d, a))
+            a, b, d = a[order], b[order], d[order]
+            first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
+            nth = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+            found.append((a[nth < k], rows[b[nth < k]], d[nth < k]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def nearest_rows(queries: DataFrame, rows: DataFrame, key: str, features: str, k: int, blocks: int) -> DataFrame:
-    """(query, key, distance, rank): the k nearest other rows by Euclidean distance. Rows are dealt into blocks that each keep
-    their k best, so a query's rows meet only as k from each block."""
-    q = queries.select(F.col(key).alias("query"), F.col(features).cast("array<double>").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    r = rows.select(key, F.col(features).cast("array<double>").alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    d = F.sqrt(F.aggregate(F.zip_with("q", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    j = q.join(r, "block").where(F.col("query") != F.col(key)).select("query", key, "block", d.alias("distance"))
-    best = j.withColumn("rank", F.row_number().over(Window.partitionBy("query", "block").orderBy("distance", key))).where(F.col("rank") <= k)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key))).where(F.col("rank") <= k).drop("block")
+    """(query, key, distance, rank): the k nearest other rows by Euclidean distance, ties by key. Where one side is null, holds a null or
+    has another length, the distance is null and comes last.
+
+    Every query meets every row. Both are dealt into blocks (of rows, so many at least), and two blocks meet in a task that keeps its k best of
+    each query, so that neither memory nor what is kept grows with the tables."""
+    ship(queries.sparkSession)
+    x = F.col(features).cast("array<double>")
+    size = F.when(x.isNotNull() & F.forall(x, lambda v: v.isNotNull()), F.size(x)).otherwise(-1)
+    q, r = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("query"), x.alias("q"), size.alias("size")), rows.where(F.col(key).isNotNull()).select(key, x.alias("x"), size.alias("size"))
+    n_q, n_r = -(-q.count() // QUERY_BLOCK) or 1, max(blocks, -(-r.count() // ROW_BLOCK))
+    q = q.select("*", F.pmod(F.xxhash64("query"), F.lit(n_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("rb"))
+    r = r.select("*", F.pmod(F.xxhash64(key), F.lit(n_r)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    kind = r.schema[key].dataType
+    n = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_q * n_r)
+
+    def nearest_of_block(left, right):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        right = right.sort_by(key)
+        keys, names = right[key].combine_chunks(), left["query"].combine_chunks()
+        codes = keys.dictionary_encode()
+        x_key, q_key = codes.indices.to_numpy(zero_copy_only=False), pc.index_in(names, value_set=codes.dictionary).fill_null(-1).to_numpy(zero_copy_only=False)
+        x_size, q_size = right["size"].to_numpy(), left["size"].to_numpy()
+
+        def features_of(table, column, at, width):
+            some = table[column].take(pa.array(at)).combine_chunks()
+            return some.flatten().to_numpy(zero_copy_only=False).reshape(len(at), width)
+
+        a, b, d = [], [], []
+        for width in np.unique(q_size):
+            of_q, of_x = np.flatnonzero(q_size == width), np.flatnonzero(x_size == width) if width >= 0 else np.zeros(0, np.int64)
+            i, j, e = near_pairs(features_of(left, "q", of_q, width), q_key[of_q], features_of(right, "x", of_x, width), x_key[of_x], k) if len(of_x) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            a.append(of_q[i])
+            b.append(of_x[j])
+            d.append(pa.array(e))
+            unknown = np.flatnonzero(x_size != width) if width >= 0 else np.arange(len(x_size))
+            for m in np.flatnonzero(np.bincount(i, minlength=len(of_q)) < k) if len(unknown) else ():
+                fill = []
+                for row in unknown:
+                    if len(fill) == k:
+                        break
+                    if x_key[row] != q_key[of_q[m]]:
+                        fill.append(row)
+                a.append(np.full(len(fill), of_q[m]))
+                b.append(np.array(fill, np.int64))
+                d.append(pa.nulls(len(fill), pa.float64()))
+        a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
+        return pa.table({"query": names.take(pa.array(a)), key: keys.take(pa.array(b)), "distance": pa.chunked_array(d, pa.float64())})
+
+    cell = ["qb", "rb"]
+    sides = q.repartition(n, *cell).groupBy(*cell).cogroup(r.repartition(n, *cell).groupBy(*cell))
+    best = sides.applyInArrow(nearest_of_block, f"query {kind.simpleString()}, `{key}` {kind.simpleString()}, distance double")
+    w = Window.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), key)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def dealing(histogram: list[tuple[int, int]], folds: int) -> list[tuple[int, int, list[int], list[int]]]:

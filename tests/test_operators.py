@@ -202,3 +202,35 @@ def test_a_dictionary_of_ten_thousand_entries(spark):
                 want = want.replace(k, v)
             want = " ".join(x for x in want.split(" ") if x)
         assert r.line == want
+
+
+def test_nearest_rows_equal_a_plain_loop(spark, monkeypatch):
+    import math
+
+    monkeypatch.setattr(ml, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(ml, "ROW_BLOCK", 40)
+    monkeypatch.setattr(ml, "PAIRS_AT_ONCE", 100)
+    rng = random.Random(7)
+    nan, inf = math.nan, math.inf
+    vectors = [[rng.choice([0.0, 1.0, 1e8]) + rng.choice([0.0, 1e-9 * rng.random()]) for _ in range(3)] for _ in range(60)] + [[1.0, 1.0, 1.0]] * 30
+    vectors += [None, [1.0, None, 2.0], [1.0, 2.0], [1.0, 2.5], [], [nan, 1.0, 1.0], [inf, 1.0, 1.0], [-inf, 1.0, 1.0], [1e200, 0.0, 0.0], [-0.0, 0.0, 0.0]]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(3, [1.0, 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
+    rng.shuffle(rows)
+
+    def distance(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return (2, 0.0)
+        d = 0.0
+        for x, y in zip(a, b):
+            d += (x - y) * (x - y)
+        return (1, 0.0) if math.isnan(d) else (0, math.sqrt(d))
+
+    want = {}
+    for q, a in rows:
+        if q is not None and q % 2 == 0 or q == 93:
+            want.setdefault(q, []).extend((*distance(a, b), i) for i, b in rows if i is not None and i != q)
+    want = {(q, n): v for q, c in want.items() for n, v in enumerate(sorted(c)[:3], 1)}
+    df = spark.createDataFrame(rows, "id int, x array<double>")
+    got = ml.nearest_rows(df.where("id % 2 = 0 or id = 93"), df, "id", "x", 3, 2).collect()
+    shown = lambda d: (2, 0.0) if d is None else (1, 0.0) if math.isnan(d) else (0, d)
+    assert {(r.query, r["rank"]): (*shown(r.distance), r.id) for r in got} == want and len(got) == len(want)
