@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def translated(text: Column, phrases: dict[str, str], names: dict[str, str] | No
     return F.trim(F.regexp_replace(text, " +", " "))
 
 
-SPACES = re.compile(" +")
+SPACES = re.compile("  +")
 #: Entries of a dictionary that is broadcast, and their characters.
 ENTRIES, ENTRY_CHARACTERS = 1_000_000, 1 << 26
 
@@ -77,41 +78,79 @@ def entries(table: DataFrame, key: str, value: str) -> list[tuple[str, str]]:
     return sorted(((r.k, r.v) for r in t.collect()), key=lambda x: (-len(x[0]), x[0]))
 
 
-def replace_in_order(text: str, finder, order: list[tuple[str, str]]) -> str:
-    """Each entry in order, as replacing all of them would, but only those that the text holds by then are touched."""
-    done = -1
-    while True:
-        following = [i for _, i in finder.iter(text) if i > done]
-        if not following:
-            return text
-        done = min(following)
-        text = text.replace(*order[done])
+#: Pieces of texts whose translation a worker keeps, and their longest.
+PIECES, PIECE = 1 << 17, 64
+
+
+def replace_in_order(text: str, finder, order: list[tuple[str, str]], longest: int) -> str:
+    """Each entry in order, as replacing all of them would, but only those that the text holds by then are touched. The text is searched once;
+    after a replacement only what touches the new values is, since nothing else can have come up."""
+    ahead = list({i for _, i in finder.iter(text)})
+    heapify(ahead)
+    known = set(ahead)
+    while ahead:
+        key, value = order[i := heappop(ahead)]
+        parts = text.split(key)
+        if len(parts) == 1:
+            continue
+        text, at = value.join(parts), 0
+        for part in parts[:-1]:
+            at += len(part)
+            for _, j in finder.iter(text, max(at - longest + 1, 0), min(at + len(value) + longest - 1, len(text))):
+                if j > i and j not in known:
+                    known.add(j)
+                    heappush(ahead, j)
+            at += len(value)
+    return text
+
+
+def replacer(order: list[tuple[str, str]]):
+    """A function that replaces the entries in a text, one after the other.
+
+    No entry reaches beyond a run of characters that entries are made of, so each run, at least as long as the shortest entry, is worked out by
+    itself, and short ones, which recur, are kept."""
+    import ahocorasick
+
+    finder = ahocorasick.Automaton()
+    for i, (k, _) in enumerate(order):
+        finder.add_word(k, i)
+    finder.make_automaton()
+    longest, shortest = len(order[0][0]), len(order[-1][0])
+    runs = re.compile("[%s]{%d,}" % ("".join(map(re.escape, sorted({c for k, _ in order for c in k}))), shortest))
+    kept: dict[str, str] = {}
+
+    def translated_run(m):
+        run = m.group()
+        out = kept.get(run)
+        if out is None:
+            out = replace_in_order(run, finder, order, longest)
+            if len(run) <= PIECE:
+                if len(kept) >= PIECES:
+                    kept.clear()
+                kept[run] = out
+        return out
+
+    return lambda text: runs.sub(translated_run, text)
 
 
 def translated_by(lines: DataFrame, text: str, tables: list[list[tuple[str, str]]]) -> DataFrame:
     """lines with text translated by dictionaries (entries()), one after the other; runs of spaces collapse. A null text stays.
 
-    The entries go out once and are found by an automaton, so a line's cost does not grow with the dictionary and the plan doesn't either."""
+    The entries go out once and are found by an automaton, so a line's cost does not grow with the dictionary and the plan doesn't either. A long
+    line takes a search of its text and one around each replacement."""
     ship(lines.sparkSession)
     sc = lines.sparkSession.sparkContext
     known = sc.broadcast(tables)
 
     def rows(batches):
-        import ahocorasick
         import pyarrow as pa
 
-        finders = []
-        for order in known.value:
-            f = ahocorasick.Automaton()
-            for i, (k, _) in enumerate(order):
-                f.add_word(k, i)
-            f.make_automaton()
-            finders.append(f)
+        replacers = [replacer(order) for order in known.value if order]
         for batch in batches:
             at, out = batch.schema.get_field_index(text), []
             for t in batch.column(at).to_pylist():
-                for f, order in zip(finders, known.value):
-                    t = replace_in_order(t, f, order) if t and order else t
+                for f in replacers:
+                    t = f(t) if t else t
                 out.append(t if t is None else SPACES.sub(" ", t).strip(" "))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 

@@ -204,6 +204,31 @@ def test_a_dictionary_of_ten_thousand_entries(spark):
         assert r.line == want
 
 
+def test_translation_of_a_long_line_searches_it_once():
+    from lineflux.operators import text as T
+
+    ahocorasick = pytest.importorskip("ahocorasick")
+    rng = random.Random(6)
+    order = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randint(1, 4))): rng.choice(["", "A", "ab", "c d"]) for _ in range(120)}.items(), key=lambda x: (-len(x[0]), x[0]))
+    line = want = "".join(rng.choice("abcd Z]^") for _ in range(20_000))
+    for k, v in order:
+        want = want.replace(k, v)
+    assert T.replacer(order)(line) == want
+    finder = ahocorasick.Automaton()
+    for i, (k, _) in enumerate(order):
+        finder.add_word(k, i)
+    finder.make_automaton()
+    whole = []
+
+    class Counted:
+        def iter(self, text, start=0, end=None):
+            whole.append((len(text) if end is None else end) - start)
+            return finder.iter(text, start, len(text) if end is None else end)
+
+    assert T.replace_in_order(line, Counted(), order, 4) == want
+    assert sum(n == len(line) for n in whole) == 1 and sum(whole) < 20 * len(line)
+
+
 def test_nearest_rows_equal_a_plain_loop(spark, monkeypatch):
     import math
 
