@@ -20,11 +20,15 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 NOBODY = -1
 
+#: Events of a key that are put into its buffer at once.
+APPENDED = 10_000
+
 
 def landed_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files: int | None = None) -> DataFrame:
-    s = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern)
+    """What lands in the folder under the pattern: files, or folders of files."""
+    s = spark.readStream.schema(EVENTS)
     s = s.option("maxFilesPerTrigger", files) if files else s
-    return s.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return s.parquet(f"{folder}/{pattern}").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def end_of_stream(spark: SparkSession, folder: str, day: str = "2100-01-01") -> None:
@@ -60,7 +64,8 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], time: st
 
 
 class Ordered(StatefulProcessor):
-    """Reads each key's events in order. Events have ts (event time), us (its microseconds), seq (the order of equal times) and `fields`.
+    """Reads each key's events in order. Events have ts (event time), us (its microseconds), seq (the order of equal times) and `fields`, all numbers, texts
+    or booleans; they wait in the state as JSON, many to a row.
 
     Subclasses give step(machine, event) and closed(machine), which return output rows without the key; machine is a dict that survives in the
     state as JSON. Rows of a key may come in any number of batches: they are only read once the watermark has passed them."""
@@ -72,7 +77,7 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", f"us long, seq long, {self.fields}")
+        self.buffer = handle.getListState("buffer", "events string")
         self.machine = handle.getValueState("machine", "state string, last_us long")
 
     def frame(self, key, rows):
@@ -81,34 +86,43 @@ class Ordered(StatefulProcessor):
         return pd.DataFrame([(*key[: self.keys], *r) for r in rows], columns=self.output.split(","))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        names, last = ["us", "seq", *(x.split()[0] for x in self.fields.split(", "))], None
+        # each call to the state and each row in it costs more than an event does, so there are as few as can be: here one row for up to APPENDED
+        # events and one timer, when these are complete
+        names, last, got = ["us", "seq", *self.fields.split(", ")], None, []
         for f in rows:
             if len(f):
-                self.buffer.appendList(list(f[names].astype(object).itertuples(index=False, name=None)))
+                got += zip(*(f[n].tolist() for n in names))
                 last = max(int(f["us"].max()), last or 0)
+            if len(got) >= APPENDED:
+                self.buffer.appendValue((json.dumps(got),))
+                got = []
+        if got:
+            self.buffer.appendValue((json.dumps(got),))
         if last is not None:
-            # one timer when these are complete, one when the key has been idle since
             self.handle.registerTimer(last // 1000 + 1)
-            self.handle.registerTimer(last // 1000 + 1 + self.idle_ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         known = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.buffer.get()]
+        held = [r for some in self.buffer.get() for r in json.loads(some[0])]
         ready = sorted((r for r in held if r[0] <= known), key=lambda r: r[:2])
         rest = [r for r in held if r[0] > known]
-        state = self.machine.get() if self.machine.exists() else None
+        state = self.machine.get()
         machine, last = (json.loads(state[0]), state[1]) if state else ({}, None)
         out = []
         for r in ready:
             out += self.step(machine, *r)
         if ready:
-            self.buffer.put(rest) if rest else self.buffer.clear()
+            self.buffer.put([(json.dumps(rest),)]) if rest else self.buffer.clear()
             last = ready[-1][0]
-            self.machine.update((json.dumps(machine), last))
         if not rest and last is not None and last // 1000 + self.idle_ms < known // 1000:
             out += self.closed(machine)
-            self.machine.clear()
+            if state:
+                self.machine.clear()
+        elif ready:
+            self.machine.update((json.dumps(machine), last))
+            # and one when the key has been idle since
+            self.handle.registerTimer(last // 1000 + 1 + self.idle_ms)
         if out:
             yield self.frame(key, out)
 
@@ -123,7 +137,7 @@ class Ordered(StatefulProcessor):
 
 
 class Presence(Ordered):
-    fields = "enters boolean"
+    fields = "enters"
 
     def step(self, machine, us, seq, enters):
         if enters:
@@ -135,7 +149,7 @@ class Presence(Ordered):
 class Stints(Ordered):
     """Two sides' line-ups told record by record: what the batch operator two_sided_stints does for each game and period."""
 
-    fields = "side string, id long, what int, at double, begin double, end double"
+    fields = "side, id, what, at, begin, end"
 
     def step(self, m, us, seq, side, id_, what, at, begin, end):
         if not m:

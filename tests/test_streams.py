@@ -111,3 +111,40 @@ def test_interval_join_of_streams_keeps_bounded_state(spark, tmp_path):
     assert got == sorted((p[0], s[0]) for s in rows if s[3] == "signup" for p in rows[s[0] : s[0] + 31] if p[2] == s[2])
     held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert max(held) < 3000 * 1.2 * 0.5 and held[-1] < 900
+
+
+def test_a_table_of_many_files_is_read_whole(spark, tmp_path):
+    rows = events(400, 5)
+    spark.createDataFrame(rows, streams.EVENTS).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    streams.run_to_table(streamed.with_end(spark, str(tmp_path), str(tmp_path)).select("event_id"), str(tmp_path / "out"), str(tmp_path / "log"))
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [-1, *range(400)]
+
+
+def test_events_of_a_key_take_few_calls_to_the_state(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(streams, "APPENDED", 500)
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "get":
+                    return iter(list(self.rows))
+                self.rows = {"appendValue": lambda v: [*self.rows, v], "appendList": lambda v: [*self.rows, *v], "put": list, "clear": lambda: []}[name](*args)
+
+            return call
+
+    class Handle:
+        def registerTimer(self, ms):
+            calls.append(ms)
+
+    p = streams.Presence(1, "user_id,from_id,to_id", 0)
+    p.buffer, p.handle = State(), Handle()
+    frame = pd.DataFrame({"us": range(1000), "seq": range(1000), "enters": [i % 2 == 0 for i in range(1000)]})
+    list(p.handleInputRows((1,), iter([frame] * 2), None))
+    assert calls == ["appendValue", "appendValue", 1] and len(p.buffer.rows) == 2
