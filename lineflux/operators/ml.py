@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .joins import numbered
+from .joins import checkpointed, numbered
 
 #: Rows that may be collected for methods on small samples (linkage, mixtures, silhouettes).
 SMALL = 20_000
@@ -325,18 +325,26 @@ def fold_errors(df: DataFrame, fold: str, y: str, xs: list[str], w: str, alphas:
     """Mean over folds of the weighted squared error on a fold under the fit of the others, by alpha. Rows of no fold take no part."""
     mo = Moments(xs, y, w)
     at = [xs.index(f) for f in free or []]
-    folds = [mo.read(r) for r in df.where(F.col(fold).isNotNull()).groupBy(fold).agg(*mo.sums()).orderBy(fold).collect()]
-    return {a: float(np.mean([mo.error(m, *mo.fit(sum(folds) - m, a, at)) for m in folds])) for a in alphas}
+    return errors_of(mo, [mo.read(r) for r in df.where(F.col(fold).isNotNull()).groupBy(fold).agg(*mo.sums()).orderBy(fold).collect()], alphas, at)
+
+
+def errors_of(mo: Moments, folds: list[np.ndarray], alphas: list[float], free: list[int]) -> dict[float, float]:
+    """fold_errors() from the folds' moments."""
+    return {a: float(np.mean([mo.error(m, *mo.fit(sum(folds) - m, a, free)) for m in folds])) for a in alphas}
 
 
 def ridge_effects(df: DataFrame, group: str, y: str, xs: list[str], w: str, free: list[str], alphas: list[float], folds: int = 5, replicates: int = 200, seed: int = 0) -> dict:
     """Effects of the free dummies and of their differences, with 95 % intervals under resampling of groups; the penalty by folds of whole groups.
 
-    Moments by group are summed once; a replicate weighs them, so the rows are read three times at most, whatever the replicates."""
-    alpha, errors = ridge_by_group(df, group, y, xs, w, alphas, folds, free)
+    Moments by group are summed once and stored; folds, all rows and replicates are sums of them, so the rows are read once."""
     mo, at = Moments(xs, y, w), [xs.index(f) for f in free]
-    by = df.groupBy(group).agg(*mo.sums())
-    b, _ = mo.fit(mo.read(df.agg(*mo.sums()).head()), alpha, at)
+    by = checkpointed(df.groupBy(group).agg(*mo.sums(), F.count("*").alias("_n")))
+    dealt = group_folds(by, group, folds, "_n").withColumnRenamed(group, "_of")
+    ms = by.join(dealt, F.col(group).eqNullSafe(F.col("_of")), "left").groupBy("_fold").agg(*mo.again(F.lit(1.0))).orderBy("_fold").collect()  # a row per fold
+    ms = [mo.read(r) for r in ms]
+    errors = errors_of(mo, ms, alphas, at)
+    alpha = min(errors, key=lambda a: (errors[a], a))
+    b, _ = mo.fit(sum(ms), alpha, at)
     reps = by.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", multiplicity(F.col(group), F.col("r"), seed))
     reps = reps.groupBy("r").agg(*mo.again(F.col("k"))).orderBy("r").collect()  # a row per replicate
     boot = np.array([mo.fit(mo.read(r), alpha, at)[0] for r in reps])
@@ -496,11 +504,12 @@ def dealing(histogram: list[tuple[int, int]], folds: int) -> list[tuple[int, int
     return out
 
 
-def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """(group, fold): whole groups of df's rows, from the largest to the lightest fold, equal sizes by group; a null group is one too.
+def group_folds(df: DataFrame, group: str, folds: int, size: str | None = None) -> DataFrame:
+    """(group, fold): whole groups of df's rows, from the largest to the lightest fold, equal sizes by group; a null group is one too. A column
+    of sizes counts in place of the rows.
 
     The driver sees the histogram of sizes only: different sizes of N rows number less than the root of 2 N. Groups are numbered by range."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
+    sizes = df.groupBy(group).agg((F.sum(size) if size else F.count("*")).alias("_size"))
     sizes = numbered(sizes, [F.desc("_size"), F.col(group)], "_nr")
     plan = dealing([(r["_size"], r["n"]) for r in sizes.groupBy("_size").agg(F.count("*").alias("n")).collect()], folds)
     rows = df.sparkSession.createDataFrame(plan, "_size long, _first long, _steps array<int>, _cycle array<int>")

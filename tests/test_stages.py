@@ -154,6 +154,26 @@ def test_effect_model_equals_plain_algebra(spark):
     assert out["differences"][0][2] == pytest.approx(out["effects"][0][1] - out["effects"][1][1]) and out["differences"][0][5] > 0.95
 
 
+def test_effects_read_the_rows_once(spark):
+    from pyspark.sql.types import DoubleType
+
+    rng = np.random.default_rng(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    rows = [(int(g) if g else None, float(p), float(c), 1.0 + float(c)) for g, p, c in zip(rng.integers(0, 12, 240), rng.integers(0, 2, 240), rng.integers(0, 4, 240))]
+    df = spark.createDataFrame(rows, "g int, p double, c double, w double").withColumn("q", 1.0 - C("p")).withColumn("y", F.udf(seen, DoubleType()).asNondeterministic()(2 * C("p") - C("c")))
+    args = (["p", "q", "c"], "w")
+    out = ml.ridge_effects(df, "g", "y", *args, ["p", "q"], [0.1, 10.0], 4, 20)
+    assert read.value == len(rows)
+    alpha, errors = ml.ridge_by_group(df, "g", "y", *args, [0.1, 10.0], 4, ["p", "q"])
+    assert out["alpha"] == alpha and out["errors"] == pytest.approx(errors)
+    assert [e[1] for e in out["effects"]] == pytest.approx([ml.centred_ridge(df, "y", *args, alpha, ["p", "q"])[n] for n in "pq"])
+
+
 def test_contrasts_count_by_order(spark):
     rows = [(1, 1, 10.0), (1, 2, 10.0), (2, 1, 4.0), (3, 2, 6.0), (3, 3, 6.0)]
     got = {r.mate: r for r in stats.contrasts(spark.createDataFrame(rows, "g int, m int, v double"), "g", "m", "v", 1).collect()}
