@@ -39,9 +39,10 @@ def normalised(edges: DataFrame, totals: DataFrame, node: str, total: str, tasks
     return e.withColumn("overlap", overlap(F.col("shared"), F.col("total_a"), F.col("total_b"))).withColumn("jaccard", jaccard(F.col("shared"), F.col("total_a"), F.col("total_b")))
 
 
-def sparse_negatives(nodes: DataFrame, edges: DataFrame, group: str, node: str, most: int) -> DataFrame:
-    """Pairs of one group whose shared weight is `most` or less, absent counting as 0."""
-    tasks = pair_tasks(nodes, [group])
+def sparse_negatives(nodes: DataFrame, edges: DataFrame, group: str, node: str, most: int, tasks: int = 1) -> DataFrame:
+    """Pairs of one group whose shared weight is `most` or less, absent counting as 0. They meet the edges in so many tasks as they take, or as the
+    edges do if those are more."""
+    tasks = max(tasks, pair_tasks(nodes, [group]))
     p = pairs_within(nodes, [group], node, tasks=tasks).repartition(tasks, "a", "b")
     return p.join(edges.select("a", "b", "shared").repartition(tasks, "a", "b"), ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0))).where(F.col("shared") <= most)
 

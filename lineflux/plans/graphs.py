@@ -26,7 +26,7 @@ def normalised_edges(spark, d):
 
 
 def totals(spark, d, tasks):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey").repartition(tasks, "l_orderkey", "l_partkey").distinct().groupBy("l_partkey").agg(F.count("*").alias("total"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey").repartition(tasks, "l_orderkey", "l_partkey").distinct().repartition(tasks, "l_partkey").groupBy("l_partkey").agg(F.count("*").alias("total"))
 
 
 @query(f"WITH {EDGES} SELECT a, b, shared FROM e")
@@ -65,8 +65,9 @@ e AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS shared FROM m x JOI
 SELECT s.s_nationkey, s.s_suppkey AS a, u.s_suppkey AS b, coalesce(e.shared, 0) AS shared FROM supplier s JOIN supplier u ON s.s_nationkey = u.s_nationkey AND s.s_suppkey < u.s_suppkey
 LEFT JOIN e ON e.a = s.s_suppkey AND e.b = u.s_suppkey WHERE coalesce(e.shared, 0) <= 25""")
 def hard_negatives(spark, d):
-    e = graph.co_membership(table(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey")
-    return graph.sparse_negatives(table(spark, d, "supplier"), e, "s_nationkey", "s_suppkey", 25).select("s_nationkey", "a", "b", "shared")
+    tasks = joins.pair_tasks(table(spark, d, "lineitem"), ["l_orderkey"])
+    e = graph.co_membership(table(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey", tasks=tasks)
+    return graph.sparse_negatives(table(spark, d, "supplier"), e, "s_nationkey", "s_suppkey", 25, tasks).select("s_nationkey", "a", "b", "shared")
 
 
 @query(f"""

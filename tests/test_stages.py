@@ -198,3 +198,18 @@ def test_pairs_take_more_tasks_as_they_grow(spark, monkeypatch):
     assert joins.pair_tasks(m, ["g"]) > 20
     spread = graph.co_membership(m, ["g"], "x", "w").groupBy(F.spark_partition_id()).count().collect()
     assert len(spread) > 20  # the counts of pairs too, not only the pairs
+
+
+def test_totals_and_negatives_take_the_edges_tasks(spark):
+    from pathlib import Path
+
+    from lineflux.plans import graphs
+
+    d = "/root/testdata/sf0.001"
+    if not Path(d).is_dir():
+        pytest.skip("no test tables")
+    assert graphs.totals(spark, d, 9).select(F.spark_partition_id()).distinct().count() > 4
+    nodes = spark.createDataFrame([(1, i) for i in range(20)], "g int, n int")
+    edges = spark.createDataFrame([(0, 1, 5)], "a int, b int, shared int")
+    got = graph.sparse_negatives(nodes, edges, "g", "n", 4, 9)
+    assert got.count() == 189 and got.select(F.spark_partition_id()).distinct().count() > 4
