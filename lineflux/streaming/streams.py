@@ -28,7 +28,10 @@ def landed_events(spark: SparkSession, folder: str, pattern: str = "events.parqu
     """What lands in the folder under the pattern: files, or folders of files."""
     s = spark.readStream.schema(EVENTS)
     s = s.option("maxFilesPerTrigger", files) if files else s
-    return s.parquet(f"{folder}/{pattern}").withColumn("ts", F.col("ts").cast("timestamp"))
+    if not set("*?[{") & set(pattern):
+        spark.read.schema(EVENTS).parquet(f"{folder}/{pattern}")  # raises what a stream does not, if there is none
+    # a stream takes a path without wildcards for the base of its columns by folder, which no file can be
+    return s.option("basePath", folder).parquet(f"{folder}/{{{pattern}}}").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def end_of_stream(spark: SparkSession, folder: str, day: str = "2100-01-01") -> None:

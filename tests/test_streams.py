@@ -120,6 +120,23 @@ def test_a_table_of_many_files_is_read_whole(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [-1, *range(400)]
 
 
+@pytest.mark.parametrize("folders", [None, [], ["event_type"]])
+def test_a_table_is_one_file_or_a_folder_of_files_or_of_folders(spark, tmp_path, folders):
+    rows = events(300, 5)
+    made = spark.createDataFrame(rows, streams.EVENTS).repartition(1 if folders is None else 3)
+    made.write.partitionBy(*folders or []).parquet(str(tmp_path / ("one" if folders is None else "events.parquet")))
+    if folders is None:
+        next((tmp_path / "one").glob("part-*")).rename(tmp_path / "events.parquet")
+    for k, s in enumerate([streams.landed_events(spark, str(tmp_path)), streamed.with_end(spark, str(tmp_path), str(tmp_path)).where("user_id >= 0")]):
+        streams.run_to_table(s.select("event_id", "event_type"), str(tmp_path / f"out{k}"), str(tmp_path / f"log{k}"))
+        assert sorted((r.event_id, r.event_type) for r in spark.read.parquet(str(tmp_path / f"out{k}")).collect()) == [(r[0], r[3]) for r in rows]
+
+
+def test_a_missing_table_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        streams.landed_events(spark, str(tmp_path))
+
+
 def test_events_of_a_key_take_few_calls_to_the_state(monkeypatch):
     import pandas as pd
 
