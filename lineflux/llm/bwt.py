@@ -9,12 +9,13 @@ of LENGTH bytes are repeats. A bundle is bounded, so its columns stay in memory.
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, mix64, release_shuffles, store, table
+from .common import identified, mix64, powers, release_shuffles, store, table
 from .repeats import asked, candidates, covered, gathered
 
 LENGTH, GRAM = 100, 40
@@ -24,8 +25,10 @@ COLLECTION = 1 << 17
 END = 255
 #: Bytes that one symbol's hash covers.
 CONTEXT = 8
-#: Hot strings that a task remembers at once.
-SEEN = 100_000
+#: Bytes of hot keys' segments whose windows a task tells apart at once.
+HELD = 1 << 20
+#: No run of windows goes over a multiple of this.
+RUN = 1 << 15
 
 
 def symbolize(data: np.ndarray, offsets: np.ndarray, secret: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -98,93 +101,150 @@ def repeats_of(strings: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[n
     return d[by][again], a[by][again]
 
 
+def runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, at, n): the windows as runs of n that start one after another."""
+    by = np.lexsort((at, doc))
+    doc, at = doc[by], at[by]
+    head = np.ones(len(by), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1) | (at[1:] // RUN != at[:-1] // RUN)
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(by)) - 1 if len(by) else first
+    return doc[first], at[first], at[last] - at[first] + 1
+
+
+def repeated(key: np.ndarray, h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted windows, which are the first of their key and hash, and which repeat that one from another place (equal records come of
+    repeated rows of one document)."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return new, (doc != doc[head]) | (at != at[head])
+
+
+def windows_of(pieces: list[tuple], secrets: list[int]) -> tuple[np.ndarray, ...]:
+    """(key, h, document, at) of each window of the segments (document, at, bytes), sorted. key and h are hashes of its bytes."""
+    doc, at = (np.array(c, np.int64) for c in list(zip(*pieces))[:2])
+    size = np.array([len(p[2]) for p in pieces])
+    n = size - LENGTH + 1
+    data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+    power, back = powers(len(data) + 1)
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    s = np.repeat(np.cumsum(size) - size, n) + within
+    hashes = []
+    for secret in secrets:
+        symbols, _ = symbolize(data, size, np.uint64(secret))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(symbols * power[: len(data)], out=sums[1:])
+        hashes.append(mix64((sums[s + LENGTH - CONTEXT + 1] - sums[s]) * back[s]).view(np.int64))
+    key, h = hashes
+    doc, at = np.repeat(doc, n), np.repeat(at, n) + within
+    by = np.lexsort((at, doc, h, key))
+    return key[by], h[by], doc[by], at[by]
+
+
 def segment_texts(texts: DataFrame) -> DataFrame:
-    """(key, doc_id, at, text): the requested segments; those of hot keys as single strings with keys of their own.
+    """(key, doc_id, at, n, h, text): the requested segments; of hot keys the windows, one by one and without their bytes, told by two hashes,
+    key and h (128 bits under secrets of the run, as classes of segments are).
 
-    Of a hot string the task keeps the earliest place; later ones that it sees only repeat it (key and text null), so a string that all
-    documents share is dealt out about once a task."""
-    names, kinds = ["key", "doc_id", "at", "text"], ["int64", "int64", "int32", "binary"]
+    Of equal windows that the task holds at once only the earliest is dealt out; the others only repeat it (key, h and text null), in runs of
+    n, so a string that all documents share is dealt out a few times a task."""
+    names, kinds = ["key", "doc_id", "at", "n", "h", "text"], ["int64", "int64", "int32", "int32", "int64", "binary"]
+    secrets = [int.from_bytes(os.urandom(8), "little") for _ in range(2)]
 
     def rows(batches):
         import pyarrow as pa
 
         types = [getattr(pa, k)() for k in kinds]
 
-        def made(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+        def made(*columns):
+            n = len(columns[1])
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c).cast(t) if isinstance(c, np.ndarray) else pa.array(c, t) for c, t in zip(columns, types)], names)
 
-        hot: dict[bytes, tuple[int, int]] = {}
+        def hot(pieces):
+            key, h, doc, at = windows_of(pieces, secrets)
+            new, copy = repeated(key, h, doc, at)
+            yield made(key[new], doc[new], at[new], np.ones(int(new.sum()), np.int32), h[new], None)
+            yield made(None, *runs(doc[copy], at[copy]), None, None)
+
+        pieces, held = [], 0
         for batch in batches:
             out = []
             for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 text, values = text.as_py(), spans.values
-                at, n, key, is_hot = (values.field(k).to_pylist() for k in ("at", "n", "key", "hot"))
-                for a, m, k in {(a, m, None if h else k) for a, m, k, h in zip(at, n, key, is_hot)}:
-                    if k is not None:
-                        out.append((k, doc, a, text[a : a + m + LENGTH - 1]))
-                    else:
-                        # a string that a batch saw before needs no row of its own but its place, unless it is the earliest so far
-                        for i in range(a, min(a + m, len(text) - LENGTH + 1)):
-                            s = text[i : i + LENGTH]
-                            first = hot.get(s)
-                            if first is None or (doc, i) < first:
-                                hot[s] = (doc, i)
-                                out.append((int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), doc, i, s))
-                            elif (doc, i) > first:
-                                out.append((None, doc, i, None))
-                        if len(hot) > SEEN:
-                            hot.clear()
-                    if len(out) > 20_000:
-                        yield made(out)
-                        out = []
+                for a, m, k, is_hot in {*zip(*(values.field(c).to_pylist() for c in ("at", "n", "key", "hot")))}:
+                    piece = text[a : a + m + LENGTH - 1]
+                    if not is_hot:
+                        out.append((k, doc, a, m, None, piece))
+                        if len(out) > 20_000:
+                            yield made(*zip(*out))
+                            out = []
+                        continue
+                    pieces.append((doc, a, piece))
+                    held += len(piece)
+                    if held > HELD:
+                        yield from hot(pieces)
+                        pieces, held = [], 0
             if out:
-                yield made(out)
+                yield made(*zip(*out))
+        if pieces:
+            yield from hot(pieces)
 
-    return texts.mapInArrow(rows, "key long, doc_id long, at int, text binary")
+    return texts.mapInArrow(rows, "key long, doc_id long, at int, n int, h long, text binary")
 
 
 def repeated_strings(segments: DataFrame) -> DataFrame:
-    """(doc_id, at, n): single strings to remove."""
-    # equal segments meet first, so that only the earliest goes into a collection
+    """(doc_id, at, n): windows to remove."""
+    # equal segments meet first, so that only the earliest goes into a collection, and equal windows of hot keys, which need none
     n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.when(F.col("text").isNotNull(), F.col("key")).otherwise(F.xxhash64("doc_id", "at"))
-    dealt = segments.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")).repartition(n, "part").sortWithinPartitions("key", "text", "doc_id", "at").drop("part")
+    spread = F.when(F.col("text").isNotNull(), F.xxhash64("key")).when(F.col("key").isNotNull(), F.xxhash64("key", "h")).otherwise(F.xxhash64("doc_id", "at"))
+    dealt = segments.withColumn("part", F.pmod(spread, F.lit(1 << 20)).cast("int")).repartition(n, "part").sortWithinPartitions("key", "h", "text", "doc_id", "at").drop("part")
 
     def build(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        def made(doc, at):
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32())], ["doc_id", "at"])
+        def made(doc, at, n):
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "at", "n"])
 
         def collection(held):
-            return repeats_of([h[2] for h in held], np.array([h[0] for h in held]), np.array([h[1] for h in held]))
+            return made(*runs(*repeats_of([h[2] for h in held], np.array([h[0] for h in held]), np.array([h[1] for h in held]))))
 
-        held, total, last, copies = [], 0, (None, None, None, None), []
+        held, total, last, copies, lead = [], 0, (None, None, None, None), [], None
         for batch in batches:
-            for key, doc, at, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if text is None:
-                    copies.append((doc, at))
-                    continue
+            plain, known = batch.column(5).is_valid(), batch.column(0).is_null()
+            if known.true_count:
+                yield batch.filter(known).select(["doc_id", "at", "n"])
+            hot = batch.filter(pc.invert(pc.or_(plain, known)))
+            if len(hot):
+                now = [hot.column(c).to_numpy() for c in (0, 4, 1, 2)]
+                # what the batches before ended with may go on
+                key, h, doc, at = [np.append(x, y) for x, y in zip(lead, now)] if lead else now
+                new, copy = repeated(key, h, doc, at)
+                yield made(*runs(doc[copy], at[copy]))
+                first = np.flatnonzero(new)[-1]
+                lead = [x[first : first + 1] for x in (key, h, doc, at)]
+            batch = batch.filter(plain)
+            for key, doc, at, n, text in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5))):
                 if key == last[0] and text == last[1]:
                     if (doc, at) != last[2:]:
-                        copies += [(doc, at + k) for k in range(len(text) - LENGTH + 1)]
+                        copies.append((doc, at, n))
                     if len(copies) > 50_000:
                         yield made(*zip(*copies))
                         copies = []
                     continue
                 # a collection ends between keys; equal strings have equal keys
                 if total > COLLECTION and key != last[0]:
-                    yield made(*collection(held))
+                    yield collection(held)
                     held, total = [], 0
                 last = (key, text, doc, at)
                 held.append((doc, at, text))
                 total += len(text)
         if held:
-            yield made(*collection(held))
+            yield collection(held)
         if copies:
             yield made(*zip(*copies))
 
-    return dealt.mapInArrow(build, "doc_id long, at int").withColumn("n", F.lit(1))
+    return dealt.mapInArrow(build, "doc_id long, at int, n int")
 
 
 def dedup_strings(docs: DataFrame, texts: bool = True) -> DataFrame:

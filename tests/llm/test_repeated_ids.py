@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lineflux.llm import bwt, minhash, repeats, suffix_tree, warc
 
@@ -58,6 +59,38 @@ def test_long_texts_in_stretches(spark, monkeypatch):
     assert got == {1: (0, sha(rows[0][1])), 2: (1000, sha(long[:1000] + long[2000:])), 3: (5000, sha(words(6, 20)))}
 
 
+def test_windows_of_hot_keys_travel_without_their_bytes(spark):
+    # so many surroundings of one passage that its first and last keys are hot
+    shared = words(7, 40)
+    rows = [(k, f"{words(100 + k, 20)} {shared} {words(9000 + k, 20)}") for k in range(2 * repeats.HOT)]
+    rows += [rows[5], (3 * repeats.HOT, shared)]
+    docs = spark.createDataFrame(rows, KIND).select("doc_id", F.col("text").cast("binary").alias("text")).repartition(2)
+    found = repeats.candidates(docs, bwt.symbolize, bwt.LENGTH, bwt.GRAM, within_doc=True, deciding=True, context=bwt.CONTEXT)
+    hot = {r.key for r in found.where(F.col("kind") == repeats.HOT_KEY).collect()}
+    asked = found.where(F.col("kind") == repeats.REQUEST).collect()
+    got = bwt.segment_texts(docs.join(repeats.asked(found), "doc_id").select("doc_id", "text", "spans")).collect()
+    assert hot and sum(len(r.text) for r in got if r.text) <= 2 * sum(r.n + bwt.LENGTH - 1 for r in asked if r.key not in hot)
+    assert {(r.doc_id, r.at + k) for r in got if r.text is None for k in range(r.n)} == {(r.doc_id, r.at + k) for r in asked if r.key in hot for k in range(r.n)}
+    seen, want = set(), {}
+    for i, t in sorted(dict(rows).items()):
+        cut = np.zeros(len(t), bool)
+        for k in range(len(t) - 99):
+            cut[k : k + 100] |= t[k : k + 100] in seen
+            seen.add(t[k : k + 100])
+        want[i] = (int(cut.sum()), hashlib.sha256(bytes(b for b, c in zip(t.encode(), cut) if not c)).hexdigest())
+    result = bwt.dedup_strings(docs).collect()
+    assert len(result) == len(rows) and all((r.n_removed, r.kept_sha256) == want[r.doc_id] for r in result)
+
+
+def test_windows_come_in_runs():
+    doc, at = np.array([2, 1, 1, 1, 1, 2]), np.array([4, 7, 5, 6, 9, 5])
+    assert [tuple(map(int, x)) for x in zip(*bwt.runs(doc, at))] == [(1, 5, 3), (1, 9, 1), (2, 4, 2)]
+    n = 3 * bwt.RUN
+    d, a, m = bwt.runs(np.zeros(n, int), np.arange(n) + 5)
+    assert m.sum() == n and m.max() <= bwt.RUN and (a[1:] == a[:-1] + m[:-1]).all()
+    assert [len(x) for x in bwt.runs(np.zeros(0, int), np.zeros(0, int))] == [0, 0, 0]
+
+
 RECORD = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
 
 
