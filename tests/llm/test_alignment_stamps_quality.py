@@ -266,6 +266,23 @@ def test_divergent_documents_are_rejected(spark):
     assert all(got[i].word_distance is None and got[i].class_distance is not None for i in range(3000, 3008)) and all(got[i].class_distance is None for i in range(4000, 4008))
 
 
+def test_long_words_are_common_too(spark):
+    long = ["zwischen", "gegenüber", "donaudampfschifffahrt", "immer", "etwas"]
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    rows = [(i, " ".join(rng.sample([*long * 9, *(word() for _ in range(60 + i))], 105 + i)), "xx") for i in range(30)]
+    rows += [(100, "seldom seldom seldom " * 60, "xx"), (101, " ".join(word() for _ in range(300)), "xx"), (102, None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    common = quality.common_words(docs).collect()
+    holds = Counter(w for _, t, _ in rows for w in set((t or "").split()))
+    want = sorted(holds, key=lambda w: (-holds[w], w))[: quality.COMMON]
+    assert [r.common for r in common] == [want] and set(long) == set(want[:5])
+    got = {r.doc_id: list(r.words) for r in quality.features(docs, spark.createDataFrame(common, "lang string, common array<string>, longest int")).collect()}
+    assert got == {i: [(t or "").split().count(w) for w in want] for i, t, _ in rows}
+    judged = {r.doc_id: r for r in quality.judged(docs).collect()}
+    assert all(judged[i].kept for i in range(30)) and not judged[101].kept and judged[101].word_distance >= quality.MOST_COMMON
+
+
 def test_distance_is_the_jensen_shannon_distance(spark):
     import math
 
